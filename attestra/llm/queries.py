@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import near_duplicates, packing, pii, quality_classifier, quality_rules
+
+#: The key of the surrogates; a deployment passes its own secret to ``pii.pseudonymised``.
+PII_KEY = b"attestra surrogates"
 
 
 def _tokenizer(name: str) -> str:
@@ -24,8 +27,32 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), max_tokens=4096, end_id=1)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and verdicts of every document."""
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores and verdicts of every document."""
+    return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with its personal data replaced."""
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 5-word shingle similarity 0.75 or more."""
+    return near_duplicates.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_pii_surrogates": op9_pii_surrogates,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL by query; those that SQL cannot express are tested against brute force in tests/llm.
