@@ -8,10 +8,12 @@ pieces at once, but no task or driver ever holds the pieces themselves.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Texts of these characters only need no normalisation beyond lower case, and words split at white space.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
+#: Texts without these characters need no normalisation beyond lower case, and their words split at white space.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+#: A word that is one pre-token of letters, perhaps with a second one of marks.
+_LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
 
 class WordTokenizer:
@@ -33,27 +37,50 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, max_words: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores already
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._max_words = max_words
-        self._words: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if _PLAIN.search(text) or ("<|" in text and _SPECIAL.search(text)):
-            return self._encoded([text])[0]
-        words, known = text.split(), self._words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self._max_words:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, self._encoded(new), strict=True))
-            return b"".join([known[w] for w in words])
+        self._words: dict[str, bytes] = {"": b""}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, cores: list[str], others: list[str]) -> None:
+        """Adds words to the cache; ``cores``, of letters alone, are encoded many at a time and cut where a word ends."""
+        if cores:
+            ids = np.concatenate(self._encoded([" ".join(cores[i : i + 64]) for i in range(0, len(cores), 64)]))
+            whole, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(self._ends[ids]) + 4).tolist()]
+            self._words.update(zip(cores, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self._words.update(zip(others, [x.tobytes() for x in self._encoded(others)], strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [not ((t.isascii() and t.isprintable()) or not _OTHER.search(t)) or ("<|" in t and bool(_SPECIAL.search(t))) for t in texts]
+        words = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        found = [list(map(self._words.get, ws)) for ws in words]
+        holes: list[tuple[list, int, str, str]] = []  # what is not found as it stands: its core and the marks that follow
+        for ws, ids in zip(words, found, strict=True):
+            if None in ids:
+                holes += [(ids, i, *(m.groups() if (m := _LETTERS.fullmatch(ws[i])) else ("", ws[i]))) for i, x in enumerate(ids) if x is None]
+        cores, others = ({h[k] for h in holes}.difference(self._words) for k in (2, 3))
+        if len(self._words) + len(cores) + len(others) > self._max_words:  # the words of these texts stay
+            self._words = {w: x for ws, ids in zip(words, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is not None} | {"": b""}
+            cores, others = ({h[k] for h in holes}.difference(self._words) for k in (2, 3))
+        self._learn(list(cores), list(others))
+        known = self._words
+        for ids, i, core, rest in holes:
+            ids[i] = known[core] + known[rest]
+        return [self._encoded([t])[0].tobytes() if w else b"".join(ids) for t, ids, w in zip(texts, found, whole, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer and cache for all tasks of a Python worker."""
+    return WordTokenizer(path)
 
 
 def tokenised_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,14 +88,16 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096,
     key_type = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, end, step = WordTokenizer(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes(), 4 * max_tokens
+        ids_of, end, step = tokenizer_at(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes(), 4 * max_tokens
         for batch in batches:
             rows = []
-            for key, text in zip(batch["k"].array, batch["t"].array, strict=True):
-                ids = ids_of(text if isinstance(text, str) else "") + end
-                for n, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
+            texts = [t if isinstance(t, str) else "" for t in batch["t"].array]
+            for at in range(0, len(texts), 500):
+                for key, ids in zip(batch["k"].array[at : at + 500], ids_of(texts[at : at + 500]), strict=True):
+                    ids += end
+                    for n, start in enumerate(range(0, len(ids), step)):
+                        part = ids[start : start + step]
+                        rows.append((key, n, start // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
     plain = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
