@@ -7,15 +7,17 @@ than D(b) occupied blocks, two similar sets agree on an occupied block (pigeonho
 its own band and the next one if it can be the smaller partner there. Only the fingerprint of a block is shipped. Candidate
 pairs are verified on the sets themselves.
 
-Equal sets are one class throughout. In a block that many classes share, two pivots are paired with all others; blocks whose
-classes have not all fallen in one component after that are compared exhaustively, by the 2048-bit parity sketches of their
-sets, between components only. No candidate is dropped, and no pairs within a group are listed beyond ``small_group``.
+Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others; blocks
+whose classes have not all fallen in one component after that are compared exhaustively, by the 2048-bit parity sketches of
+their sets, between components only. So no candidate is dropped, and no group is listed as all its pairs. A block that over
+``HOT`` classes of one slice of documents share reaches its shard as one entry for each slice; its members travel by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ from .common import checkpointed, free_name
 from .components import connected_components
 
 SKETCH_BITS = 2048
+#: Classes of a slice that share a block beyond which only the least goes to the shard.
+HOT = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -35,33 +39,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text (UTF-8 bytes), with a bounded cache of word hashes."""
+    """Sorted distinct 64-bit hashes of the word n-grams of texts (UTF-8 bytes), with a bounded cache of word hashes."""
 
-    def __init__(self, width: int = 5, max_words: int = 400_000):
+    def __init__(self, width: int = 5, max_words: int = 300_000):
         import xxhash
 
-        self._hash = xxhash.xxh3_64_intdigest
+        self._hash = xxhash.xxh3_64_digest
         self.width, self._max_words, self._words = width, max_words, {}
-        self._factors = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) * (2 * i + 5) ** 7 | 1) & (2**64 - 1)) for i in range(width)]
+        self._factors = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) ** 9 | 1) & (2**64 - 1)) for i in range(width)]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words, known = (text or b"").lower().split(), self._words  # of bytes: A-Z only, and exactly 0x20 and 0x09-0x0D
+        words = (text or b"").lower().split()  # of bytes: A-Z only, and exactly 0x20 and 0x09-0x0D
         if not words:
             return np.empty(0, dtype=np.uint64)
-        try:
-            w = np.array([known[x] for x in words], dtype=np.uint64)
-        except KeyError:
+        known = self._words
+        hashes = list(map(known.get, words))
+        if None in hashes:
             if len(known) > self._max_words:
                 known.clear()
-            for x in words:
-                if x not in known:
-                    known[x] = self._hash(x)
-            w = np.array([known[x] for x in words], dtype=np.uint64)
+            digest = self._hash
+            for i, x in enumerate(hashes):
+                if x is None:
+                    hashes[i] = known[words[i]] = digest(words[i])
+        w = np.frombuffer(b"".join(hashes), dtype=np.uint64)
         n = max(1, len(w) - self.width + 1)
         h = np.full(n, len(w) if len(w) < self.width else 0, dtype=np.uint64)
         for i in range(min(self.width, len(w))):
-            h += _mix(w[i : i + n] + np.uint64(i)) * self._factors[i]
-        return np.unique(_mix(h))
+            h += w[i : i + n] * self._factors[i]
+        h = _mix(h)
+        h.sort()
+        new = np.empty(n, dtype=bool)
+        new[0] = True
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        return h if new.all() else h[new]
+
+
+@lru_cache(maxsize=2)
+def shingles_of_width(width: int) -> Shingles:
+    """One cache for all tasks of a Python worker."""
+    return Shingles(width)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -107,115 +123,133 @@ class Blocks:
         return np.concatenate(out)
 
 
-def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and size of each run of equal values in a sorted array, runs of one left out."""
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, dtype=np.int64)
-    size = np.diff(np.append(first, len(sig)))
-    return first[size > 1], size[size > 1]
+def _meeting(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by (sig, key) without repeats, and where each block starts and how many entries it has."""
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key = sig[new], key[new]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    return sig, key, first, np.diff(np.append(first, len(sig)))
 
 
-def _candidates(sig: np.ndarray, key: np.ndarray, n: np.ndarray, t: Fraction, small_group: int) -> tuple[set[tuple[int, int]], list[tuple[int, bytes]], np.ndarray]:
-    """Of entries sorted by (sig, key) without repeats: pairs, members of large groups, and the places of entries to send on."""
-    pairs, large, send = set(), [], np.ones(len(sig), dtype=bool)
-    num, den = t.numerator, t.denominator
-    for at, size in zip(*(x.tolist() for x in _groups(sig)), strict=True):
-        keys, sizes = key[at : at + size].tolist(), n[at : at + size].tolist()
-        pivots = size if size <= small_group else 2
-        for i in range(pivots):
-            for j in range(i + 1, size):
-                a, b = sizes[i], sizes[j]
-                if num * max(a, b) <= den * min(a, b):
-                    pairs.add((keys[i], keys[j]))
-        if size > small_group:
-            large.append((int(sig[at : at + 1].astype(np.int64)[0]), key[at : at + size].tobytes()))
-            send[at + 2 : at + size] = False
-    return pairs, large, send
+def _stars(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct pairs of each block's least key with its others."""
+    inside = np.repeat(first, size)
+    at = np.flatnonzero(inside != np.arange(len(key)))
+    return np.unique(np.stack([key[inside[at]], key[at]], axis=1), axis=0)
 
 
 _ROWS = "kind int, shard int, a long, b long, n_rows int, data binary, extra binary"
 
 
-def _found(pairs: set[tuple[int, int]], large: list[tuple[int, bytes]]) -> pd.DataFrame:
-    """kind 1: a candidate pair (a, b); kind 2: a block a with the keys of its classes in data."""
-    rows = [(1, 0, a, b, 1, None, None) for a, b in pairs] + [(2, 0, s, 0, len(d) // 8, d, None) for s, d in large]
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in _ROWS.split(", ")])
+def _rows(kind: int, **columns) -> pd.DataFrame:
+    """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b); 2 the keys of classes that share block a,
+    in data; 3 a document: its class a, its number of shingles b and its id in data; 4 an entry (a, b) of a hot block."""
+    base = {"kind": kind, "shard": 0, "a": 0, "b": 0, "n_rows": 0, "data": None, "extra": None}
+    return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
 
-def _entries(df: DataFrame, text_col: str, blocks: Blocks, width: int, shards: int, small_group: int) -> DataFrame:
-    """Block fingerprints of the documents by shard (kind 0: data holds fingerprints, extra the keys and sizes), and what is found within a batch."""
+def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_rows: int = 8000) -> DataFrame:
+    """From (id, t): documents and their block fingerprints by shard; of hot blocks, the pairs and members within a slice too.
+
+    A fingerprint is cut to its shard and 32 further bits: as shards grow with the corpus, the blocks that meet by chance
+    stay a small share, and their classes are not similar when verified.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = Shingles(width)
-        for batch in (b.iloc[i : i + 4000] for b in batches for i in range(0, len(b), 4000)):
-            keys, sizes, sigs = [], [], []
+        shingles_of = shingles_of_width(width)
+        for batch in (b.iloc[i : i + slice_rows] for b in batches for i in range(0, len(b), slice_rows)):
+            keys, sizes, sigs, seen = [], [], {}, set()
             for text in batch["t"].array:
                 s = shingles_of(text)
-                if len(b := blocks(s)):
-                    keys.append(set_key(s))
-                    sizes.append(len(s))
-                    sigs.append(b)
+                keys.append(set_key(s))
+                sizes.append(len(s))
+                if keys[-1] not in seen and len(s):
+                    seen.add(keys[-1])
+                    if len(x := blocks(s)):
+                        sigs[keys[-1]] = x
+            yield _rows(3, a=keys, b=sizes, data=batch["id"].array, shard=[k % shards for k in range(len(keys))])
             if not sigs:
                 continue
-            sig, many = np.concatenate(sigs), [len(x) for x in sigs]
-            key, n = np.repeat(np.array(keys, dtype=np.int64), many), np.repeat(np.array(sizes, dtype=np.int32), many)
+            sig = np.concatenate(list(sigs.values()))
+            key = np.repeat(np.fromiter(sigs, dtype=np.int64), [len(x) for x in sigs.values()])
             del sigs
-            sig, key, n = _sorted(sig, key, n)
-            pairs, large, send = _candidates(sig, key, n, blocks.t, small_group)
-            if pairs or large:
-                yield _found(pairs, large)
-            sig, key, n = sig[send], key[send], n[send]
-            shard = (sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+            high, n = sig >> np.uint64(32), np.uint64(shards)
+            sig = ((high * n >> np.uint64(32)) << np.uint64(32)) | ((high * n + (((sig & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(32))) & np.uint64(0xFFFFFFFF))
+            sig, key, first, size = _meeting(sig, key)
+            hot = size > HOT
+            if hot.any():
+                inside = np.repeat(hot, size)
+                starts, own = np.cumsum(size[hot]) - size[hot], key[inside]
+                pairs = _stars(own, starts, size[hot])
+                yield _rows(1, a=pairs[:, 0], b=pairs[:, 1], shard=pairs[:, 1] % shards)
+                ids = sig[first[hot]].astype(np.int64)
+                yield _rows(2, a=ids, data=[own[at : at + m].tobytes() for at, m in zip(starts, size[hot], strict=True)], shard=ids % shards)
+                yield _rows(4, a=ids, b=own[starts], shard=ids >> 32)
+                sig, key = sig[~inside], key[~inside]
+            cut = np.searchsorted(sig >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
             rows = []
             for x in range(shards):
                 part = slice(cut[x], cut[x + 1])
                 if cut[x + 1] > cut[x]:
                     own, place = np.unique(key[part], return_inverse=True)
-                    size = np.zeros(len(own), dtype=np.int32)
-                    size[place] = n[part]
-                    place = place.astype(np.uint16 if len(own) < 65536 else np.uint32)
-                    rows.append((0, x, len(own), 0, len(place), sig[part].tobytes() + place.tobytes(), own.tobytes() + size.tobytes()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _ROWS.split(", ")])
-
-    return df.select(F.col(text_col).cast("binary").alias("t")).mapInPandas(run, _ROWS)
-
-
-def _sorted(sig: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((key, sig))
-    sig, key, n = sig[order], key[order], n[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-    return sig[new], key[new], n[new]
-
-
-def _meet(blocks: Blocks, small_group: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sigs, keys, sizes = [], [], []
-        for own, many, data, extra in zip(group["a"], group["n_rows"], group["data"], group["extra"], strict=True):
-            sigs.append(np.frombuffer(data, dtype=np.uint64, count=many))
-            place = np.frombuffer(data, dtype=np.uint16 if own < 65536 else np.uint32, offset=8 * many)
-            keys.append(np.frombuffer(extra, dtype=np.int64, count=own)[place])
-            sizes.append(np.frombuffer(extra, dtype=np.int32, offset=8 * own)[place])
-        pairs, large, _ = _candidates(*_sorted(np.concatenate(sigs), np.concatenate(keys), np.concatenate(sizes)), blocks.t, small_group)
-        return _found(pairs, large)
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Of pairs (a, b) of keys those whose sets are similar."""
+                    rows.append((x, cut[x + 1] - cut[x], sig[part].astype(np.uint32).tobytes() + place.astype(np.uint16).tobytes(), own.tobytes()))
+            if rows:
+                shard, many, data, extra = map(list, zip(*rows, strict=True))
+                yield _rows(0, shard=shard, n_rows=many, data=data, extra=extra)
+
+    return texts.mapInPandas(run, _ROWS)
+
+
+def _shard(group: pd.DataFrame) -> pd.DataFrame:
+    """What the blocks of a shard have in common, as pairs (kind 1) and members (kind 2); rows of kinds 1 to 3 pass."""
+    blobs, hot = group[group["kind"] == 0], group[group["kind"] == 4]
+    done = group[group["kind"].between(1, 3)]
+    if not len(blobs) and not len(hot):
+        return done
+    sigs, keys = [hot["a"].to_numpy().astype(np.uint32)], [hot["b"].to_numpy()]
+    for many, data, extra in zip(blobs["n_rows"], blobs["data"], blobs["extra"], strict=True):
+        sigs.append(np.frombuffer(data, dtype=np.uint32, count=many))
+        keys.append(np.frombuffer(extra, dtype=np.int64)[np.frombuffer(data, dtype=np.uint16, offset=4 * many)])
+    sig, key, first, size = _meeting(np.concatenate(sigs), np.concatenate(keys))
+    pairs = _stars(key, first, size)
+    hot_ids = dict(zip(sigs[0].tolist(), hot["a"], strict=True))
+    listed: dict[bytes, int] = {}
+    large = (size > 2) | np.isin(sig[first], sigs[0])
+    for at, m in zip(first[large].tolist(), size[large].tolist(), strict=True):
+        members = key[at : at + m].tobytes()
+        own = hot_ids.get(int(sig[at]))  # other blocks are named by their members, so equal ones are listed once
+        listed[members if own is None else members + b"."] = set_key(key[at : at + m]) if own is None else own
+    out = [done] if len(done) else []
+    if len(pairs):
+        out.append(_rows(1, a=pairs[:, 0], b=pairs[:, 1]))
+    if listed:
+        out.append(_rows(2, a=list(listed.values()), data=[m[: len(m) // 8 * 8] for m in listed]))
+    return pd.concat(out) if out else group.iloc[:0]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Of pairs (a, b) of keys those whose sets are similar, as (u, v). Texts travel, as they are smaller than their sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles_of, last = shingles_of_width(width), (None, None)
         for batch in batches:
             ok = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for key, x, y in zip(batch["b"], batch["ta"], batch["tb"], strict=True):
+                if last[0] != key:  # rows come sorted by b
+                    last = (key, shingles_of(y))
+                x, y = shingles_of(x), last[1]
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both))
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
 
-    own = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    other = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "sa", "sb").mapInPandas(run, "u long, v long")
+    own = texts.select(F.col("key").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na"))
+    other = texts.select(F.col("key").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"))
+    sized = pairs.join(texts.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(texts.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    sized = sized.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).select("a", "b")
+    return sized.join(own.drop("na"), "a").join(other.drop("nb"), "b").select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
 
 
 def _across(t: Fraction):
@@ -242,64 +276,49 @@ def _across(t: Fraction):
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, small_group: int = 16, entries_per_shard: int = 1_000_000, chunk: int = 2048) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 2048) -> DataFrame:
     """Per row: id_col, n_shingles, class_key (of its shingle set) and component_id, the smallest id reachable by links.
 
     Sets are those of the distinct ``width``-word shingles of the whole lower-cased (A-Z) text; a text of fewer words is one
     shingle. Null and wordless texts have an empty set (n_shingles 0) and are linked with nothing, so their component is
     their own id. Repeated rows and ids are kept row by row, null ids too (a null component only where no other id is
-    reachable); an empty table gives no rows; columns other than the two named are not read.
+    reachable); an empty table gives no rows; columns other than the two named are not read. Ids may have any type that a
+    string holds without loss.
     """
     blocks = Blocks(similarity)
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = Shingles(width)
-        for batch in batches:
-            sets = [shingles_of(x) for x in batch["t"].array]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets]})
-
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type = df.schema[id_col].dataType
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    rows = checkpointed(texts.mapInPandas(sizes, f"id {id_type}, n long, key long"))
+    # about an entry for every 8 bytes of text
+    bytes_ = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = max(64, bytes_ // 8 // entries_per_shard)
+    as_bytes = texts.select(F.col("id").cast("string").cast("binary").alias("id"), "t")
+    found = _entries(as_bytes, blocks, width, shards).repartition(min(shards, 2000), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
+    found = checkpointed(found.select("kind", "a", "b", "data"))
+    rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"))
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
-    shards = max(64, int((rows.agg(F.sum("n")).first()[0] or 0) * 0.7) // entries_per_shard)
-
-    entries = _entries(df, text_col, blocks, width, shards, small_group)
-    # the entries are read once: what a batch finds by itself travels to the shards with them
-    dealt = entries.withColumn("shard", F.when(F.col("kind") == 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("a", "b"), F.lit(shards)).cast("int")))
-    meet = _meet(blocks, small_group)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        new = group[group["kind"] == 0]
-        return pd.concat([group[group["kind"] > 0]] + ([meet(new)] if len(new) else []))
-
-    found = checkpointed(dealt.repartition(min(shards, 2000), "shard").groupBy("shard").applyInPandas(run, _ROWS).select("kind", "a", "b", "data"))
     pairs = checkpointed(found.filter("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s, d in zip(batch["a"], batch["data"], strict=True):
-                yield pd.DataFrame({"sig": s, "key": np.frombuffer(d, dtype=np.int64)})
+            if len(batch):
+                keys = np.frombuffer(b"".join(batch["data"]), dtype=np.int64)
+                yield pd.DataFrame({"sig": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
 
-    members = found.filter("kind = 2").select("a", "data").mapInPandas(unpack, "sig long, key long")
-    involved = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    involved = involved.unionByName(members.select("key").distinct()).distinct()
+    members = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "sig long, key long")
+    involved = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()  # members are in pairs too
+    wanted = involved.join(classes, "key")
 
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = Shingles(width)
+    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles_of = shingles_of_width(width)
         for batch in batches:
             sets = [shingles_of(x) for x in batch["t"].array]
-            same = [set_key(s) == k for s, k in zip(sets, batch["key"], strict=True)]
-            sets = [s for s, ok in zip(sets, same, strict=True) if ok]
-            yield pd.DataFrame({"key": batch["key"][np.array(same, dtype=bool)], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "sketch": [parity_sketch(s) for s in sets]})
+            ok = np.array([set_key(s) == k for s, k in zip(sets, batch["key"], strict=True)], dtype=bool)
+            yield pd.DataFrame({"key": batch["key"][ok], "t": batch["t"][ok], "n": [len(s) for s, x in zip(sets, ok, strict=True) if x], "sketch": [parity_sketch(s) for s, x in zip(sets, ok, strict=True) if x]})
 
-    wanted = involved.join(classes, "key")
-    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("t", "key").mapInPandas(full, "key long, n long, shingles binary, sketch binary")
-    sets = checkpointed(sets)
-    if rows.select("id").filter("id is null").limit(1).count() or _repeated(rows):
-        sets = checkpointed(sets.dropDuplicates(["key"]))
+    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("t", "key").mapInPandas(same, "key long, t binary, n long, sketch binary")
+    sets = checkpointed(sets.dropDuplicates(["key"]) if _repeated(rows) else sets)
 
-    links = checkpointed(_verified(pairs, sets, blocks.t))
+    links = checkpointed(_verified(pairs, sets, width, blocks.t))
     labels = checkpointed(connected_components(links))
     label = F.coalesce(F.col("label"), F.col("key")).alias("label")
     of_key = labels.withColumnRenamed("node", "key")
@@ -311,7 +330,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
     more = spread.select("sig", "x", "y", "chunk", "key", "label", "n", "sketch").groupBy("sig", "x", "y").applyInPandas(_across(blocks.t), "a long, b long")
-    more = checkpointed(_verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, blocks.t))
+    more = checkpointed(_verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, width, blocks.t))
     if not more.isEmpty():
         joined = more.join(of_key.withColumnRenamed("key", "u").withColumnRenamed("label", "lu"), "u", "left").join(of_key.withColumnRenamed("key", "v").withColumnRenamed("label", "lv"), "v", "left")
         joined = connected_components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
