@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, pii, quality_classifier, quality_rules
+from . import mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, tiff, token_counts, url_filters, warc
 from .common import shared_dir
 
 #: The key of the surrogates; a deployment passes its own secret to ``pii.pseudonymised``.
@@ -42,16 +42,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    return warc.read_back(warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under the 32k vocabulary."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws of all documents: entropy 0.95 of that of equal shares, at most 4 passes, a budget of the whole table's words."""
     return mixing.mixture(_table(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
 
 
+def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a TIFF and read back."""
+    return tiff.text_media(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores and verdicts of every document."""
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: Verdict, host and path of each url rule.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op8_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filters.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with its personal data replaced."""
     return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
@@ -65,8 +95,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_dictionary": op3_warc_dictionary,
+    "op4_trie_token_counts": op4_trie_token_counts,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op6_tiff_pages": op6_tiff_pages,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_link_graph": op8_url_link_graph,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
