@@ -230,26 +230,43 @@ def _shard(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else group.iloc[:0]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Of pairs (a, b) of keys those whose sets are similar, as (u, v). Texts travel, as they are smaller than their sets."""
+def _texts_of(texts: DataFrame, wanted: DataFrame, buckets: int = 1 << 20) -> DataFrame:
+    """``wanted`` rows with the text of their document ``rep``. Ids outside the buckets of those wanted (at most ``buckets``
+    numbers, so small enough to broadcast) are left out before texts are shuffled; in a large corpus all may pass."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
+    near = texts.select("*", bucket("id")).join(F.broadcast(wanted.select(bucket("rep")).distinct()), "bucket", "left_semi")
+    return near.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).drop("bucket", "id", "rep")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, t: Fraction, most_members: int = 256) -> DataFrame:
+    """Of distinct pairs (a, b) of keys those whose sets are similar, as (u, v).
+
+    The texts of all b of one a meet its own text, in lots of about ``most_members``, sorted so that one is in memory at a
+    time. Texts travel, as they are smaller than their sets.
+    """
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most_members).cast("int").alias("lots"))
+    others = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), F.col("b").alias("key"), F.lit(1).alias("place"))
+    own = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("a").alias("key"), F.lit(0).alias("place"))
+    wanted = checkpointed(own.unionByName(others).join(classes, "key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of, last = shingles_of_width(width), (None, None)
+        shingles_of, at, pivot = shingles_of_width(width), None, None
         for batch in batches:
-            ok = []
-            for key, x, y in zip(batch["b"], batch["ta"], batch["tb"], strict=True):
-                if last[0] != key:  # rows come sorted by b
-                    last = (key, shingles_of(y))
-                x, y = shingles_of(x), last[1]
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both))
-            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]].rename(columns={"a": "u", "b": "v"})
-
-    own = texts.select(F.col("key").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na"))
-    other = texts.select(F.col("key").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"))
-    sized = pairs.join(texts.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(texts.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).select("a", "b")
-    return sized.join(own.drop("na"), "a").join(other.drop("nb"), "b").select("a", "b", "ta", "tb").mapInPandas(run, "u long, v long")
+            out = []
+            for a, lot, key, place, text in zip(batch["a"].tolist(), batch["lot"].tolist(), batch["key"].tolist(), batch["place"].tolist(), batch["t"].array, strict=True):
+                s = shingles_of(text)
+                if set_key(s) != key:  # another row of a repeated id
+                    continue
+                if place == 0:
+                    at, pivot = (a, lot), s
+                elif at == (a, lot) and t.numerator * max(len(s), len(pivot)) <= t.denominator * min(len(s), len(pivot)):
+                    both = len(s) + len(pivot) - len(np.union1d(s, pivot))
+                    if both * t.denominator >= t.numerator * (len(s) + len(pivot) - both):
+                        out.append((a, key))
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    met = _texts_of(texts, wanted).select("a", "lot", "key", "place", "t").repartition("a", "lot").sortWithinPartitions("a", "lot", "place")
+    return met.mapInPandas(run, "u long, v long").distinct()
 
 
 def _across(t: Fraction):
@@ -295,7 +312,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _entries(as_bytes, blocks, width, shards).repartition(min(shards, 2000), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
     found = checkpointed(found.select("kind", "a", "b", "data"))
     rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"))
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
     pairs = checkpointed(found.filter("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,39 +322,34 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pd.DataFrame({"sig": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
 
     members = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "sig long, key long")
-    involved = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()  # members are in pairs too
-    wanted = involved.join(classes, "key")
-
-    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = shingles_of_width(width)
-        for batch in batches:
-            sets = [shingles_of(x) for x in batch["t"].array]
-            ok = np.array([set_key(s) == k for s, k in zip(sets, batch["key"], strict=True)], dtype=bool)
-            yield pd.DataFrame({"key": batch["key"][ok], "t": batch["t"][ok], "n": [len(s) for s, x in zip(sets, ok, strict=True) if x], "sketch": [parity_sketch(s) for s, x in zip(sets, ok, strict=True) if x]})
-
-    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("t", "key").mapInPandas(same, "key long, t binary, n long, sketch binary")
-    sets = checkpointed(sets.dropDuplicates(["key"]) if _repeated(rows) else sets)
-
-    links = checkpointed(_verified(pairs, sets, width, blocks.t))
-    labels = checkpointed(connected_components(links))
+    links = checkpointed(_verified(pairs, texts, classes, width, blocks.t))
+    of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
     label = F.coalesce(F.col("label"), F.col("key")).alias("label")
-    of_key = labels.withColumnRenamed("node", "key")
     marked = checkpointed(members.distinct().join(of_key, "key", "left").select("sig", "key", label))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
     mixed = mixed.select("sig", F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
     part = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    spread = marked.join(mixed, "sig").withColumn("chunk", part).join(sets.select("key", "n", "sketch"), "key")
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = checkpointed(marked.join(mixed, "sig").withColumn("chunk", part))
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles_of = shingles_of_width(width)
+        for batch in batches:
+            sets = [(k, s) for k, s in zip(batch["key"].tolist(), map(shingles_of, batch["t"].array), strict=True) if set_key(s) == k]
+            yield pd.DataFrame([(k, len(s), parity_sketch(s)) for k, s in sets], columns=["key", "n", "sketch"])
+
+    wanted = checkpointed(spread.select("key").distinct().join(classes, "key"))
+    sketches = _texts_of(texts, wanted).select("key", "t").mapInPandas(sketched, "key long, n long, sketch binary").dropDuplicates(["key"])
+    spread = spread.join(sketches, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
     more = spread.select("sig", "x", "y", "chunk", "key", "label", "n", "sketch").groupBy("sig", "x", "y").applyInPandas(_across(blocks.t), "a long, b long")
-    more = checkpointed(_verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), sets, width, blocks.t))
+    more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = checkpointed(_verified(more, texts, classes, width, blocks.t))
     if not more.isEmpty():
         joined = more.join(of_key.withColumnRenamed("key", "u").withColumnRenamed("label", "lu"), "u", "left").join(of_key.withColumnRenamed("key", "v").withColumnRenamed("label", "lv"), "v", "left")
         joined = connected_components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
-        top = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = of_key.unionByName(joined.select(F.col("node").alias("key"), F.col("node").alias("label"))).distinct().join(top, "label", "left")
-        labels = labels.groupBy("key").agg(F.min(F.coalesce("top", "label")).alias("node_label")).select(F.col("key").alias("node"), F.col("node_label").alias("label"))
-        of_key = checkpointed(labels).withColumnRenamed("node", "key")
+        top = checkpointed(joined.select(F.col("node").alias("label"), F.col("label").alias("top")))
+        known = of_key.unionByName(top.select(F.col("label").alias("key"), "label")).distinct().join(top, "label", "left")
+        of_key = checkpointed(known.groupBy("key").agg(F.min(F.coalesce("top", "label")).alias("label")))
     named = checkpointed(classes.join(of_key, "key", "left").select("key", "rep", label))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_key = named.join(least, "label").select("key", "component")
