@@ -89,7 +89,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of 5-word shingle similarity 0.75 or more."""
-    return near_duplicates.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_key")
+    return near_duplicates.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -105,5 +105,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
+_OP3 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+ g AS (SELECT d, octet_length(b) AS n, max(page_id) AS response FROM p WHERE octet_length(b) >= 1000 GROUP BY d, octet_length(b))
+SELECT p.page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+ CASE WHEN g.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.response <> p.page_id THEN g.response END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND g.n = octet_length(p.b)"""
+
+_OP10 = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 75 * (na.n + nb.n - x)),
+ e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS c FROM r GROUP BY u) m ON m.u = d.doc_id"""
+
 #: DuckDB SQL by query; those that SQL cannot express are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_dictionary": _OP3, "op10_ngram_jaccard_join": _OP10}
