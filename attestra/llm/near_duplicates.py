@@ -8,8 +8,8 @@ its own band and the next one if it can be the smaller partner there. Only the f
 pairs are verified on the sets themselves.
 
 Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others; blocks
-whose classes have not all fallen in one component after that are compared exhaustively, by the 2048-bit parity sketches of
-their sets, between components only. So no candidate is dropped, and no group is listed as all its pairs. A block that over
+whose classes have not all fallen in one component after that are compared exhaustively, by the dense parity sketches of
+their sets, between components only. The same sketches rule out most pairs before any text travels. So no candidate is dropped, and no group is listed as all its pairs. A block that over
 ``HOT`` classes of one slice of documents share reaches its shard as one entry for each slice; its members travel by block.
 """
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, free_name
 from .components import connected_components
 
-SKETCH_BITS = 2048
+#: Bounds of the bits of a parity sketch; between them it has about a bit for each shingle.
+LEAST_BITS, MOST_BITS = 256, 8192
 #: Classes of a slice that share a block beyond which only the least goes to the shard.
 HOT = 64
 
@@ -87,7 +88,14 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """For each bit, the parity of the number of shingles that hash to it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set with ``size`` bytes: a position counts modulo the smaller number of bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint64).reshape(-1, size // 8), axis=0)
 
 
 class Blocks:
@@ -146,7 +154,7 @@ _ROWS = "kind int, shard int, a long, b long, n_rows int, data binary, extra bin
 
 def _rows(kind: int, **columns) -> pd.DataFrame:
     """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b); 2 the keys of classes that share block a,
-    in data; 3 a document: its class a, its number of shingles b and its id in data; 4 an entry (a, b) of a hot block."""
+    in data; 3 a document: its class a, its number of shingles b, its id in data and its sketch in extra; 4 an entry (a, b) of a hot block."""
     base = {"kind": kind, "shard": 0, "a": 0, "b": 0, "n_rows": 0, "data": None, "extra": None}
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
@@ -161,16 +169,17 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles_of = shingles_of_width(width)
         for batch in (b.iloc[i : i + slice_rows] for b in batches for i in range(0, len(b), slice_rows)):
-            keys, sizes, sigs, seen = [], [], {}, set()
+            keys, sizes, sketches, sigs, seen = [], [], [], {}, set()
             for text in batch["t"].array:
                 s = shingles_of(text)
                 keys.append(set_key(s))
                 sizes.append(len(s))
+                sketches.append(parity_sketch(s) if len(s) else None)
                 if keys[-1] not in seen and len(s):
                     seen.add(keys[-1])
                     if len(x := blocks(s)):
                         sigs[keys[-1]] = x
-            yield _rows(3, a=keys, b=sizes, data=batch["id"].array, shard=[k % shards for k in range(len(keys))])
+            yield _rows(3, a=keys, b=sizes, data=batch["id"].array, extra=sketches, shard=[k % shards for k in range(len(keys))])
             if not sigs:
                 continue
             sig = np.concatenate(list(sigs.values()))
@@ -269,30 +278,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
     return met.mapInPandas(run, "u long, v long").distinct()
 
 
-def _across(t: Fraction):
+def _possible(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of keys that sizes and parity sketches do not rule out."""
     slack = (1 - t) / (1 + t)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components that their parity sketches do not rule out."""
-        x, y = group["x"].iloc[0], group["y"].iloc[0]
-        words = SKETCH_BITS // 64
-        left, right = (group[group["chunk"] == x], group[group["chunk"] == y]) if x != y else (group, group)
-        sk = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint64).reshape(-1, words)
-        n, label, key = right["n"].to_numpy(), right["label"].to_numpy(), right["key"].to_numpy()
-        own = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint64).reshape(-1, words)
-        out = []
-        for m, lab, k, s in zip(left["n"].to_numpy(), left["label"].to_numpy(), left["key"].to_numpy(), own, strict=True):
-            ok = (label != lab) & (np.minimum(n, m) * t.denominator >= np.maximum(n, m) * t.numerator)
-            ok &= (k < key) if x == y else True
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[np.bitwise_count(sk[at] ^ s).sum(axis=1, dtype=np.int64) * slack.denominator <= (n[at] + m) * slack.numerator]
-                out += [(min(k, o), max(k, o)) for o in key[at]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(batch["na"].tolist(), batch["nb"].tolist(), batch["sa"], batch["sb"], strict=True):
+                size = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) * slack.denominator <= (na + nb) * slack.numerator)
+            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    for own in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
+    return pairs.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).mapInPandas(run, "a long, b long")
+
+
+def _pairs_across(group: pd.DataFrame, t: Fraction) -> list[tuple[int, int]]:
+    """Pairs of one block, or of two lots of its classes, that are in different components and that sizes and sketches allow."""
+    slack = (1 - t) / (1 + t)
+    x, y = group["x"].iloc[0], group["y"].iloc[0]
+    size = min(map(len, group["sketch"]))
+    sk = np.stack([folded(s, size) for s in group["sketch"]])
+    n, label, key, chunk = (group[c].to_numpy() for c in ("n", "label", "key", "chunk"))
+    right = np.flatnonzero(chunk == y)
+    out = []
+    for i in np.flatnonzero(chunk == x):
+        at = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * t.denominator >= np.maximum(n[right], n[i]) * t.numerator)]
+        if x == y:
+            at = at[key[at] > key[i]]
+        if len(at):
+            at = at[np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1, dtype=np.int64) * slack.denominator <= (n[at] + n[i]) * slack.numerator]
+            out += [(int(min(key[i], o)), int(max(key[i], o))) for o in key[at]]
+    return out
+
+
+def _across(t: Fraction):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over rows sorted by (sig, x, y); a group may go on in the next batch."""
+        held: list[pd.DataFrame] = []
+        for batch in _with_end(batches):
+            rows = pd.concat(held + ([batch] if batch is not None else []), ignore_index=True) if held or batch is not None else None
+            held = []
+            if rows is None or not len(rows):
+                continue
+            names = rows[["sig", "x", "y"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            if batch is not None:
+                held = [rows.iloc[cuts[-2] :]]
+                cuts.pop()
+            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in _pairs_across(rows.iloc[a:b], t)}
+            yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 2048) -> DataFrame:
     """Per row: id_col, n_shingles, class_key (of its shingle set) and component_id, the smallest id reachable by links.
 
@@ -310,9 +356,10 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = max(64, bytes_ // 8 // entries_per_shard)
     as_bytes = texts.select(F.col("id").cast("string").cast("binary").alias("id"), "t")
     found = _entries(as_bytes, blocks, width, shards).repartition(min(shards, 2000), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
-    found = checkpointed(found.select("kind", "a", "b", "data"))
-    rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"))
-    classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
+    found = checkpointed(found.select("kind", "a", "b", "data", F.when(F.col("kind") == 3, F.col("extra")).alias("sketch")))
+    rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"), "sketch")
+    classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = classes.select("key", "rep")
     pairs = checkpointed(found.filter("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +369,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pd.DataFrame({"sig": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
 
     members = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "sig long, key long")
-    links = checkpointed(_verified(pairs, texts, classes, width, blocks.t))
+    links = checkpointed(_verified(checkpointed(_possible(pairs, classes, blocks.t)), texts, reps, width, blocks.t))
     of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
     label = F.coalesce(F.col("label"), F.col("key")).alias("label")
     marked = checkpointed(members.distinct().join(of_key, "key", "left").select("sig", "key", label))
@@ -331,19 +378,11 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     spread = checkpointed(marked.join(mixed, "sig").withColumn("chunk", part))
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles_of = shingles_of_width(width)
-        for batch in batches:
-            sets = [(k, s) for k, s in zip(batch["key"].tolist(), map(shingles_of, batch["t"].array), strict=True) if set_key(s) == k]
-            yield pd.DataFrame([(k, len(s), parity_sketch(s)) for k, s in sets], columns=["key", "n", "sketch"])
-
-    wanted = checkpointed(spread.select("key").distinct().join(classes, "key"))
-    sketches = _texts_of(texts, wanted).select("key", "t").mapInPandas(sketched, "key long, n long, sketch binary").dropDuplicates(["key"])
-    spread = spread.join(sketches, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = spread.join(classes.select("key", "n", "sketch"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
-    more = spread.select("sig", "x", "y", "chunk", "key", "label", "n", "sketch").groupBy("sig", "x", "y").applyInPandas(_across(blocks.t), "a long, b long")
+    more = spread.select("sig", "x", "y", "chunk", "key", "label", "n", "sketch").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInPandas(_across(blocks.t), "a long, b long")
     more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = checkpointed(_verified(more, texts, classes, width, blocks.t))
+    more = checkpointed(_verified(more, texts, reps, width, blocks.t))
     if not more.isEmpty():
         joined = more.join(of_key.withColumnRenamed("key", "u").withColumnRenamed("label", "lu"), "u", "left").join(of_key.withColumnRenamed("key", "v").withColumnRenamed("label", "lv"), "v", "left")
         joined = connected_components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
