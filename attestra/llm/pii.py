@@ -179,7 +179,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         gender, script = _TITLED[m["title"]]
         at = m.start("names")
         names = [x for x in m["names"].split(" ")]
-        while names and not names[-1][0].isupper():
+        while names and (not names[-1][0].isupper() or names[-1] in _TITLED):
             names.pop()
         for i, name in enumerate(names):
             if name[0].isupper():
