@@ -136,3 +136,74 @@ def pairwise_compare(pairs: DataFrame) -> DataFrame:
     """Exact and perceptual comparison of asset pairs (sha_a, sha_b, phash_a, phash_b) (JOIN-8)."""
     d = hamming_hex(F.col("phash_a"), F.col("phash_b"))
     return pairs.withColumn("exact", F.col("sha_a") == F.col("sha_b")).withColumn("distance", d).withColumn("similarity", similarity_pct(d))
+
+
+def landmark_distance(landmarks: DataFrame, photos: DataFrame) -> DataFrame:
+    """Distance of each detected landmark (photo_id, name, lat, lon) to the photo's place (photo_id, plat, plon) (JOIN-9)."""
+    from attestra.functions.geo import haversine_km, landmark_class
+
+    out = photos.join(landmarks, "photo_id", "left")
+    km = haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    return out.select("photo_id", "name", km.alias("km"), landmark_class(km).alias("match"), F.coalesce(km > 50, F.lit(False)).alias("far"))
+
+
+def camera_catalogue(exif: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """First catalogue entry (ord, maker, model, release_year) that fits make and model; too early a year is invalid (JOIN-10).
+
+    The catalogue is a short list, grouped by maker; photos meet the entries of the makers that their make contains.
+    """
+    makers = catalogue.select("maker").distinct()
+    named = exif.join(F.broadcast(makers), F.lower("make").contains(F.lower("maker")), "left")
+    met = named.join(F.broadcast(catalogue), "maker", "left").withColumn("fits", F.lower("exif_model").contains(F.lower("model")) | F.lower("model").contains(F.lower("exif_model")))
+    hit = F.when(F.col("fits"), F.struct("ord", "maker", "model", "release_year"))
+    best = met.groupBy("photo_id", "year").agg(F.min(hit).alias("m"), F.max("maker").alias("known_maker"))
+    return best.select("photo_id", F.col("known_maker").isNotNull().alias("maker_known"), F.col("m.model").alias("camera"), F.when(F.col("m").isNotNull(), F.col("year") >= F.col("m.release_year")).alias("year_valid"))
+
+
+def weather_check(photos: DataFrame, weather: DataFrame) -> DataFrame:
+    """Daily weather at a photo's place against what its labels show (JOIN-11)."""
+    out = photos.join(weather, ["place", "day"], "left")
+    sunny = F.exists("labels", lambda x: F.lower(x).rlike("sun|blue sky"))
+    rainy = F.exists("labels", lambda x: F.lower(x).rlike("rain|umbrella"))
+    warn = F.when(sunny & (F.col("precip_mm") > 0), "sunny photo on a wet day").when(rainy & (F.col("condition") == "sunny"), "rainy photo on a sunny day")
+    return out.select("photo_id", "place", "day", "condition", warn.alias("warning"), F.when(F.col("condition").isNotNull(), warn.isNull()).alias("verified"))
+
+
+def reputation_lookup(files: DataFrame, threats: DataFrame) -> DataFrame:
+    """Landed reputation (sha256, malicious, reputation, first_seen epoch) of files (JOIN-12)."""
+    t = threats.groupBy("sha256").agg(F.max("malicious").alias("malicious"), F.min("reputation").alias("reputation"), F.min("first_seen").alias("first_seen"))
+    return files.join(t, "sha256", "left").select(*files.columns, F.col("malicious").isNotNull().alias("found"), "malicious", "reputation", "first_seen")
+
+
+def best_by_score(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """The highest-scored match (ord, score, recording_id) of each key; of equal scores the first (TOP-5)."""
+    return matches.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "recording_id")).alias("m")).select(*keys, F.col("m.score").alias("score"), F.col("m.recording_id").alias("recording_id"))
+
+
+def identify_recording(matches: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Best match of each fingerprint with the recording's metadata (JOIN-13)."""
+    return best_by_score(matches, ["fp_id"]).join(recordings, "recording_id", "left")
+
+
+def hybrid_search(queries: DataFrame, reg: DataFrame, external: DataFrame) -> DataFrame:
+    """Internal lookup, and external results where the tier (and ``always``) asks for them (JOIN-14)."""
+    found = exact_lookup(queries, reg)
+    ask = F.when(F.col("tier") == "free", ~F.col("found") & F.col("always")).when(F.col("tier") == "pro", F.col("always") | ~F.col("found")).otherwise(F.lit(True))
+    ext = external.groupBy("fingerprint").agg(F.sum("matches").alias("external_matches"))
+    out = found.withColumn("asked", ask).join(ext, "fingerprint", "left")
+    shown = F.when(F.col("asked"), F.coalesce("external_matches", F.lit(0)))
+    advice = F.when(F.col("found"), "seen before").when(shown > 0, "found elsewhere").otherwise("new")
+    return out.select("query_id", "fingerprint", "found", "asked", shown.alias("external_matches"), advice.alias("advice"))
+
+
+def inhibit_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Alerts (name, label) without those whose source alert fires with an equal label; rules: source, target (JOIN-15)."""
+    firing = alerts.select(F.col("name").alias("source"), "label").distinct().join(rules, "source").select(F.col("target").alias("name"), "label").distinct()
+    return alerts.join(firing, ["name", "label"], "left_anti")
+
+
+def likely_generator(scores: list[tuple[str, Column]]) -> Column:
+    """Name with the largest score, of equal ones the first; unknown where all are 0 or null (TOP-3)."""
+    each = F.array(*[F.struct(F.coalesce(c.cast("double"), F.lit(0.0)).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, c) in enumerate(scores)])
+    best = F.array_max(each)
+    return F.when(best["s"] > 0, best["n"]).otherwise("unknown")

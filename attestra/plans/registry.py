@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, core
+from . import analytics, core, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (core, analytics):
+for _part in (core, analytics, rules):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
