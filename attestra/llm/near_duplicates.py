@@ -7,10 +7,12 @@ than D(b) occupied blocks, two similar sets agree on an occupied block (pigeonho
 its own band and the next one if it can be the smaller partner there. Only the fingerprint of a block is shipped. Candidate
 pairs are verified on the sets themselves.
 
-Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others; blocks
-whose classes have not all fallen in one component after that are compared exhaustively, by the dense parity sketches of
-their sets, between components only. The same sketches rule out most pairs before any text travels. So no candidate is dropped, and no group is listed as all its pairs. A block that over
-``HOT`` classes of one slice of documents share reaches its shard as one entry for each slice; its members travel by block.
+Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others (its
+group); pairs that sizes and dense parity sketches do not rule out are verified. Groups whose classes have not all fallen in
+one component then are compared exhaustively, between components only: first by sketches, which leaves few classes, then by
+their sets, joining components on the way, so that a group of m classes gives m - 1 links at most. Every pair of similar sets
+is in one group, so no link between components is lost, and no group is listed as all its pairs. A block that over ``HOT``
+classes of one slice of documents share reaches its shard as one entry for each slice; its members are one group by block.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, free_name
 from .components import connected_components
 
-#: Bounds of the bits of a parity sketch; between them it has about a bit for each shingle.
-LEAST_BITS, MOST_BITS = 256, 8192
+#: Bounds of the bits of a parity sketch; between them it has two to four bits for each shingle.
+LEAST_BITS, MOST_BITS = 256, 16384
 #: Classes of a slice that share a block beyond which only the least goes to the shard.
 HOT = 64
 
@@ -89,7 +91,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
     """For each bit, the parity of the number of shingles that hash to it."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 2 << (len(shingles) - 1).bit_length()))
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -153,8 +155,8 @@ _ROWS = "kind int, shard int, a long, b long, n_rows int, data binary, extra bin
 
 
 def _rows(kind: int, **columns) -> pd.DataFrame:
-    """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b); 2 the keys of classes that share block a,
-    in data; 3 a document: its class a, its number of shingles b, its id in data and its sketch in extra; 4 an entry (a, b) of a hot block."""
+    """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b); 2 the keys of classes that share the hot
+    block a, in data; 3 a document: its class a, its number of shingles b, its id in data and its sketch in extra; 4 an entry (a, b) of a hot block."""
     base = {"kind": kind, "shard": 0, "a": 0, "b": 0, "n_rows": 0, "data": None, "extra": None}
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
@@ -213,7 +215,7 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
 
 
 def _shard(group: pd.DataFrame) -> pd.DataFrame:
-    """What the blocks of a shard have in common, as pairs (kind 1) and members (kind 2); rows of kinds 1 to 3 pass."""
+    """What the blocks of a shard have in common, as pairs (kind 1) and members of hot blocks (kind 2); rows of kinds 1 to 3 pass."""
     blobs, hot = group[group["kind"] == 0], group[group["kind"] == 4]
     done = group[group["kind"].between(1, 3)]
     if not len(blobs) and not len(hot):
@@ -225,17 +227,12 @@ def _shard(group: pd.DataFrame) -> pd.DataFrame:
     sig, key, first, size = _meeting(np.concatenate(sigs), np.concatenate(keys))
     pairs = _stars(key, first, size)
     hot_ids = dict(zip(sigs[0].tolist(), hot["a"], strict=True))
-    listed: dict[bytes, int] = {}
-    large = (size > 2) | np.isin(sig[first], sigs[0])
-    for at, m in zip(first[large].tolist(), size[large].tolist(), strict=True):
-        members = key[at : at + m].tobytes()
-        own = hot_ids.get(int(sig[at]))  # other blocks are named by their members, so equal ones are listed once
-        listed[members if own is None else members + b"."] = set_key(key[at : at + m]) if own is None else own
+    listed = [(hot_ids[int(sig[at])], key[at : at + m].tobytes()) for at, m in zip(first.tolist(), size.tolist(), strict=True) if int(sig[at]) in hot_ids] if hot_ids else []
     out = [done] if len(done) else []
     if len(pairs):
         out.append(_rows(1, a=pairs[:, 0], b=pairs[:, 1]))
     if listed:
-        out.append(_rows(2, a=list(listed.values()), data=[m[: len(m) // 8 * 8] for m in listed]))
+        out.append(_rows(2, a=[x for x, _ in listed], data=[x for _, x in listed]))
     return pd.concat(out) if out else group.iloc[:0]
 
 
@@ -290,56 +287,116 @@ def _possible(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
                 ok.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) * slack.denominator <= (na + nb) * slack.numerator)
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
+    def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sketch=[folded(x, max(LEAST_BITS // 8, len(x) // 4)).tobytes() for x in batch["sketch"]])
+
+    small = checkpointed(classes.select("key", "n", "sketch").mapInPandas(halved, "key long, n long, sketch binary"))
     for own in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
+        pairs = pairs.join(small.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
     return pairs.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).mapInPandas(run, "a long, b long")
 
 
-def _pairs_across(group: pd.DataFrame, t: Fraction) -> list[tuple[int, int]]:
-    """Pairs of one block, or of two lots of its classes, that are in different components and that sizes and sketches allow."""
+def _grouped(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that are sorted by ``names``; a group may go on over batches."""
+    held: list[pd.DataFrame] = []
+    for batch in _with_end(batches):
+        rows = pd.concat(held + ([batch] if batch is not None else []), ignore_index=True) if held or batch is not None else None
+        held = []
+        if rows is None or not len(rows):
+            continue
+        at = rows[names].to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        if batch is not None:
+            held = [rows.iloc[cuts[-2] :]]
+            cuts.pop()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield rows.iloc[a:b]
+
+
+def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+def _near(group: pd.DataFrame, sketches: list[bytes], t: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a lot the rows of the other lot (or of its own, further on) that are in other components and that sizes
+    and sketches allow, with the distances of the sketches."""
     slack = (1 - t) / (1 + t)
     x, y = group["x"].iloc[0], group["y"].iloc[0]
-    size = min(map(len, group["sketch"]))
-    sk = np.stack([folded(s, size) for s in group["sketch"]])
-    n, label, key, chunk = (group[c].to_numpy() for c in ("n", "label", "key", "chunk"))
+    size = min(map(len, sketches))
+    sk = np.stack([folded(s, size) for s in sketches])
+    n, label, chunk = (group[c].to_numpy() for c in ("n", "label", "chunk"))
     right = np.flatnonzero(chunk == y)
-    out = []
     for i in np.flatnonzero(chunk == x):
         at = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * t.denominator >= np.maximum(n[right], n[i]) * t.numerator)]
-        if x == y:
-            at = at[key[at] > key[i]]
+        at = at[at > i] if x == y else at
         if len(at):
-            at = at[np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1, dtype=np.int64) * slack.denominator <= (n[at] + n[i]) * slack.numerator]
-            out += [(int(min(key[i], o)), int(max(key[i], o))) for o in key[at]]
-    return out
+            far = np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1, dtype=np.int64)
+            ok = far * slack.denominator <= (n[at] + n[i]) * slack.numerator
+            if ok.any():
+                yield i, at[ok], far[ok]
+
+
+_LOT = ["kind", "grp", "x", "y"]
 
 
-def _across(t: Fraction):
+def _undecided(t: Fraction):
+    """Of the groups' classes those that sketches leave with a possible partner in another component."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Over rows sorted by (sig, x, y); a group may go on in the next batch."""
-        held: list[pd.DataFrame] = []
-        for batch in _with_end(batches):
-            rows = pd.concat(held + ([batch] if batch is not None else []), ignore_index=True) if held or batch is not None else None
-            held = []
-            if rows is None or not len(rows):
-                continue
-            names = rows[["sig", "x", "y"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-            if batch is not None:
-                held = [rows.iloc[cuts[-2] :]]
-                cuts.pop()
-            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in _pairs_across(rows.iloc[a:b], t)}
-            yield pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+        for group in _grouped(batches, _LOT):
+            left: set[int] = set()
+            for i, at, _ in _near(group, group["sketch"].tolist(), t):
+                left.add(int(i))
+                left.update(at.tolist())
+            if left:
+                yield group.iloc[sorted(left)][[*_LOT, "chunk", "key", "label"]]
 
     return run
 
 
-def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
-    yield from batches
-    yield None
+def _joining(width: int, t: Fraction):
+    """Links between components, at most one fewer than the classes of a lot: nearest sketches first, and only between
+    components that earlier links of the lot have not joined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles_of = shingles_of_width(width)
+        for group in _grouped(batches, _LOT):
+            sets = [shingles_of(x) for x in group["t"]]
+            same = np.array([set_key(s) == k for s, k in zip(sets, group["key"].tolist(), strict=True)], dtype=bool)
+            sets = [s for s, ok in zip(sets, same, strict=True) if ok]
+            group = group[same].assign(n=[len(s) for s in sets])
+            if len(sets) < 2:
+                continue
+            found = [(np.full(len(at), i), at, far) for i, at, far in _near(group, [parity_sketch(s) for s in sets], t)]
+            if not found:
+                continue
+            i, j, far = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(far, kind="stable")
+            key, label = group["key"].tolist(), group["label"].tolist()
+            root = {x: x for x in label}
 
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 2048) -> DataFrame:
+            out = []
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                u, v = top(label[a]), top(label[b])
+                if u != v:
+                    both = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
+                    if both * t.denominator >= t.numerator * (len(sets[a]) + len(sets[b]) - both):
+                        root[u] = v
+                        out.append((key[a], key[b]))
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 1024) -> DataFrame:
     """Per row: id_col, n_shingles, class_key (of its shingle set) and component_id, the smallest id reachable by links.
 
     Sets are those of the distinct ``width``-word shingles of the whole lower-cased (A-Z) text; a text of fewer words is one
@@ -366,23 +423,23 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             if len(batch):
                 keys = np.frombuffer(b"".join(batch["data"]), dtype=np.int64)
-                yield pd.DataFrame({"sig": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
+                yield pd.DataFrame({"grp": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
 
-    members = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "sig long, key long")
     links = checkpointed(_verified(checkpointed(_possible(pairs, classes, blocks.t)), texts, reps, width, blocks.t))
     of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
     label = F.coalesce(F.col("label"), F.col("key")).alias("label")
-    marked = checkpointed(members.distinct().join(of_key, "key", "left").select("sig", "key", label))
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
-    mixed = mixed.select("sig", F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
-    part = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    spread = checkpointed(marked.join(mixed, "sig").withColumn("chunk", part))
-
+    hot = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "grp long, key long").distinct().select(F.lit(1).alias("kind"), "grp", "key")
+    own = pairs.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("key")).distinct()
+    marked = checkpointed(own.unionByName(hot).join(of_key, "key", "left").select("kind", "grp", "key", label))
+    mixed = marked.groupBy("kind", "grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
+    mixed = mixed.filter("low <> high and m > 2").select("kind", "grp", F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
+    spread = marked.join(mixed, ["kind", "grp"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     spread = spread.join(classes.select("key", "n", "sketch"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
-    more = spread.select("sig", "x", "y", "chunk", "key", "label", "n", "sketch").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInPandas(_across(blocks.t), "a long, b long")
-    more = checkpointed(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = checkpointed(_verified(more, texts, reps, width, blocks.t))
+    lots = spread.select("kind", "grp", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "key", "label", "n", "sketch")
+    left = lots.repartition(*_LOT).sortWithinPartitions(*_LOT).mapInPandas(_undecided(blocks.t), "kind int, grp long, x int, y int, chunk int, key long, label long")
+    left = checkpointed(left.join(reps, "key"))
+    more = _texts_of(texts, left).select(*_LOT, "chunk", "key", "label", "t").repartition(*_LOT).sortWithinPartitions(*_LOT, "key")
+    more = checkpointed(more.mapInPandas(_joining(width, blocks.t), "u long, v long").distinct())
     if not more.isEmpty():
         joined = more.join(of_key.withColumnRenamed("key", "u").withColumnRenamed("label", "lu"), "u", "left").join(of_key.withColumnRenamed("key", "v").withColumnRenamed("label", "lv"), "v", "left")
         joined = connected_components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
