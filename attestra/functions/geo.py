@@ -51,12 +51,13 @@ def sun_position(lat: Column, lon: Column, ts: Column) -> Column:
     tilt = F.radians(23.439 - 0.0000004 * n)
     dec = F.asin(F.sin(tilt) * F.sin(ecliptic))
     ra = F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic))
-    sidereal = F.radians(turn(280.46061837 + 360.98564736629 * n) + lon)
+    sidereal = F.radians(turn(280.460 + 360.9856474 * n) + lon)
     hour = sidereal - ra
     p = F.radians(lat)
     alt = F.asin(F.sin(p) * F.sin(dec) + F.cos(p) * F.cos(dec) * F.cos(hour))
-    az = F.atan2(-F.sin(hour), F.tan(dec) * F.cos(p) - F.sin(p) * F.cos(hour))
-    return F.struct(F.degrees(alt).alias("altitude"), turn(F.degrees(az) + 360).alias("azimuth"), F.degrees(dec).alias("declination"))
+    cos_az = (F.sin(dec) - F.sin(p) * F.sin(alt)) / (F.cos(p) * F.cos(alt))
+    az = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos_az))))
+    return F.struct(F.degrees(alt).alias("altitude"), F.when(F.sin(hour) > 0, 360 - az).otherwise(az).alias("azimuth"), F.degrees(dec).alias("declination"))
 
 
 def expected_shadow(altitude: Column, azimuth: Column) -> Column:

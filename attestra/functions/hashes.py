@@ -87,8 +87,9 @@ def positional_similarity(a: Column, b: Column) -> Column:
 
 def _hex_of_bits(bits: Column, n: int) -> Column:
     """Hex string of an array of n booleans, most significant first."""
-    digit = lambda i: reduce(lambda x, y: x + y, [F.when(F.element_at(bits, i * 4 + k + 1), 8 >> k).otherwise(0) for k in range(4)])
-    return F.concat(*[F.lower(F.hex(digit(i).cast("long"))) for i in range(n // 4)])
+    text = F.array_join(F.transform(bits, lambda b: F.when(b, "1").otherwise("0")), "")
+    parts = [(at, min(64, n - at)) for at in range(0, n, 64)]
+    return F.concat(*[F.lpad(F.lower(F.conv(F.substring(text, at + 1, size), 2, 16)), size // 4, "0") for at, size in parts])
 
 
 def _median(values: Column, n: int) -> Column:

@@ -161,3 +161,123 @@ def legacy_age_points(days: Column) -> Column:
 def ai_authenticity(present: Column, is_ai: Column) -> Column:
     """SC-10, out of 30."""
     return F.when(~F.coalesce(present, F.lit(False)), 15).when(is_ai, 0).otherwise(30)
+
+
+def confidence_label(kind: Column, percentage: Column, modified: Column, image_ai: Column, video_pct: Column, video_faces: Column, audio_ai: Column, audio_likely: Column) -> Column:
+    """SC-7: the label of a file by its kind. ``video_pct`` and ``audio_ai`` are null where there was no analysis."""
+    video = (
+        F.when(video_faces & (video_pct > 30), "DEEPFAKE INDICATORS DETECTED")
+        .when(video_pct >= 70, "PRIMARILY AI-GENERATED VIDEO")
+        .when(video_pct >= 30, "SIGNIFICANT MIX OF VIDEO AND AI CONTENT")
+        .when(video_pct >= 5, "AI-GENERATED CONTENT DETECTED")
+        .otherwise("VERIFIED VIDEO")
+    )
+    audio = F.when(audio_ai >= 70, "FULLY AI-GENERATED AUDIO").when(F.coalesce(audio_likely, F.lit(False)) & (audio_ai >= 50), "SYNTHETIC VOICE DETECTED").otherwise("VERIFIED AUDIO RECORDING")
+    image = (
+        F.when(image_ai >= 60, "AI-GENERATED IMAGE")
+        .when(percentage >= 75, "VERIFIED PHOTOGRAPH")
+        .when((percentage >= 50) & modified, "MODIFIED VERSION DETECTED")
+        .when(percentage >= 50, "LIKELY CAMERA-CAPTURED")
+        .when(percentage >= 25, "MANIPULATION DETECTED")
+        .otherwise("HEAVILY MANIPULATED")
+    )
+    rest = F.when(percentage >= 75, "HIGH INTEGRITY").when(percentage >= 50, "MEDIUM INTEGRITY").otherwise("LOW INTEGRITY")
+    return F.when((kind == "video") & video_pct.isNotNull(), video).when((kind == "audio") & audio_ai.isNotNull(), audio).when(kind == "image", image).otherwise(rest)
+
+
+def local_image_score(common_size: Column, exif: Column, sd: Column, ai_software: Column, fmt: Column, jpeg_ratio: Column, noise: Column, edge: Column, edge_share: Column, extreme: Column, saturated: Column) -> Column:
+    """SC-11: suspicion of a single image, 0 to 100; software that names a generator settles it."""
+    bare = ~F.coalesce(exif, F.lit(False))
+    jpeg = fmt.isin("jpeg", "jpg")
+    rules = [
+        (common_size, 25), (bare, 8), (sd < 15, 20), ((sd >= 15) & ((sd < 25) | (sd > 80)), 12), ((fmt == "png") & bare, 12),
+        (jpeg & (jpeg_ratio > 0.95), 20), (jpeg & (jpeg_ratio < 0.3), 10), (jpeg & bare & (jpeg_ratio > 0.85), 15),
+        (noise < 15, 25), ((noise >= 15) & (noise < 30), 15), ((noise >= 100) & (noise <= 600), -10),
+        (edge < 10, 20), ((edge >= 10) & (edge < 20), 10), (edge > 60, 12), ((edge_share < 0.02) & (edge < 20), 15), ((edge_share > 0.05) & ~((edge_share < 0.02) & (edge < 20)), -8),
+        (extreme > 0.35, 10), (saturated > 0.90, 8), ((extreme < 0.01) & (saturated < 0.05), 15),
+    ]
+    return F.when(ai_software, 100).otherwise(clamp(points(*rules), 0, 100))
+
+
+def portrait_score(make: Column, model: Column, lens: Column, lens_make: Column, software: Column, focal: Column, processing: Column, scene: Column, distance: Column, description: Column, bracket: Column, f_number: Column) -> Column:
+    """SC-14: how sure EXIF makes it that a photo was taken in portrait mode, capped at 100."""
+    says = lambda c, *words: F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
+    apple, google, samsung = says(make, "apple"), says(make, "google"), says(make, "samsung")
+    rules = [
+        (apple & says(lens, "portrait"), 40), (apple & says(software, "portrait"), 30), (apple & says(lens_make, "apple") & focal.isin(26, 52), 20),
+        (google & says(model, "pixel") & processing.contains("HDR"), 35), (samsung & says(scene, "portrait"), 40), (distance == "Close view", 15), (scene == "Portrait", 25),
+        (says(description, "portrait", "bokeh", "depth"), 20), (bracket, 15), ((apple | google | samsung) & (f_number > 0) & (f_number < 2.8), 25),
+    ]
+    return F.least(F.lit(100), points(*rules))
+
+
+def portrait_adjust(ai_confidence: Column, score: Column) -> Column:
+    """SC-14: AI confidence lowered for portrait mode (from a score of 40), not below 0."""
+    return F.when(score >= 40, F.greatest(F.lit(0), F.coalesce(ai_confidence, F.lit(0)) - js_round(30 * score / 100))).otherwise(ai_confidence)
+
+
+def face_suspicion(confidence: Column, joy: Column, sorrow: Column, sharp: Column, headwear: Column, pan: Column, tilt: Column, roll: Column, landmarks: Column) -> Column:
+    """SC-18: points of a face; over 20 is suspicious. ``landmarks``: struct of eye, nose and mouth places, or null.
+
+    An angle of 0 counts as missing. Landmarks add their points only where they are suspicious on their own (over 15).
+    """
+    turned = (pan != 0) & (tilt != 0) & (roll != 0)
+    angle = F.abs(pan) + F.abs(tilt) + F.abs(roll)
+    lm = landmarks
+    known = lm["left_x"].isNotNull() & lm["right_x"].isNotNull() & lm["nose_x"].isNotNull() & lm["mouth_x"].isNotNull()
+    tilted = F.abs(lm["left_y"] - lm["right_y"]) > F.abs(lm["left_x"] - lm["right_x"]) * 0.15
+    own = F.when(~known, 15).otherwise(points((tilted, 12), (F.abs(lm["nose_x"] - lm["mouth_x"]) > 20, 10)))
+    marks = F.when(lm.isNull(), 0).when(~known | (own > 15), own).otherwise(0)
+    return points((confidence < 0.8, 15), (joy & sorrow, 20), (sharp & (confidence > 0.95), 10), (headwear & (confidence > 0.9), 5), (turned & (angle < 5) & (confidence > 0.95), 8)) + marks
+
+
+def image_deepfake(faces: DataFrame) -> DataFrame:
+    """SC-18: per image, faces, suspicious ones (column suspicion) and the confidence."""
+    bad = F.col("suspicion") > 20
+    out = faces.groupBy("image_id").agg(F.count(F.lit(1)).alias("faces"), F.count_if(bad).alias("suspicious"))
+    conf = F.when(F.col("suspicious") > 0, F.least(F.lit(95), js_round(F.col("suspicious") * 100 / F.col("faces")))).otherwise(0)
+    return out.withColumn("is_deepfake", F.col("suspicious") > 0).withColumn("confidence", conf)
+
+
+def shadow_check(sun: Column, lat: Column, day: Column, detected: Column, direction: Column, ratio: Column) -> Column:
+    """SC-20 as struct (mismatches, impossible, confidence, valid) from the sun's place (FN-15) and a shadow.
+
+    Each mismatch of an existing shadow costs 20 points, each impossible condition 30.
+    """
+    alt = sun["altitude"]
+    up = alt > 0
+    off = F.abs(direction - (sun["azimuth"] + 180) % 360)
+    off = F.least(off, 360 - off)
+    expected = 1 / F.tan(F.radians(alt))
+    one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    seen = F.coalesce(detected, F.lit(False))
+    mismatches = F.when(seen, one(alt < 0) + one(up & (off > 45)) + one(up & (F.abs(ratio - expected) / expected > 0.5))).otherwise(0)
+    winter = ((lat > 0) & ((day < 80) | (day > 265))) | ((lat < 0) & day.between(80, 265))
+    impossible = one(alt > 90 - F.abs(lat) + 23.44 + 5) + one((F.abs(lat) > 66.5) & winter & up)
+    first = F.when(mismatches > 0, F.greatest(F.lit(0), 100 - mismatches * 20)).otherwise(100)
+    confidence = F.when(impossible > 0, F.greatest(F.lit(0), first - impossible * 30)).otherwise(first)
+    return F.struct(mismatches.alias("mismatches"), impossible.alias("impossible"), confidence.alias("confidence"), (mismatches + impossible == 0).alias("valid"))
+
+
+#: What SC-22 reads of a manifest.
+MANIFEST_SCHEMA = "active_manifest struct<claim_generator:string,assertions:array<struct<label:string,data:map<string,string>>>,ingredients:array<struct<title:string>>,signature_info:struct<validated:boolean,issuer:string>>"
+
+
+def provenance_report(manifest: Column) -> Column:
+    """SC-22 as struct: generator, device make, digital source type, signature, number of ingredients, edits, anchored."""
+    m = manifest["active_manifest"]
+    assertions = F.coalesce(m["assertions"], F.array().cast("array<struct<label:string,data:map<string,string>>>"))
+    of = lambda word: F.filter(assertions, lambda a: a["label"].contains(word))
+    last = lambda word, key: F.try_element_at(F.try_element_at(of(word), F.lit(-1))["data"], F.lit(key))
+    ingredients = F.coalesce(F.size(m["ingredients"]), F.lit(0))
+    acted = F.exists(of("c2pa.actions"), lambda a: F.coalesce(F.length(F.try_element_at(a["data"], F.lit("actions"))) > 2, F.lit(False)))
+    return F.struct(
+        m["claim_generator"].alias("generator"),
+        last("stds.exif", "Make").alias("make"),
+        last("digital_source_type", "value").alias("source_type"),
+        F.coalesce(m["signature_info"]["validated"], F.lit(False)).alias("signed"),
+        m["signature_info"]["issuer"].alias("issuer"),
+        ingredients.alias("ingredients"),
+        ((ingredients > 0) | acted).alias("has_edits"),
+        F.coalesce(F.size(of("hash")), F.lit(0)).cast("boolean").alias("anchored"),
+    )

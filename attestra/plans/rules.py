@@ -282,7 +282,7 @@ def fn12(spark: SparkSession, d: str) -> DataFrame:
 
 _JD = "(floor(epoch(date_trunc('day', ts)) / 86400) + 2440588 + (hour(ts) + minute(ts) / 60.0 + floor(second(ts)) / 3600.0 - 12) / 24)"
 _SUN = f"""WITH a AS (SELECT event_id, ts, CAST(event_id % 160 - 80 AS DOUBLE) AS lat, CAST(event_id % 340 - 170 AS DOUBLE) AS lon, {_JD} - 2451545.0 AS n FROM events),
- b AS (SELECT *, (280.460 + 0.9856474 * n) - trunc((280.460 + 0.9856474 * n) / 360) * 360 AS ml, radians((357.528 + 0.9856003 * n) - trunc((357.528 + 0.9856003 * n) / 360) * 360) AS an, radians(23.439 - 0.0000004 * n) AS tilt, radians((280.46061837 + 360.98564736629 * n) - trunc((280.46061837 + 360.98564736629 * n) / 360) * 360 + lon) AS st FROM a),
+ b AS (SELECT *, (280.460 + 0.9856474 * n) - trunc((280.460 + 0.9856474 * n) / 360) * 360 AS ml, radians((357.528 + 0.9856003 * n) - trunc((357.528 + 0.9856003 * n) / 360) * 360) AS an, radians(23.439 - 0.0000004 * n) AS tilt, radians((280.460 + 360.9856474 * n) - trunc((280.460 + 360.9856474 * n) / 360) * 360 + lon) AS st FROM a),
  c AS (SELECT *, radians(ml + 1.915 * sin(an) + 0.020 * sin(2 * an)) AS ec FROM b), d AS (SELECT *, asin(sin(tilt) * sin(ec)) AS de, st - atan2(cos(tilt) * sin(ec), cos(ec)) AS ho, radians(lat) AS p FROM c),
  s AS (SELECT event_id, n, degrees(asin(sin(p) * sin(de) + cos(p) * cos(de) * cos(ho))) AS alt, degrees(atan2(-sin(ho), tan(de) * cos(p) - sin(p) * cos(ho))) + 360 AS az, degrees(de) AS de FROM d),
  z AS (SELECT event_id, alt, de, az - trunc(az / 360) * 360 AS az FROM s)

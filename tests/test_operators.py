@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.functions import dct
 from attestra.functions import hashes as H
 from attestra.operators import aggregates as A
 from attestra.operators import joins as J
@@ -142,6 +143,28 @@ def test_quota_stream_and_batch_equal_a_plain_loop(spark, tmp_path):
     assert read(streams.key_quota(spark.createDataFrame(log_rows(), LOG), 10, 1800)) == expected
 
 
+def test_quota_stream_continues_over_batches(spark, tmp_path):
+    live = streamed(spark, tmp_path, lambda log: streams.key_quota(log, 10, 1800), "quota")
+    assert {(r.request_id, r.used, r.rejected, r.retry_after) for r in live.collect()} == plain_quota(log_rows(), 10, 1800)
+
+
+def test_dct_coefficients_equal_the_double_sum(spark):
+    import math
+
+    rng = random.Random(2)
+    pixels = [rng.randrange(256) for _ in range(1024)]
+    got = spark.createDataFrame([(pixels,), ([1, 2],), (None,)], "p array<int>")
+    got = dct.with_dct_hash(got.select("p", dct.dct_coefficients(F.col("p")).alias("c")), F.col("p"), "h").collect()
+    c = [
+        sum(pixels[y * 32 + x] * math.cos((2 * y + 1) * u * math.pi / 64) * math.cos((2 * x + 1) * v * math.pi / 64) for y in range(32) for x in range(32)) * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4
+        for u in range(8)
+        for v in range(8)
+    ]
+    assert got[0].c == pytest.approx(c, abs=1e-5) and got[1].c is None and got[2].h is None
+    middle = sorted(c[1:])[31]
+    assert got[0].h == f"{int(''.join('1' if x > middle else '0' for x in c), 2):016x}"
+
+
 def test_window_streams_equal_batch(spark, tmp_path):
     batch = spark.createDataFrame(log_rows(), LOG)
     live = streamed(spark, tmp_path, streams.request_rate, "rates", "complete")
