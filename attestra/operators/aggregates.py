@@ -220,7 +220,7 @@ def histogram_quantile(buckets: DataFrame, q: float, keys: list[str]) -> DataFra
     run = buckets.withColumn("low", low).withColumn("below", below).withColumn("whole", F.max("count").over(Window.partitionBy(*keys)))
     hit = run.filter((F.col("count") >= q * F.col("whole")) & (F.col("below") < q * F.col("whole")))
     value = F.col("low") + (F.col("le") - F.col("low")) * (q * F.col("whole") - F.col("below")) / (F.col("count") - F.col("below"))
-    return hit.select(*keys, (js_round(value * 1000) / 1000).alias("value"))
+    return hit.select(*keys, (js_round(value * 100000) / 100000).alias("value"))
 
 
 def cumulative_buckets(log: DataFrame, bounds: list[float], keys: list[str]) -> DataFrame:

@@ -90,7 +90,7 @@ _registered([
     ("agg22_verdict_counts", X.requests, A.verdict_counts, _LOG + "SELECT verdict, count(*) AS requests, count(*) FILTER (WHERE status < 400) AS succeeded FROM requests GROUP BY verdict"),
     ("agg24_histogram_quantile", X.requests, lambda r: A.histogram_quantile(A.cumulative_buckets(r, [50, 100, 250, 500, 1000, 2500, 5000, 10000, 1e9], ["route"]), 0.95, ["route"]), _LOG + """, b AS (SELECT route, le, count(*) FILTER (WHERE duration_ms <= le) AS c FROM requests, (VALUES (50.0), (100.0), (250.0), (500.0), (1000.0), (2500.0), (5000.0), (10000.0), (1e9)) AS t(le) GROUP BY route, le),
  w AS (SELECT route, le, c, coalesce(lag(le) OVER (PARTITION BY route ORDER BY le), 0) AS low, coalesce(lag(c) OVER (PARTITION BY route ORDER BY le), 0) AS below, max(c) OVER (PARTITION BY route) AS whole FROM b)
-SELECT route, floor((low + (le - low) * (0.95 * whole - below) / (c - below)) * 1000 + 0.5) / 1000 AS value FROM w WHERE c >= 0.95 * whole AND below < 0.95 * whole"""),
+SELECT route, floor((low + (le - low) * (0.95 * whole - below) / (c - below)) * 100000 + 0.5) / 100000 AS value FROM w WHERE c >= 0.95 * whole AND below < 0.95 * whole"""),
     ("agg25_service_ratios", X.requests, A.service_ratios, _LOG + "SELECT route, " + ", ".join(_Q.format(f"count(*) FILTER (WHERE {c})") + f" AS {n}" for c, n in (("status < 500", "success_rate"), ("status >= 500", "error_rate"), ("status = 504", "timeout_ratio"), ("status = 429", "limited_ratio"))) + " FROM requests GROUP BY route"),
     ("agg26_verdict_ratios", X.requests, A.verdict_ratios, _LOG + "SELECT " + _Q.format("count(*) FILTER (WHERE verdict = 'PROVEN_STRONG')") + " AS strong_ratio, " + _Q.format("count(*) FILTER (WHERE verdict IN ('NOT_PROVEN', 'INCONCLUSIVE'))") + " AS unproven_ratio, floor(avg(duration_ms) * 1000 + 0.5) / 1000 AS mean_ms FROM requests"),
     ("agg27_service_stats", X.requests, A.service_stats, _LOG + "SELECT route, succeeded, failed, floor(m * 1000 + 0.5) / 1000 AS avg_ok_ms, floor(failed * 100.0 / (failed + succeeded) * 1000 + 0.5) / 1000 AS error_pct, failed * 100.0 / (failed + succeeded) > 10 AS high_error FROM (SELECT route, count(*) FILTER (WHERE status < 400) AS succeeded, count(*) FILTER (WHERE status >= 400) AS failed, avg(CASE WHEN status < 400 THEN duration_ms END) AS m FROM requests GROUP BY route)"),

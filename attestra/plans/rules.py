@@ -248,10 +248,10 @@ def set1(spark: SparkSession, d: str) -> DataFrame:
 _SNAP = "SELECT {s} AS doc_id, lang, source FROM documents"
 
 
-@query("set3_snapshot_diff", f"SELECT *, 'actual' AS side FROM ({_SNAP.format(s='doc_id % 500')} EXCEPT ALL {_SNAP.format(s='doc_id')}) UNION ALL SELECT *, 'golden' AS side FROM ({_SNAP.format(s='doc_id')} EXCEPT ALL {_SNAP.format(s='doc_id % 500')})")
+@query("set3_snapshot_diff", f"SELECT *, 'actual' AS side FROM ({_SNAP.format(s='doc_id % 150')} EXCEPT ALL {_SNAP.format(s='doc_id')}) UNION ALL SELECT *, 'golden' AS side FROM ({_SNAP.format(s='doc_id')} EXCEPT ALL {_SNAP.format(s='doc_id % 150')})")
 def set3(spark: SparkSession, d: str) -> DataFrame:
     base = docs(spark, d).select("doc_id", "lang", "source", F.col("n_chars").alias("processing_ms"))
-    return E.snapshot_diff(base.withColumn("doc_id", F.col("doc_id") % 500), base.withColumn("processing_ms", F.lit(0)))
+    return E.snapshot_diff(base.withColumn("doc_id", F.col("doc_id") % 150), base.withColumn("processing_ms", F.lit(0)))
 
 
 @query("set4_hash_drift", with_tables("hashes") + "SELECT vec_id AS asset_id, query_hash AS v1, phash AS v2, phash AS golden_v1, phash AS golden_v2 FROM hashes WHERE query_hash <> phash")
@@ -434,10 +434,10 @@ def str4(spark: SparkSession, d: str) -> DataFrame:
     return R.abuse_detector(timed(spark, d), 1, 2).withColumn("start", F.unix_timestamp("start"))
 
 
-@query("str5_daily_cap", with_tables("requests") + "SELECT * FROM (SELECT request_id, CAST(floor(ts / 86400) * 86400 AS BIGINT) AS day, row_number() OVER (PARTITION BY floor(ts / 86400) ORDER BY ts0, request_id) AS place FROM (SELECT r.*, e.ts AS ts0 FROM requests r JOIN events e ON e.event_id = r.request_id)) WHERE place > 100")
+@query("str5_daily_cap", with_tables("requests") + "SELECT * FROM (SELECT request_id, CAST(floor(ts / 86400) * 86400 AS BIGINT) AS day, row_number() OVER (PARTITION BY floor(ts / 86400) ORDER BY ts0, request_id) AS place FROM (SELECT r.*, e.ts AS ts0 FROM requests r JOIN events e ON e.event_id = r.request_id)) WHERE place > 20")
 def str5(spark: SparkSession, d: str) -> DataFrame:
     log = X.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "ts")
-    return R.daily_cap(log, 100).withColumn("day", F.unix_timestamp("day"))
+    return R.daily_cap(log, 20).withColumn("day", F.unix_timestamp("day"))
 
 
 @query("str8_expired", f"SELECT event_id AS batch_id FROM events WHERE event_type = 'purchase' AND floor(epoch(ts)) + 86400 <= {1704067200 + 15 * 86400}")

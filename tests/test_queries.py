@@ -20,7 +20,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
         return bool(v)
