@@ -281,3 +281,46 @@ def provenance_report(manifest: Column) -> Column:
         ((ingredients > 0) | acted).alias("has_edits"),
         F.coalesce(F.size(of("hash")), F.lit(0)).cast("boolean").alias("anchored"),
     )
+
+
+def double_compressed(q: Column) -> Column:
+    """SC-12: over 10 entries of a quantisation table that differ from both neighbours by more than 5."""
+    inner = F.sequence(F.lit(1), F.size(q) - 2)
+    jump = lambda i: (F.abs(F.get(q, i) - F.get(q, i - 1)) > 5) & (F.abs(F.get(q, i + 1) - F.get(q, i)) > 5)
+    return F.size(F.filter(inner, jump)) > 10
+
+
+def jpeg_artifact_score(standard: Column, camera: Column, variance: Column, high: Column, uniform: Column, step: Column, soft: Column, doubled: Column) -> Column:
+    """SC-12: weighted mean of the four analyses, 0 to 1; over 0.65 speaks for a generator. Null where none was made.
+
+    ``standard``: likeness to standard tables, ``camera``: whether a camera's table, ``high`` and ``uniform``: block energies,
+    ``step`` and ``soft``: boundary statistics. Fixed values: thresholds and weights.
+    """
+    table = clamp(F.lit(0.5) + points((standard > 0.85, 0.7), (camera, -0.6), (variance < 100, 0.3)), 0.0, 1.0)
+    parts = [
+        (F.when(standard.isNotNull(), table), 0.35),
+        (F.when(high.isNotNull(), F.least(F.lit(1.0), points((high < 0.15, 0.4), (uniform > 0.75, 0.4)))), 0.30),
+        (F.when(step.isNotNull(), F.least(F.lit(1.0), points((step < 8, 0.5), (soft > 0.7, 0.3)))), 0.20),
+        (F.when(doubled.isNotNull(), F.when(doubled, 0.35).otherwise(0.65)), 0.15),
+    ]
+    total = reduce(lambda a, b: a + b, [F.coalesce(s * w, F.lit(0.0)) for s, w in parts])
+    weight = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts])
+    return F.when(weight > 0, total / weight).otherwise(0.5)
+
+
+#: How sure an attribution is.
+ATTRIBUTION = [(80, "very likely"), (65, "likely"), (50, "possible"), (35, "weak"), (20, "slight")]
+
+
+def attribute_generator(evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """SC-16: from points per key and generator (keys, ord, generator, points) the share of each key's best generator.
+
+    Points are summed per generator first; of equal sums the first in order wins; without any points it is unknown.
+    """
+    sums = evidence.groupBy(*keys, "ord", "generator").agg(F.sum("points").alias("p"))
+    best = sums.groupBy(*keys).agg(F.sum("p").alias("whole"), F.max(F.struct("p", (-F.col("ord")).alias("o"), "generator")).alias("b"))
+    pct = F.when(F.col("whole") > 0, js_round(F.col("b.p") * 100 / F.col("whole"))).otherwise(0)
+    verdict = None
+    for least, label in ATTRIBUTION:
+        verdict = F.when(pct >= least, label) if verdict is None else verdict.when(pct >= least, label)
+    return best.select(*keys, F.when(F.col("whole") > 0, F.col("b.generator")).otherwise("unknown").alias("generator"), pct.alias("share"), verdict.otherwise("none").alias("verdict"))

@@ -144,3 +144,26 @@ def str7(spark: SparkSession, d: str) -> DataFrame:
     f = X.frames(spark, d)
     timed = f.select("video_id", F.timestamp_micros(((F.col("frame_no") - 1) * 1_000_000 / 15 + 100).cast("long")).alias("ts"))
     return R.segment_windows(timed).withColumn("start", F.unix_timestamp("start"))
+
+
+@query("sc12_jpeg_artifacts", """WITH f AS (SELECT doc_id AS i, CASE WHEN doc_id % 6 > 0 THEN (doc_id % 101) / 100.0 END AS st, doc_id % 5 = 0 AS cam, doc_id % 211 AS va, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 31) / 100.0 END AS hi, (doc_id % 97) / 96.0 AS un, CASE WHEN doc_id % 8 > 0 THEN doc_id % 17 END AS sp, (doc_id % 23) / 22.0 AS so,
+ len(list_filter(range(2, 64), lambda k: abs((doc_id * k) % 19 - (doc_id * (k - 1)) % 19) > 5 AND abs((doc_id * (k + 1)) % 19 - (doc_id * k) % 19) > 5)) > 10 AS du FROM documents),
+ p AS (SELECT i, CASE WHEN st IS NOT NULL THEN greatest(0.0, least(1.0, 0.5 + CASE WHEN st > 0.85 THEN 0.7 ELSE 0 END - CASE WHEN cam THEN 0.6 ELSE 0 END + CASE WHEN va < 100 THEN 0.3 ELSE 0 END)) END AS a, CASE WHEN hi IS NOT NULL THEN CASE WHEN hi < 0.15 THEN 0.4 ELSE 0 END + CASE WHEN un > 0.75 THEN 0.4 ELSE 0 END END AS b, CASE WHEN sp IS NOT NULL THEN CASE WHEN sp < 8 THEN 0.5 ELSE 0 END + CASE WHEN so > 0.7 THEN 0.3 ELSE 0 END END AS c, CASE WHEN du THEN 0.35 ELSE 0.65 END AS d FROM f)
+SELECT i AS doc_id, round((coalesce(a, 0) * 0.35 + coalesce(b, 0) * 0.30 + coalesce(c, 0) * 0.20 + d * 0.15) / (CASE WHEN a IS NULL THEN 0 ELSE 0.35 END + CASE WHEN b IS NULL THEN 0 ELSE 0.30 END + CASE WHEN c IS NULL THEN 0 ELSE 0.20 END + 0.15), 6) AS score FROM p""")
+def sc12(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    q = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: (i * k) % 19)
+    score = S.jpeg_artifact_score(F.when(i % 6 > 0, i % 101 / 100), i % 5 == 0, i % 211, F.when(i % 7 > 0, i % 31 / 100), i % 97 / 96, F.when(i % 8 > 0, i % 17), i % 23 / 22, S.double_compressed(F.col("q")))
+    return docs(spark, d).select("doc_id", q.alias("q")).select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("sc16_generator_attribution", """WITH e AS (SELECT user_id AS image_id, event_type AS generator, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) AS p FROM events WHERE user_id % 10 > 0 OR event_id % 3 > 0 GROUP BY user_id, event_type),
+ o AS (SELECT *, CASE generator WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS ord FROM e), s AS (SELECT *, sum(p) OVER (PARTITION BY image_id) AS whole, row_number() OVER (PARTITION BY image_id ORDER BY p DESC, ord) AS r FROM o),
+ b AS (SELECT image_id, CASE WHEN whole > 0 THEN generator ELSE 'unknown' END AS generator, CASE WHEN whole > 0 THEN CAST(floor(p * 100.0 / whole + 0.5) AS BIGINT) ELSE 0 END AS share FROM s WHERE r = 1)
+SELECT *, CASE WHEN share >= 80 THEN 'very likely' WHEN share >= 65 THEN 'likely' WHEN share >= 50 THEN 'possible' WHEN share >= 35 THEN 'weak' WHEN share >= 20 THEN 'slight' ELSE 'none' END AS verdict FROM b""")
+def sc16(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) - 1
+    rows = X.table(spark, d, "events").filter("user_id % 10 > 0 or event_id % 3 > 0")
+    return S.attribute_generator(rows.select(F.col("user_id").alias("image_id"), place.alias("ord"), F.col("event_type").alias("generator"), F.when(e % 3 == 0, e % 40).otherwise(0).alias("points")), ["image_id"])
