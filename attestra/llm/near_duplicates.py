@@ -30,7 +30,7 @@ from .common import checkpointed, free_name
 from .components import connected_components
 
 #: Bounds of the bits of a parity sketch; between them it has two to four bits for each shingle.
-LEAST_BITS, MOST_BITS = 256, 16384
+LEAST_BITS, MOST_BITS = 256, 65536
 #: Classes of a slice that share a block beyond which only the least goes to the shard.
 HOT = 64
 
@@ -287,13 +287,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
                 ok.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) * slack.denominator <= (na + nb) * slack.numerator)
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(sketch=[folded(x, max(LEAST_BITS // 8, len(x) // 4)).tobytes() for x in batch["sketch"]])
-
-    small = checkpointed(classes.select("key", "n", "sketch").mapInPandas(halved, "key long, n long, sketch binary"))
     for own in ("a", "b"):
-        pairs = pairs.join(small.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
+        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
     return pairs.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).mapInPandas(run, "a long, b long")
 
 
