@@ -92,8 +92,13 @@ def _hex_of_bits(bits: Column, n: int) -> Column:
     return F.concat(*[F.lpad(F.lower(F.conv(F.substring(text, at + 1, size), 2, 16)), size // 4, "0") for at, size in parts])
 
 
+def _above(values: Column, threshold: Column) -> Column:
+    """Which values exceed the threshold; it is bound once, not computed for each value."""
+    return F.get(F.transform(F.array(threshold), lambda t: F.transform(values, lambda x: x > t)), 0)
+
+
 def _median(values: Column, n: int) -> Column:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     if n % 2:
         return F.element_at(ordered, n // 2 + 1)
     return (F.element_at(ordered, n // 2) + F.element_at(ordered, n // 2 + 1)) / 2
@@ -102,13 +107,13 @@ def _median(values: Column, n: int) -> Column:
 def median_threshold_hash(coefficients: Column, n: int = 64) -> Column:
     """Bit i: coefficient i exceeds the median of all but the first (FN-8)."""
     median = _median(F.slice(coefficients, 2, n - 1), n - 1)
-    return _hex_of_bits(F.transform(coefficients, lambda x: x > median), n)
+    return _hex_of_bits(_above(coefficients, median), n)
 
 
 def average_hash(cells: Column, n: int = 64) -> Column:
     """Bit i: cell i exceeds the mean of all cells (FN-9)."""
     mean = F.aggregate(cells, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    return _hex_of_bits(F.transform(cells, lambda x: x.cast("double") > mean), n)
+    return _hex_of_bits(_above(cells, mean), n)
 
 
 def difference_hash(cells: Column, width: int = 9, rows: int = 8) -> Column:

@@ -60,9 +60,9 @@ def hamming_candidates(a: DataFrame, b: DataFrame, a_hash: str, b_hash: str, thr
 
     left, right = banded(a, a_hash, "abands__"), banded(b, b_hash, "bbands__")
     met = left.join(right, ["band__", "value__"])
-    equal = F.zip_with("abands__", "bbands__", lambda x, y: x == y)
-    met = met.filter(F.array_position(equal, True) == F.col("band__") + 1)
     out = met.withColumn("distance", hamming_hex(F.col(a_hash), F.col(b_hash), bits)).filter(F.col("distance") <= threshold)
+    equal = F.zip_with("abands__", "bbands__", lambda x, y: x == y)
+    out = out.filter(F.array_position(equal, True) == F.col("band__") + 1)
     return out.drop("band__", "value__", "abands__", "bbands__")
 
 
