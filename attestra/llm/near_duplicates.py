@@ -113,7 +113,7 @@ class Blocks:
 
     def count(self, band: int) -> int:
         """Blocks of a band (sizes 2**band to 2**(band+1)-1). Enough that a set leaves over D(size) of them occupied: the
-        expectation is more than eight standard deviations above it at every size; small sets have a block for each shingle."""
+        expectation is more than seven standard deviations above it at every size; small sets have a block for each shingle."""
         return 2**20 if band < 5 else int(1.2 * self.most_different(2 ** (band + 1) - 1)) + 24
 
     def bands(self, size: int) -> list[int]:
