@@ -324,3 +324,24 @@ def attribute_generator(evidence: DataFrame, keys: list[str]) -> DataFrame:
     for least, label in ATTRIBUTION:
         verdict = F.when(pct >= least, label) if verdict is None else verdict.when(pct >= least, label)
     return best.select(*keys, F.when(F.col("whole") > 0, F.col("b.generator")).otherwise("unknown").alias("generator"), pct.alias("share"), verdict.otherwise("none").alias("verdict"))
+
+
+#: The part of a strong sub-score that speaks for each generator, the sum of all maxima, and the verdicts.
+SPREAD = [("sora", 0.4), ("runway", 0.3), ("kling", 0.2), ("pika", 0.1)]
+VIDEO_MAXIMUM = 150
+VIDEO_VERDICTS = [(85, "almost certain"), (70, "very likely"), (55, "likely"), (40, "possible"), (25, "weak")]
+
+
+def video_generator_attribution(parts: list[DataFrame]) -> DataFrame:
+    """SC-17: per video the sum of the sub-scores (each video_id, points) as a percentage, its verdict and each generator's part.
+
+    Only sub-scores over 10 speak for a generator. Sub-scores are stacked and summed, which needs one shuffle for all.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select("video_id", F.col("points").cast("double").alias("points")) for p in parts])
+    strong = F.sum(F.when(F.col("points") > 10, F.col("points")).otherwise(0.0))
+    out = rows.groupBy("video_id").agg(F.sum("points").alias("total"), strong.alias("strong"))
+    pct = F.least(F.lit(100), js_round(F.col("total") * 100 / VIDEO_MAXIMUM))
+    verdict = None
+    for least, label in VIDEO_VERDICTS:
+        verdict = F.when(pct >= least, label) if verdict is None else verdict.when(pct >= least, label)
+    return out.select("video_id", "total", pct.alias("confidence"), verdict.otherwise("none").alias("verdict"), *[(F.col("strong") * w).alias(g) for g, w in SPREAD])

@@ -167,3 +167,17 @@ def sc16(spark: SparkSession, d: str) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) - 1
     rows = X.table(spark, d, "events").filter("user_id % 10 > 0 or event_id % 3 > 0")
     return S.attribute_generator(rows.select(F.col("user_id").alias("image_id"), place.alias("ord"), F.col("event_type").alias("generator"), F.when(e % 3 == 0, e % 40).otherwise(0).alias("points")), ["image_id"])
+
+
+_SC17 = with_tables("frames") + """, g AS (SELECT video_id, count(*) AS n, avg(ai_confidence) AS m, stddev_pop(ai_confidence) AS s, max(ai_confidence) - min(ai_confidence) AS r, bool_and(ai_confidence > 70) AS h, count(DISTINCT substr(phash, 1, 8)) AS k, count(*) FILTER (WHERE event_type = 'click') AS sm, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id),
+ p AS (SELECT video_id, CASE WHEN s < 2 AND m > 70 THEN 15 ELSE 0 END + CASE WHEN s < 1 AND m > 60 THEN 12 ELSE 0 END + CASE WHEN h THEN 10 ELSE 0 END + CASE WHEN r < 5 AND n > 5 THEN 8 ELSE 0 END AS a, CASE WHEN n >= 5 AND 1 - k * 1.0 / n > 0.3 THEN 12 ELSE 0 END AS b, least(18, floor(sm * 24.0 / n + 0.5)) AS c, CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END AS d, CASE WHEN n > 5 THEN 12 ELSE 0 END AS e FROM g),
+ t AS (SELECT video_id, a + b + c + d + e AS total, CASE WHEN a > 10 THEN a ELSE 0 END + CASE WHEN b > 10 THEN b ELSE 0 END + CASE WHEN c > 10 THEN c ELSE 0 END + CASE WHEN d > 10 THEN d ELSE 0 END + CASE WHEN e > 10 THEN e ELSE 0 END AS strong FROM p),
+ f AS (SELECT *, least(100, CAST(floor(total * 100.0 / 150 + 0.5) AS BIGINT)) AS confidence FROM t)
+SELECT video_id, total, confidence, CASE WHEN confidence >= 85 THEN 'almost certain' WHEN confidence >= 70 THEN 'very likely' WHEN confidence >= 55 THEN 'likely' WHEN confidence >= 40 THEN 'possible' WHEN confidence >= 25 THEN 'weak' ELSE 'none' END AS verdict, strong * 0.4 AS sora, strong * 0.3 AS runway, strong * 0.2 AS kling, strong * 0.1 AS pika FROM f"""
+
+
+@query("sc17_video_attribution", _SC17)
+def sc17(spark: SparkSession, d: str) -> DataFrame:
+    f = X.frames(spark, d)
+    smooth = A.smoothness_ratio(f).withColumnRenamed("score", "points")
+    return S.video_generator_attribution([A.frame_confidence_stats(f), A.hash_repetition(f), smooth, A.lighting_ratio(f), A.compression_uniformity(f)])
