@@ -319,18 +319,23 @@ def _near(group: pd.DataFrame, sketches: list[bytes], t: Fraction) -> Iterator[t
     and sketches allow, with the distances of the sketches."""
     slack = (1 - t) / (1 + t)
     x, y = group["x"].iloc[0], group["y"].iloc[0]
-    size = min(map(len, sketches))
-    sk = np.stack([folded(s, size) for s in sketches])
+    length = np.array([len(s) for s in sketches])
+    # two sketches are compared at the length of the shorter one
+    at_length = {int(c): (np.cumsum(length >= c) - 1, np.stack([folded(s, int(c)) for s in sketches if len(s) >= c])) for c in np.unique(length)}
     n, label, chunk = (group[c].to_numpy() for c in ("n", "label", "chunk"))
     right = np.flatnonzero(chunk == y)
     for i in np.flatnonzero(chunk == x):
         at = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * t.denominator >= np.maximum(n[right], n[i]) * t.numerator)]
         at = at[at > i] if x == y else at
-        if len(at):
-            far = np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1, dtype=np.int64)
-            ok = far * slack.denominator <= (n[at] + n[i]) * slack.numerator
-            if ok.any():
-                yield i, at[ok], far[ok]
+        if not len(at):
+            continue
+        far, common = np.empty(len(at), dtype=np.int64), np.minimum(length[at], length[i])
+        for c in np.unique(common):
+            row, sk = at_length[int(c)]
+            far[common == c] = np.bitwise_count(sk[row[at[common == c]]] ^ sk[row[i]]).sum(axis=1, dtype=np.int64)
+        ok = far * slack.denominator <= (n[at] + n[i]) * slack.numerator
+        if ok.any():
+            yield i, at[ok], far[ok]
 
 
 _LOT = ["kind", "grp", "x", "y"]
