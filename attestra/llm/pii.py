@@ -56,6 +56,8 @@ _WORD = r"[^\W\d_]{2,30}"
 _PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.?[  ](?P<names>{_WORD}(?:-{_WORD})?(?: {_WORD}(?:-{_WORD})?)?)(?!\w)")
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœæøß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _ALPHABETS += [a.upper() for a in (_ALPHABETS[1], _ALPHABETS[2].replace("ß", "").replace("ÿ", ""), _ALPHABETS[3], _ALPHABETS[4])]
+#: Country calling codes of one and two digits; all others have three, and none begins another.
+_SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PLACE = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
 
 
@@ -113,6 +115,11 @@ def _in_place(pattern: str, digits: str, skip: int = 0) -> str:
     return "".join(out)
 
 
+def _code_length(digits: str) -> int:
+    """Length of the country calling code that a full number begins with, however it is written."""
+    return next((n for n in (1, 2) if digits[:n] in _SHORT_CODES), 3)
+
+
 def _class_of_ip(x: int) -> str:
     first = x >> 24
     return "private" if first == 10 or x >> 20 == 0xAC1 or x >> 16 == 0xC0A8 else "special" if first in (0, 127) or first >= 224 else "public"
@@ -169,7 +176,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             add(*at, "secret", text[at[0] : at[1]])
     if _DIGIT_RUN.search(text):
         for m in _PHONE.finditer(text):
-            add(*m.span(), "phone", re.sub(r"\D", "", m[0]))
+            digits = re.sub(r"\D", "", m[0])  # the form without country code, (ddd) ddd-dddd, is that of code 1
+            add(*m.span(), "phone", digits if m[0][0] == "+" else "1" + digits)
         for m in _CARD.finditer(text):
             if _valid_card(m[0]):
                 add(*m.span(), "card", re.sub(r"\D", "", m[0]))
@@ -195,8 +203,8 @@ _DIGIT_RUN = re.compile(r"\d[\d .()-]{5}")
 def rendered(key: bytes, original: str, kind: str, entity: str, attempt: int = 0) -> str:
     """The surrogate in the format of the mention: separators and letter case of the original."""
     if kind == "phone":
-        skip = len(m[0]) - 1 if (m := re.match(r"\+\d{1,3}(?=\D)", original)) else 0
-        return _in_place(original, surrogate(key, f"phone{skip}", entity[skip:], attempt), skip)
+        skip = _code_length(entity)
+        return _in_place(original, surrogate(key, f"phone{skip}", entity[skip:], attempt), skip if original[0] == "+" else 0)
     new = surrogate(key, kind, entity, attempt)
     if kind == "card":
         return _in_place(original, new)

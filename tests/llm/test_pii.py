@@ -49,6 +49,28 @@ def test_one_entity_has_one_surrogate_in_every_format():
     assert replaced("Госпожа Иванова").split()[1] in pii.FAMILY["cyrillic"].split()
 
 
+def test_phone_is_checked_as_it_is_emitted():
+    digits = lambda t: re.sub(r"\D", "", t)
+    for forms in (["+17435553824", "+1 (743) 555-3824", "+1-743-555-3824", "+174 3555 3824", "(743) 555-3824"], ["+493012345678", "+49 30 1234 5678", "+49 (30) 12345678"], ["+35316612345", "+353 1 661 2345"]):
+        found = {pii.entities(f)[0][2:] for f in forms}
+        assert len(found) == 1, found
+        (kind, entity), checked = found.pop(), None
+        for attempt in range(3):
+            checked = digits(pii._checked(KEY, kind, entity, attempt))
+            for f in forms:
+                new = pii.rendered(KEY, f, kind, entity, attempt)
+                assert digits(new) == (checked if f[0] == "+" else checked[1:]), f
+                assert pii.entities(new)[0][3] == checked
+
+
+def test_phone_surrogates_are_no_real_numbers(spark):
+    """1000 of the 100000 numbers of five digits after a country code of three: some ten first surrogates are real numbers."""
+    real = [f"+353 {i // 10000} {i // 100 % 100:02d} {i % 100:02d}" for i in range(0, 100_000, 100)]
+    df = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymised(df, KEY).collect()]
+    assert len(set(new)) == len(real) and not set(new) & set(real)
+
+
 def test_clean_texts_stay():
     for t in ["2.0. 3. version 1.2.3.4.5 and 12 * 3", "the key is here: now", "4366966299381841 is no card", "a@b", "mail @ example.com", "$$$ at%%% 1,234,567.89", "the Miss and Sir of it", "password: required"]:
         assert pii.entities(t) == [], t
