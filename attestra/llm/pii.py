@@ -7,13 +7,15 @@ entity the same one everywhere. Names are drawn from lists of the same gender an
 
 Two passes: the first lists the distinct entities, and a Spark job checks their surrogates (two entities with one surrogate,
 a surrogate that is itself an entity of the corpus, or the entity unchanged) and keys the offenders anew until none is left;
-the second replaces.
+the second replaces. Where a shape has too few strings, later attempts draw from a larger space of generated values of the kind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,6 +63,64 @@ _SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51
 _PLACE = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
 
 
+#: Attempts that keep an entity's format; those beyond generate a value of its kind, so that every entity gets one.
+_FORMATTED = 16
+#: Classes of other characters: CJK and Hangul whole, else blocks of the first width, merged to the next where small.
+_WHOLE = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x323AF))
+_WIDTHS = (7, 10, 13, 16, 21)
+
+
+def _group(c: str) -> tuple[str, int, int]:
+    """(category, width, place) of a letter or digit of no alphabet above; characters that change with case apart."""
+    kind, x = unicodedata.category(c), ord(c)
+    if kind == "Nd":
+        return kind, 0, x - unicodedata.decimal(c)
+    kind += "" if kind != "Ll" or c.upper().lower() == c and len(c.upper()) == 1 else "*"
+    return kind, *next(((0, lo) for lo, hi in _WHOLE if lo <= x <= hi), (7, x >> 7))
+
+
+@lru_cache(maxsize=1)
+def _other_alphabets() -> dict[tuple[str, int, int], str]:
+    """Every letter and digit of Unicode beyond the alphabets above in one class; blocks with few of a category are merged."""
+    groups: dict[tuple[str, int, int], list[str]] = defaultdict(list)
+    for c in map(chr, range(128, 0x110000)):
+        if c.isalnum() and c not in _PLACE:
+            groups[_group(c)].append(c)
+    out = {}
+    for narrow, wide in zip(_WIDTHS, [*_WIDTHS[1:], None], strict=True):
+        for g in [g for g in groups if g[1] == narrow]:
+            if len(groups[g]) < 20 and wide is not None:
+                groups[g[0], wide, ord(groups[g][0]) >> wide] += groups.pop(g)
+    for g, members in groups.items():
+        out[g] = "".join(sorted(members))
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a character and its place there; None for separators."""
+    if (p := _PLACE.get(c)) is not None:
+        return _ALPHABETS[p[0]], p[1]
+    if not c.isalnum():
+        return None
+    kind, width, at = _group(c)
+    options = [(kind, width, at)] if width == 0 else [(kind, w, ord(c) >> w) for w in _WIDTHS]
+    for alphabet in (a for g in options if (a := _other_alphabets().get(g))):
+        if (i := alphabet.find(c)) >= 0:
+            return alphabet, i
+    return None
+
+
+def _ascii_digits(text: str) -> str:
+    """The digits of a text, of any script, as 0 to 9."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
+def _like(c: str, digit: str) -> str:
+    """A digit in the script of the digit ``c``."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(digit))
+
+
 def luhn_sum(digits: str) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
@@ -86,30 +146,30 @@ def permuted(key: bytes, tweak: str, x: int, size: int) -> int:
 
 
 def enciphered(key: bytes, tweak: str, text: str) -> str:
-    """Permutes the strings of this text's shape; characters of no known alphabet stay."""
-    known = [_PLACE.get(c) for c in text]
-    shape = ",".join(c if p is None else f"#{p[0]}" for c, p in zip(text, known, strict=True))
+    """Permutes the strings of this text's shape: letters and digits within their alphabets, separators stay."""
+    known = [_place(c) for c in text]
+    shape = ",".join(c if p is None else f"#{k[0]}" if (k := _PLACE.get(c)) else f"#{p[0][0]}" for c, p in zip(text, known, strict=True))
     value, size = 0, 1
     for p in known:
         if p is not None:
-            value, size = value * len(_ALPHABETS[p[0]]) + p[1], size * len(_ALPHABETS[p[0]])
+            value, size = value * len(p[0]) + p[1], size * len(p[0])
     value = permuted(key, f"{tweak}|{shape}", value, size) if size > 1 else value
     out = list(text)
     for at in range(len(out) - 1, -1, -1):
         if (p := known[at]) is not None:
-            value, digit = divmod(value, len(_ALPHABETS[p[0]]))
-            out[at] = _ALPHABETS[p[0]][digit]
+            value, digit = divmod(value, len(p[0]))
+            out[at] = p[0][digit]
     return "".join(out)
 
 
 def _in_place(pattern: str, digits: str, skip: int = 0) -> str:
-    """``pattern`` with its digits after the first ``skip`` replaced by ``digits``, in order."""
+    """``pattern`` with its digits after the first ``skip`` replaced by ``digits``, in order and in its script."""
     new, seen = iter(digits), 0
     out = []
     for c in pattern:
-        if c.isdigit():
+        if c.isdecimal():
             seen += 1
-            out.append(c if seen <= skip else next(new))
+            out.append(c if seen <= skip else _like(c, next(new)))
         else:
             out.append(c)
     return "".join(out)
@@ -125,6 +185,25 @@ def _class_of_ip(x: int) -> str:
     return "private" if first == 10 or x >> 20 == 0xAC1 or x >> 16 == 0xC0A8 else "special" if first in (0, 127) or first >= 224 else "public"
 
 
+def _generated(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """A keyed value of the kind from a space of at least 2**64, for entities whose shape has too few strings."""
+    x = int.from_bytes(hashlib.blake2b(f"{kind}|{attempt}|{entity}".encode(), key=key).digest(), "big")
+    if kind == "phone":
+        d = f"{x % 10**20:020d}"
+        return f"+{entity[: _code_length(entity)]} {d[:4]} {' '.join(d[i : i + 4] for i in range(4, 20, 4))}"
+    if kind == "card":
+        body = f"{1 + x % 9}{x // 9 % 10**17:017d}"
+        return body + str((10 - luhn_sum(body + "0")) % 10)
+    if kind == "ip":  # an address of the documentation range of IPv6
+        return "2001:db8:" + ":".join(f"{x >> 16 * i & 0xFFFF:x}" for i in range(6))
+    if kind == "email":
+        return f"{x % 16**24:024x}@{entity.rpartition('@')[2]}"
+    if kind == "secret":
+        return f"{x % 16**40:040x}"
+    letters = _ALPHABETS[3] if kind.endswith("cyrillic") else _ALPHABETS[1]
+    return "".join(letters[x // len(letters) ** i % len(letters)] for i in range(16)).title()
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The surrogate of a canonical entity; ``attempt`` keys it anew."""
@@ -176,11 +255,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             add(*at, "secret", text[at[0] : at[1]])
     if _DIGIT_RUN.search(text):
         for m in _PHONE.finditer(text):
-            digits = re.sub(r"\D", "", m[0])  # the form without country code, (ddd) ddd-dddd, is that of code 1
+            digits = _ascii_digits(m[0])  # the form without country code, (ddd) ddd-dddd, is that of code 1
             add(*m.span(), "phone", digits if m[0][0] == "+" else "1" + digits)
         for m in _CARD.finditer(text):
             if _valid_card(m[0]):
-                add(*m.span(), "card", re.sub(r"\D", "", m[0]))
+                add(*m.span(), "card", _ascii_digits(m[0]))
         for m in _IP.finditer(text):
             add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
     for m in _PERSON.finditer(text) if any(x in text for x in _TITLE_HINTS) else ():
@@ -202,12 +281,17 @@ _DIGIT_RUN = re.compile(r"\d[\d .()-]{5}")
 
 def rendered(key: bytes, original: str, kind: str, entity: str, attempt: int = 0) -> str:
     """The surrogate in the format of the mention: separators and letter case of the original."""
+    if attempt >= _FORMATTED:
+        new = _generated(key, kind, entity, attempt)
+        return new.upper() if kind[:5] in ("given", "famil") and original.isupper() else new
     if kind == "phone":
         skip = _code_length(entity)
         return _in_place(original, surrogate(key, f"phone{skip}", entity[skip:], attempt), skip if original[0] == "+" else 0)
     new = surrogate(key, kind, entity, attempt)
     if kind == "card":
         return _in_place(original, new)
+    if kind == "ip":
+        return "".join(_like(original[0], c) if c.isdecimal() else c for c in new)
     if kind == "email":
         return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(original, new, strict=True)) if len(original) == len(new) else new
     if kind[:5] in ("given", "famil") and original.isupper():
@@ -220,8 +304,11 @@ def _checked(key: bytes, kind: str, entity: str, attempt: int) -> str:
     return rendered(key, f"+{entity}" if kind == "phone" else entity, kind, entity, attempt)
 
 
-def _collisions(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
-    """(kind, entity, attempt) of the entities that need another attempt than 0, from the distinct (kind, entity)."""
+def _collisions(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, attempt) of the entities that need another attempt than 0, from the distinct (kind, entity).
+
+    The rounds end: at the latest from attempt ``_FORMATTED`` on, surrogates come from a space far larger than any corpus.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -230,7 +317,7 @@ def _collisions(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFram
             yield b.assign(new=new, own=own)
 
     state = found.withColumn("attempt", F.lit(0))
-    for _ in range(most_rounds):
+    while True:
         named = checkpointed(state.mapInPandas(run, "kind string, entity string, attempt int, new string, own string"))
         # of several entities with one surrogate the first attempts win, then the least entity
         first = named.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("first"))
@@ -243,7 +330,6 @@ def _collisions(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFram
         if judged.filter("bad").isEmpty():
             return judged.filter("attempt > 0").select("kind", "entity", "attempt")
         state = judged.select("kind", "entity", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
 
 
 def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", id_col: str = "doc_id", most_listed: int = 10_000) -> DataFrame:
