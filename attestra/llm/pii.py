@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,8 @@ TITLES = {
     ("m", "latin"): "Mr Sir Herr Monsieur Señor Sr Signor",
     ("f", "cyrillic"): "Госпожа госпожа",
     ("m", "cyrillic"): "Господин господин",
+    ("u", "latin"): "Dr Prof Doctor Doktor Professor",
+    ("u", "cyrillic"): "Доктор доктор Профессор профессор",
 }
 #: Given names and family names for surrogates, by gender and script.
 GIVEN = {
@@ -52,10 +55,18 @@ FAMILY = {
     "cyrillic": "Белов Волков Громов Дроздов Ежов Жуков Зимин Климов Лебедев Морозов Орлов Павлов Рыбин Соколов Туманов Фролов",
 }
 _TITLED = {t: gender_script for gender_script, titles in TITLES.items() for t in titles.split()}
+#: Gender and script of the listed given names; one of these before a capitalised word is a person without a title.
+_LISTED = {n: gender_script for gender_script, names in GIVEN.items() for n in names.split()}
+GIVEN |= {("u", script): f"{GIVEN['f', script]} {GIVEN['m', script]}" for script in FAMILY}
 #: Every title contains one of these.
-_TITLE_HINTS = ["Mr", "Ms", "Mme", "Mlle", "Mad", "Miss", "Mons", "Frau", "Herr", "Sir", "Señ", "Sr", "Sig", "оспо"]
+_TITLE_HINTS = ["Dr", "Prof", "Doctor", "Doktor", "октор", "рофессор", "Mr", "Ms", "Mme", "Mlle", "Mad", "Miss", "Mons", "Frau", "Herr", "Sir", "Señ", "Sr", "Sig", "оспо"]
 _WORD = r"[^\W\d_]{2,30}"
-_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.?[  ](?P<names>{_WORD}(?:-{_WORD})?(?: {_WORD}(?:-{_WORD})?)?)(?!\w)")
+_TITLE = "|".join(sorted(_TITLED, key=len, reverse=True))
+_NAME = rf"{_WORD}(?:-{_WORD})?"
+_PERSON = re.compile(rf"(?<!\w)(?P<titles>(?:(?:{_TITLE})\.?[ \xa0])+)(?P<names>{_NAME}(?: {_NAME})?)(?!\w)")
+#: No look-behind, so that the scan goes by first letters.
+_UNTITLED = re.compile(rf"(?P<names>(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})(?:-{_WORD})? {_NAME})(?!\w)")
+_NEXT_NAME = re.compile(rf" ({_NAME})(?!\w)")
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœæøß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _ALPHABETS += [a.upper() for a in (_ALPHABETS[1], _ALPHABETS[2].replace("ß", "").replace("ÿ", ""), _ALPHABETS[3], _ALPHABETS[4])]
 #: Country calling codes of one and two digits; all others have three, and none begins another.
@@ -238,13 +249,59 @@ def _valid_card(text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn_sum(digits) == 0 and len(set(digits)) > 1
 
 
+def _named(text: str, at: int, names: list[str], gender: str, script: str) -> Iterator[tuple[str, str]]:
+    """(kind, word) of the names at a place: given names and, last, the family name."""
+    while names and (not names[-1][0].isupper() or names[-1] in _TITLED):
+        names.pop()
+    end = at + len(" ".join(names))
+    # a listed given name in last place is a middle name if another name follows
+    while names and names[-1] in _LISTED and (m := _NEXT_NAME.match(text, end)) and m[1][0].isupper() and m[1] not in _TITLED:
+        names.append(m[1])
+        end = m.end()
+    for i, name in enumerate(names):
+        if name[0].isupper():
+            known, own = _LISTED.get(name.title(), ("u", script))
+            by = gender if gender != "u" else known if own == script else "u"
+            yield f"family-{script}" if i == len(names) - 1 else f"given-{by}-{script}", name
+
+
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of the persons of a text: named after a title or by a listed given name, then by any of their names alone."""
+    kinds: dict[str, str] = {}
+    sure: dict[int, tuple[int, int, str, str]] = {}
+    hits = []
+    for m in _PERSON.finditer(text) if any(x in text for x in _TITLE_HINTS) else ():
+        titles = [_TITLED[t.rstrip(".")] for t in m["titles"].split()]
+        hits.append((m, *next((t for t in titles if t[0] != "u"), titles[0])))
+    for m in _UNTITLED.finditer(text):
+        if (m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")) and m["names"].split(" ")[1][0].isupper():
+            hits.append((m, "u", _LISTED[re.match(_WORD, m["names"])[0]][1]))
+    for m, gender, script in sorted(hits, key=lambda h: h[1] == "u"):  # a person's gender is that of a gendered title, if any
+        at = m.start("names")
+        for kind, name in _named(text, at, m["names"].split(" "), gender, script):
+            if kind.startswith("given-u-"):
+                kind = next((k for k in (kinds.get(f"given {name.title()}"),) if k), kind)
+            start = text.index(name, at)
+            at = start + len(name)
+            sure.setdefault(start, (start, at, kind, name.title()))
+            kinds.setdefault(name.title(), kind)
+            if kind.startswith("given"):
+                kinds.setdefault(f"given {name.title()}", kind)
+    if not sure:
+        return []
+    words = {w: n for n in kinds if " " not in n for w in (n, n.upper())} | {text[s:e]: n for s, e, _, n in sure.values()}
+    bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?!\w)")
+    return [*sure.values(), *((*m.span(), kinds[words[m[0]]], words[m[0]]) for m in bare.finditer(text))]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity) of each entity, in order and without overlap; earlier rules win."""
     found: list[tuple[int, int, str, str]] = []
 
     def add(start: int, end: int, kind: str, entity: str) -> None:
-        if all(end <= s or start >= e for s, e, _, _ in found):
-            found.append((start, end, kind, entity))
+        at = bisect_left(found, (start,))
+        if (at == 0 or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
+            found.insert(at, (start, end, kind, entity))
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -262,18 +319,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "card", _ascii_digits(m[0]))
         for m in _IP.finditer(text):
             add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
-    for m in _PERSON.finditer(text) if any(x in text for x in _TITLE_HINTS) else ():
-        gender, script = _TITLED[m["title"]]
-        at = m.start("names")
-        names = [x for x in m["names"].split(" ")]
-        while names and (not names[-1][0].isupper() or names[-1] in _TITLED):
-            names.pop()
-        for i, name in enumerate(names):
-            if name[0].isupper():
-                kind = f"family-{script}" if i == len(names) - 1 else f"given-{gender}-{script}"
-                add(at, at + len(name), kind, name.title())
-            at += len(name) + 1
-    return sorted(found)
+    for start, end, kind, entity in _persons(text):
+        add(start, end, kind, entity)
+    return found
 
 
 _DIGIT_RUN = re.compile(r"\d[\d .()-]{5}")

@@ -99,6 +99,18 @@ def test_shapes_without_a_free_string_end(spark):
     assert len(set(new)) == len(real) and not set(new) & set(real)
 
 
+def test_persons_are_replaced_at_every_mention():
+    a = replaced("Mrs Anna Keller arrived. Keller said: Anna Keller's case, KELLER; Kellers and annas stay.")
+    m = re.fullmatch(r"Mrs (\w+) (\w+) arrived\. (\w+) said: (\w+) (\w+)'s case, (\w+); Kellers and annas stay\.", a)
+    assert m and m[1] == m[4] != "Anna" and m[2] == m[3] == m[5] == m[6].title() != "Keller"
+    for t in ["Anna Keller signed", "Dr. Zelda Keller wrote; Keller", "Prof. Dr. Anna Keller", "Frau Dr. Keller", "Anna Maria Keller", "Mrs Anna Maria Keller", "Keller left. Mr Keller", "Доктор Анна Келлер, Келлер", "Anna-Lena Keller"]:
+        out = replaced(t)
+        assert not re.search(r"Keller|Anna\b|Zelda|Maria|Анна|Келлер", out), (t, out)
+    kinds = {h[2] for h in pii.entities("Dr Zelda Roux met Mrs Zelda Roux")}
+    assert kinds == {"given-f-latin", "family-latin"}
+    assert replaced("Dr Anna Roux").split()[1] == replaced("Mrs Anna Roux").split()[1]
+
+
 def test_clean_texts_stay():
     for t in ["2.0. 3. version 1.2.3.4.5 and 12 * 3", "the key is here: now", "4366966299381841 is no card", "a@b", "mail @ example.com", "$$$ at%%% 1,234,567.89", "the Miss and Sir of it", "password: required"]:
         assert pii.entities(t) == [], t
