@@ -81,14 +81,46 @@ def top_matches(matches: DataFrame, k: int = 5) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_audio(queries: DataFrame, reg: DataFrame, threshold: int = 85, pool: int = 100) -> DataFrame:
+def _audio_candidates(queries: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose similarity can reach the threshold, each once.
+
+    A pair whose longer text has n characters may differ at m = n * (100.5 - threshold) / 100 places, so of m + 1 blocks of
+    n div (m + 1) characters one is equal (pigeonhole). Each side is cut for every n that its own length allows, and a pair is
+    kept at its own block width and first equal block only.
+    """
+
+    def width(n: str) -> str:
+        return f"CAST({n} div (({n} * {201 - 2 * threshold}) div 200 + 1) AS INT)"
+
+    def pieces(col: str) -> Column:
+        return F.expr(f"transform(sequence(0, CAST(length({col}) div w__ AS INT) - 1), i -> substring({col}, i * w__ + 1, w__))")
+
+    def blocks(df: DataFrame, col: str) -> DataFrame:
+        n = f"length({col})"
+        widths = f"array_distinct(transform(sequence({n}, CAST(({n} * 200) div {2 * threshold - 1} AS INT)), n -> {width('n')}))"
+        cut = df.filter(F.length(col) > 0).withColumn("w__", F.explode(F.expr(widths))).filter(f"{n} >= w__")
+        return cut.select("*", F.posexplode(pieces(col)).alias("at__", "block__"))
+
+    met = blocks(queries, "query_fp").join(blocks(known, "audio_fingerprint"), ["w__", "at__", "block__"])
+    met = met.filter(F.col("w__") == F.expr(width("greatest(length(query_fp), length(audio_fingerprint))")))
+    equal = F.zip_with(pieces("query_fp"), pieces("audio_fingerprint"), lambda x, y: x == y)
+    met = met.filter(F.array_position(equal, True) == F.col("at__") + 1)
+    return met.drop("w__", "at__", "block__")
+
+
+def similar_audio(queries: DataFrame, reg: DataFrame, threshold: int = 85, pool: int | None = 100) -> DataFrame:
     """Registry rows whose audio fingerprint agrees position by position (JOIN-3).
 
     ``queries``: query_id, query_fp; ``reg``: id, audio_fingerprint, upload_date. A length gap counts as mismatches. The pool
-    of newest rows bounds the other side, as the service does, so it is sent to the tasks of the queries.
+    of newest rows bounds the other side, as the service does, so it is sent to the tasks of the queries; None searches all,
+    by an equi join of blocks (``threshold`` at least 1).
     """
-    known = recent_pool(reg.filter("audio_fingerprint is not null"), pool).select("id", "audio_fingerprint")
-    met = queries.join(F.broadcast(known), F.length("query_fp") > 0)  # at most ``pool`` rows
+    known = reg.filter("audio_fingerprint is not null")
+    if pool:
+        known = recent_pool(known, pool).select("id", "audio_fingerprint")
+        met = queries.join(F.broadcast(known), F.length("query_fp") > 0)  # at most ``pool`` rows
+    else:
+        met = _audio_candidates(queries, known.select("id", "audio_fingerprint"), threshold)
     longest = F.greatest(F.length("query_fp"), F.length("audio_fingerprint"))
     similarity = F.floor(positional_equal(F.col("query_fp"), F.col("audio_fingerprint")) * 100 / longest + 0.5)
     out = met.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)

@@ -115,9 +115,9 @@ _PAIRS = f""", pool AS (SELECT * FROM hashes ORDER BY upload_date DESC, vec_id D
 
 
 @query("join2_similar_images", with_tables("hashes") + _PAIRS + "SELECT * FROM sim")
-def join2(spark: SparkSession, d: str) -> DataFrame:
+def join2(spark: SparkSession, d: str, pool: int | None = 1000) -> DataFrame:
     h = X.hashes(spark, d)
-    return J.similar_images(h.select(F.col("vec_id").alias("query_id"), "query_hash"), h.select(F.col("vec_id").alias("id"), "phash", "upload_date"))
+    return J.similar_images(h.select(F.col("vec_id").alias("query_id"), "query_hash"), h.select(F.col("vec_id").alias("id"), "phash", "upload_date"), pool=pool)
 
 
 @query("top2_top_matches", with_tables("hashes") + _PAIRS + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim) WHERE rank <= 5")
@@ -125,6 +125,20 @@ def top2(spark: SparkSession, d: str) -> DataFrame:
     return J.top_matches(join2(spark, d))
 
 
+#: The searches over all rows, beside those over the service's pool of the newest.
+_ALL_PAIRS = _PAIRS.replace(" ORDER BY upload_date DESC, vec_id DESC LIMIT 1000", "")
+
+
+@query("join2_similar_images_all", with_tables("hashes") + _ALL_PAIRS + "SELECT * FROM sim")
+def join2_all(spark: SparkSession, d: str) -> DataFrame:
+    return join2(spark, d, pool=None)
+
+
+@query("top2_top_matches_all", with_tables("hashes") + _ALL_PAIRS + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim) WHERE rank <= 5")
+def top2_all(spark: SparkSession, d: str) -> DataFrame:
+    return J.top_matches(join2_all(spark, d))
+
+
 _AUDIO = """, fps AS (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)) || sha256(CAST(doc_id + 1 AS VARCHAR)), 1, CASE WHEN doc_id % 10 = 0 THEN 95 ELSE 100 END) AS fp, doc_id % 21 AS k FROM documents),
  pool AS (SELECT doc_id AS id, fp FROM fps ORDER BY doc_id DESC LIMIT 100), q AS (SELECT doc_id AS query_id, repeat('z', CAST(k AS INT)) || substr(fp, CAST(k AS INT) + 1) AS query_fp FROM fps),
  s AS (SELECT query_id, id, CAST(floor(len(list_filter(range(1, 101), lambda i: substr(query_fp, i, 1) = substr(fp, i, 1) AND substr(fp, i, 1) <> '')) * 100.0 / greatest(length(fp), length(query_fp)) + 0.5) AS BIGINT) AS similarity FROM q JOIN pool ON q.query_id = pool.id)
@@ -132,12 +146,17 @@ SELECT query_id, id, similarity, CASE WHEN similarity >= 100 THEN 'Identical aud
 
 
 @query("join3_similar_audio", with_tables("reg") + _AUDIO)
-def join3(spark: SparkSession, d: str) -> DataFrame:
+def join3(spark: SparkSession, d: str, pool: int | None = 100) -> DataFrame:
     i = F.col("doc_id")
     whole = F.concat(F.sha2(i.cast("string"), 256), F.sha2((i + 1).cast("string"), 256))
     docs = X.table(spark, d, "documents").select("doc_id", F.substring(whole, F.lit(1), F.when(i % 10 == 0, 95).otherwise(100)).alias("fp"), (i % 21).cast("int").alias("k"))
     queries = docs.select(F.col("doc_id").alias("query_id"), F.concat(F.repeat(F.lit("z"), F.col("k")), F.substring("fp", F.col("k") + 1, F.lit(100))).alias("query_fp"))
-    return J.similar_audio(queries, docs.select(F.col("doc_id").alias("id"), F.col("fp").alias("audio_fingerprint"), F.col("doc_id").alias("upload_date")))
+    return J.similar_audio(queries, docs.select(F.col("doc_id").alias("id"), F.col("fp").alias("audio_fingerprint"), F.col("doc_id").alias("upload_date")), pool=pool)
+
+
+@query("join3_similar_audio_all", with_tables("reg") + _AUDIO.replace(" ORDER BY doc_id DESC LIMIT 100", "").replace("ON q.query_id = pool.id", "ON true"))
+def join3_all(spark: SparkSession, d: str) -> DataFrame:
+    return join3(spark, d, pool=None)
 
 
 @query("join4_segment_match", with_tables("seg") + "SELECT * FROM seg_match")

@@ -45,6 +45,35 @@ def test_banded_join_equals_brute_force(spark, bits):
     assert got == expected
 
 
+@pytest.mark.parametrize("threshold", [70, 85, 100])
+def test_audio_search_of_all_rows_equals_brute_force(spark, threshold):
+    rng = random.Random(threshold)
+    base = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (1, 2, 3, 5, 7, 12, 40, 95, 99, 100, 100, 131)]
+    near = []
+    for x in base:
+        for k in (0, 0.05, 0.1, 0.14, 0.15, 0.16, 0.2, 0.29, 0.31):
+            y = list(x)
+            for at in rng.sample(range(len(x)), round(k * len(x))):
+                y[at] = "z"
+            near += ["".join(y), "".join(y)[: max(1, round(len(x) * 0.96))], "".join(y) + "q" * round(len(x) * 0.05)]
+    a = spark.createDataFrame([*enumerate(base), (-1, ""), (-2, None)], "query_id long, query_fp string")
+    b = spark.createDataFrame([(i, x, i) for i, x in enumerate(near)] + [(-1, "", -1), (-2, None, -2)], "id long, audio_fingerprint string, upload_date long")
+    got = sorted((r.query_id, r.id, r.similarity) for r in J.similar_audio(a, b, threshold, pool=None).collect())
+    score = lambda x, y: int(sum(p == q for p, q in zip(x, y)) * 100 / max(len(x), len(y)) + 0.5)  # noqa: B905, E731
+    expected = sorted((i, j, s) for i, x in enumerate(base) for j, y in enumerate(near) if (s := score(x, y)) >= threshold)
+    assert got == expected and len(got) > 20
+
+
+def test_registered_searches_over_all_rows_find_old_copies(spark):
+    """sf0.1 has more rows than the pools; each query's own row is a copy of it within 12 bits or 80 %."""
+    from attestra.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    images, audio = (registry.QUERIES[n](spark, sf).filter("query_id = id").count() for n in ("join2_similar_images_all", "join3_similar_audio_all"))
+    n_images, n_audio = (spark.read.parquet(f"{sf}/{t}.parquet").filter(c).count() for t, c in (("embeddings", "vec_id % 13 <= 10"), ("documents", "doc_id % 21 <= 14")))
+    assert images == n_images > 1000 and audio >= n_audio > 100
+
+
 def test_ranges_partition_the_matched_segments(spark):
     rng = random.Random(3)
     rows = [(v, i, rng.random() < 0.7, "e", "a") for v in range(20) for i in range(rng.randrange(1, 40))]
