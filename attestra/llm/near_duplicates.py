@@ -7,12 +7,15 @@ than D(b) occupied blocks, two similar sets agree on an occupied block (pigeonho
 its own band and the next one if it can be the smaller partner there. Only the fingerprint of a block is shipped. Candidate
 pairs are verified on the sets themselves.
 
-Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others (its
-group); pairs that sizes and dense parity sketches do not rule out are verified. Groups whose classes have not all fallen in
-one component then are compared exhaustively, between components only: first by sketches, which leaves few classes, then by
-their sets, joining components on the way, so that a group of m classes gives m - 1 links at most. Every pair of similar sets
-is in one group, so no link between components is lost, and no group is listed as all its pairs. A block that over ``HOT``
-classes of one slice of documents share reaches its shard as one entry for each slice; its members are one group by block.
+Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others; pairs
+that sizes and dense parity sketches do not rule out are verified. The classes whose blocks have the same least key are a
+group: every pair of similar sets is in one. A block of over ``HOT`` classes is hot. Of a set's blocks only more than D(b)
+need to be looked at, if all sets leave out their last ones in one order; the order is that of frequency, so hot blocks,
+such as those of passages that many texts share, are left out where a set has blocks to spare. Groups whose classes have not
+all fallen in one component are then compared by sketches, between components only, in lots; the nearest pairs are verified
+and joined, round by round, as long as that pays. What sketches still leave undecided is compared set by set, joining
+components on the way, so that a group of m classes gives m - 1 links at most. No link between components is lost, and no
+group is listed as all its pairs. A hot block of one slice of documents reaches its shard as one entry for each slice.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, free_name
@@ -31,8 +34,11 @@ from .components import connected_components
 
 #: Bounds of the bits of a parity sketch; between them it has two to four bits for each shingle.
 LEAST_BITS, MOST_BITS = 256, 65536
-#: Classes of a slice that share a block beyond which only the least goes to the shard.
+#: Classes that share a block, in a slice or in all, beyond which it is hot.
 HOT = 64
+#: The largest number of blocks to spare that is noted of a set; one with more looks at more of its blocks than it needs to.
+_MOST_SPARE = 2**15 - 1
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,6 +117,10 @@ class Blocks:
         """The largest symmetric difference of a set of this size and a similar one that is not larger."""
         return int(self.slack * 2 * size)
 
+    def differing(self, size: int, band: int) -> int:
+        """The largest symmetric difference of a set of this size and a similar one that it meets in the band."""
+        return int(self.slack * (size + max(size, min(int(size / self.t), 2 ** (band + 1) - 1))))
+
     def count(self, band: int) -> int:
         """Blocks of a band (sizes 2**band to 2**(band+1)-1). Enough that a set leaves over D(size) of them occupied: the
         expectation is more than seven standard deviations above it at every size; small sets have a block for each shingle."""
@@ -121,6 +131,7 @@ class Blocks:
         return [band] + [band + 1] * (size >= self.t * 2 ** (band + 1))
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        """Hashes of the blocks; the last bit is that of the band's number."""
         if not self.most_different(int(len(shingles) / self.t)):
             return np.empty(0, dtype=np.uint64)  # only equal sets are similar
         out = []
@@ -129,10 +140,18 @@ class Blocks:
             block = ((shingles >> np.uint64(32)) * k) >> np.uint64(32)  # grows with the hash, so blocks are runs
             first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             bits = np.bitwise_xor.reduceat(_mix(shingles), first)
-            out.append(_mix(bits ^ _mix(block[first] + (np.uint64(band) << np.uint64(40)))))
+            own = _mix(bits ^ _mix(block[first] + (np.uint64(band) << np.uint64(40))))
+            out.append(own >> np.uint64(1) << np.uint64(1) | np.uint64(band & 1))
         return np.concatenate(out)
 
 
+def _fingerprints(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard number, then 31 further bits, then the last bit of the hash."""
+    n, high = np.uint64(shards), hashes >> np.uint64(32)
+    fine = (high * n + (((hashes & _LOW) * n) >> np.uint64(32))) & _LOW
+    return ((high * n >> np.uint64(32)) << np.uint64(32)) | (fine >> np.uint64(1) << np.uint64(1)) | (hashes & np.uint64(1))
+
+
 def _meeting(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by (sig, key) without repeats, and where each block starts and how many entries it has."""
     order = np.lexsort((key, sig))
@@ -144,9 +163,9 @@ def _meeting(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig, key, first, np.diff(np.append(first, len(sig)))
 
 
-def _stars(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Distinct pairs of each block's least key with its others."""
-    inside = np.repeat(first, size)
+def _stars(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct pairs of each block's least key with its others, from the sorted keys of blocks of these sizes."""
+    inside = np.repeat(np.cumsum(size) - size, size)
     at = np.flatnonzero(inside != np.arange(len(key)))
     return np.unique(np.stack([key[inside[at]], key[at]], axis=1), axis=0)
 
@@ -155,12 +174,22 @@ _ROWS = "kind int, shard int, a long, b long, n_rows int, data binary, extra bin
 
 
 def _rows(kind: int, **columns) -> pd.DataFrame:
-    """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b); 2 the keys of classes that share the hot
-    block a, in data; 3 a document: its class a, its number of shingles b, its id in data and its sketch in extra; 4 an entry (a, b) of a hot block."""
+    """Rows of one kind: 0 block fingerprints of a shard; 1 a candidate pair (a, b), n_rows 1 if of a hot block; 2 the keys of
+    classes that share the hot block a, in data; 3 a document: its class a, its number of shingles b, its id in data, its sketch
+    in extra and its blocks to spare in n_rows; 4 an entry (a, b) of a hot block; 5 a class a of b shingles with too few blocks."""
     base = {"kind": kind, "shard": 0, "a": 0, "b": 0, "n_rows": 0, "data": None, "extra": None}
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 25) -> Iterator[pd.DataFrame]:
+    """The batches cut into slices of at most so many rows, and of so many bytes of text or one row's more."""
+    for batch in batches:
+        at = np.cumsum([0 if t is None else len(t) for t in batch["t"].array]) // size
+        cuts = {0, len(batch), *range(rows, len(batch), rows), *(np.flatnonzero(np.diff(at)) + 1).tolist()}
+        cuts = sorted(cuts)
+        yield from (batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_rows: int = 8000) -> DataFrame:
     """From (id, t): documents and their block fingerprints by shard; of hot blocks, the pairs and members within a slice too.
 
@@ -170,43 +199,54 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles_of = shingles_of_width(width)
-        for batch in (b.iloc[i : i + slice_rows] for b in batches for i in range(0, len(b), slice_rows)):
-            keys, sizes, sketches, sigs, seen = [], [], [], {}, set()
+        for batch in _slices(batches, slice_rows):
+            keys, sizes, sketches, sigs = [], [], [], {}
             for text in batch["t"].array:
                 s = shingles_of(text)
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 sketches.append(parity_sketch(s) if len(s) else None)
-                if keys[-1] not in seen and len(s):
-                    seen.add(keys[-1])
-                    if len(x := blocks(s)):
-                        sigs[keys[-1]] = x
-            yield _rows(3, a=keys, b=sizes, data=batch["id"].array, extra=sketches, shard=[k % shards for k in range(len(keys))])
-            if not sigs:
-                continue
-            sig = np.concatenate(list(sigs.values()))
-            key = np.repeat(np.fromiter(sigs, dtype=np.int64), [len(x) for x in sigs.values()])
+                if len(s) and keys[-1] not in sigs:
+                    sigs[keys[-1]] = blocks(s)
+            size_of = dict(zip(keys, sizes, strict=True))
+            known = sorted(sigs)  # a class goes by its place among the slice's until its key is shipped
+            sig = np.concatenate([np.empty(0, dtype=np.uint64), *(sigs[k] for k in known)])
+            key = np.repeat(np.arange(len(known)), [len(sigs[k]) for k in known])
             del sigs
-            high, n = sig >> np.uint64(32), np.uint64(shards)
-            sig = ((high * n >> np.uint64(32)) << np.uint64(32)) | ((high * n + (((sig & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(32))) & np.uint64(0xFFFFFFFF))
-            sig, key, first, size = _meeting(sig, key)
+            sig, key, first, size = _meeting(_fingerprints(sig, shards), key)
+            many = np.bincount(2 * key + (sig & np.uint64(1)).astype(np.int64), minlength=2 * len(known)).tolist()
+            key = np.array(known, dtype=np.int64)[key]
+            spare, short = {}, []
+            for k, counts in zip(known, zip(many[::2], many[1::2], strict=True), strict=True):
+                n = size_of[k]
+                spare[k], band = 0, n.bit_length() - 1
+                for odd in (0, 1):
+                    if counts[odd]:
+                        left = counts[odd] - 1 - blocks.differing(n, band + ((band & 1) != odd))
+                        if left < 0:
+                            short.append((k, n))
+                        spare[k] |= max(0, min(left, _MOST_SPARE)) << (15 * odd)
+            yield _rows(3, a=keys, b=sizes, n_rows=[spare.get(k, 0) for k in keys], data=batch["id"].array, extra=sketches, shard=[k % shards for k in range(len(keys))])
+            if short:
+                yield _rows(5, a=[k for k, _ in short], b=[n for _, n in short])
+            if not len(sig):
+                continue
             hot = size > HOT
             if hot.any():
                 inside = np.repeat(hot, size)
-                starts, own = np.cumsum(size[hot]) - size[hot], key[inside]
-                pairs = _stars(own, starts, size[hot])
-                yield _rows(1, a=pairs[:, 0], b=pairs[:, 1], shard=pairs[:, 1] % shards)
+                of_hot, many = key[inside], size[hot]
+                starts, pairs = np.cumsum(many) - many, _stars(of_hot, many)
+                yield _rows(1, a=pairs[:, 0], b=pairs[:, 1], n_rows=1, shard=pairs[:, 1] % shards)
                 ids = sig[first[hot]].astype(np.int64)
-                yield _rows(2, a=ids, data=[own[at : at + m].tobytes() for at, m in zip(starts, size[hot], strict=True)], shard=ids % shards)
-                yield _rows(4, a=ids, b=own[starts], shard=ids >> 32)
+                yield _rows(2, a=ids, data=[of_hot[at : at + m].tobytes() for at, m in zip(starts, many, strict=True)], shard=ids % shards)
+                yield _rows(4, a=ids, b=of_hot[starts], shard=ids >> 32)
                 sig, key = sig[~inside], key[~inside]
-            cut = np.searchsorted(sig >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            shard = (sig >> np.uint64(32)).astype(np.int64)
+            cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
             rows = []
-            for x in range(shards):
-                part = slice(cut[x], cut[x + 1])
-                if cut[x + 1] > cut[x]:
-                    own, place = np.unique(key[part], return_inverse=True)
-                    rows.append((x, cut[x + 1] - cut[x], sig[part].astype(np.uint32).tobytes() + place.astype(np.uint16).tobytes(), own.tobytes()))
+            for start, end in zip(cut, cut[1:], strict=False):
+                own, place = np.unique(key[start:end], return_inverse=True)
+                rows.append((shard[start], end - start, sig[start:end].astype(np.uint32).tobytes() + place.astype(np.uint16).tobytes(), own.tobytes()))
             if rows:
                 shard, many, data, extra = map(list, zip(*rows, strict=True))
                 yield _rows(0, shard=shard, n_rows=many, data=data, extra=extra)
@@ -215,9 +255,9 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
 
 
 def _shard(group: pd.DataFrame) -> pd.DataFrame:
-    """What the blocks of a shard have in common, as pairs (kind 1) and members of hot blocks (kind 2); rows of kinds 1 to 3 pass."""
+    """What the blocks of a shard have in common, as pairs (kind 1) and members of hot blocks (kind 2); other rows pass."""
     blobs, hot = group[group["kind"] == 0], group[group["kind"] == 4]
-    done = group[group["kind"].between(1, 3)]
+    done = group[group["kind"].isin([1, 2, 3, 5])]
     if not len(blobs) and not len(hot):
         return done
     sigs, keys = [hot["a"].to_numpy().astype(np.uint32)], [hot["b"].to_numpy()]
@@ -225,14 +265,17 @@ def _shard(group: pd.DataFrame) -> pd.DataFrame:
         sigs.append(np.frombuffer(data, dtype=np.uint32, count=many))
         keys.append(np.frombuffer(extra, dtype=np.int64)[np.frombuffer(data, dtype=np.uint16, offset=4 * many)])
     sig, key, first, size = _meeting(np.concatenate(sigs), np.concatenate(keys))
-    pairs = _stars(key, first, size)
-    hot_ids = dict(zip(sigs[0].tolist(), hot["a"], strict=True))
-    listed = [(hot_ids[int(sig[at])], key[at : at + m].tobytes()) for at, m in zip(first.tolist(), size.tolist(), strict=True) if int(sig[at]) in hot_ids] if hot_ids else []
+    common = (size > HOT) | np.isin(sig[first], sigs[0])
     out = [done] if len(done) else []
-    if len(pairs):
-        out.append(_rows(1, a=pairs[:, 0], b=pairs[:, 1]))
-    if listed:
-        out.append(_rows(2, a=[x for x, _ in listed], data=[x for _, x in listed]))
+    for flag in (False, True):
+        of = common == flag
+        own, many = key[np.repeat(of, size)], size[of]
+        pairs = _stars(own, many)
+        if len(pairs):
+            out.append(_rows(1, a=pairs[:, 0], b=pairs[:, 1], n_rows=int(flag)))
+        if flag and len(own):
+            ids = (np.int64(group["shard"].iloc[0]) << 32) | sig[first[of]].astype(np.int64)
+            out.append(_rows(2, a=ids, data=[own[at : at + m].tobytes() for at, m in zip(np.cumsum(many) - many, many, strict=True)]))
     return pd.concat(out) if out else group.iloc[:0]
 
 
@@ -315,18 +358,18 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 
 def _near(group: pd.DataFrame, sketches: list[bytes], t: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of a lot the rows of the other lot (or of its own, further on) that are in other components and that sizes
-    and sketches allow, with the distances of the sketches."""
+    """For each row of a lot's first side the rows of the second (of the first, further on, where there is no second) that are
+    in other components and that sizes and sketches allow, with the distances of the sketches."""
     slack = (1 - t) / (1 + t)
-    x, y = group["x"].iloc[0], group["y"].iloc[0]
     length = np.array([len(s) for s in sketches])
     # two sketches are compared at the length of the shorter one
     at_length = {int(c): (np.cumsum(length >= c) - 1, np.stack([folded(s, int(c)) for s in sketches if len(s) >= c])) for c in np.unique(length)}
-    n, label, chunk = (group[c].to_numpy() for c in ("n", "label", "chunk"))
-    right = np.flatnonzero(chunk == y)
-    for i in np.flatnonzero(chunk == x):
+    n, label, side = (group[c].to_numpy() for c in ("n", "label", "side"))
+    within = not side.any()
+    right = np.flatnonzero(side != within)
+    for i in np.flatnonzero(side == 0):
         at = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * t.denominator >= np.maximum(n[right], n[i]) * t.numerator)]
-        at = at[at > i] if x == y else at
+        at = at[at > i] if within else at
         if not len(at):
             continue
         far, common = np.empty(len(at), dtype=np.int64), np.minimum(length[at], length[i])
@@ -338,11 +381,34 @@ def _near(group: pd.DataFrame, sketches: list[bytes], t: Fraction) -> Iterator[t
             yield i, at[ok], far[ok]
 
 
-_LOT = ["kind", "grp", "x", "y"]
+_LOT = ["grp", "x", "y"]
+
+
+def _kruskal(label: list[int], i: np.ndarray, j: np.ndarray, far: np.ndarray, similar) -> Iterator[tuple[int, int]]:
+    """Of the pairs (i, j), nearest first, those that join two components and are similar."""
+    root = {x: x for x in label}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = np.argsort(far, kind="stable")
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        u, v = top(label[a]), top(label[b])
+        if u != v and similar(a, b):
+            root[u] = v
+            yield a, b
+
+
+def _listed(group: pd.DataFrame, sketches: list[bytes], t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [(np.full(len(at), i), at, far) for i, at, far in _near(group, sketches, t)]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
 
 
 def _undecided(t: Fraction):
-    """Of the groups' classes those that sketches leave with a possible partner in another component."""
+    """Of the lots' classes those that sketches leave with a possible partner in another component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(batches, _LOT):
@@ -351,7 +417,7 @@ def _undecided(t: Fraction):
                 left.add(int(i))
                 left.update(at.tolist())
             if left:
-                yield group.iloc[sorted(left)][[*_LOT, "chunk", "key", "label"]]
+                yield group.iloc[sorted(left)][[*_LOT, "side", "key", "label"]]
 
     return run
 
@@ -369,41 +435,70 @@ def _joining(width: int, t: Fraction):
             group = group[same].assign(n=[len(s) for s in sets])
             if len(sets) < 2:
                 continue
-            found = [(np.full(len(at), i), at, far) for i, at, far in _near(group, [parity_sketch(s) for s in sets], t)]
-            if not found:
-                continue
-            i, j, far = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.argsort(far, kind="stable")
-            key, label = group["key"].tolist(), group["label"].tolist()
-            root = {x: x for x in label}
 
-            def top(x: int, root: dict[int, int] = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
+            def similar(a: int, b: int, sets: list[np.ndarray] = sets) -> bool:
+                both = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
+                return both * t.denominator >= t.numerator * (len(sets[a]) + len(sets[b]) - both)
 
-            out = []
-            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                u, v = top(label[a]), top(label[b])
-                if u != v:
-                    both = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
-                    if both * t.denominator >= t.numerator * (len(sets[a]) + len(sets[b]) - both):
-                        root[u] = v
-                        out.append((key[a], key[b]))
-            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+            key = group["key"].tolist()
+            pairs = _kruskal(group["label"].tolist(), *_listed(group, [parity_sketch(s) for s in sets], t), similar)
+            yield pd.DataFrame([(key[a], key[b]) for a, b in pairs], columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 1024) -> DataFrame:
+def _looked_at(hot: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the members (block, key) of hot blocks those that must meet, as members (grp, key) of the group of their least key."""
+    counted = hot.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    odd = F.col("block").bitwiseAND(F.lit(1))
+    ranked = hot.join(counted, "block").join(classes.select("key", "spare"), "key")
+    rank = F.row_number().over(Window.partitionBy("key", odd).orderBy(F.desc("m"), F.desc("block")))
+    spare = F.when(odd == 1, F.shiftright("spare", 15)).otherwise(F.col("spare").bitwiseAND(F.lit(_MOST_SPARE)))
+    kept = ranked.select("block", "key", rank.alias("rank"), spare.alias("spare")).filter("rank > spare")
+    least = kept.groupBy("block").agg(F.min("key").alias("grp"))
+    return kept.join(least, "block").select("grp", "key").distinct()
+
+
+def _lots(members: DataFrame, classes: DataFrame, of_key: DataFrame, chunk: int, chunk_shingles: int) -> DataFrame:
+    """The groups of several components in lots of two sides, each a chunk of the group's classes or, second, none.
+
+    The classes of a group's largest component meet the others, chunk by chunk, and the others meet each other.
+    """
+    named = classes.select("key", "n").join(of_key, "key", "left").select("key", "n", F.coalesce("label", "key").alias("label"))
+    marked = checkpointed(members.join(named, "key"))
+    parts = marked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("m", "label", "n"))
+    groups = parts.groupBy("grp").agg(largest.alias("inner"), (F.sum("m") - largest["m"]).alias("m"), (F.sum("n") - largest["n"]).alias("n"), F.sum("m").alias("all"))
+    chunks = lambda m, n: F.greatest(F.ceil(m / chunk), F.ceil(n / chunk_shingles)).cast("int")
+    mixed = groups.filter("m > 0 and all > 2").select("grp", F.col("inner.label").alias("main"), chunks(F.col("inner.m"), F.col("inner.n")).alias("inside"), chunks(F.col("m"), F.col("n")).alias("outside"))
+    spread = marked.join(mixed, "grp").join(classes.select("key", "sketch"), "key")
+    lot = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    within = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    of_main = F.transform(every("outside"), lambda o: lot(-1 - within("inside"), o, F.lit(0)))
+    with_main = F.transform(every("inside"), lambda i: lot(-1 - i, within("outside"), F.lit(1)))
+    of_others = F.transform(every("outside"), lambda o: lot(F.least(within("outside"), o), F.greatest(within("outside"), o), within("outside") > o))
+    lots = spread.select("grp", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(with_main, of_others))).alias("lot"), "key", "label", "n", "sketch")
+    return lots.select("grp", "lot.*", "key", "label", "n", "sketch").repartition(*_LOT).sortWithinPartitions(*_LOT)
+
+
+def _joined(of_key: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, label) of the components after further links (u, v)."""
+    ends = links.join(of_key.select(F.col("key").alias("u"), F.col("label").alias("lu")), "u", "left").join(of_key.select(F.col("key").alias("v"), F.col("label").alias("lv")), "v", "left")
+    top = connected_components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
+    top = checkpointed(top.select(F.col("node").alias("label"), F.col("label").alias("top")))
+    known = of_key.select("key", "label").unionByName(top.select(F.col("label").alias("key"), "label")).distinct().join(top, "label", "left")
+    return checkpointed(known.groupBy("key").agg(F.min(F.coalesce("top", "label")).alias("label")))
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 1024, chunk_shingles: int = 8_000_000) -> DataFrame:
     """Per row: id_col, n_shingles, class_key (of its shingle set) and component_id, the smallest id reachable by links.
 
     Sets are those of the distinct ``width``-word shingles of the whole lower-cased (A-Z) text; a text of fewer words is one
     shingle. Null and wordless texts have an empty set (n_shingles 0) and are linked with nothing, so their component is
     their own id. Repeated rows and ids are kept row by row, null ids too (a null component only where no other id is
     reachable); an empty table gives no rows; columns other than the two named are not read. Ids may have any type that a
-    string holds without loss.
+    string holds without loss. ``chunk`` and ``chunk_shingles`` bound what a lot of an exhaustive comparison holds at once.
     """
     blocks = Blocks(similarity)
     id_type = df.schema[id_col].dataType
@@ -412,41 +507,38 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bytes_ = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(64, bytes_ // 8 // entries_per_shard)
     as_bytes = texts.select(F.col("id").cast("string").cast("binary").alias("id"), "t")
-    found = _entries(as_bytes, blocks, width, shards).repartition(min(shards, 2000), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
-    found = checkpointed(found.select("kind", "a", "b", "data", F.when(F.col("kind") == 3, F.col("extra")).alias("sketch")))
-    rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"), "sketch")
-    classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    found = _entries(as_bytes, blocks, width, shards).repartition(max(min(shards, 2000), shards // 64), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
+    found = checkpointed(found.select("kind", "a", "b", "n_rows", "data", F.when(F.col("kind") == 3, F.col("extra")).alias("sketch")))
+    rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"), "sketch", F.col("n_rows").alias("spare"))
+    classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "spare"))))
     reps = classes.select("key", "rep")
-    pairs = checkpointed(found.filter("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = found.filter("kind = 1").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("n_rows").alias("hot"))
+    short = found.filter("kind = 5").select(F.col("a").alias("short"), F.col("b").alias("m")).distinct()
+    if not short.isEmpty():  # hardly ever: classes of too few blocks are paired with all that sizes and sketches allow
+        size = F.col("n") * blocks.t.numerator <= F.col("m") * blocks.t.denominator
+        others = classes.join(short, size & (F.col("m") * blocks.t.numerator <= F.col("n") * blocks.t.denominator) & (F.col("key") != F.col("short")))
+        pairs = pairs.unionByName(others.select(F.least("key", "short").alias("a"), F.greatest("key", "short").alias("b"), F.lit(1).alias("hot")).distinct())
+    pairs = checkpointed(pairs)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 keys = np.frombuffer(b"".join(batch["data"]), dtype=np.int64)
-                yield pd.DataFrame({"grp": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
+                yield pd.DataFrame({"block": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
 
-    links = checkpointed(_verified(checkpointed(_possible(pairs, classes, blocks.t)), texts, reps, width, blocks.t))
+    links = checkpointed(_verified(checkpointed(_possible(pairs.select("a", "b"), classes, blocks.t)), texts, reps, width, blocks.t))
     of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
-    label = F.coalesce(F.col("label"), F.col("key")).alias("label")
-    hot = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "grp long, key long").distinct().select(F.lit(1).alias("kind"), "grp", "key")
-    own = pairs.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("key")).distinct()
-    marked = checkpointed(own.unionByName(hot).join(of_key, "key", "left").select("kind", "grp", "key", label))
-    mixed = marked.groupBy("kind", "grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = mixed.filter("low <> high and m > 2").select("kind", "grp", F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
-    spread = marked.join(mixed, ["kind", "grp"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    spread = spread.join(classes.select("key", "n", "sketch"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    lots = spread.select("kind", "grp", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "key", "label", "n", "sketch")
-    left = lots.repartition(*_LOT).sortWithinPartitions(*_LOT).mapInPandas(_undecided(blocks.t), "kind int, grp long, x int, y int, chunk int, key long, label long")
-    left = checkpointed(left.join(reps, "key"))
-    more = _texts_of(texts, left).select(*_LOT, "chunk", "key", "label", "t").repartition(*_LOT).sortWithinPartitions(*_LOT, "key")
+    hot = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "block long, key long").distinct()
+    own = pairs.filter("hot = 0").select(F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("key"))
+    members = checkpointed(own.unionByName(_looked_at(hot, classes)).distinct())
+
+    lots = _lots(members, classes, of_key, chunk, chunk_shingles)
+    left = checkpointed(lots.mapInPandas(_undecided(blocks.t), "grp long, x int, y int, side int, key long, label long").join(reps, "key"))
+    more = _texts_of(texts, left).select(*_LOT, "side", "key", "label", "t").repartition(*_LOT).sortWithinPartitions(*_LOT, "key")
     more = checkpointed(more.mapInPandas(_joining(width, blocks.t), "u long, v long").distinct())
     if not more.isEmpty():
-        joined = more.join(of_key.withColumnRenamed("key", "u").withColumnRenamed("label", "lu"), "u", "left").join(of_key.withColumnRenamed("key", "v").withColumnRenamed("label", "lv"), "v", "left")
-        joined = connected_components(joined.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
-        top = checkpointed(joined.select(F.col("node").alias("label"), F.col("label").alias("top")))
-        known = of_key.unionByName(top.select(F.col("label").alias("key"), "label")).distinct().join(top, "label", "left")
-        of_key = checkpointed(known.groupBy("key").agg(F.min(F.coalesce("top", "label")).alias("label")))
-    named = checkpointed(classes.join(of_key, "key", "left").select("key", "rep", label))
+        of_key = _joined(of_key, more)
+    named = checkpointed(classes.join(of_key, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label")))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     by_key = named.join(least, "label").select("key", "component")
     out = rows.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).join(by_key, "key", "left")
