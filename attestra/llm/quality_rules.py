@@ -2,7 +2,9 @@
 
 Word, symbol and repetition counts are array functions within the row, so texts are never shuffled. The counts of all
 documents then give, per language and source, a minimum-covariance-determinant estimate of their transformed vectors:
-concentration steps run as partial aggregates over distance bins, so a group of any size costs each task a few rows.
+concentration steps run as partial aggregates over distance bins, so a group of any size costs each task a few rows. A
+group's moments count along with those of some documents of its language, a language's with those of some of all, so that
+every pair of language and source has an estimate of its own, however few its documents are.
 """
 
 from __future__ import annotations
@@ -120,67 +122,81 @@ def _with_parameters(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFr
     return rows.join(salted, [*keys, "salt"])
 
 
-def mcd_estimates(vectors: DataFrame, steps: int = 4) -> DataFrame:
-    """Per grp, the minimum-covariance-determinant mean and factor of x0..x3 (columns grp, salt, x*).
+def _shrunk(sums: DataFrame, prior: float) -> DataFrame:
+    """Moments (grp, lang, start, n, s*, q*) with those of ``prior`` average documents of the language added, the language's
+    with those of as many of all documents."""
+    names = [c for c in sums.columns if c not in ("grp", "lang", "start")]
+    of_all = sums.groupBy("start").agg(*[(F.sum(c) / F.sum("n")).alias(f"all_{c}") for c in names])
+    of_lang = sums.groupBy("lang", "start").agg(*[F.sum(c).alias(f"lang_{c}") for c in names]).join(of_all, "start")
+    mean = [((F.col(f"lang_{c}") + prior * F.col(f"all_{c}")) / (F.col("lang_n") + prior)).alias(f"mean_{c}") for c in names]
+    return sums.join(of_lang.select("lang", "start", *mean), ["lang", "start"]).select("grp", "lang", "start", *[(F.col(c) + prior * F.col(f"mean_{c}")).alias(c) for c in names])
 
-    Two deterministic starts, the median with absolute deviations and the plain moments, are concentrated side by side;
-    each step keeps the distance bins that hold the nearest three quarters of the group. The smaller determinant wins.
+
+def mcd_estimates(vectors: DataFrame, prior: float = 200.0, tolerance: float = 1e-3) -> DataFrame:
+    """Per grp, the minimum-covariance-determinant mean and factor of x0..x3 (columns grp, lang, salt, x*).
+
+    Two deterministic starts, the language's median with absolute deviations and the group's plain moments, are concentrated
+    side by side; each step keeps the distance bins that hold the nearest three quarters of the group, and is taken where it
+    lowers the determinant. The steps end when none lowers a log-determinant by more than ``tolerance``; as those cannot
+    fall below 0, they do end. The smaller determinant wins.
     """
-    keys = ["grp", "start"]
-    med = vectors.groupBy("grp").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"c{i}") for i in range(P)])
-    off = _salted_join(vectors, med).groupBy("grp").agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5)).alias(f"a{i}") for i in range(P)])
+    keys = ["grp", "lang", "start"]
+    med = vectors.groupBy("lang").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"c{i}") for i in range(P)])
+    salted = med.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    off = vectors.join(salted, ["lang", "salt"]).groupBy("lang").agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5)).alias(f"a{i}") for i in range(P)])
     spread = [F.sqrt(F.pow(1.4826 * F.col(f"a{i}") / UNIT, 2) + 1.0) for i in range(P)]
     diagonal = [(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]
-    robust = med.join(off, "grp").select("grp", F.lit(0).alias("start"), *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(P)], *diagonal, F.lit(0.0).alias("logdet"))
-    plain = _fitted(vectors.groupBy("grp").agg(*_moments()).withColumn("start", F.lit(1)), keys, 1.0)
-    fit = checkpointed(robust.select("grp", "start", *_parameters(), "logdet").unionByName(plain))
-    for _ in range(steps):
-        near = _distance(_with_parameters(vectors, fit.drop("logdet"), ["grp"]))
+    moments = checkpointed(vectors.groupBy("grp", "lang").agg(*_moments()))
+    robust = moments.select("grp", "lang").join(med.join(off, "lang"), "lang").select("grp", "lang", F.lit(0).alias("start"), *[(F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(P)], *diagonal)
+    plain = _fitted(_shrunk(moments.withColumn("start", F.lit(1)), prior), keys, 1.0).select(*keys, *_parameters())
+    fit = checkpointed(robust.unionByName(plain).withColumn("logdet", F.lit(float("inf"))))
+    while True:
+        near = _distance(_with_parameters(vectors, fit.drop("logdet", "lang", "fell"), ["grp"]))
         bins = near.groupBy(*keys, F.floor(BINS * F.log1p("d2")).alias("bin")).agg(*_moments())
         until, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
         bins = bins.withColumn("before", F.sum("n").over(until) - F.col("n")).withColumn("of", F.sum("n").over(whole))
-        inner = bins.filter(F.col("before") < H_SHARE * F.col("of")).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in bins.columns if c[0] in "nsq" and c != "start"])
-        fit = checkpointed(_fitted(inner, keys, CONSISTENCY))
-    return fit.groupBy("grp").agg(F.min_by(F.struct(*_parameters()), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
-
+        inner = bins.filter(F.col("before") < H_SHARE * F.col("of")).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in moments.columns if c not in keys])
+        new = _fitted(_shrunk(inner, prior), keys, CONSISTENCY)
+        old = fit.select(*keys, *[F.col(c).alias(f"old_{c}") for c in [*_parameters(), "logdet"]])
+        better = F.col("logdet") < F.col("old_logdet")
+        taken = [F.when(better, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in [*_parameters(), "logdet"]]
+        fit = checkpointed(new.join(old, keys).select(*keys, *taken, F.when(better, F.col("old_logdet") - F.col("logdet")).otherwise(0.0).alias("fell")))
+        if (fit.agg(F.max("fell")).first()[0] or 0.0) <= tolerance:
+            return fit.groupBy("grp").agg(F.min_by(F.struct(*_parameters()), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
 
-def _salted_join(rows: DataFrame, small: DataFrame) -> DataFrame:
-    return _with_parameters(rows, small, ["grp"])
 
-
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 40.0, least_group: int = 50, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = 4.3e-8, prior: float = 200.0, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """Statistics of every text, the base rules' verdict and that of the robust outlier rule.
 
-    Returns id_col, the five counts, base_failed, grp, d2 and kept. Documents that pass the base rules are grouped by
-    language and source; groups under ``least_group`` are pooled by language, and pools still under it together; a last
-    pool under it gives no estimate, and its documents are kept. Rejected are those whose squared distance exceeds
-    ``cutoff``. Null texts have no words and fail the base rules; null languages and sources are groups of their own;
-    repeated rows are judged alike; an empty table gives no rows; other columns are not read.
+    Returns id_col, the five counts, base_failed, grp, distance2 and kept. Documents that pass the base rules are grouped by
+    language and source; a group's estimate leans on its language's by the weight of ``prior`` documents, some fifteen for each of the 14
+    numbers of an estimate, so that a few junk documents do not make a small group's rule. Rejected are those
+    farther out than all but the share ``tail`` of normal vectors: of 10^8 clean documents four would go, and statistics of
+    real texts have longer tails than normal ones. Null texts have no words and fail the base rules; null languages and
+    sources are groups of their own; repeated rows are judged alike; an empty table gives no rows; other columns are not read.
     """
     stats = word_statistics(df, [id_col, lang_col, source_col], text_col).toDF("id", "lang", "src", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    known = checkpointed(stats.withColumn("base_failed", failed))
-    passed = known.filter(~F.col("base_failed"))
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    fine, by_lang = F.concat_ws("\u0000", F.lit("source"), named("lang"), named("src")), F.concat_ws("\u0000", F.lit("lang"), named("lang"))
-    sizes = passed.groupBy(fine.alias("fine"), by_lang.alias("coarse")).agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < least_group
-    pooled = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("coarse"))
-    group = F.when(~small, F.col("fine")).when(pooled >= least_group, F.col("coarse")).otherwise("all")
-    groups = checkpointed(sizes.select("fine", group.alias("grp"), "n"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    rows = known.withColumn("fine", F.when(~F.col("base_failed"), fine)).withColumn("salt", salt)
-    salted = groups.select("fine", "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.join(salted, ["fine", "salt"], "left").drop("fine")
-    rows = checkpointed(rows.select("*", *transformed()))
-    enough = groups.groupBy("grp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_group).select("grp")
-    vectors = rows.filter("grp is not null").select("grp", "salt", *[f"x{i}" for i in range(P)])
-    fit = checkpointed(mcd_estimates(vectors).join(enough, "grp", "left_semi"))
+    group = F.concat_ws("\u0000", named("lang"), named("src"))
+    rows = stats.withColumn("base_failed", failed).withColumn("grp", F.when(~failed, group)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    rows = checkpointed(rows.withColumn("lang", named("lang")).drop("src").select("*", *transformed()))
+    vectors = rows.filter("grp is not null").select("grp", "lang", "salt", *[f"x{i}" for i in range(P)])
+    fit = mcd_estimates(vectors, prior)
     judged = _distance(rows.join(fit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], "left"))
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > chi_square_cutoff(tail), F.lit(False))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.replace("grp", F.lit("\u0000"), F.lit(" ")).alias("grp"), F.col("d2").alias("distance2"), kept.alias("kept"))
 
 
 def chi_square_tail(d2: float) -> float:
-    """Probability that a normal vector of 4 dimensions lies farther than d2 (for choosing a cutoff)."""
+    """Probability that a normal vector of 4 dimensions lies farther than d2."""
     return math.exp(-d2 / 2) * (1 + d2 / 2)
+
+
+def chi_square_cutoff(tail: float) -> float:
+    """The squared distance that the share ``tail`` of normal vectors exceeds, by bisection."""
+    low, high = 0.0, 1e4
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_tail(middle) > tail else (low, middle)
+    return high
