@@ -2,8 +2,9 @@
 
 Rules decide the urls that they fit. The verdict on all others is their host's: personalised PageRank carries trust from
 hosts whose pages rules allow along the host edges, and distrust from hosts whose pages rules block against them; a host
-whose distrust exceeds its trust by a factor is blocked. Edges are the links between hosts, and those between a host and
-its parent domain, which make subdomains of a blocked domain neighbours even where pages link within their site only.
+whose distrust exceeds its trust by a factor is blocked. Edges are the links between hosts, relative ones by the page's
+base, and those between a host and its parent domain where that has pages too, which make subdomains of a blocked domain
+neighbours even where pages link within their site only.
 """
 
 from __future__ import annotations
@@ -40,39 +41,62 @@ def parent_host(host: Column) -> Column:
     return F.when(F.size(F.split(host, "\\.")) > 2, F.regexp_replace(host, "^[^.]*\\.", ""))
 
 
-def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Edges (src, dst, n) between different hosts of pages (host, html): absolute links, and host and parent both ways."""
-    links = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^\s"'<>]+)"""), F.lit(1))
-    linked = pages.select(F.col("host").alias("src"), F.explode(links).alias("to"))
-    to = F.translate(F.regexp_extract("to", "(?i)^(?:https?:)?//([^/?#]*)", 1), UPPER, LOWER)
-    linked = linked.select("src", to.alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+def _absolute_host(url: Column) -> Column:
+    """The lower-cased host of an absolute http link, else an empty text."""
+    return F.translate(F.regexp_extract(url, "(?i)^(?:https?:)?//([^/?#]*)", 1), UPPER, LOWER)
+
+
+def host_edges(pages: DataFrame, html_col: str = "html", parent_weight: int = 1) -> DataFrame:
+    """Edges (src, dst, n) between different hosts of pages (host, html): links, and host and parent both ways.
+
+    Relative links lead to the host of the page's ``<base>``, else stay on its own. A parent counts, ``parent_weight`` links,
+    only where it is a page's host itself, so that no public suffix joins its sites.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^\s"'<>]+)"""), F.lit(1))
+    base = _absolute_host(F.regexp_extract(html, r"""(?is)<base\s[^>]*?href\s*=\s*["']?([^\s"'<>]+)""", 1))
+    linked = pages.select(F.col("host").alias("src"), base.alias("base"), F.explode(links).alias("to"))
+    relative = ~F.col("to").rlike("(?i)^(?:[a-z][a-z0-9+.-]*:|//)")
+    to = F.when(relative, F.when(F.col("base") != "", F.col("base")).otherwise(F.col("src"))).otherwise(_absolute_host(F.col("to")))
+    linked = linked.select("src", to.alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), parent_host(F.col("host")).alias("dst"), F.lit(1).cast("long").alias("n"))
+    up = hosts.select(F.col("host").alias("src"), parent_host(F.col("host")).alias("dst"), F.lit(parent_weight).cast("long").alias("n"))
+    up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
     both = linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     return both.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """Personalised PageRank of seeds (kind, host, seed) over edges (kind, src, dst, n), each kind a graph of its own.
 
-    Returns (kind, host, score). Seeds and weights are normalised within their kind and source; the mass of a host without
-    edges ends there. Edges and scores are combined per host before each shuffle.
+    Returns (kind, host, score); the scores of a kind sum to 1. Seeds and weights are normalised within their kind and
+    source. The mass of hosts without edges goes back to the seeds, by way of an empty host that all of them lead to. Edges
+    and scores are combined per host before each shuffle. The rounds end when five of them change the scores of a kind by no
+    more than ``tolerance`` in all, as they do sooner or later because each shrinks the change by ``damping``.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    step = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("w")))
+    step = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("w"))
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
     start = checkpointed(seeds.join(total, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")))
-    score = start.select("kind", "host", F.col("seed").alias("score"))
-    for k in range(rounds):
+    ends = edges.select("kind", F.col("dst").alias("host")).unionByName(start.select("kind", "host")).distinct().join(out.select("kind", F.col("src").alias("host")), ["kind", "host"], "left_anti")
+    back = ends.select("kind", "host", F.lit("").alias("dst"), F.lit(1.0).alias("w"))
+    step = checkpointed(step.unionByName(back).unionByName(start.select("kind", F.lit("").alias("host"), F.col("host").alias("dst"), (F.col("seed") / damping).alias("w"))))
+    score, before, k = start.select("kind", "host", F.col("seed").alias("score")), start.select("kind", "host", F.col("seed").alias("score")), 0
+    while True:
         moved = score.join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
         again = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
         score = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 5 == 4 or k == rounds - 1:
+        k += 1
+        if k % 5 == 0:
             score = checkpointed(score)
-    return score
+            change = score.select("*", F.lit(1).alias("sign")).unionByName(before.select("*", F.lit(-1).alias("sign"))).groupBy("kind", "host").agg(F.sum(F.col("sign") * F.col("score")).alias("by"))
+            most = change.groupBy("kind").agg(F.sum(F.abs("by")).alias("by")).agg(F.max("by")).first()[0]
+            if most is None or most <= tolerance:
+                return score.filter("host <> ''")
+            before = score
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", factor: float = 1.0, rounds: int = 10) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", factor: float = 1.0, parent_weight: int = 1) -> DataFrame:
     """id_col, host, path, rule, verdict, trust and distrust (of the host) of every page.
 
     Seeds are weighted by the pages that a rule decides. Hosts that neither score reaches are allowed, and so are null urls
@@ -82,11 +106,11 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
     host, path = host_and_path(F.col("url"))
     seen = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), "html")
     ruled = seen.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
-    edges = checkpointed(host_edges(seen))
+    edges = checkpointed(host_edges(seen, parent_weight=parent_weight))
     graph = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     judged = ruled.select("id", "host", "path", "r").filter("r is not null")
     seeds = judged.groupBy(F.when(F.col("r.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).cast("double").alias("seed"))
-    score = propagated(graph, seeds, rounds)
+    score = propagated(graph, seeds)
     by_host = score.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     salts = 32  # one host may have a third of the pages
     by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
