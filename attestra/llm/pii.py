@@ -3,7 +3,7 @@
 Entities of a text (e-mail addresses, phone numbers, card numbers, IPv4 addresses, secrets, named persons) are replaced by
 keyed surrogates of the same kind and format. Strings are enciphered in place: a keyed permutation of all strings with the
 same shape (letters of the same alphabet and case, digits), so different entities get different surrogates and the same
-entity the same one everywhere. Names are drawn from lists of the same gender and script.
+entity the same one everywhere. Names are drawn from lists of the same gender and script, then composed of its syllables.
 
 Two passes: the first lists the distinct entities, and a Spark job checks their surrogates (two entities with one surrogate,
 a surrogate that is itself an entity of the corpus, or the entity unchanged) and keys the offenders anew until none is left;
@@ -24,15 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 
-_EMAIL = re.compile(r"[^\W_](?:[\w.+%-]{0,62}[^\W])?@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.)+[^\W\d_]{2,24}")
+#: From the at sign on; labels and the top domain have the lengths that domain names allow.
+_AT_DOMAIN = re.compile(r"@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,63}")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
 _SECRET = re.compile(
     r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)"
-    r"|(?i:(?<![^\W_])(?:token|password|passwd|pass|secret|api[_-]?key|access[_-]?key|key)(?!\w))[\"']?\s?[=:]\s?[\"']?(?P<value>(?=[A-Za-z_/+-]*\d)[\w/+=.-]{8,200})"
+    r"|(?i:(?<![^\W_])(?:token|password|passwd|pass|secret|api[_-]?key|access[_-]?key|key)(?!\w))[\"']?\s?[=:]\s?[\"']?(?P<value>(?=[A-Za-z_/+-]*\d)[\w/+=.-]{8,})"
 )
 #: Titles that announce a person, by gender and script.
 TITLES = {
@@ -60,10 +61,13 @@ _LISTED = {n: gender_script for gender_script, names in GIVEN.items() for n in n
 GIVEN |= {("u", script): f"{GIVEN['f', script]} {GIVEN['m', script]}" for script in FAMILY}
 #: Every title contains one of these.
 _TITLE_HINTS = ["Dr", "Prof", "Doctor", "Doktor", "октор", "рофессор", "Mr", "Ms", "Mme", "Mlle", "Mad", "Miss", "Mons", "Frau", "Herr", "Sir", "Señ", "Sr", "Sig", "оспо"]
-_WORD = r"[^\W\d_]{2,30}"
+_WORD = r"[^\W\d_]{2,}"
 _TITLE = "|".join(sorted(_TITLED, key=len, reverse=True))
 _NAME = rf"{_WORD}(?:-{_WORD})?"
-_PERSON = re.compile(rf"(?<!\w)(?P<titles>(?:(?:{_TITLE})\.?[ \xa0])+)(?P<names>{_NAME}(?: {_NAME})?)(?!\w)")
+#: A name that does not begin with a small letter.
+_CAPITAL = rf"(?=[^\W\d_a-zß-öø-ÿа-яё]){_NAME}"
+#: After titles: one word and any number of capitalised ones, or one of any kind.
+_PERSON = re.compile(rf"(?<!\w)(?P<titles>(?:(?:{_TITLE})\.?[ \xa0])+)(?P<names>{_NAME}(?:(?: {_CAPITAL})+| {_NAME})?)(?!\w)")
 #: No look-behind, so that the scan goes by first letters.
 _UNTITLED = re.compile(rf"(?P<names>(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})(?:-{_WORD})? {_NAME})(?!\w)")
 _NEXT_NAME = re.compile(rf" ({_NAME})(?!\w)")
@@ -74,6 +78,12 @@ _SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51
 _PLACE = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
 
 
+#: Attempts that take a name from the lists, and what names are composed of beyond: heads and hearts of syllables, and ends.
+_LISTED_NAMES = 2
+_SYLLABLES = {
+    "latin": ("b br c d f g gr h j k l m n p r s st t tr v w".split(), "a e i o u ai ei".split(), "n r l s t ner man berg son ton".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у я".split(), "в н р ев ов ин ский ко".split()),
+}
 #: Attempts that keep an entity's format; those beyond generate a value of its kind, so that every entity gets one.
 _FORMATTED = 16
 #: Classes of other characters: CJK and Hangul whole, else blocks of the first width, merged to the next where small.
@@ -215,6 +225,17 @@ def _generated(key: bytes, kind: str, entity: str, attempt: int) -> str:
     return "".join(letters[x // len(letters) ** i % len(letters)] for i in range(16)).title()
 
 
+def _composed(x: int, script: str, syllables: int) -> str:
+    """A name of syllables of the script, for more names than the lists have."""
+    heads, hearts, tails = _SYLLABLES[script]
+    out = ""
+    for _ in range(syllables):
+        x, h = divmod(x, len(heads))
+        x, v = divmod(x, len(hearts))
+        out += heads[h] + hearts[v]
+    return (out + tails[x % len(tails)]).title()
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The surrogate of a canonical entity; ``attempt`` keys it anew."""
@@ -236,14 +257,27 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind.startswith("given-") or kind.startswith("family-"):
         what, *rest = kind.split("-")
         names = (GIVEN[tuple(rest)] if what == "given" else FAMILY[rest[0]]).split()
-        if attempt < 8:  # beyond, and so for more names than the list has, a permutation of the name's own shape
-            return names[int.from_bytes(hashlib.blake2b(f"{tweak}|{entity}".encode(), key=key, digest_size=8).digest(), "big") % len(names)]
-        return enciphered(key, tweak, entity)
+        x = int.from_bytes(hashlib.blake2b(f"{tweak}|{entity}".encode(), key=key, digest_size=16).digest(), "big")
+        return names[x % len(names)] if attempt < _LISTED_NAMES else _composed(x, rest[-1], 3 + attempt // 8)
     if kind == "secret" and entity.startswith(("AKIA", "ghp_")):
         return entity[:4] + enciphered(key, tweak, entity[4:])
     return enciphered(key, tweak, entity)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the e-mail addresses. A local part is read backwards from its at sign, so it may have any length."""
+    last = 0
+    for m in _AT_DOMAIN.finditer(text):
+        start = m.start()
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        if start < m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            yield start, m.end()
+            last = m.end()
+
+
 def _valid_card(text: str) -> bool:
     digits = re.sub(r"\D", "", text)
     return 13 <= len(digits) <= 19 and luhn_sum(digits) == 0 and len(set(digits)) > 1
@@ -303,9 +337,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         if (at == 0 or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
             found.insert(at, (start, end, kind, entity))
 
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(*m.span(), "email", m[0].lower())
+    for start, end in _emails(text) if "@" in text else ():
+        add(start, end, "email", text[start:end].lower())
     if "=" in text or ":" in text or "AKIA" in text or "ghp_" in text:
         for m in _SECRET.finditer(text):
             at = m.span("value") if m["value"] else m.span()
@@ -373,7 +406,7 @@ def _collisions(found: DataFrame, key: bytes) -> DataFrame:
         judged = named.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
         bad = (F.col("first.entity") != F.col("entity")) | F.coalesce("real", F.lit(False))
         # a list of names is short and its names occur in texts; there only distinct surrogates are asked for, up to its end
-        bad = F.when(F.col("kind").rlike("^(given|family)") & (F.col("attempt") < 8), (F.col("first.entity") != F.col("entity")) | (F.col("new") == F.col("own"))).otherwise(bad)
+        bad = F.when(F.col("kind").rlike("^(given|family)") & (F.col("attempt") < _LISTED_NAMES), (F.col("first.entity") != F.col("entity")) | (F.col("new") == F.col("own"))).otherwise(bad)
         judged = checkpointed(judged.select("kind", "entity", "attempt", bad.alias("bad")))
         if judged.filter("bad").isEmpty():
             return judged.filter("attempt > 0").select("kind", "entity", "attempt")
@@ -429,12 +462,13 @@ def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", id_col: str
             rows = [replaced(t, {(x["kind"], x["entity"]): x["attempt"] for x in (a if a is not None else [])}) for t, a in zip(texts, lists, strict=True)]
             return pd.DataFrame(rows, columns=["text", "n_entities", "spans"])
 
+        th_name, again_name = free_name(df, "text_hash"), free_name(df, "again")
         pairs = df.select(F.xxhash64(F.col(text_col)).alias("th"), F.explode(mentions(F.col(text_col))).alias("m")).select("th", "m.*").distinct()
-        by_text = pairs.join(again, ["kind", "entity"]).groupBy("th").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("again__"))
-        own = df.withColumn("th__", F.xxhash64(F.col(text_col))).join(by_text.withColumnRenamed("th", "th__"), "th__", "left").drop("th__")
-        new = replace_with(F.col(text_col), F.col("again__"))
+        by_text = pairs.join(again, ["kind", "entity"]).groupBy("th").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(again_name))
+        own = df.withColumn(th_name, F.xxhash64(F.col(text_col))).join(by_text.withColumnRenamed("th", th_name), th_name, "left").drop(th_name)
+        new = replace_with(F.col(text_col), F.col(again_name))
     taken = {c.lower() for c in df.columns}
-    s_name = "s__" if "s__" not in taken else "s____"
+    s_name = free_name(own, "replaced")
     out = own.withColumn(s_name, new)
     kept = [F.col(f"{s_name}.text").alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in df.columns]
     more = [F.col(f"{s_name}.{c}").alias(c) for c in ("n_entities", "spans") if c not in taken]

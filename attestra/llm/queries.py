@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from . import mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, tiff, token_counts, url_filters, warc
 from .common import shared_dir
 
-#: The key of the surrogates; a deployment passes its own secret to ``pii.pseudonymised``.
-PII_KEY = b"attestra surrogates"
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates, from the session's ``attestra.pii.key`` (at most 64 bytes); unset, as in tests, a known one."""
+    return spark.conf.get("attestra.pii.key", "attestra surrogates").encode()
 
 
 def _tokenizer(name: str) -> str:
@@ -84,7 +85,7 @@ def op8_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with its personal data replaced."""
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the new text."""
-    replaced = pii.pseudonymised(docs, queries.PII_KEY).select(*docs.columns)
+    replaced = pii.pseudonymised(docs, queries.pii_key(spark)).select(*docs.columns)
     return replaced.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else replaced
 
 
