@@ -205,11 +205,17 @@ def pages(data: bytes) -> Iterator[Page]:
         bits, scheme, predictor, kind = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(SAMPLE_FORMAT, 1)
         if len(set(tags.get(BITS, (bits,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
             raise ValueError("samples of mixed or odd sizes are not supported")
+        if not (width and height and per and width > 0 and height > 0 and per > 0):
+            raise ValueError("no size")
         tiled = TILE_OFFSETS in tags
-        tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height) or 1)
+        tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+        if not (tw and th and tw > 0 and th > 0):
+            raise ValueError("strips or tiles of no size")
         offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags.get(STRIP_BYTES))
         planes, inside = (per, 1) if one(PLANAR, 1) == 2 else (1, per)
         across, down = -(-width // tw), -(-height // th)
+        if len(offsets) != planes * across * down or sizes and len(sizes) != len(offsets):
+            raise ValueError(f"{len(offsets)} strips or tiles where {planes * across * down} are due")
         out = None
         for k, at in enumerate(offsets):
             plane, place = divmod(k, across * down)
@@ -218,7 +224,7 @@ def pages(data: bytes) -> Iterator[Page]:
             raw = _decompressed(scheme, data[at : at + sizes[k]] if sizes else data[at:], rows * -(-tw * inside * bits // 8))
             block = _block(raw, order, rows, tw, inside, bits, kind, predictor)
             if out is None:
-                if len(offsets) == 1 and not tiled and planes == 1:
+                if len(offsets) == 1 and not tiled:
                     out = block
                     break
                 out = np.zeros((height, width, per), dtype=block.dtype.newbyteorder("="))
@@ -283,16 +289,22 @@ def text_payload(text: str | bytes | None) -> tuple[int, bytes]:
     return len(data), data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
 
 
+#: How a payload may be stored: compression, predictor, tile size and rows of a strip.
+LAYOUTS = [(DEFLATE, 2, None, 0), (DEFLATE, 2, 64, 0), (PACKBITS, 1, None, 256), (LZW, 2, None, 256)]
+
+
 def stored(payload: bytes, page_rows: int = 1 << 16) -> bytes:
-    """A payload as grey pages 64 samples wide, of at most ``page_rows`` rows."""
+    """A payload as grey pages 64 samples wide, of at most ``page_rows`` rows, in the layout that its hash picks."""
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 64)
-    return encoded([image[y : y + page_rows] for y in range(0, len(image), page_rows)])
+    compression, predictor, tile, strip_rows = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return encoded([image[y : y + page_rows] for y in range(0, len(image), page_rows)], compression, predictor, tile, strip_rows)
 
 
 def page_rows(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page of the TIFF in ``media_col``: id_col, page, width, height, bits, compression, predictor, samples
     (bytes, rows of pixels of samples, native order) and ahash (of the first sample). Null media have no pages; media that
-    are not TIFF or damaged give one row with page null and the reason in ``error``."""
+    are not TIFF or damaged in any way give one row with page null and the reason in ``error``. Repeated rows and null ids are
+    kept; an empty table gives no rows; other columns are not read."""
     kind = df.schema[id_col].dataType.simpleString()
     fields = f"k {kind}, page int, width int, height int, bits int, compression int, predictor int, samples binary, ahash string, error string"
     names = [x.split()[0] for x in fields.split(", ")]
@@ -307,7 +319,7 @@ def page_rows(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     for p in pages(media):
                         grey = p.samples[:, :, 0]
                         rows.append((key, p.index, p.width, p.height, p.bits, p.compression, p.predictor, p.samples.tobytes(), average_hash(grey) if grey.size else None, None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except Exception as e:  # whatever a damaged file leads to is that file's row
                     rows = [(key, *[None] * 8, f"{type(e).__name__}: {e}"[:200])]
                 frame = pd.DataFrame(rows, columns=names)
                 yield frame.astype({c: "Int64" for c in names[1:7]})
