@@ -59,17 +59,16 @@ def parsed_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def archive_bytes(records: list[bytes], dictionary_bytes: int = 64 << 10, level: int = 3) -> bytes:
-    """An archive of these records. Without enough material for a dictionary the leading frame is empty and none is used."""
+    """An archive of these records. Where they are too few or too alike to train a dictionary, the beginning of the first
+    ones is the dictionary, as raw content."""
     import zstandard as zstd
 
-    dictionary = b""
-    size = min(dictionary_bytes, sum(map(len, records)) // 20)
-    if size >= 1024 and len(records) >= 10:
-        try:
-            dictionary = zstd.train_dictionary(size, records, k=256, d=8, f=18, accel=4, level=level).as_bytes()
-        except zstd.ZstdError:  # too little in common
-            dictionary = b""
-    options = {"dict_data": zstd.ZstdCompressionDict(dictionary)} if dictionary else {}
+    size = max(512, min(dictionary_bytes, sum(map(len, records)) // 20))
+    try:
+        dictionary = zstd.train_dictionary(size, records, k=256, d=8, f=18, accel=4, level=level).as_bytes()
+    except zstd.ZstdError:  # too little material
+        dictionary = b"".join(r[:size] for r in records[:8])[:size]
+    options = {"dict_data": zstd.ZstdCompressionDict(dictionary)} if dictionary else {}  # none only where there is no record
     compressor = zstd.ZstdCompressor(level=level, write_checksum=True, write_content_size=True, **options)
     head = DICTIONARY_MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary
     return head + b"".join(compressor.compress(r) for r in records)
@@ -131,8 +130,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """Writes every page to an archive in ``folder`` (default: a new one in the shared folder) and returns the manifest
     (path, records, bytes, dictionary bytes), already computed.
 
-    Null payloads and urls are empty; rows of one id are records of one page, of which the first met is the response and
-    others with an equal payload revisit it; an empty table writes nothing; other columns are not read. Archives are closed
+    Null payloads and urls are empty; rows of one id are records of one page: they share its record id, and
+    each of them with the response's payload is a response; an empty table writes nothing; other columns are not read. Archives are closed
     at about ``archive_size`` bytes of records, so a task holds one at a time.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
@@ -193,7 +192,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def read_back(manifest: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is that of its response."""
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is that of its response.
+
+    Records of one page stay rows of their own; an empty manifest gives no rows; pages of null id have a null page_id.
+    """
     records = read_archives(manifest).select("page_id", "record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
     records = checkpointed(records)
     target = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct("page_id", "bytes", "digest")).alias("r"))
