@@ -16,15 +16,15 @@ def _with_least(edges: DataFrame, both_ways: bool) -> DataFrame:
     return edges.join(least, "u")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); the label is the least node of the component.
 
     Minima are combined before the shuffle and stars are joined back by node, so a hub's neighbours never meet in one
-    task. Nulls must not occur; loops and repeated edges do no harm; no edges give no rows. Raises if the stars have not
-    settled after ``most_rounds`` rounds (the rounds grow with the logarithm of the longest path).
+    task. Nulls must not occur; loops and repeated edges do no harm; no edges give no rows. The rounds end when the stars
+    have settled, after a number that grows with the logarithm of the longest path.
     """
     stars = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(most_rounds):
+    while True:
         big = _with_least(stars, both_ways=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _with_least(big, both_ways=False)  # every u > v here
         new = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
@@ -36,4 +36,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if open_.isEmpty():
             leaf = stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return leaf.unionByName(leaf.select(F.col("label").alias("node"), "label").distinct())
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")

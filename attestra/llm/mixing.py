@@ -10,11 +10,12 @@ No window is wider than about the square root of a source.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words_of
+from .common import checkpointed, free_name, words_of
 
 SALTS = 32
 
@@ -41,7 +42,8 @@ def _profile(sources: DataFrame, whole: int, exponents: list[float]) -> list[tup
 def bisected_exponent(sources: DataFrame, whole: int, budget: int, entropy_share: float | None = None, max_repetition: float | None = None, ways: int = 16, rounds: int = 6) -> float:
     """The exponent in [0, 1]: the smallest that keeps every source within ``max_repetition`` passes, and at which the entropy
     is not above ``entropy_share`` of that of equal shares. Both conditions hold from some exponent on, so each round keeps
-    the one of ``ways`` parts of the bracket where they begin to (``ways`` = 2 is plain bisection). If they hold nowhere, 1."""
+    the one of ``ways`` parts of the bracket where they begin to (``ways`` = 2 is plain bisection). If they hold nowhere, 1, with
+    a warning."""
     many = sources.count()
     most = None if entropy_share is None else entropy_share * math.log(many)
     fine = lambda h, r: (most is None or h <= most + 1e-12) and (max_repetition is None or r * budget / whole <= max_repetition + 1e-12)
@@ -52,6 +54,9 @@ def bisected_exponent(sources: DataFrame, whole: int, budget: int, entropy_share
     for _ in range(rounds):
         points = [low + (high - low) * i / ways for i in range(1, ways)]
         held = [x for x, h, r in _profile(sources, whole, points) if fine(h, r)]
+        if high == 1.0 and not held and not fine(*_profile(sources, whole, [1.0])[0][1:]):
+            warnings.warn("no exponent meets the limits of the mixture: sources keep their shares", stacklevel=2)
+            return 1.0
         high = min(held, default=high)
         low = max([low, *[x for x in points if x < high]])
     return high
@@ -113,7 +118,12 @@ def mixture(df: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: s
 
 
 def mixed(df: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """``df`` with each row as often as it is drawn (see ``mixture``). Texts are shuffled once, by id and source."""
-    draws = mixture(df, tokens, id_col, source_col, **options).groupBy(F.col(id_col).alias("u__"), _source_key(source_col).alias("s__")).agg(F.count(F.lit(1)).cast("int").alias("n__"))
-    joined = df.withColumn("k__", _source_key(source_col)).join(draws, F.col(id_col).eqNullSafe(F.col("u__")) & (F.col("k__") == F.col("s__")))
-    return joined.withColumn("i__", F.explode(F.sequence(F.lit(1), F.col("n__")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    """``df`` with each row as often as it is drawn (see ``mixture``). Texts are shuffled once, by id and source.
+
+    Rows that share id and source are drawn together, null ids and sources like any other; sources without any tokens give
+    no rows, nor does an empty table; all other columns pass through, whatever their names.
+    """
+    own, uid, src, many, at = (free_name(df, c) for c in ("own_source", "drawn_id", "drawn_source", "drawn_times", "drawn_at"))
+    draws = mixture(df, tokens, id_col, source_col, **options).groupBy(F.col(id_col).alias(uid), _source_key(source_col).alias(src)).agg(F.count(F.lit(1)).cast("int").alias(many))
+    joined = df.withColumn(own, _source_key(source_col)).join(draws, F.col(id_col).eqNullSafe(F.col(uid)) & (F.col(own) == F.col(src)))
+    return joined.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -181,7 +181,7 @@ def _rows(kind: int, **columns) -> pd.DataFrame:
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 25) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 24) -> Iterator[pd.DataFrame]:
     """The batches cut into slices of at most so many rows, and of so many bytes of text or one row's more."""
     for batch in batches:
         at = np.cumsum([0 if t is None else len(t) for t in batch["t"].array]) // size
@@ -211,7 +211,7 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
             size_of = dict(zip(keys, sizes, strict=True))
             known = sorted(sigs)  # a class goes by its place among the slice's until its key is shipped
             sig = np.concatenate([np.empty(0, dtype=np.uint64), *(sigs[k] for k in known)])
-            key = np.repeat(np.arange(len(known)), [len(sigs[k]) for k in known])
+            key = np.repeat(np.arange(len(known), dtype=np.int32), [len(sigs[k]) for k in known])
             del sigs
             sig, key, first, size = _meeting(_fingerprints(sig, shards), key)
             many = np.bincount(2 * key + (sig & np.uint64(1)).astype(np.int64), minlength=2 * len(known)).tolist()
@@ -491,7 +491,7 @@ def _joined(of_key: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(known.groupBy("key").agg(F.min(F.coalesce("top", "label")).alias("label")))
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 1024, chunk_shingles: int = 8_000_000) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, width: int = 5, entries_per_shard: int = 1_000_000, chunk: int = 1024, chunk_shingles: int = 2_000_000) -> DataFrame:
     """Per row: id_col, n_shingles, class_key (of its shingle set) and component_id, the smallest id reachable by links.
 
     Sets are those of the distinct ``width``-word shingles of the whole lower-cased (A-Z) text; a text of fewer words is one

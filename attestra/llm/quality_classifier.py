@@ -186,7 +186,8 @@ def _columns(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, pool: int = 4000, **options) -> CoTrained | None:
-    """Co-trained models from about ``sample`` labelled and ``pool`` further documents (the documented bounds of the fit).
+    """Co-trained models from about ``sample`` labelled and ``pool`` further documents (the documented bounds of the fit; the
+    further ones are the pool of unlabelled examples that the published method draws its pseudo-labels from).
 
     Rows are drawn by a hash of the id, at a rate that gives the bound for any number of rows. Null labels and ids are left
     out; of contradicting labels of one id the smaller counts. Returns None where the sample lacks one of the classes.
@@ -202,6 +203,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if any(len(set(y[at])) < 2 for at in (held, ~held)):
         return None
     further = texts.filter(F.col("id").isNotNull() & drawn("id", pool, docs.select(F.count(F.lit(1))).first()[0], "pool"))
+    further = further.join(own, F.col("id") == F.col("lid"), "left_anti")  # calibration rows must stay unseen
     pool_a, pool_b, _, _ = _sampled_features(further.withColumn("y", F.lit(0.0)))
     return co_train(a, b, y, pool_a, pool_b, held, **options)
 
