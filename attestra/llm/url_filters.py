@@ -66,7 +66,7 @@ def host_edges(pages: DataFrame, html_col: str = "html", parent_weight: int = 1)
     return both.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, edges_per_part: int = 200_000) -> DataFrame:
     """Personalised PageRank of seeds (kind, host, seed) over edges (kind, src, dst, n), each kind a graph of its own.
 
     Returns (kind, host, score); the scores of a kind sum to 1. Seeds and weights are normalised within their kind and
@@ -74,18 +74,19 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolera
     and scores are combined per host before each shuffle. The rounds end when five of them change the scores of a kind by no
     more than ``tolerance`` in all, as they do sooner or later because each shrinks the change by ``damping``.
     """
+    parts = 1 + edges.count() // edges_per_part  # as many partitions in each round as the edges fill, not one for each task of the pages
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     step = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("w"))
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
-    start = checkpointed(seeds.join(total, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")))
+    start = checkpointed(seeds.join(total, "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")).coalesce(parts))
     ends = edges.select("kind", F.col("dst").alias("host")).unionByName(start.select("kind", "host")).distinct().join(out.select("kind", F.col("src").alias("host")), ["kind", "host"], "left_anti")
     back = ends.select("kind", "host", F.lit("").alias("dst"), F.lit(1.0).alias("w"))
-    step = checkpointed(step.unionByName(back).unionByName(start.select("kind", F.lit("").alias("host"), F.col("host").alias("dst"), (F.col("seed") / damping).alias("w"))))
+    step = checkpointed(step.unionByName(back).unionByName(start.select("kind", F.lit("").alias("host"), F.col("host").alias("dst"), (F.col("seed") / damping).alias("w"))).coalesce(parts))
     score, before, k = start.select("kind", "host", F.col("seed").alias("score")), start.select("kind", "host", F.col("seed").alias("score")), 0
     while True:
         moved = score.join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
         again = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-        score = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(parts)
         k += 1
         if k % 5 == 0:
             score = checkpointed(score)
