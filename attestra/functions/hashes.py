@@ -43,9 +43,9 @@ def ladder(c: Column, steps: list[tuple[float, str]], rest: str, at_most: bool =
 
 #: Distance and similarity ladders.
 IMAGE_STEPS = [(0, "Identical"), (5, "Nearly identical"), (10, "Very similar"), (15, "Similar"), (20, "Somewhat similar")]
-AUDIO_STEPS = [(100, "Identical audio"), (95, "Nearly identical"), (90, "Very similar"), (85, "Similar"), (70, "Somewhat similar")]
-BAND_STEPS = [(0.95, "very_high"), (0.85, "high"), (0.75, "medium")]
-MATCH_STEPS = [(0.98, "exact"), (0.90, "near_duplicate"), (0.80, "similar")]
+AUDIO_STEPS = [(100, "Identical"), (95, "Nearly Identical"), (90, "Very Similar"), (85, "Similar"), (70, "Somewhat Similar")]
+BAND_STEPS = [(0.95, "very-high"), (0.85, "high"), (0.75, "medium")]
+MATCH_STEPS = [(0.98, "exact-duplicate"), (0.90, "near-duplicate"), (0.80, "similar")]
 FRAME_STEPS = [(8, "match"), (16, "weak")]
 
 
@@ -71,7 +71,7 @@ def similarity_band(s: Column) -> Column:
 
 def match_type(s: Column) -> Column:
     """FN-6, type."""
-    return ladder(s, MATCH_STEPS, "related")
+    return ladder(s, MATCH_STEPS, "possible-match")
 
 
 def positional_equal(a: Column, b: Column) -> Column:

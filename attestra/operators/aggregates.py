@@ -58,7 +58,7 @@ def video_verdict(frames: DataFrame) -> DataFrame:
     suspicious = F.col("likely") | (F.col("ai_confidence") > 50)
     out = frames.groupBy("video_id").agg(_n().alias("n_frames"), F.count_if("likely").alias("n_ai"), F.count_if(suspicious).alias("n_suspicious"))
     ai, su = F.col("n_ai") * 100 / F.col("n_frames"), F.col("n_suspicious") * 100 / F.col("n_frames")
-    steps = [(ai > 70, 90, "LIKELY_AI"), (ai > 50, 75, "LIKELY_AI"), (ai > 30, 60, "SUSPICIOUS"), (su > 50, 50, "SUSPICIOUS"), (su > 30, 70, "POSSIBLY_MANIPULATED"), (su > 10, 85, "POSSIBLY_MANIPULATED")]
+    steps = [(ai > 70, 90, "LIKELY_AI_GENERATED"), (ai > 50, 75, "LIKELY_AI_GENERATED"), (ai > 30, 60, "SUSPICIOUS"), (su > 50, 50, "SUSPICIOUS"), (su > 30, 70, "POSSIBLY_MANIPULATED"), (su > 10, 85, "POSSIBLY_MANIPULATED")]
     conf = verdict = None
     for test, c, v in steps:
         conf = F.when(test, c) if conf is None else conf.when(test, c)
@@ -71,7 +71,7 @@ def temporal_summary(diffs: DataFrame, totals: DataFrame) -> DataFrame:
     found = diffs.groupBy("video_id").agg(_n().alias("found"), F.avg("severity").alias("mean_severity"))
     out = totals.join(found, "video_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("mean_severity", F.coalesce("mean_severity", F.lit(0.0)))
     conf = F.when(F.col("found") > 0, F.least(F.lit(100), js_round(F.col("found") / F.col("n_frames") * 50 + F.col("mean_severity") * 0.5))).otherwise(0)
-    level = F.when(F.col("mean_severity") > 70, "high").when(F.col("mean_severity") > 40, "medium").otherwise("low")
+    level = F.when(F.col("confidence") > 70, "high").when(F.col("confidence") > 40, "medium").otherwise("low")
     return out.withColumn("confidence", conf).withColumn("level", level)
 
 
@@ -132,10 +132,10 @@ def smoothness_ratio(frames: DataFrame) -> DataFrame:
 
 
 def lighting_ratio(frames: DataFrame) -> DataFrame:
-    """Per video: share of frames with colour indicators and its points (AGG-15)."""
+    """Per video of 3 frames or more: share of frames with colour indicators and its points (AGG-15)."""
     out = frames.groupBy("video_id").agg(_n().alias("n"), F.count_if(F.size(_mentions(["color distribution", "saturation"])) > 0).alias("lit"))
     ratio = F.col("lit") / F.col("n")
-    return out.withColumn("points", F.when(ratio > 0.9, 12).otherwise(0) + F.when(ratio == 1, 8).otherwise(0))
+    return out.withColumn("points", F.when(F.col("n") < 3, 0).otherwise(F.when(ratio > 0.9, 12).otherwise(0) + F.when(ratio == 1, 8).otherwise(0)))
 
 
 def compression_uniformity(frames: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def accuracy_by_category(cases: DataFrame) -> DataFrame:
     """Totals, correct and wrong cases per category and overall (category null) (AGG-19)."""
     said = F.col("verdict").isin("QUESTIONABLE", "LIKELY_MANIPULATED")
     right = said == F.col("actually_fake")
-    out = cases.rollup("category").agg(_n().alias("total"), F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"), F.count_if(F.col("actually_fake") & ~said).alias("missed"), F.count_if(~F.col("actually_fake") & said).alias("false_positives"))
+    out = cases.rollup("category").agg(_n().alias("total"), F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"), F.count_if(F.col("verdict").isNull()).alias("errors"), F.count_if(F.col("actually_fake") & ~said).alias("missed"), F.count_if(~F.col("actually_fake") & said).alias("false_positives"))
     return out.withColumn("accuracy", js_round(F.col("correct") * 10000 / F.col("total")) / 100)
 
 

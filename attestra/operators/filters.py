@@ -56,9 +56,24 @@ def segment_list_problem(segments: Column) -> Column:
     return F.when(bad, "format").when(F.array_max(idx) + 1 != F.size(idx), "contiguous")
 
 
-#: Error codes by message, and what users are told.
-ERROR_RULES = [("timeout", "TIMEOUT"), ("memory", "OUT_OF_MEMORY"), ("unsupported|format", "UNSUPPORTED_FORMAT"), ("corrupt|invalid", "CORRUPT_FILE"), ("too large|size", "FILE_TOO_LARGE"), ("network|connection", "NETWORK_ERROR")]
-ERROR_TEXT = {"TIMEOUT": "Processing took too long", "OUT_OF_MEMORY": "File needs too much memory", "UNSUPPORTED_FORMAT": "Unsupported file format", "CORRUPT_FILE": "File is damaged", "FILE_TOO_LARGE": "File is too large", "NETWORK_ERROR": "Network problem", "PROCESSING_ERROR": "Processing failed"}
+#: Error codes by message, in this order, and what users are told.
+ERROR_RULES = [
+    ("invalid|corrupt", "INVALID_IMAGE"),
+    ("size|small", "IMAGE_TOO_SMALL"),
+    ("large|exceeds", "IMAGE_TOO_LARGE"),
+    ("format|unsupported", "UNSUPPORTED_FORMAT"),
+    ("timeout", "PROCESSING_TIMEOUT"),
+    ("memory", "OUT_OF_MEMORY"),
+]
+ERROR_TEXT = {
+    "INVALID_IMAGE": "File is corrupted or not a valid image format",
+    "IMAGE_TOO_SMALL": "Image dimensions are too small for reliable verification",
+    "IMAGE_TOO_LARGE": "Image file size exceeds the maximum allowed",
+    "UNSUPPORTED_FORMAT": "Image format is not supported",
+    "PROCESSING_TIMEOUT": "Image processing took too long and was cancelled",
+    "OUT_OF_MEMORY": "Image is too large to process",
+    "PROCESSING_ERROR": "An error occurred while processing the image",
+}
 
 
 def error_code(code: Column, message: Column) -> Column:
@@ -68,10 +83,10 @@ def error_code(code: Column, message: Column) -> Column:
     return F.coalesce(code, first_rule(message, ERROR_RULES, "PROCESSING_ERROR"))
 
 
-def error_text(code: Column) -> Column:
-    """What users are told (FLT-8)."""
+def error_text(code: Column, message: Column) -> Column:
+    """What users are told (FLT-8): the text of the code, else the message itself."""
     table = F.create_map(*[F.lit(x) for pair in ERROR_TEXT.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, code), F.lit(ERROR_TEXT["PROCESSING_ERROR"]))
+    return F.coalesce(F.try_element_at(table, code), message, F.lit("Unknown error occurred"))
 
 
 def filter_allowed_hosts(urls: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -52,8 +52,9 @@ def temporal_trust(is_first: Column, days_old: Column) -> Column:
     return F.when(F.coalesce(is_first, F.lit(False)), 0).otherwise(10) + F.when(days_old > 365, 5).when(days_old > 30, 3).otherwise(0)
 
 
-#: The factors and their maxima.
+#: The factors' maxima and names.
 FACTORS = {"metadata": 40, "external": 30, "forensic": 25, "temporal": 15}
+FACTOR_NAMES = {"metadata": "metadata quality", "external": "external verification", "forensic": "forensic analysis", "temporal": "temporal trust"}
 
 
 def confidence_total(df: DataFrame) -> DataFrame:
@@ -69,19 +70,43 @@ def modification_status(similarity: Column) -> Column:
 
 
 def inferred_edits(similarity: Column) -> Column:
-    """SC-6: how strong the edits of a modified version are."""
-    return F.when(similarity >= 95, "minor").when(similarity >= 90, "moderate").when(similarity >= 85, "significant")
+    """SC-6: what edits a modified version (similarity 85 to below 100) shows. The texts."""
+    edits = (
+        F.when(similarity >= 95, "Minor edits (compression, slight crop, or format change)")
+        .when(similarity >= 90, "Moderate edits (cropping, resizing, or color adjustments)")
+        .when(similarity >= 85, "Significant edits (substantial cropping, filters, or overlays)")
+    )
+    return F.when(similarity < 100, edits)
+
+
+def number_text(c: Column) -> Column:
+    """A number without a trailing ``.0``."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
-def warnings(df: DataFrame, modified: Column) -> Column:
-    """SC-8: names of factors under half, modification, low total; an array without nulls."""
-    low = [F.when(F.col(c) * 100 / m < 50, f"Low {c}") for c, m in FACTORS.items()]
-    return F.array_compact(F.array(*low, F.when(modified, "modified"), F.when(F.col("percentage") < 50, "low total")))
+def _is_modified(similarity: Column) -> Column:
+    return F.coalesce((similarity >= 70) & (similarity < 100), F.lit(False))
 
 
-def recommendations(modified: Column) -> Column:
-    """SC-8: what to do next."""
-    return F.array_compact(F.array(F.when((F.col("percentage") < 75) & ~modified, "additional verification"), F.when(modified, "verify modifications"), F.when(F.col("external") / FACTORS["external"] < 0.5, "chain of custody")))
+def warnings(similarity: Column) -> Column:
+    """SC-8: factors under half, modification, low total; an array without nulls. Expects the columns of ``FACTORS`` and
+    percentage. Fixed values: the texts."""
+    low = [F.when(F.col(c) * 100 / m < 50, f"Low {FACTOR_NAMES[c]}") for c, m in FACTORS.items()]
+    modified = F.when(_is_modified(similarity), F.concat(F.lit("Content has been modified ("), number_text(similarity), F.lit("% similarity to original)")))
+    return F.array_compact(F.array(*low, modified, F.when(F.col("percentage") < 50, "Overall confidence below acceptable threshold")))
+
+
+def recommendations(similarity: Column) -> Column:
+    """SC-8: what to do next. The texts."""
+    modified = _is_modified(similarity)
+    return F.array_compact(
+        F.array(
+            F.when((F.col("percentage") < 75) & ~modified, "Consider obtaining additional verification from original source"),
+            F.when(modified, "Verify the source of modifications and original content provenance"),
+            F.concat(F.lit("Detected modifications: "), inferred_edits(similarity)),
+            F.when(F.col("external") / FACTORS["external"] < 0.5, "Verify chain of custody for this content"),
+        )
+    )
 
 
 def ensemble_score(jpeg: Column, local: Column, remote: Column) -> Column:
@@ -115,26 +140,45 @@ def audio_score(dynamic_range: Column, silences: Column, seconds: Column, rate:
 
 
 def frame_rate_check(nominal: Column, average: Column) -> Column:
-    """SC-21 as struct (variance, consistent, warning)."""
+    """SC-21 as struct (declared_fps, average_fps, variance_percent, consistent, warnings). The texts."""
     v = F.abs(nominal - average) / nominal
-    mixed = ((F.abs(nominal - 30) < 0.5) & (F.abs(average - 24) < 0.5)) | ((F.abs(nominal - 24) < 0.5) & (F.abs(average - 30) < 0.5))
-    return F.struct(v.alias("variance"), (v < 0.02).alias("consistent"), F.when(mixed, "mixed 30/24").when(v > 0.1, "variable frame rate").alias("warning"))
-
-
-def batch_confidence(pixels: Column, detectors: Column, deviation: Column) -> Column:
-    """SC-24: high, medium or low from resolution, number of detectors and their agreement."""
-    a = F.when(pixels >= 2_000_000, 3).when(pixels >= 500_000, 2).otherwise(1)
-    b = F.when(detectors >= 3, 3).when(detectors >= 2, 2).otherwise(1)
-    c = F.when(deviation < 15, 3).when(deviation < 30, 2).otherwise(1)
-    mean = (a + b + c) / 3
-    return F.when(mean >= 2.5, "high").when(mean >= 1.5, "medium").otherwise("low")
-
-
-def batch_warnings(ai: Column, duplicates: Column, width: Column, height: Column, quality: Column) -> Column:
-    """SC-25 as an array of codes."""
-    short = F.least(width, height)
+    percent = js_round(v * 10000) / 100
+    said = F.array(
+        F.when(v >= 0.02, "Frame rate inconsistency detected - possible editing or splicing"),
+        F.when(v > 0.1, F.concat(F.lit("High frame rate variance ("), number_text(percent), F.lit("%) - likely edited"))),
+        F.when((F.abs(nominal - 30) < 0.1) & (F.abs(average - 24) < 0.1), "Mixed 30fps and 24fps content - indicates editing or format conversion"),
+    )
+    return F.struct((js_round(nominal * 100) / 100).alias("declared_fps"), (js_round(average * 100) / 100).alias("average_fps"), percent.alias("variance_percent"), (v < 0.02).alias("consistent"), F.array_compact(said).alias("warnings"))
+
+
+def batch_confidence(given: Column, width: Column, height: Column, ensemble: Column, detectors: Column, agreement: Column) -> Column:
+    """SC-24: a given level, else high, medium or low by the mean of the factors at hand: resolution always, the number of
+    detectors where an ensemble was used, and their agreement where that is known."""
+    pixels = F.coalesce(width, F.lit(0)) * F.coalesce(height, F.lit(0))
+    resolution = F.when(pixels >= 2_000_000, 3).when(pixels >= 500_000, 2).otherwise(1)
+    many = F.when(ensemble, F.when(detectors >= 3, 3).when(detectors >= 2, 2).otherwise(1))
+    level = F.when(ensemble & agreement.isNotNull(), F.when(agreement == "high", 3).when(agreement == "medium", 2).otherwise(1))
+    here = F.array_compact(F.array(resolution, many, level))
+    mean = F.aggregate(here, F.lit(0), lambda a, x: a + x) / F.size(here)
+    return F.coalesce(given, F.when(mean >= 2.5, "high").when(mean >= 1.5, "medium").otherwise("low"))
+
+
+def batch_warnings(likely_ai: Column, ai_confidence: Column, duplicates: Column, width: Column, height: Column, quality: Column) -> Column:
+    """SC-25. The texts."""
+    kind = F.when(ai_confidence >= 80, "High confidence").when(ai_confidence >= 60, "Likely").otherwise("Possible")
+    ai = F.concat(kind, F.lit(" AI-generated content detected ("), number_text(ai_confidence), F.lit("%)"))
+    sized = (width > 0) & (height > 0)
     ratio = width / height
-    return F.array_compact(F.array(F.when(ai >= 80, "ai_very_likely").when(ai >= 60, "ai_possible"), F.when(duplicates > 0, "duplicates"), F.when(short < 200, "very_low_resolution").when(short < 500, "low_resolution"), F.when(quality < 50, "low_quality"), F.when((ratio > 5) | (ratio < 0.2), "odd_aspect")))
+    return F.array_compact(
+        F.array(
+            F.when(likely_ai, ai),
+            F.when(duplicates > 0, "Possible duplicate detected"),
+            F.when(sized & (F.least(width, height) < 500), "Low resolution image - may affect verification accuracy"),
+            F.when(sized & (F.least(width, height) < 200), "Very low resolution - verification results may be unreliable"),
+            F.when((quality != 0) & (quality < 50), "Low quality/heavy compression detected"),
+            F.when(sized & ((ratio > 5) | (ratio < 0.2)), "Unusual aspect ratio detected"),
+        )
+    )
 
 
 def case_evaluation(expected: Column, verdict: Column) -> Column:
@@ -143,9 +187,10 @@ def case_evaluation(expected: Column, verdict: Column) -> Column:
     return (expected == verdict) | (fake(expected) == fake(verdict))
 
 
-def verdict_of_confidence(confidence: Column) -> Column:
-    """SC-26: the verdict ladder."""
-    return F.when(confidence >= 80, "LIKELY_MANIPULATED").when(confidence >= 50, "QUESTIONABLE").when(confidence >= 30, "UNCERTAIN").otherwise("AUTHENTIC")
+def verdict_of_confidence(likely_ai: Column, confidence: Column) -> Column:
+    """SC-26: the verdict ladder; a detector that says so settles it."""
+    ladder = F.when(confidence >= 80, "LIKELY_MANIPULATED").when(confidence >= 50, "QUESTIONABLE").when(confidence >= 30, "LIKELY_AUTHENTIC").otherwise("AUTHENTIC")
+    return F.when(likely_ai, "LIKELY_MANIPULATED").otherwise(ladder)
 
 
 def credential_boost(valid: Column, device: Column, anchored: Column, actions: Column) -> Column:
@@ -153,9 +198,24 @@ def credential_boost(valid: Column, device: Column, anchored: Column, actions: C
     return F.least(F.lit(50), points((valid, 40), (device, 5), (anchored, 10), (actions > 0, 5)))
 
 
-def legacy_age_points(days: Column) -> Column:
-    """SC-9: the age ladder of the earlier score."""
-    return F.when(days > 30, 15).when(days > 7, 10).when(days > 1, 5).otherwise(0)
+def legacy_confidence(kind: Column, described: Column, has_format: Column, exif_fields: Column, found_online: Column, ai_likely: Column, ai_confidence: Column, age_days: Column, disputes: Column) -> Column:
+    """SC-9, the earlier score, as struct (metadata, external, forensic, temporal, score, level, label, warnings, recommendations).
+
+    ``found_online`` is null where no search was made, ``ai_likely`` where no detector ran, ``age_days`` where no date is known
+    (at a stated day). Fixed values: the points and texts.
+    """
+    metadata = F.least(F.lit(30), points((kind.isin("image", "video", "audio"), 15), (described, 10), (has_format, 5), (exif_fields > 5, 5)))
+    external = F.when(found_online.isNull(), 15).when(found_online, 5).otherwise(30)
+    forensic = F.when(ai_likely.isNull(), 20).when(ai_likely, 0).when(ai_confidence > 30, 10).otherwise(20)
+    temporal = F.when(age_days.isNull(), 10).when(age_days < 1, 0).when(age_days < 7, 5).when(age_days < 30, 10).otherwise(15)
+    score = metadata + external + forensic + temporal
+    level = F.when(disputes > 0, "DISPUTED").when(score >= 75, "HIGH").when(score >= 50, "MEDIUM").otherwise("LOW")
+    label = F.when(level == "DISPUTED", level).otherwise(F.concat(level, F.lit(" CONFIDENCE")))
+    each = zip((metadata, external, forensic, temporal), (30, 30, 25, 15), FACTOR_NAMES.values(), strict=True)
+    low = [F.when(js_round(c / most * 100) < 50, f"Low {name}") for c, most, name in each]
+    said = F.array(F.when(found_online, "Content found online before upload"), *low, F.when(age_days < 1, "Recently uploaded - limited trust"))
+    next_ = F.when(level.isin("LOW", "MEDIUM"), F.array(F.lit("Consider providing additional proof of ownership"), F.lit("Link to original publication sources"))).when(level == "DISPUTED", F.array(F.lit("Review dispute details"), F.lit("Provide evidence of original creation"))).otherwise(F.array().cast("array<string>"))
+    return F.struct(metadata.alias("metadata"), external.alias("external"), forensic.alias("forensic"), temporal.alias("temporal"), score.alias("score"), level.alias("level"), label.alias("label"), F.array_compact(said).alias("warnings"), next_.alias("recommendations"))
 
 
 def ai_authenticity(present: Column, is_ai: Column) -> Column:
@@ -308,40 +368,119 @@ def jpeg_artifact_score(standard: Column, camera: Column, variance: Column, high
     return F.when(weight > 0, total / weight).otherwise(0.5)
 
 
-#: How sure an attribution is.
-ATTRIBUTION = [(80, "very likely"), (65, "likely"), (50, "possible"), (35, "weak"), (20, "slight")]
+#: The generators, in the order that breaks ties.
+GENERATORS = ["sora", "runway", "pika", "kling", "midjourney", "dalle", "stableDiffusion", "firefly"]
+#: Resolutions (either way round) and aspect ratios with the points of the generators that they speak for.
+RESOLUTIONS = [
+    (1920, 1080, 10, "sora runway kling"), (1280, 720, 10, "sora pika runway"), (3840, 2160, 15, "sora"), (1024, 1024, 12, "midjourney dalle stableDiffusion"), (1456, 816, 15, "midjourney"),
+    (1792, 1024, 18, "dalle"), (1024, 1792, 18, "dalle"), (512, 512, 15, "stableDiffusion"), (768, 768, 12, "stableDiffusion"),
+]
+RATIOS = [(16 / 9, 8, "sora runway kling"), (9 / 16, 8, "sora pika"), (1.0, 10, "midjourney dalle stableDiffusion"), (21 / 9, 12, "sora")]
+#: Verdicts from a confidence on; {} is the generator.
+IMAGE_VERDICTS = [(80, "HIGHLY_LIKELY_{}"), (65, "LIKELY_{}"), (50, "PROBABLE_AI_IMAGE"), (35, "POSSIBLE_AI_GENERATED"), (20, "LOW_AI_INDICATORS")]
+VIDEO_VERDICTS = [(85, "HIGHLY_LIKELY_{}"), (70, "LIKELY_{}"), (55, "PROBABLE_AI_VIDEO"), (40, "POSSIBLE_AI_GENERATED"), (25, "LOW_AI_INDICATORS")]
 
 
-def attribute_generator(evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """SC-16: from points per key and generator (keys, ord, generator, points) the share of each key's best generator.
+def _verdict(confidence: Column, generator: Column, steps: list[tuple[int, str]]) -> Column:
+    out = F.when(F.lit(False), "")
+    for least, text in steps:
+        out = out.when(confidence >= least, F.concat(F.lit(text.replace("{}", "")), F.upper(generator)) if "{}" in text else F.lit(text))
+    return out.otherwise("UNLIKELY_AI_GENERATED")
 
-    Points are summed per generator first; of equal sums the first in order wins; without any points it is unknown.
-    """
-    sums = evidence.groupBy(*keys, "ord", "generator").agg(F.sum("points").alias("p"))
-    best = sums.groupBy(*keys).agg(F.sum("p").alias("whole"), F.max(F.struct("p", (-F.col("ord")).alias("o"), "generator")).alias("b"))
-    pct = F.when(F.col("whole") > 0, js_round(F.col("b.p") * 100 / F.col("whole"))).otherwise(0)
-    verdict = None
-    for least, label in ATTRIBUTION:
-        verdict = F.when(pct >= least, label) if verdict is None else verdict.when(pct >= least, label)
-    return best.select(*keys, F.when(F.col("whole") > 0, F.col("b.generator")).otherwise("unknown").alias("generator"), pct.alias("share"), verdict.otherwise("none").alias("verdict"))
 
+def _shares(scores: dict[str, Column]) -> dict[str, Column]:
+    """Whole per cents of each generator's score in the sum."""
+    total = reduce(lambda a, b: a + b, scores.values())
+    return {g: js_round(c / F.when(total == 0, 1).otherwise(total) * 100) for g, c in scores.items()}
 
-#: The part of a strong sub-score that speaks for each generator, the sum of all maxima, and the verdicts.
+
+def image_evidence(f: dict[str, Column]) -> list[tuple[Column, dict[str, float]]]:
+    """SC-16: conditions on an image and the points that each gives to generators.
+
+    ``f``: width, height; {r,g,b}_{min,max,mean} of the channels; noise (mean neighbour difference), edge and strong_edges
+    (mean and share over 100 of the edge picture), texture (variance of block variances), exif, space, ai_confidence, and the
+    numbers of smooth or texture and of saturation indicators. Null facts give no points. Fixed values: all numbers.
+    """
+    of = lambda names, n: dict.fromkeys(names.split(), n)
+    w, h, noise, edge, texture = (f[c] for c in ("width", "height", "noise", "edge", "texture"))
+    sized = (w > 0) & (h > 0)
+    out = [(((w == a) & (h == b)) | ((w == b) & (h == a)), of(gens, n)) for a, b, n, gens in RESOLUTIONS]
+    out += [(sized & (F.abs(w / h - ratio) < 0.02), of(gens, n)) for ratio, n, gens in RATIOS]
+    means, lows, highs = ([f[f"{c}_{x}"] for c in "rgb"] for x in ("mean", "min", "max"))
+    top, low = F.greatest(*means), F.least(*means)
+    saturation = F.when(top > 0, (top - low) / top).otherwise(F.when(top.isNotNull(), 0.0))
+    contrast = sum((b - a for a, b in zip(lows, highs, strict=True)), F.lit(0)) / 3
+    out += [
+        ((F.least(*lows) > 10) & (F.greatest(*highs) < 250), {"sora": 12, "runway": 8}),
+        (saturation > 0.7, {"pika": 10, "midjourney": 8}),
+        ((saturation < 0.4) & (saturation > 0.2), {"kling": 8, "firefly": 6}),
+        (F.abs(means[0] - means[1]) + F.abs(means[1] - means[2]) < 20, {"dalle": 8}),
+        (contrast > 200, {"midjourney": 10}),
+        (noise < 5, {"sora": 8, "dalle": 10, "runway": 6}),
+        ((noise >= 5) & (noise < 10), {"midjourney": 8, "pika": 6, "kling": 6}),
+        ((noise > 3) & (noise < 8), {"sora": 4}),
+        ((edge < 15) & (f["strong_edges"] < 0.05), {"dalle": 12, "firefly": 10}),
+        ((edge > 10) & (edge < 25), {"midjourney": 8}),
+        ((edge > 15) & (edge < 30), {"sora": 6, "runway": 6}),
+        (texture < 100, {"dalle": 8, "sora": 6}),
+        ((texture > 500) & (texture < 2000), {"midjourney": 10}),
+        (~F.coalesce(f["exif"], F.lit(False)), dict.fromkeys(GENERATORS, 3)),
+        (f["space"] == "srgb", {"dalle": 3, "midjourney": 3}),
+        (f["ai_confidence"] > 70, dict.fromkeys(GENERATORS, 8)),
+        ((f["ai_confidence"] > 50) & (f["ai_confidence"] <= 70), dict.fromkeys(GENERATORS, 4)),
+    ]
+    return out
+
+
+def attribute_generator(f: dict[str, Column]) -> Column:
+    """SC-16 as struct (generator, confidence, is_ai, verdict) from the facts of ``image_evidence``; of equal shares the first
+    generator wins, without any points it is unknown."""
+    evidence = image_evidence(f)
+    known = F.coalesce(f["ai_confidence"] > 0, F.lit(False))  # indicators count only beside a detector's confidence
+    extra = {"dalle": 2 * f["smooth_marks"], "midjourney": 2 * f["smooth_marks"] + 2 * f["saturation_marks"], "pika": 2 * f["saturation_marks"]}
+    scores = {}
+    for g in GENERATORS:
+        rules = [(test, n[g]) for test, n in evidence if g in n]
+        scores[g] = points(*rules) + F.when(known, F.coalesce(extra[g], F.lit(0)) if g in extra else F.lit(0)).otherwise(0)
+    shares = _shares(scores)
+    each = F.array(*[F.struct(c.alias("share"), F.lit(-i).alias("o"), F.lit(g).alias("g")) for i, (g, c) in enumerate(shares.items())])
+    best = F.array_max(each)
+    generator = F.when(best["share"] > 0, best["g"]).otherwise("unknown")
+    return F.struct(generator.alias("generator"), best["share"].alias("confidence"), (best["share"] > 50).alias("is_ai"), _verdict(best["share"], generator, IMAGE_VERDICTS).alias("verdict"))
+
+
+#: The part of a strong sub-score that speaks for each generator, and the sum of all maxima.
 SPREAD = [("sora", 0.4), ("runway", 0.3), ("kling", 0.2), ("pika", 0.1)]
 VIDEO_MAXIMUM = 150
-VIDEO_VERDICTS = [(85, "almost certain"), (70, "very likely"), (55, "likely"), (40, "possible"), (25, "weak")]
 
 
-def video_generator_attribution(parts: list[DataFrame]) -> DataFrame:
-    """SC-17: per video the sum of the sub-scores (each video_id, points) as a percentage, its verdict and each generator's part.
+def video_format_points(duration: Column, width: Column, height: Column, codec: Column, size: Column) -> Column:
+    """SC-17: the score of a video's container; null facts give none. The ladder."""
+    tall = (width >= 3840) | (height >= 2160)
+    common = ((width == 1920) & (height == 1080)) | ((width == 1280) & (height == 720))
+    rate = size * 8 / F.when(duration > 0, duration * 1000)
+    return points(((duration > 25) & (duration <= 120), 10), ((duration > 0) & (duration <= 20), 8), (tall, 12), (~tall & common, 8), (codec == "h265", 5), (codec == "h264", 3), (rate > 10000, 6))
+
+
+def sora_version(duration: Column, width: Column, codec: Column) -> Column:
+    """SC-17: which version the container speaks for; unknown without facts. The points."""
+    first = points((F.coalesce(duration, F.lit(0)) <= 20, 2))
+    second = points((duration > 25, 3), (width >= 3840, 4), ((width >= 1920) & (width < 3840), 1), (codec == "h265", 2))
+    return F.when(duration.isNull() & width.isNull() & codec.isNull(), "unknown").when(second > first, "sora2").when(first > second, "sora1").otherwise("unknown")
+
+
+def video_generator_attribution(parts: list[DataFrame], unspread: list[DataFrame]) -> DataFrame:
+    """SC-17: per video the sum of the sub-scores (each video_id, points; one row a video) as a percentage, each generator's
+    share, the likely generator and the verdict.
 
-    Only sub-scores over 10 speak for a generator. Sub-scores are stacked and summed, which needs one shuffle for all.
+    Only sub-scores of ``parts`` over 10 speak for a generator; those of ``unspread`` count in the sum alone. Sub-scores are
+    stacked and summed, which needs one shuffle for all.
     """
-    rows = reduce(lambda a, b: a.unionByName(b), [p.select("video_id", F.col("points").cast("double").alias("points")) for p in parts])
-    strong = F.sum(F.when(F.col("points") > 10, F.col("points")).otherwise(0.0))
+    spread = [p.select("video_id", F.col("points").cast("double").alias("points"), F.lit(True).alias("own")) for p in parts]
+    rows = reduce(lambda a, b: a.unionByName(b), spread + [p.select("video_id", F.col("points").cast("double").alias("points"), F.lit(False).alias("own")) for p in unspread])
+    strong = F.sum(F.when(F.col("own") & (F.col("points") > 10), F.col("points")).otherwise(0.0))
     out = rows.groupBy("video_id").agg(F.sum("points").alias("total"), strong.alias("strong"))
     pct = F.least(F.lit(100), js_round(F.col("total") * 100 / VIDEO_MAXIMUM))
-    verdict = None
-    for least, label in VIDEO_VERDICTS:
-        verdict = F.when(pct >= least, label) if verdict is None else verdict.when(pct >= least, label)
-    return out.select("video_id", "total", pct.alias("confidence"), verdict.otherwise("none").alias("verdict"), *[(F.col("strong") * w).alias(g) for g, w in SPREAD])
+    shares = _shares({g: F.col("strong") * w for g, w in SPREAD})
+    generator = F.when(shares["sora"] > 0, "sora").otherwise("unknown")  # its part is the largest of each sub-score
+    return out.select("video_id", "total", pct.alias("confidence"), (pct >= 50).alias("is_ai"), generator.alias("generator"), _verdict(pct, generator, VIDEO_VERDICTS).alias("verdict"), *[c.alias(g) for g, c in shares.items()])

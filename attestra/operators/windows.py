@@ -85,24 +85,29 @@ def temporal_morphing(frames: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     out = sims.groupBy("video_id").agg(n.alias("n_frames"), F.count_if(morph).alias("morphs"), F.count_if(micro).alias("micro"), F.count_if(jump).alias("jumps"))
     ratio = (F.col("morphs") + 2 * F.col("jumps")) / F.col("n_frames")
-    score = F.least(F.lit(25), F.floor(ratio * 50 + 0.5)) + F.when(F.col("micro") / F.col("n_frames") > 0.3, 8).otherwise(0)
+    score = F.least(F.lit(25), F.floor(ratio * 50 + 0.5)) + F.when(F.col("micro") / F.col("n_frames") > 0.5, 8).otherwise(0)
     return out.withColumn("score", score)
 
 
 def adjacent_smoothness(frames: DataFrame) -> DataFrame:
-    """Per video: share of neighbours more than .95 alike; over .6 gives 12 points (WIN-6)."""
+    """Per video: share of neighbours more than .95 alike; over .6 gives videos of 5 frames or more 12 points (WIN-6)."""
     out = with_previous(frames).groupBy("video_id").agg(F.count("sim").alias("pairs"), F.count_if(F.col("sim") > 0.95).alias("smooth"))
     ratio = F.when(F.col("pairs") > 0, F.col("smooth") / F.col("pairs")).otherwise(0.0)
-    return out.withColumn("smoothness", ratio).withColumn("points", F.when(ratio > 0.6, 12).otherwise(0))
+    return out.withColumn("smoothness", ratio).withColumn("points", F.when((F.col("pairs") >= 4) & (ratio > 0.6), 12).otherwise(0))
 
 
-def uniform_motion(frames: DataFrame) -> DataFrame:
-    """Per video of over 5 frames: share of steps whose similarity differs by under .01 from the one before (WIN-7)."""
-    sims = with_previous(frames, 2).filter("sim_before is not null")
-    out = sims.groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.abs(F.col("sim") - F.col("sim_before")) < 0.01).alias("uniform"), F.var_pop("sim").alias("variance"))
-    enough = F.col("steps") + 2 > 5
-    ratio = F.col("uniform") / F.col("steps")
-    return out.select("video_id", "steps", "uniform", F.when(enough & (ratio > 0.7), 10).otherwise(0).alias("uniform_points"), F.when(enough & (F.col("variance") == 0), 12).otherwise(0).alias("constant_points"))
+def uniform_motion(frames: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per video: share of steps whose similarity differs by under .01 from the one before, over .7 with more than 5 frames 10
+    points; a consistent frame rate without any variance 12; no temporal inconsistencies 10 (WIN-7).
+
+    ``facts``: video_id, rate_consistent, variance_percent, inconsistencies; null where a video was not analysed for them.
+    """
+    sims = with_previous(frames, 2)
+    out = sims.groupBy("video_id").agg(F.count("sim_before").alias("steps"), F.count_if(F.abs(F.col("sim") - F.col("sim_before")) < 0.01).alias("uniform"))
+    enough, ratio = F.col("steps") + 2 > 5, F.col("uniform") / F.nullif(F.col("steps"), F.lit(0))
+    out = out.join(facts.select("video_id", "rate_consistent", "variance_percent", "inconsistencies"), "video_id", "left")
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    return out.select("video_id", "steps", "uniform", points(enough & (ratio > 0.7), 10).alias("uniform_points"), points(F.col("rate_consistent") & (F.col("variance_percent") == 0), 12).alias("constant_points"), points(~F.col("inconsistencies"), 10).alias("steady_points"))
 
 
 def facial_jumps(faces: DataFrame, limit: int = 100) -> DataFrame:

@@ -68,7 +68,7 @@ _registered([
     ("agg4_batch_summary", results, A.batch_summary, _RESULTS + """SELECT *, CASE WHEN failed = 0 THEN 'completed' WHEN successful = 0 THEN 'failed' ELSE 'completed_with_errors' END AS batch_status FROM (SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS successful, count(*) FILTER (WHERE status <> 'success') AS failed,
  count(*) FILTER (WHERE status = 'success' AND n_matches > 0) AS duplicates_found, count(*) FILTER (WHERE status = 'success' AND ai_generated) AS ai_detected, CAST(floor(sum(ms) * 1.0 / count(*) + 0.5) AS BIGINT) AS avg_ms FROM results GROUP BY batch_id)"""),
     ("agg7_video_verdict", X.frames, A.video_verdict, _FRAMES + """SELECT video_id, n_frames, n_ai, n_suspicious, CASE WHEN ai > 70 THEN 90 WHEN ai > 50 THEN 75 WHEN ai > 30 THEN 60 WHEN su > 50 THEN 50 WHEN su > 30 THEN 70 WHEN su > 10 THEN 85 ELSE 100 END AS confidence,
- CASE WHEN ai > 50 THEN 'LIKELY_AI' WHEN ai > 30 OR su > 50 THEN 'SUSPICIOUS' WHEN su > 10 THEN 'POSSIBLY_MANIPULATED' ELSE 'AUTHENTIC' END AS verdict
+ CASE WHEN ai > 50 THEN 'LIKELY_AI_GENERATED' WHEN ai > 30 OR su > 50 THEN 'SUSPICIOUS' WHEN su > 10 THEN 'POSSIBLY_MANIPULATED' ELSE 'AUTHENTIC' END AS verdict
  FROM (SELECT *, n_ai * 100.0 / n_frames AS ai, n_suspicious * 100.0 / n_frames AS su FROM (SELECT video_id, count(*) AS n_frames, count(*) FILTER (WHERE likely) AS n_ai, count(*) FILTER (WHERE likely OR ai_confidence > 50) AS n_suspicious FROM frames GROUP BY video_id))"""),
     ("agg9_flagged_frames", X.frames, A.flagged_frame_rate, _FRAMES + "SELECT video_id, count(*) AS n_frames, count(*) FILTER (WHERE likely) AS flagged, count(*) FILTER (WHERE likely) > 0 AS suspicious, least(100, CAST(floor(count(*) FILTER (WHERE likely) * 100.0 / count(*) + 0.5) AS BIGINT)) AS confidence FROM frames GROUP BY video_id"),
     ("set2_distinct_indicators", X.frames, A.distinct_indicators, _FRAMES + "SELECT DISTINCT video_id, t.indicator FROM frames JOIN (VALUES ('click', 'Smooth areas'), ('click', 'texture'), ('view', 'color distribution'), ('purchase', 'saturation'), ('error', 'face')) AS t(k, indicator) ON t.k = frames.event_type"),
@@ -78,12 +78,12 @@ _registered([
  FROM (SELECT video_id, count(*) AS n, avg(ai_confidence) AS m, stddev_pop(ai_confidence) AS s, max(ai_confidence) - min(ai_confidence) AS range, bool_and(ai_confidence > 70) AS all_high FROM frames GROUP BY video_id)"""),
     ("agg13_hash_repetition", X.frames, A.hash_repetition, _FRAMES + "SELECT *, CASE WHEN n >= 5 AND 1 - kinds * 1.0 / n > 0.3 THEN 12 ELSE 0 END AS points FROM (SELECT video_id, count(*) AS n, count(DISTINCT substr(phash, 1, 8)) AS kinds FROM frames GROUP BY video_id)"),
     ("agg14_smoothness", X.frames, A.smoothness_ratio, _FRAMES + "SELECT *, least(18, CAST(floor(smooth * 24.0 / n + 0.5) AS BIGINT)) AS score, smooth * 1.0 / n > 0.7 AS detected FROM (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS smooth FROM frames GROUP BY video_id)"),
-    ("agg15_lighting", X.frames, A.lighting_ratio, _FRAMES + "SELECT *, CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END AS points FROM (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id)"),
+    ("agg15_lighting", X.frames, A.lighting_ratio, _FRAMES + "SELECT *, CASE WHEN n < 3 THEN 0 ELSE CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END END AS points FROM (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id)"),
     ("agg16_compression", X.frames, A.compression_uniformity, _FRAMES + "SELECT *, CASE WHEN n > 5 AND formats = 1 THEN 6 ELSE 0 END + CASE WHEN n > 5 AND sizes = 1 THEN 6 ELSE 0 END AS points FROM (SELECT video_id, count(*) AS n, count(DISTINCT format) AS formats, count(DISTINCT dimensions) AS sizes FROM frames GROUP BY video_id)"),
     ("agg17_confusion", X.cases, A.confusion_matrix, _CASES + "SELECT count(*) FILTER (WHERE actually_fake AND said) AS tp, count(*) FILTER (WHERE NOT actually_fake AND NOT said) AS tn, count(*) FILTER (WHERE NOT actually_fake AND said) AS fp, count(*) FILTER (WHERE actually_fake AND NOT said) AS fn FROM (SELECT *, verdict = 'LIKELY_MANIPULATED' AS said FROM cases)"),
     ("agg18_metrics", X.cases, lambda c: A.classification_metrics(A.confusion_matrix(c)), _CASES + """SELECT tp, tn, fp, fn, floor((tp + tn) * 10000.0 / (tp + tn + fp + fn) + 0.5) / 100 AS accuracy, CASE WHEN tp + fp > 0 THEN floor(tp * 10000.0 / (tp + fp) + 0.5) / 100 ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN floor(tp * 10000.0 / (tp + fn) + 0.5) / 100 ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN floor(2 * tp * 10000.0 / (2 * tp + fp + fn) + 0.5) / 100 ELSE 0 END AS f1
  FROM (SELECT count(*) FILTER (WHERE actually_fake AND said) AS tp, count(*) FILTER (WHERE NOT actually_fake AND NOT said) AS tn, count(*) FILTER (WHERE NOT actually_fake AND said) AS fp, count(*) FILTER (WHERE actually_fake AND NOT said) AS fn FROM (SELECT *, verdict = 'LIKELY_MANIPULATED' AS said FROM cases))"""),
-    ("agg19_accuracy_by_category", X.cases, A.accuracy_by_category, _CASES + "SELECT category, count(*) AS total, count(*) FILTER (WHERE said = actually_fake) AS correct, count(*) FILTER (WHERE said <> actually_fake) AS incorrect, count(*) FILTER (WHERE actually_fake AND NOT said) AS missed, count(*) FILTER (WHERE NOT actually_fake AND said) AS false_positives, floor(count(*) FILTER (WHERE said = actually_fake) * 10000.0 / count(*) + 0.5) / 100 AS accuracy FROM (SELECT *, verdict = 'LIKELY_MANIPULATED' AS said FROM cases) GROUP BY ROLLUP (category)"),
+    ("agg19_accuracy_by_category", X.cases, A.accuracy_by_category, _CASES + "SELECT category, count(*) AS total, count(*) FILTER (WHERE said = actually_fake) AS correct, count(*) FILTER (WHERE said <> actually_fake) AS incorrect, count(*) FILTER (WHERE verdict IS NULL) AS errors, count(*) FILTER (WHERE actually_fake AND NOT said) AS missed, count(*) FILTER (WHERE NOT actually_fake AND said) AS false_positives, floor(count(*) FILTER (WHERE said = actually_fake) * 10000.0 / count(*) + 0.5) / 100 AS accuracy FROM (SELECT *, verdict = 'LIKELY_MANIPULATED' AS said FROM cases) GROUP BY ROLLUP (category)"),
     ("agg20_latency_last_n", X.requests, A.latency_quantiles_last_n, _LOG + ", last AS (SELECT duration_ms FROM requests ORDER BY ts DESC, request_id DESC LIMIT 1000) SELECT " + ", ".join(_NTH.format(q=q, p=p) for q, p in ((0.5, 50), (0.95, 95), (0.99, 99)))),
     ("agg21_load_report", X.requests, A.load_report, _LOG + """SELECT route, count(*) AS requests, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, floor(avg(duration_ms) * 1000 + 0.5) / 1000 AS avg_ms, count(*) FILTER (WHERE status = 200) AS ok, count(*) FILTER (WHERE status = 429) AS limited, count(*) FILTER (WHERE status NOT IN (200, 429)) AS other,
  list_sort(list(duration_ms))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS p50, list_sort(list(duration_ms))[CAST(floor(count(*) * 0.95) AS INT) + 1] AS p95, list_sort(list(duration_ms))[CAST(floor(count(*) * 0.99) AS INT) + 1] AS p99, floor(count(*) FILTER (WHERE status = 200) * 10000.0 / count(*) + 0.5) / 100 AS success_pct FROM requests GROUP BY route"""),
@@ -97,10 +97,9 @@ SELECT route, floor((low + (le - low) * (0.95 * whole - below) / (c - below)) *
     ("agg32_store_stats", batches, lambda b: A.store_stats(b, F.timestamp_seconds(F.lit(NOW - 5 * 86400))), f"SELECT count(*) AS total, count(*) FILTER (WHERE floor(epoch(ts)) + 86400 > {NOW - 5 * 86400}) AS active FROM events WHERE event_type = 'purchase'"),
     ("top4_top_routes", X.requests, lambda r: A.top_rates(r, ["ip"]), _LOG + "SELECT ip, count(*) AS requests FROM requests GROUP BY ip ORDER BY requests DESC, ip LIMIT 10"),
     ("top4_top_errors", X.requests, lambda r: A.top_rates(r.filter("status >= 400"), ["route", "status"]), _LOG + "SELECT route, status, count(*) AS requests FROM requests WHERE status >= 400 GROUP BY route, status ORDER BY requests DESC, route, status LIMIT 10"),
-    ("win5_morphing", X.frames, W.temporal_morphing, _FRAMES + _SIMS + """SELECT video_id, n_frames, morphs, micro, jumps, least(25, CAST(floor((morphs + 2 * jumps) * 1.0 / n_frames * 50 + 0.5) AS BIGINT)) + CASE WHEN micro * 1.0 / n_frames > 0.3 THEN 8 ELSE 0 END AS score
+    ("win5_morphing", X.frames, W.temporal_morphing, _FRAMES + _SIMS + """SELECT video_id, n_frames, morphs, micro, jumps, least(25, CAST(floor((morphs + 2 * jumps) * 1.0 / n_frames * 50 + 0.5) AS BIGINT)) + CASE WHEN micro * 1.0 / n_frames > 0.5 THEN 8 ELSE 0 END AS score
  FROM (SELECT video_id, count(*) AS n_frames, count(*) FILTER (WHERE sim > 0.98 AND sim < 1) AS morphs, count(*) FILTER (WHERE sim > 0.995 AND sim < 1) AS micro, count(*) FILTER (WHERE sim < 0.7 AND next_sim > 0.9) AS jumps FROM sims GROUP BY video_id)"""),
-    ("win6_smoothness", X.frames, W.adjacent_smoothness, _FRAMES + _SIMS + "SELECT video_id, pairs, smooth, CASE WHEN pairs > 0 THEN smooth * 1.0 / pairs ELSE 0.0 END AS smoothness, CASE WHEN pairs > 0 AND smooth * 1.0 / pairs > 0.6 THEN 12 ELSE 0 END AS points FROM (SELECT video_id, count(sim) AS pairs, count(*) FILTER (WHERE sim > 0.95) AS smooth FROM sims GROUP BY video_id)"),
-    ("win7_uniform_motion", X.frames, W.uniform_motion, _FRAMES + _SIMS + "SELECT video_id, steps, uniform, CASE WHEN steps + 2 > 5 AND uniform * 1.0 / steps > 0.7 THEN 10 ELSE 0 END AS uniform_points, CASE WHEN steps + 2 > 5 AND v = 0 THEN 12 ELSE 0 END AS constant_points FROM (SELECT video_id, count(*) AS steps, count(*) FILTER (WHERE abs(sim - sim_before) < 0.01) AS uniform, var_pop(sim) AS v FROM sims WHERE sim_before IS NOT NULL GROUP BY video_id)"),
+    ("win6_smoothness", X.frames, W.adjacent_smoothness, _FRAMES + _SIMS + "SELECT video_id, pairs, smooth, CASE WHEN pairs > 0 THEN smooth * 1.0 / pairs ELSE 0.0 END AS smoothness, CASE WHEN pairs >= 4 AND smooth * 1.0 / pairs > 0.6 THEN 12 ELSE 0 END AS points FROM (SELECT video_id, count(sim) AS pairs, count(*) FILTER (WHERE sim > 0.95) AS smooth FROM sims GROUP BY video_id)"),
     ("win8_facial_jumps", X.faces, W.facial_jumps, _FACES + """SELECT *, CASE WHEN positions >= 5 AND jumps * 100.0 / positions > 20 THEN 20 ELSE 0 END AS points FROM (SELECT video_id, count(*) AS positions, count(*) FILTER (WHERE abs(x - px) > 100 OR abs(y - py) > 100) AS jumps FROM (SELECT *, lag(x) OVER (PARTITION BY video_id ORDER BY frame_no, face_idx) AS px, lag(y) OVER (PARTITION BY video_id ORDER BY frame_no, face_idx) AS py FROM faces) GROUP BY video_id)"""),
     ("win9_frame_differences", X.frames, W.frame_differences, _FRAMES + "SELECT video_id, frame_no, CASE WHEN mean_diff > 50 THEN 'large_frame_jump' ELSE 'frozen_frame' END AS kind, CASE WHEN mean_diff > 50 THEN least(100, CAST(floor(mean_diff + 0.5) AS BIGINT)) ELSE 40 END AS severity FROM frames WHERE frame_no > 1 AND (mean_diff > 50 OR mean_diff < 1)"),
     ("win10_segment_hashes", X.frames, W.segment_hashes, _FRAMES + "SELECT video_id, seg_idx, 'seg_' || seg_idx || ':' || substr(sha256(string_agg(phash, '' ORDER BY frame_no)), 1, 32) AS segment FROM (SELECT *, CAST(floor((frame_no - 1) / 15) AS INT) AS seg_idx FROM frames) GROUP BY video_id, seg_idx HAVING count(*) = 15"),
@@ -110,8 +109,15 @@ SELECT ip, min(ts) AS since, max(ts) AS until, count(*) AS samples FROM r WHERE
 ])
 
 
+@query("win7_uniform_motion", _FRAMES + _SIMS + """SELECT video_id, steps, uniform, CASE WHEN steps + 2 > 5 AND uniform * 1.0 / steps > 0.7 THEN 10 ELSE 0 END AS uniform_points, CASE WHEN video_id % 11 > 0 AND video_id % 5 = 0 THEN 12 ELSE 0 END AS constant_points, CASE WHEN video_id % 11 > 0 AND video_id % 2 = 0 THEN 10 ELSE 0 END AS steady_points
+ FROM (SELECT video_id, count(sim_before) AS steps, count(*) FILTER (WHERE abs(sim - sim_before) < 0.01) AS uniform FROM sims GROUP BY video_id)""")
+def win7(spark: SparkSession, d: str) -> DataFrame:
+    f = X.frames(spark, d)
+    return W.uniform_motion(f, X.video_facts(f))
+
+
 @query("agg8_temporal_summary", _FRAMES + """, d AS (SELECT video_id, count(*) AS found, avg(CASE WHEN mean_diff > 50 THEN least(100, floor(mean_diff + 0.5)) ELSE 40 END) AS m FROM frames WHERE frame_no > 1 AND (mean_diff > 50 OR mean_diff < 1) GROUP BY video_id), t AS (SELECT video_id, count(*) AS n_frames FROM frames GROUP BY video_id)
-SELECT t.video_id, n_frames, coalesce(found, 0) AS found, coalesce(m, 0.0) AS mean_severity, CASE WHEN found > 0 THEN least(100, CAST(floor(found * 1.0 / n_frames * 50 + m * 0.5 + 0.5) AS BIGINT)) ELSE 0 END AS confidence, CASE WHEN m > 70 THEN 'high' WHEN m > 40 THEN 'medium' ELSE 'low' END AS level FROM t LEFT JOIN d ON t.video_id = d.video_id""")
+SELECT video_id, n_frames, coalesce(found, 0) AS found, coalesce(m, 0.0) AS mean_severity, conf AS confidence, CASE WHEN conf > 70 THEN 'high' WHEN conf > 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT t.video_id, n_frames, found, m, CASE WHEN found > 0 THEN least(100, CAST(floor(found * 1.0 / n_frames * 50 + m * 0.5 + 0.5) AS BIGINT)) ELSE 0 END AS conf FROM t LEFT JOIN d ON t.video_id = d.video_id)""")
 def agg8(spark: SparkSession, d: str) -> DataFrame:
     frames = X.frames(spark, d)
     return A.temporal_summary(W.frame_differences(frames), frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames")))

@@ -30,14 +30,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("src1_ingest_text", "SELECT doc_id, n_chars AS size, sha256(text) AS sha256 FROM documents")
+@query("src1_ingest_text", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents")
 def src1(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"))
+    return R.hashed_media(X.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
 
 
-@query("src2_read_registry", with_tables("reg") + "SELECT id, fingerprint, original_filename, file_size, media_kind FROM reg")
+@query("src2_read_registry", "SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS phash, CAST(NULL AS VARCHAR) AS audio_fingerprint FROM documents")
 def src2(spark: SparkSession, d: str) -> DataFrame:
-    return X.reg(spark, d).select("id", "fingerprint", "original_filename", "file_size", "media_kind")
+    return R.read_registry(spark, f"{d}/documents.parquet").select("doc_id", "lang", "phash", "audio_fingerprint")
 
 
 @query(
@@ -72,23 +72,30 @@ def src6(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "src7_batch_csv",
-    """SELECT lang AS batch_id, doc_id AS index, CAST(doc_id + 1 AS VARCHAR) || ',' || CASE WHEN source LIKE '%1%' THEN '"' || source || ',""' || doc_id || '""' || '"' ELSE source END || ',' || substr(sha256(text), 1, 16) || '...' || ',' || CAST(CAST(floor(n_chars / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) || ',' || 'success' || ',' ||
- CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'a (87%); b (50%)' ELSE 'a (87%)' END ELSE '—' END AS line FROM documents""",
+    """WITH r AS (SELECT 'b' || (doc_id // 100) AS batch_id, doc_id % 100 AS index, CASE WHEN doc_id % 4 = 1 THEN 'a, ' || source || '.png' WHEN doc_id % 4 = 2 THEN 'the "' || source || '".png' ELSE source || '.png' END AS filename, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+ CASE WHEN doc_id % 7 > 0 THEN 'file_' || doc_id END AS file_id, CASE WHEN doc_id % 5 > 0 THEN n_chars END AS size, doc_id % 3000 AS w, doc_id % 900 AS h, sha256(text) AS sha, CASE WHEN doc_id % 9 > 0 THEN substr(sha256(text), 20, 20) END AS ph, doc_id % 3 AS m, CASE WHEN doc_id % 7 = 0 THEN 'too large, sorry' END AS error FROM documents),
+ c AS (SELECT batch_id, index, CAST(index + 1 AS VARCHAR) AS a, CASE WHEN filename LIKE '%"%' THEN '"' || replace(filename, '"', '""') || '"' WHEN filename LIKE '%,%' THEN '"' || filename || '"' ELSE filename END AS b, status AS c, coalesce(file_id, '—') AS d, CASE WHEN size > 0 THEN CAST(CAST(floor(size / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) ELSE '—' END AS e,
+ CASE WHEN w > 0 AND h > 0 THEN w || '×' || h ELSE '—' END AS f, CASE WHEN m = 0 THEN '—' ELSE 'PNG' END AS g, substr(sha, 1, 16) || '...' AS h, coalesce(substr(ph, 1, 16), 'undefined') || '...' AS i, CAST(m AS VARCHAR) AS j, CASE m WHEN 1 THEN 'a (87%)' WHEN 2 THEN 'a (87%); b (50%)' ELSE '' END AS k, CASE WHEN error IS NULL THEN '' ELSE '"too large, sorry"' END AS l FROM r)
+SELECT batch_id, index, concat_ws(',', a, b, c, d, e, f, g, h, i, j, k, l, '12') AS line FROM c UNION ALL
+SELECT DISTINCT batch_id, -1, '#,Filename,Status,File ID,Size (KB),Dimensions,Format,SHA-256,Perceptual Hash,Duplicates,Duplicate Details,Error,Processing Time (ms)' FROM c""",
 )
 def src7(spark: SparkSession, d: str) -> DataFrame:
     one = F.struct(F.lit("a").alias("filename"), F.lit(0.874).alias("similarity"))
     two = F.struct(F.lit("b").alias("filename"), F.lit(0.5).alias("similarity"))
-    i = F.col("doc_id")
-    matches = F.when(i % 3 == 0, F.when(i % 2 == 0, F.array(one, two)).otherwise(F.array(one)))
-    docs = X.table(spark, d, "documents")
-    name = F.when(F.col("source").contains("1"), F.concat("source", F.lit(',"'), "doc_id", F.lit('"'))).otherwise(F.col("source"))
-    results = docs.select(F.col("lang").alias("batch_id"), i.alias("index"), name.alias("filename"), F.sha2("text", 256).alias("fingerprint"), F.col("n_chars").alias("size"), F.lit("success").alias("status"), matches.alias("matches"))
+    i, src = F.col("doc_id"), F.concat("source", F.lit(".png"))
+    name = F.when(i % 4 == 1, F.concat(F.lit("a, "), src)).when(i % 4 == 2, F.concat(F.lit('the "'), "source", F.lit('".png'))).otherwise(src)
+    sha = F.sha2("text", 256)
+    results = X.table(spark, d, "documents").select(
+        F.concat(F.lit("b"), F.floor(i / 100)).alias("batch_id"), (i % 100).alias("index"), name.alias("filename"), F.when(i % 7 == 0, "error").otherwise("success").alias("status"), F.when(i % 7 > 0, F.concat(F.lit("file_"), i)).alias("file_id"), F.when(i % 5 > 0, F.col("n_chars")).alias("size"),
+        (i % 3000).alias("width"), (i % 900).alias("height"), F.when(i % 3 > 0, "png").alias("format"), sha.alias("sha256"), F.when(i % 9 > 0, F.substring(sha, 20, 20)).alias("phash"), F.when(i % 3 == 1, F.array(one)).when(i % 3 == 2, F.array(one, two)).alias("matches"), F.when(i % 7 == 0, "too large, sorry").alias("error"), F.lit(12).alias("avg_ms"),
+    )
     return R.export_batch_csv(results)
 
 
-@query("src8_batch_json", "SELECT lang AS batch_id, '{\"doc_id\":' || doc_id || ',\"source\":\"' || source || '\"}' AS json FROM documents")
+@query("src8_batch_json", "SELECT 'b' || (doc_id // 100) AS batch_id, '{\"batch_id\":\"b' || (doc_id // 100) || '\",\"results\":[' || string_agg('{\"doc_id\":' || doc_id || ',\"source\":\"' || source || '\"}', ',' ORDER BY doc_id) || ']}' AS json FROM documents GROUP BY doc_id // 100")
 def src8(spark: SparkSession, d: str) -> DataFrame:
-    return R.export_batch_json(X.table(spark, d, "documents").withColumn("batch_id", F.col("lang")), ["doc_id", "source"])
+    docs = X.table(spark, d, "documents").withColumn("batch_id", F.concat(F.lit("b"), F.floor(F.col("doc_id") / 100)))
+    return R.export_batch_json(docs, ["doc_id", "source"])
 
 
 _SEEN = """, seen AS (SELECT fingerprint, count(*) AS total, min(upload_date) AS first_seen, arg_min(original_filename, upload_date) AS first_filename FROM reg WHERE media_kind <> 'audio' GROUP BY fingerprint)
@@ -141,8 +148,8 @@ def top2_all(spark: SparkSession, d: str) -> DataFrame:
 
 _AUDIO = """, fps AS (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)) || sha256(CAST(doc_id + 1 AS VARCHAR)), 1, CASE WHEN doc_id % 10 = 0 THEN 95 ELSE 100 END) AS fp, doc_id % 21 AS k FROM documents),
  pool AS (SELECT doc_id AS id, fp FROM fps ORDER BY doc_id DESC LIMIT 100), q AS (SELECT doc_id AS query_id, repeat('z', CAST(k AS INT)) || substr(fp, CAST(k AS INT) + 1) AS query_fp FROM fps),
- s AS (SELECT query_id, id, CAST(floor(len(list_filter(range(1, 101), lambda i: substr(query_fp, i, 1) = substr(fp, i, 1) AND substr(fp, i, 1) <> '')) * 100.0 / greatest(length(fp), length(query_fp)) + 0.5) AS BIGINT) AS similarity FROM q JOIN pool ON q.query_id = pool.id)
-SELECT query_id, id, similarity, CASE WHEN similarity >= 100 THEN 'Identical audio' WHEN similarity >= 95 THEN 'Nearly identical' WHEN similarity >= 90 THEN 'Very similar' ELSE 'Similar' END AS interpretation FROM s WHERE similarity >= 85"""
+ s AS (SELECT query_id, id, CAST(floor(len(list_filter(range(1, 101), lambda i: substr(query_fp, i, 1) = substr(fp, i, 1) AND substr(fp, i, 1) <> '')) * 100.0 / greatest(length(fp), length(query_fp)) + 0.5) AS BIGINT) AS similarity FROM q JOIN pool ON true)
+SELECT query_id, id, similarity, CASE WHEN similarity >= 100 THEN 'Identical' WHEN similarity >= 95 THEN 'Nearly Identical' WHEN similarity >= 90 THEN 'Very Similar' ELSE 'Similar' END AS interpretation FROM s WHERE similarity >= 85"""
 
 
 @query("join3_similar_audio", with_tables("reg") + _AUDIO)
@@ -154,7 +161,7 @@ def join3(spark: SparkSession, d: str, pool: int | None = 100) -> DataFrame:
     return J.similar_audio(queries, docs.select(F.col("doc_id").alias("id"), F.col("fp").alias("audio_fingerprint"), F.col("doc_id").alias("upload_date")), pool=pool)
 
 
-@query("join3_similar_audio_all", with_tables("reg") + _AUDIO.replace(" ORDER BY doc_id DESC LIMIT 100", "").replace("ON q.query_id = pool.id", "ON true"))
+@query("join3_similar_audio_all", with_tables("reg") + _AUDIO.replace(" ORDER BY doc_id DESC LIMIT 100", ""))
 def join3_all(spark: SparkSession, d: str) -> DataFrame:
     return join3(spark, d, pool=None)
 
@@ -227,15 +234,14 @@ def fn1(spark: SparkSession, d: str) -> DataFrame:
     return X.hashes(spark, d).select("vec_id", H.hamming_hex(F.concat(F.lit("phash:"), "query_hash"), F.col("phash")).alias("d64"), H.hamming_hex(four("query_hash"), four("phash"), 256).alias("d256"))
 
 
-def _steps(col: str, steps: list[tuple[float, str]], rest: str, op: str) -> str:
-    return "CASE " + " ".join(f"WHEN {col} {op} {s} THEN '{label}'" for s, label in steps) + f" ELSE '{rest}' END"
-
-
 @query(
     "fn2_6_ladders",
-    "SELECT doc_id, floor((64 - doc_id % 65) * 100.0 / 64 * 100 + 0.5) / 100 AS pct, "
-    + _steps("doc_id % 30", H.IMAGE_STEPS, "Different", "<=") + " AS image, " + _steps("doc_id % 101", H.AUDIO_STEPS, "Different", ">=") + " AS audio, "
-    + _steps("doc_id % 20", H.FRAME_STEPS, "no-match", "<=") + " AS frame, " + _steps("doc_id % 101 / 100.0", H.BAND_STEPS, "low", ">=") + " AS band, " + _steps("doc_id % 101 / 100.0", H.MATCH_STEPS, "related", ">=") + " AS kind FROM documents",
+    """SELECT doc_id, floor((64 - doc_id % 65) * 100.0 / 64 * 100 + 0.5) / 100 AS pct,
+ CASE WHEN d = 0 THEN 'Identical' WHEN d <= 5 THEN 'Nearly identical' WHEN d <= 10 THEN 'Very similar' WHEN d <= 15 THEN 'Similar' WHEN d <= 20 THEN 'Somewhat similar' ELSE 'Different' END AS image,
+ CASE WHEN s = 100 THEN 'Identical' WHEN s >= 95 THEN 'Nearly Identical' WHEN s >= 90 THEN 'Very Similar' WHEN s >= 85 THEN 'Similar' WHEN s >= 70 THEN 'Somewhat Similar' ELSE 'Different' END AS audio,
+ CASE WHEN doc_id % 20 <= 8 THEN 'match' WHEN doc_id % 20 <= 16 THEN 'weak' ELSE 'no-match' END AS frame,
+ CASE WHEN s >= 95 THEN 'very-high' WHEN s >= 85 THEN 'high' WHEN s >= 75 THEN 'medium' ELSE 'low' END AS band,
+ CASE WHEN s >= 98 THEN 'exact-duplicate' WHEN s >= 90 THEN 'near-duplicate' WHEN s >= 80 THEN 'similar' ELSE 'possible-match' END AS kind FROM (SELECT doc_id, doc_id % 30 AS d, doc_id % 101 AS s FROM documents)""",
 )
 def fn2(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")

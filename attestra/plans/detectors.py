@@ -9,9 +9,11 @@ from attestra.functions import dct
 from attestra.functions import geo as G
 from attestra.operators import aggregates as A
 from attestra.operators import scoring as S
+from attestra.operators import windows as W
 from attestra.streaming import streams as R
 
 from . import fixtures as X
+from .analytics import _SIMS
 from .fixtures import with_tables
 from .rules import _SUN, docs
 
@@ -157,27 +159,50 @@ def sc12(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", q.alias("q")).select("doc_id", F.round(score, 6).alias("score"))
 
 
-@query("sc16_generator_attribution", """WITH e AS (SELECT user_id AS image_id, event_type AS generator, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) AS p FROM events WHERE user_id % 10 > 0 OR event_id % 3 > 0 GROUP BY user_id, event_type),
- o AS (SELECT *, CASE generator WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS ord FROM e), s AS (SELECT *, sum(p) OVER (PARTITION BY image_id) AS whole, row_number() OVER (PARTITION BY image_id ORDER BY p DESC, ord) AS r FROM o),
- b AS (SELECT image_id, CASE WHEN whole > 0 THEN generator ELSE 'unknown' END AS generator, CASE WHEN whole > 0 THEN CAST(floor(p * 100.0 / whole + 0.5) AS BIGINT) ELSE 0 END AS share FROM s WHERE r = 1)
-SELECT *, CASE WHEN share >= 80 THEN 'very likely' WHEN share >= 65 THEN 'likely' WHEN share >= 50 THEN 'possible' WHEN share >= 35 THEN 'weak' WHEN share >= 20 THEN 'slight' ELSE 'none' END AS verdict FROM b""")
-def sc16(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    kinds = ["click", "view", "purchase", "signup", "error"]
-    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) - 1
-    rows = X.table(spark, d, "events").filter("user_id % 10 > 0 or event_id % 3 > 0")
-    return S.attribute_generator(rows.select(F.col("user_id").alias("image_id"), place.alias("ord"), F.col("event_type").alias("generator"), F.when(e % 3 == 0, e % 40).otherwise(0).alias("points")), ["image_id"])
+_IMAGE = """WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1920 WHEN 1 THEN 1024 WHEN 2 THEN 1024 WHEN 3 THEN 512 WHEN 4 THEN 777 END AS w, CASE doc_id % 6 WHEN 0 THEN 1080 WHEN 1 THEN 1024 WHEN 2 THEN 1792 WHEN 3 THEN 512 WHEN 4 THEN 333 END AS h, doc_id % 25 AS lo, 200 + doc_id % 56 AS hi,
+ CAST(doc_id % 256 AS DOUBLE) AS r, CAST((doc_id * 7) % 256 AS DOUBLE) AS g, CAST((doc_id * 3) % 256 AS DOUBLE) AS b, (doc_id % 130) / 10.0 AS noise, (doc_id % 35)::DOUBLE AS edge, (doc_id % 10) / 100.0 AS strong, (doc_id * 13 % 2500)::DOUBLE AS tex, doc_id % 3 = 0 AS exif, doc_id % 2 = 0 AS srgb, CASE WHEN doc_id % 5 > 0 THEN doc_id % 101 END AS ai, doc_id % 4 AS sm, doc_id % 3 AS sa FROM documents),
+ m AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM f), s AS (SELECT *, CASE WHEN top > 0 THEN (top - low) / top ELSE 0 END AS sat FROM m),
+ k AS (SELECT doc_id, unnest(list_filter([CASE WHEN w = 1920 THEN 'r1' END, CASE WHEN w = 1024 AND h = 1024 THEN 'r2' END, CASE WHEN h = 1792 THEN 'r3' END, CASE WHEN w = 512 THEN 'r4' END, CASE WHEN w = 1920 THEN 'a1' END, CASE WHEN abs(w * 1.0 / h - 9 / 16.0) < 0.02 THEN 'a2' END, CASE WHEN w = h THEN 'a3' END, CASE WHEN abs(w * 1.0 / h - 21 / 9.0) < 0.02 THEN 'a4' END, CASE WHEN lo > 10 AND hi < 250 THEN 'c1' END, CASE WHEN sat > 0.7 THEN 'c2' END, CASE WHEN sat < 0.4 AND sat > 0.2 THEN 'c3' END, CASE WHEN abs(r - g) + abs(g - b) < 20 THEN 'c4' END, CASE WHEN hi - lo > 200 THEN 'c5' END,
+ CASE WHEN noise < 5 THEN 'n1' WHEN noise < 10 THEN 'n2' END, CASE WHEN noise > 3 AND noise < 8 THEN 'n3' END, CASE WHEN edge < 15 AND strong < 0.05 THEN 'e1' END, CASE WHEN edge > 10 AND edge < 25 THEN 'e2' END, CASE WHEN edge > 15 AND edge < 30 THEN 'e3' END, CASE WHEN tex < 100 THEN 't1' END, CASE WHEN tex > 500 AND tex < 2000 THEN 't2' END, CASE WHEN NOT exif THEN 'x1' END, CASE WHEN srgb THEN 'x2' END, CASE WHEN ai > 70 THEN 'd1' WHEN ai > 50 THEN 'd2' END], lambda z: z IS NOT NULL)) AS rule FROM s),
+ p(rule, so, ru, pi, kl, mi, da, sd, fi) AS (VALUES ('r1', 10, 10, 0, 10, 0, 0, 0, 0), ('r2', 0, 0, 0, 0, 12, 12, 12, 0), ('r3', 0, 0, 0, 0, 0, 36, 0, 0), ('r4', 0, 0, 0, 0, 0, 0, 15, 0), ('a1', 8, 8, 0, 8, 0, 0, 0, 0), ('a2', 8, 0, 8, 0, 0, 0, 0, 0), ('a3', 0, 0, 0, 0, 10, 10, 10, 0), ('a4', 12, 0, 0, 0, 0, 0, 0, 0), ('c1', 12, 8, 0, 0, 0, 0, 0, 0), ('c2', 0, 0, 10, 0, 8, 0, 0, 0), ('c3', 0, 0, 0, 8, 0, 0, 0, 6), ('c4', 0, 0, 0, 0, 0, 8, 0, 0), ('c5', 0, 0, 0, 0, 10, 0, 0, 0),
+ ('n1', 8, 6, 0, 0, 0, 10, 0, 0), ('n2', 0, 0, 6, 6, 8, 0, 0, 0), ('n3', 4, 0, 0, 0, 0, 0, 0, 0), ('e1', 0, 0, 0, 0, 0, 12, 0, 10), ('e2', 0, 0, 0, 0, 8, 0, 0, 0), ('e3', 6, 6, 0, 0, 0, 0, 0, 0), ('t1', 6, 0, 0, 0, 0, 8, 0, 0), ('t2', 0, 0, 0, 0, 10, 0, 0, 0), ('x1', 3, 3, 3, 3, 3, 3, 3, 3), ('x2', 0, 0, 0, 0, 3, 3, 0, 0), ('d1', 8, 8, 8, 8, 8, 8, 8, 8), ('d2', 4, 4, 4, 4, 4, 4, 4, 4)),
+ q AS (SELECT doc_id, sum(so) AS so, sum(ru) AS ru, sum(pi) AS pi, sum(kl) AS kl, sum(mi) AS mi, sum(da) AS da, sum(sd) AS sd, sum(fi) AS fi FROM k JOIN p ON k.rule = p.rule GROUP BY doc_id),
+ z AS (SELECT f.doc_id, [coalesce(so, 0), coalesce(ru, 0), coalesce(pi, 0) + x * 2 * sa, coalesce(kl, 0), coalesce(mi, 0) + x * 2 * (sm + sa), coalesce(da, 0) + x * 2 * sm, coalesce(sd, 0), coalesce(fi, 0)] AS v FROM (SELECT *, CASE WHEN ai > 0 THEN 1 ELSE 0 END AS x FROM f) f LEFT JOIN q ON q.doc_id = f.doc_id),
+ y AS (SELECT doc_id, list_transform(v, lambda n: CAST(floor(n / greatest(1, list_sum(v)) * 100 + 0.5) AS BIGINT)) AS v FROM (SELECT doc_id, list_transform(v, lambda n: n::DOUBLE) AS v FROM z)),
+ w AS (SELECT doc_id, list_max(v) AS confidence, CASE WHEN list_max(v) > 0 THEN (['sora', 'runway', 'pika', 'kling', 'midjourney', 'dalle', 'stableDiffusion', 'firefly'])[list_position(v, list_max(v))] ELSE 'unknown' END AS generator FROM y)
+SELECT doc_id, generator, confidence, confidence > 50 AS is_ai, CASE WHEN confidence >= 80 THEN 'HIGHLY_LIKELY_' || upper(generator) WHEN confidence >= 65 THEN 'LIKELY_' || upper(generator) WHEN confidence >= 50 THEN 'PROBABLE_AI_IMAGE' WHEN confidence >= 35 THEN 'POSSIBLE_AI_GENERATED' WHEN confidence >= 20 THEN 'LOW_AI_INDICATORS' ELSE 'UNLIKELY_AI_GENERATED' END AS verdict FROM w"""
 
 
-_SC17 = with_tables("frames") + """, g AS (SELECT video_id, count(*) AS n, avg(ai_confidence) AS m, stddev_pop(ai_confidence) AS s, max(ai_confidence) - min(ai_confidence) AS r, bool_and(ai_confidence > 70) AS h, count(DISTINCT substr(phash, 1, 8)) AS k, count(*) FILTER (WHERE event_type = 'click') AS sm, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id),
- p AS (SELECT video_id, CASE WHEN s < 2 AND m > 70 THEN 15 ELSE 0 END + CASE WHEN s < 1 AND m > 60 THEN 12 ELSE 0 END + CASE WHEN h THEN 10 ELSE 0 END + CASE WHEN r < 5 AND n > 5 THEN 8 ELSE 0 END AS a, CASE WHEN n >= 5 AND 1 - k * 1.0 / n > 0.3 THEN 12 ELSE 0 END AS b, least(18, floor(sm * 24.0 / n + 0.5)) AS c, CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END AS d, CASE WHEN n > 5 THEN 12 ELSE 0 END AS e FROM g),
- t AS (SELECT video_id, a + b + c + d + e AS total, CASE WHEN a > 10 THEN a ELSE 0 END + CASE WHEN b > 10 THEN b ELSE 0 END + CASE WHEN c > 10 THEN c ELSE 0 END + CASE WHEN d > 10 THEN d ELSE 0 END + CASE WHEN e > 10 THEN e ELSE 0 END AS strong FROM p),
- f AS (SELECT *, least(100, CAST(floor(total * 100.0 / 150 + 0.5) AS BIGINT)) AS confidence FROM t)
-SELECT video_id, total, confidence, CASE WHEN confidence >= 85 THEN 'almost certain' WHEN confidence >= 70 THEN 'very likely' WHEN confidence >= 55 THEN 'likely' WHEN confidence >= 40 THEN 'possible' WHEN confidence >= 25 THEN 'weak' ELSE 'none' END AS verdict, strong * 0.4 AS sora, strong * 0.3 AS runway, strong * 0.2 AS kling, strong * 0.1 AS pika FROM f"""
+@query("sc16_generator_attribution", _IMAGE)
+def sc16(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    low, high = i % 25, 200 + i % 56
+    facts = {
+        "width": F.when(i % 6 == 0, 1920).when((i % 6).isin(1, 2), 1024).when(i % 6 == 3, 512).when(i % 6 == 4, 777), "height": F.when(i % 6 == 0, 1080).when(i % 6 == 1, 1024).when(i % 6 == 2, 1792).when(i % 6 == 3, 512).when(i % 6 == 4, 333),
+        **{f"{c}_{x}": v for c in "rgb" for x, v in (("min", low), ("max", high))}, "r_mean": (i % 256).cast("double"), "g_mean": (i * 7 % 256).cast("double"), "b_mean": (i * 3 % 256).cast("double"),
+        "noise": i % 130 / 10, "edge": (i % 35).cast("double"), "strong_edges": i % 10 / 100, "texture": (i * 13 % 2500).cast("double"), "exif": i % 3 == 0, "space": F.when(i % 2 == 0, "srgb"), "ai_confidence": F.when(i % 5 > 0, i % 101), "smooth_marks": i % 4, "saturation_marks": i % 3,
+    }
+    return docs(spark, d).select("doc_id", S.attribute_generator(facts).alias("s")).select("doc_id", "s.*")
+
+
+_SC17 = with_tables("frames") + _SIMS + """, g AS (SELECT video_id, count(*) AS n, avg(ai_confidence) AS m, stddev_pop(ai_confidence) AS s, max(ai_confidence) - min(ai_confidence) AS r, bool_and(ai_confidence > 70) AS h, count(DISTINCT substr(phash, 1, 8)) AS k, count(*) FILTER (WHERE event_type = 'click') AS sm, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id),
+ i AS (SELECT video_id, count(*) FILTER (WHERE sim > 0.98 AND sim < 1) AS mo, count(*) FILTER (WHERE sim > 0.995 AND sim < 1) AS mi, count(*) FILTER (WHERE sim < 0.7 AND next_sim > 0.9) AS ju, count(*) FILTER (WHERE sim > 0.95) AS al, count(sim_before) AS st, count(*) FILTER (WHERE abs(sim - sim_before) < 0.01) AS un FROM sims GROUP BY video_id),
+ v AS (SELECT g.*, i.mo, i.mi, i.ju, i.al, i.st, i.un, g.video_id % 11 > 0 AS known, g.video_id % 130 AS du, (['1920', '1280', '3840', '640'])[CAST(g.video_id % 4 + 1 AS INT)]::INT AS wi, g.video_id % 3 AS co FROM g JOIN i ON i.video_id = g.video_id),
+ p AS (SELECT video_id, CASE WHEN s < 2 AND m > 70 THEN 15 ELSE 0 END + CASE WHEN s < 1 AND m > 60 THEN 12 ELSE 0 END + CASE WHEN h THEN 10 ELSE 0 END + CASE WHEN r < 5 AND n > 5 THEN 8 ELSE 0 END AS physics, CASE WHEN n >= 5 AND 1 - k * 1.0 / n > 0.3 THEN 12 ELSE 0 END + CASE WHEN n >= 5 AND al * 1.0 / (n - 1) > 0.6 THEN 12 ELSE 0 END AS hashes, least(18, floor(sm * 24.0 / n + 0.5)) AS smooth, CASE WHEN n < 3 THEN 0 ELSE CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END END AS light, CASE WHEN n > 5 THEN 12 ELSE 0 END AS compression,
+ least(25, floor((mo + 2 * ju) * 1.0 / n * 50 + 0.5)) + CASE WHEN mi * 1.0 / n > 0.5 THEN 8 ELSE 0 END AS morphing, CASE WHEN st + 2 > 5 AND un * 1.0 / st > 0.7 THEN 10 ELSE 0 END + CASE WHEN known AND video_id % 5 = 0 THEN 12 ELSE 0 END + CASE WHEN known AND video_id % 2 = 0 THEN 10 ELSE 0 END AS camera,
+ CASE WHEN NOT known THEN 0 ELSE CASE WHEN du > 25 AND du <= 120 THEN 10 WHEN du > 0 AND du <= 20 THEN 8 ELSE 0 END + CASE wi WHEN 3840 THEN 12 WHEN 640 THEN 0 ELSE 8 END + CASE co WHEN 1 THEN 5 WHEN 0 THEN 3 ELSE 0 END + CASE WHEN du > 0 AND video_id * 1000000 * 8 / (du * 1000.0) > 10000 THEN 6 ELSE 0 END END AS format,
+ CASE WHEN NOT known THEN 'unknown' WHEN CASE WHEN du > 25 THEN 3 ELSE 0 END + CASE wi WHEN 3840 THEN 4 WHEN 1920 THEN 1 ELSE 0 END + CASE WHEN co = 1 THEN 2 ELSE 0 END > CASE WHEN du <= 20 THEN 2 ELSE 0 END THEN 'sora2' WHEN CASE WHEN du > 25 THEN 3 ELSE 0 END + CASE wi WHEN 3840 THEN 4 WHEN 1920 THEN 1 ELSE 0 END + CASE WHEN co = 1 THEN 2 ELSE 0 END < CASE WHEN du <= 20 THEN 2 ELSE 0 END THEN 'sora1' ELSE 'unknown' END AS version FROM v),
+ t AS (SELECT video_id, version, CAST(physics + hashes + smooth + light + compression + morphing + camera + format AS DOUBLE) AS total, greatest(physics, hashes, smooth, light, morphing, camera, format) > 10 AS strong FROM p), f AS (SELECT *, least(100, CAST(floor(total * 100.0 / 150 + 0.5) AS BIGINT)) AS confidence, CASE WHEN strong THEN 'sora' ELSE 'unknown' END AS generator FROM t)
+SELECT video_id, total, confidence, confidence >= 50 AS is_ai, generator, CASE WHEN confidence >= 85 THEN 'HIGHLY_LIKELY_' || upper(generator) WHEN confidence >= 70 THEN 'LIKELY_' || upper(generator) WHEN confidence >= 55 THEN 'PROBABLE_AI_VIDEO' WHEN confidence >= 40 THEN 'POSSIBLE_AI_GENERATED' WHEN confidence >= 25 THEN 'LOW_AI_INDICATORS' ELSE 'UNLIKELY_AI_GENERATED' END AS verdict, CASE WHEN strong THEN 40 ELSE 0 END AS sora, CASE WHEN strong THEN 30 ELSE 0 END AS runway, CASE WHEN strong THEN 20 ELSE 0 END AS kling, CASE WHEN strong THEN 10 ELSE 0 END AS pika, version FROM f"""
 
 
 @query("sc17_video_attribution", _SC17)
 def sc17(spark: SparkSession, d: str) -> DataFrame:
     f = X.frames(spark, d)
-    smooth = A.smoothness_ratio(f).withColumnRenamed("score", "points")
-    return S.video_generator_attribution([A.frame_confidence_stats(f), A.hash_repetition(f), smooth, A.lighting_ratio(f), A.compression_uniformity(f)])
+    facts = X.video_facts(f)
+    hashes = A.hash_repetition(f).select("video_id", "points").join(W.adjacent_smoothness(f).select("video_id", F.col("points").alias("more")), "video_id").select("video_id", (F.col("points") + F.col("more")).alias("points"))
+    camera = W.uniform_motion(f, facts).select("video_id", (F.col("uniform_points") + F.col("constant_points") + F.col("steady_points")).alias("points"))
+    container = facts.select("video_id", S.video_format_points(*[F.col(c) for c in ("duration", "width", "height", "codec", "size")]).alias("points"))
+    parts = [W.temporal_morphing(f).withColumnRenamed("score", "points"), A.frame_confidence_stats(f), hashes, container, A.smoothness_ratio(f).withColumnRenamed("score", "points"), camera, A.lighting_ratio(f)]
+    out = S.video_generator_attribution(parts, [A.compression_uniformity(f)])
+    return out.join(facts.select("video_id", S.sora_version(F.col("duration"), F.col("width"), F.col("codec")).alias("version")), "video_id")

@@ -80,6 +80,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def video_facts(frames: DataFrame) -> DataFrame:
+    """Container facts and the frame rate's verdict of each video; none for some."""
+    v = F.col("video_id")
+    some = lambda c: F.when(v % 11 > 0, c)
+    pick = lambda *values: F.element_at(F.array(*[F.lit(x) for x in values]), (v % len(values) + 1).cast("int"))
+    return frames.select("video_id").distinct().select(
+        "video_id", some((v % 130).cast("double")).alias("duration"), some(pick(1920, 1280, 3840, 640)).alias("width"), some(pick(1080, 720, 2160, 480)).alias("height"), some(pick("h264", "h265", "vp9")).alias("codec"), some(v * 1_000_000).alias("size"),
+        some(v % 5 < 2).alias("rate_consistent"), some((v % 5).cast("double")).alias("variance_percent"), some(v % 2 == 1).alias("inconsistencies"),
+    )
+
+
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected faces: one or two rows per frame."""
     f = frames(spark, sf_dir).withColumn("face_idx", F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))))

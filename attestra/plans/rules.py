@@ -110,11 +110,17 @@ def flt7(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.status_from_message(_pick(F.col("doc_id"), MESSAGES)).alias("status"))
 
 
-@query("flt8_error_code", f"SELECT doc_id, {_sql_pick('doc_id', ['TIMEOUT', 'FILE_TOO_LARGE', 'GIVEN', 'CORRUPT_FILE', 'PROCESSING_ERROR', 'PROCESSING_ERROR', 'PROCESSING_ERROR', 'UNSUPPORTED_FORMAT'])} AS code, {_sql_pick('doc_id', ['Processing took too long', 'File is too large', 'Processing failed', 'File is damaged', 'Processing failed', 'Processing failed', 'Processing failed', 'Unsupported file format'])} AS shown FROM documents")
+FAULTS = ["Invalid size of format", "Image too small", "File too LARGE", "exceeds the limit", "Unsupported codec", "Timeout", "out of memory", "boom", None]
+
+
+@query("flt8_error_code", f"""WITH m AS (SELECT doc_id, {_sql_pick('doc_id', FAULTS)} AS m, CASE WHEN doc_id % 8 = 2 THEN 'ENOENT' WHEN doc_id % 16 = 3 THEN 'OUT_OF_MEMORY' END AS given FROM documents),
+ c AS (SELECT *, coalesce(given, CASE WHEN m ILIKE '%invalid%' OR m ILIKE '%corrupt%' THEN 'INVALID_IMAGE' WHEN m ILIKE '%size%' OR m ILIKE '%small%' THEN 'IMAGE_TOO_SMALL' WHEN m ILIKE '%large%' OR m ILIKE '%exceeds%' THEN 'IMAGE_TOO_LARGE' WHEN m ILIKE '%format%' OR m ILIKE '%unsupported%' THEN 'UNSUPPORTED_FORMAT' WHEN m ILIKE '%timeout%' THEN 'PROCESSING_TIMEOUT' WHEN m ILIKE '%memory%' THEN 'OUT_OF_MEMORY' ELSE 'PROCESSING_ERROR' END) AS code FROM m)
+SELECT doc_id, code, CASE code WHEN 'INVALID_IMAGE' THEN 'File is corrupted or not a valid image format' WHEN 'IMAGE_TOO_SMALL' THEN 'Image dimensions are too small for reliable verification' WHEN 'IMAGE_TOO_LARGE' THEN 'Image file size exceeds the maximum allowed' WHEN 'UNSUPPORTED_FORMAT' THEN 'Image format is not supported' WHEN 'PROCESSING_TIMEOUT' THEN 'Image processing took too long and was cancelled' WHEN 'OUT_OF_MEMORY' THEN 'Image is too large to process' WHEN 'PROCESSING_ERROR' THEN 'An error occurred while processing the image' ELSE coalesce(m, 'Unknown error occurred') END AS shown FROM c""")
 def flt8(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    code = L.error_code(F.when(i % 8 == 2, "GIVEN"), _pick(i, MESSAGES))
-    return docs(spark, d).select("doc_id", code.alias("code"), L.error_text(code).alias("shown"))
+    message = _pick(i, FAULTS)
+    code = L.error_code(F.when(i % 8 == 2, "ENOENT").when(i % 16 == 3, "OUT_OF_MEMORY"), message)
+    return docs(spark, d).select("doc_id", code.alias("code"), L.error_text(code, message).alias("shown"))
 
 
 @query("flt9_allowed_hosts", "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '^https?://') AND split_part(split_part(split_part(split_part(lower(url), '://', 2), '/', 1), '?', 1), '#', 1) IN (SELECT DISTINCT split_part(split_part(split_part(split_part(lower(url), '://', 2), '/', 1), '?', 1), '#', 1) FROM pages WHERE page_id % 50 = 0)")
@@ -176,16 +182,16 @@ def join10(spark: SparkSession, d: str) -> DataFrame:
     return J.camera_catalogue(exif, spark.createDataFrame(CATALOGUE, "ord int, maker string, model string, release_year int"))
 
 
-SKIES = ["Blue Sky", "umbrella", "tree"]
+SKIES = ["Blue Sky", "Thunderstorm", "tree", "Clear water", "Clouds"]
 CONDITIONS = ["sunny", "rain", "cloudy"]
 
 
-@query("join11_weather", f"""WITH p AS (SELECT doc_id AS photo_id, doc_id % 40 AS place, doc_id % 5 AS day, {_sql_pick('doc_id', SKIES)} AS sky FROM documents), w AS (SELECT DISTINCT user_id % 40 AS place, user_id % 4 AS day, {_sql_pick('(user_id % 40)', CONDITIONS)} AS condition, (user_id % 40) % 2 AS precip FROM events),
- j AS (SELECT p.*, condition, CASE WHEN sky = 'Blue Sky' AND precip > 0 THEN 'sunny photo on a wet day' WHEN sky = 'umbrella' AND condition = 'sunny' THEN 'rainy photo on a sunny day' END AS warning FROM p LEFT JOIN w ON p.place = w.place AND p.day = w.day) SELECT photo_id, place, day, condition, warning, CASE WHEN condition IS NOT NULL THEN warning IS NULL END AS verified FROM j""")
+@query("join11_weather", f"""WITH p AS (SELECT doc_id AS photo_id, doc_id % 40 AS place, doc_id % 5 AS day, {_sql_pick('doc_id', SKIES)} AS sky FROM documents), w AS (SELECT DISTINCT user_id % 40 AS place, user_id % 4 AS day, {_sql_pick('(user_id % 40)', CONDITIONS)} AS condition, (user_id % 40) % 2 = 1 AS rainy FROM events),
+ j AS (SELECT p.*, condition, CASE WHEN sky IN ('Blue Sky', 'Clear water') AND rainy THEN 'Image appears sunny but weather was rainy - possible manipulation' WHEN sky IN ('Thunderstorm', 'Clouds') AND condition = 'sunny' THEN 'Image appears rainy but weather was sunny - possible manipulation' END AS warning FROM p LEFT JOIN w ON p.place = w.place AND p.day = w.day) SELECT photo_id, place, day, condition, warning, CASE WHEN condition IS NOT NULL THEN warning IS NULL END AS verified FROM j""")
 def join11(spark: SparkSession, d: str) -> DataFrame:
     i, u = F.col("doc_id"), F.col("user_id")
     p = docs(spark, d).select(i.alias("photo_id"), (i % 40).alias("place"), (i % 5).alias("day"), F.array(_pick(i, SKIES)).alias("labels"))
-    w = X.table(spark, d, "events").select((u % 40).alias("place"), (u % 4).alias("day"), _pick(u % 40, CONDITIONS).alias("condition"), (u % 40 % 2).alias("precip_mm")).distinct()
+    w = X.table(spark, d, "events").select((u % 40).alias("place"), (u % 4).alias("day"), _pick(u % 40, CONDITIONS).alias("condition"), (u % 40 % 2 == 1).alias("is_rainy")).withColumn("is_sunny", F.col("condition") == "sunny").distinct()
     return J.weather_check(p, w)
 
 
@@ -220,16 +226,16 @@ TIERS = ["free", "pro", "enterprise"]
 
 @query("join14_hybrid", with_tables("reg") + f""", q AS (SELECT id AS query_id, fingerprint, {_sql_pick('id', TIERS)} AS tier, id % 2 = 0 AS always FROM reg), s AS (SELECT q.*, q.fingerprint IN (SELECT fingerprint FROM reg WHERE media_kind = 'audio') AS found FROM q), a AS (SELECT *, CASE tier WHEN 'free' THEN NOT found AND always WHEN 'pro' THEN always OR NOT found ELSE true END AS asked FROM s),
  x AS (SELECT fingerprint, sum(id % 3) AS m FROM reg WHERE id % 5 = 0 GROUP BY fingerprint), e AS (SELECT a.query_id, a.fingerprint, found, asked, CASE WHEN asked THEN CAST(coalesce(m, 0) AS BIGINT) END AS external_matches FROM a LEFT JOIN x ON x.fingerprint = a.fingerprint)
-SELECT *, CASE WHEN found THEN 'seen before' WHEN external_matches > 0 THEN 'found elsewhere' ELSE 'new' END AS advice FROM e""")
+SELECT *, CASE WHEN found THEN 'File previously verified in our database' ELSE 'File appears to be original - first verification' END AS advice FROM e""")
 def join14(spark: SparkSession, d: str) -> DataFrame:
     reg = X.reg(spark, d)
     q = reg.select(F.col("id").alias("query_id"), "fingerprint", _pick(F.col("id"), TIERS).alias("tier"), (F.col("id") % 2 == 0).alias("always"))
     return J.hybrid_search(q, reg.filter("media_kind = 'audio'"), reg.filter("id % 5 = 0").select("fingerprint", (F.col("id") % 3).alias("matches")))
 
 
-@query("join15_inhibit", "WITH a AS (SELECT event_id AS alert_id, event_type AS name, user_id % 20 AS label FROM events WHERE event_id % 7 = 0), r AS (SELECT * FROM (VALUES ('error', 'click'), ('purchase', 'view')) AS t(source, target)) SELECT name, label, alert_id FROM a WHERE NOT EXISTS (SELECT 1 FROM r JOIN a s ON s.name = r.source WHERE r.target = a.name AND s.label = a.label)")
+@query("join15_inhibit", "WITH a AS (SELECT event_id AS alert_id, event_type AS name, user_id % 20 AS label FROM events WHERE event_type <> 'error' OR user_id % 3 = 0), r AS (SELECT * FROM (VALUES ('error', 'click'), ('purchase', 'view')) AS t(source, target)) SELECT name, label, alert_id FROM a WHERE NOT EXISTS (SELECT 1 FROM r JOIN a s ON s.name = r.source WHERE r.target = a.name AND s.label = a.label)")
 def join15(spark: SparkSession, d: str) -> DataFrame:
-    a = X.table(spark, d, "events").filter("event_id % 7 = 0").select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("name"), (F.col("user_id") % 20).alias("label"))
+    a = X.table(spark, d, "events").filter("event_type <> 'error' or user_id % 3 = 0").select(F.col("event_id").alias("alert_id"), F.col("event_type").alias("name"), (F.col("user_id") % 20).alias("label"))
     return J.inhibit_alerts(a, spark.createDataFrame([("error", "click"), ("purchase", "view")], "source string, target string"))
 
 
@@ -305,10 +311,10 @@ def fn17(spark: SparkSession, d: str) -> DataFrame:
 RATES, TIMES = ["30000/1001", "25", "", "24/0", "24/1"], ["Duration: 00:03:25.50, start", "01:00:00", "none"]
 
 
-@query("fn18_21_text", f"SELECT doc_id, {_sql_pick('doc_id', [30000 / 1001, 25.0, 0.0, 0.0, 24.0])} AS rate, {_sql_pick('doc_id', [205.5, 3600.0, None])} AS seconds, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) END AS size, {_sql_pick('doc_id', ['vid:v1', None, 'img:v2', None])} AS spec FROM documents WHERE n_chars < 100000")
+@query("fn18_21_text", f"SELECT doc_id, {_sql_pick('doc_id', [30000 / 1001, 25.0, 0.0, 0.0, 24.0])} AS rate, {_sql_pick('doc_id', [205.5, 3600.0, None])} AS seconds, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) WHEN n_chars IS NOT NULL THEN printf('%.1f MB', floor(n_chars / 1048576.0 * 10 + 0.5) / 10) END AS size, {_sql_pick('doc_id', ['vid:v1', None, 'img:v2', None])} AS spec FROM documents")
 def fn18(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    return docs(spark, d).filter("n_chars < 100000").select("doc_id", T.parse_fraction(_pick(i, RATES)).alias("rate"), T.parse_duration(_pick(i, TIMES)).alias("seconds"), T.format_file_size(F.col("n_chars")).alias("size"), T.canonical_spec(_pick(i, ["vid:v1:15", "x", "img:v2", None])).alias("spec"))
+    return docs(spark, d).select("doc_id", T.parse_fraction(_pick(i, RATES)).alias("rate"), T.parse_duration(_pick(i, TIMES)).alias("seconds"), T.format_file_size(F.col("n_chars")).alias("size"), T.canonical_spec(_pick(i, ["vid:v1:15", "x", "img:v2", None])).alias("spec"))
 
 
 LINKS = ["https://en.Wikipedia.org/x", "http://a.gov/1", "http://blog.example", "http://x.edu"]
@@ -345,23 +351,38 @@ def score_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.confidence_total(out).withColumn("modification", S.modification_status(F.col("similarity")))
 
 
-@query("sc1_6_confidence", _SCORES + "SELECT i, metadata, external, forensic, temporal, total, percentage, modification, CASE WHEN similarity >= 95 THEN 'minor' WHEN similarity >= 90 THEN 'moderate' WHEN similarity >= 85 THEN 'significant' END AS edits FROM t")
+@query("sc1_6_confidence", _SCORES + "SELECT i, metadata, external, forensic, temporal, total, percentage, modification, CASE WHEN similarity BETWEEN 95 AND 99 THEN 'Minor edits (compression, slight crop, or format change)' WHEN similarity BETWEEN 90 AND 94 THEN 'Moderate edits (cropping, resizing, or color adjustments)' WHEN similarity BETWEEN 85 AND 89 THEN 'Significant edits (substantial cropping, filters, or overlays)' END AS edits FROM t")
 def sc1(spark: SparkSession, d: str) -> DataFrame:
     return score_rows(spark, d).select("i", *S.FACTORS, "total", "percentage", "modification", S.inferred_edits(F.col("similarity")).alias("edits"))
 
 
-@query("sc8_warnings", _SCORES + """SELECT i, concat_ws('|', CASE WHEN metadata * 100.0 / 40 < 50 THEN 'Low metadata' END, CASE WHEN external * 100.0 / 30 < 50 THEN 'Low external' END, CASE WHEN forensic * 100.0 / 25 < 50 THEN 'Low forensic' END, CASE WHEN temporal * 100.0 / 15 < 50 THEN 'Low temporal' END, CASE WHEN m THEN 'modified' END, CASE WHEN percentage < 50 THEN 'low total' END) AS warnings,
- concat_ws('|', CASE WHEN percentage < 75 AND NOT m THEN 'additional verification' END, CASE WHEN m THEN 'verify modifications' END, CASE WHEN external / 30.0 < 0.5 THEN 'chain of custody' END) AS recommendations FROM (SELECT *, similarity >= 70 AND similarity < 100 AS m FROM t)""")
+@query("sc8_warnings", _SCORES + """SELECT i, concat_ws('|', CASE WHEN metadata < 20 THEN 'Low metadata quality' END, CASE WHEN external < 15 THEN 'Low external verification' END, CASE WHEN forensic < 12.5 THEN 'Low forensic analysis' END, CASE WHEN temporal < 7.5 THEN 'Low temporal trust' END, CASE WHEN m THEN 'Content has been modified (' || similarity || '% similarity to original)' END, CASE WHEN percentage < 50 THEN 'Overall confidence below acceptable threshold' END) AS warnings,
+ concat_ws('|', CASE WHEN percentage < 75 AND NOT m THEN 'Consider obtaining additional verification from original source' END, CASE WHEN m THEN 'Verify the source of modifications and original content provenance' END,
+ CASE WHEN similarity BETWEEN 95 AND 99 THEN 'Detected modifications: Minor edits (compression, slight crop, or format change)' WHEN similarity BETWEEN 90 AND 94 THEN 'Detected modifications: Moderate edits (cropping, resizing, or color adjustments)' WHEN similarity BETWEEN 85 AND 89 THEN 'Detected modifications: Significant edits (substantial cropping, filters, or overlays)' END, CASE WHEN external < 15 THEN 'Verify chain of custody for this content' END) AS recommendations FROM (SELECT *, similarity BETWEEN 70 AND 99 AS m FROM t)""")
 def sc8(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("modification").isin("modified_version", "heavily_modified")
-    rows = score_rows(spark, d).withColumn("m", F.coalesce(m, F.lit(False)))
-    return rows.select("i", F.array_join(S.warnings(rows, F.col("m")), "|").alias("warnings"), F.array_join(S.recommendations(F.col("m")), "|").alias("recommendations"))
+    rows = score_rows(spark, d)
+    return rows.select("i", F.array_join(S.warnings(F.col("similarity")), "|").alias("warnings"), F.array_join(S.recommendations(F.col("similarity")), "|").alias("recommendations"))
 
 
-@query("sc10_23_points", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 15 WHEN doc_id % 2 = 0 THEN 0 ELSE 30 END AS ai, least(50, CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN doc_id % 4 > 0 THEN 5 ELSE 0 END) AS boost, CASE WHEN doc_id % 40 > 30 THEN 15 WHEN doc_id % 40 > 7 THEN 10 WHEN doc_id % 40 > 1 THEN 5 ELSE 0 END AS age FROM documents")
+@query("sc10_23_points", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 15 WHEN doc_id % 2 = 0 THEN 0 ELSE 30 END AS ai, least(50, CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN doc_id % 4 > 0 THEN 5 ELSE 0 END) AS boost FROM documents")
 def sc10(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    return docs(spark, d).select("doc_id", S.ai_authenticity(i % 3 != 0, i % 2 == 0).alias("ai"), S.credential_boost(i % 2 == 0, i % 3 == 0, i % 5 == 0, i % 4).alias("boost"), S.legacy_age_points(i % 40).alias("age"))
+    return docs(spark, d).select("doc_id", S.ai_authenticity(i % 3 != 0, i % 2 == 0).alias("ai"), S.credential_boost(i % 2 == 0, i % 3 == 0, i % 5 == 0, i % 4).alias("boost"))
+
+
+@query("sc9_legacy_confidence", """WITH f AS (SELECT doc_id, least(30, CASE WHEN doc_id % 4 < 3 THEN 15 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 9 > 5 THEN 5 ELSE 0 END) AS metadata,
+ CASE WHEN doc_id % 5 = 0 THEN 15 WHEN doc_id % 7 < 3 THEN 5 ELSE 30 END AS external, CASE WHEN doc_id % 11 = 0 THEN 20 WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 101 > 30 THEN 10 ELSE 20 END AS forensic, doc_id % 5 > 0 AND doc_id % 7 < 3 AS online,
+ CASE WHEN doc_id % 13 = 0 THEN 10 WHEN (doc_id % 80) / 2.0 < 1 THEN 0 WHEN (doc_id % 80) / 2.0 < 7 THEN 5 WHEN (doc_id % 80) / 2.0 < 30 THEN 10 ELSE 15 END AS temporal, doc_id % 13 > 0 AND (doc_id % 80) / 2.0 < 1 AS fresh, doc_id % 17 = 0 AS disputed FROM documents),
+ t AS (SELECT *, metadata + external + forensic + temporal AS score FROM f), l AS (SELECT *, CASE WHEN disputed THEN 'DISPUTED' WHEN score >= 75 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM t)
+SELECT doc_id, metadata, external, forensic, temporal, score, level, CASE level WHEN 'DISPUTED' THEN 'DISPUTED' WHEN 'HIGH' THEN 'HIGH CONFIDENCE' WHEN 'MEDIUM' THEN 'MEDIUM CONFIDENCE' ELSE 'LOW CONFIDENCE' END AS label,
+ concat_ws('|', CASE WHEN online THEN 'Content found online before upload' END, CASE WHEN floor(metadata / 30.0 * 100 + 0.5) < 50 THEN 'Low metadata quality' END, CASE WHEN floor(external / 30.0 * 100 + 0.5) < 50 THEN 'Low external verification' END, CASE WHEN floor(forensic / 25.0 * 100 + 0.5) < 50 THEN 'Low forensic analysis' END, CASE WHEN floor(temporal / 15.0 * 100 + 0.5) < 50 THEN 'Low temporal trust' END, CASE WHEN fresh THEN 'Recently uploaded - limited trust' END) AS warnings,
+ CASE WHEN level IN ('LOW', 'MEDIUM') THEN 'Consider providing additional proof of ownership|Link to original publication sources' WHEN level = 'DISPUTED' THEN 'Review dispute details|Provide evidence of original creation' ELSE '' END AS recommendations FROM l""")
+def sc9(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "image").when(i % 4 == 1, "video").when(i % 4 == 2, "audio")
+    s = S.legacy_confidence(kind, i % 2 == 0, i % 3 == 0, i % 9, F.when(i % 5 != 0, i % 7 < 3), F.when(i % 11 != 0, i % 6 == 0), i % 101, F.when(i % 13 != 0, i % 80 / 2), F.when(i % 17 == 0, 1).otherwise(0))
+    out = docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", "s.*")
+    return out.withColumn("warnings", F.array_join("warnings", "|")).withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
 _ENS = """WITH d AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id % 97 END AS j, CASE WHEN event_id % 3 <> 0 THEN event_id % 89 END AS a, CASE WHEN event_id % 5 <> 0 THEN event_id % 83 END AS r FROM events),
@@ -382,20 +403,33 @@ def sc15(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").select("event_id", S.audio_score(e % 60, e % 4, e % 45 + 1, F.when(e % 3 == 0, 22050).otherwise(48000), e % 3, F.when(e % 2 == 0, "mp3").otherwise("flac"), [22050, 24000], ["mp3"]).alias("score"))
 
 
-@query("sc21_frame_rate", "WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 24.0 ELSE 25.0 END AS n, 23.5 + event_id % 80 / 10.0 AS a FROM events), v AS (SELECT *, abs(n - a) / n AS v FROM r) SELECT event_id, v AS variance, v < 0.02 AS consistent, CASE WHEN (abs(n - 30) < 0.5 AND abs(a - 24) < 0.5) OR (abs(n - 24) < 0.5 AND abs(a - 30) < 0.5) THEN 'mixed 30/24' WHEN v > 0.1 THEN 'variable frame rate' END AS warning FROM v")
+@query("sc21_frame_rate", """WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 30.0::DOUBLE WHEN 1 THEN 24.0::DOUBLE ELSE 25.0::DOUBLE END AS n, 23.5::DOUBLE + (event_id % 80)::DOUBLE / 10 AS a FROM events), v AS (SELECT *, abs(n - a) / n AS v FROM r), p AS (SELECT *, floor(v * 10000 + 0.5) / 100 AS pct FROM v)
+SELECT event_id, floor(n * 100 + 0.5) / 100 AS declared_fps, floor(a * 100 + 0.5) / 100 AS average_fps, pct AS variance_percent, v < 0.02 AS consistent, concat_ws('|', CASE WHEN v >= 0.02 THEN 'Frame rate inconsistency detected - possible editing or splicing' END, CASE WHEN v > 0.1 THEN 'High frame rate variance (' || regexp_replace(CAST(pct AS VARCHAR), '\\.0$', '') || '%) - likely edited' END, CASE WHEN abs(n - 30) < 0.1 AND abs(a - 24) < 0.1 THEN 'Mixed 30fps and 24fps content - indicates editing or format conversion' END) AS warnings FROM p""")
 def sc21(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     n = F.when(e % 3 == 0, 30.0).when(e % 3 == 1, 24.0).otherwise(25.0)
-    return X.table(spark, d, "events").select("event_id", S.frame_rate_check(n, 23.5 + e % 80 / 10).alias("r")).select("event_id", "r.*")
+    out = X.table(spark, d, "events").select("event_id", S.frame_rate_check(n, 23.5 + e % 80 / 10).alias("r")).select("event_id", "r.*")
+    return out.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+_BATCH = """WITH b AS (SELECT event_id AS e, event_id % 101 AS c, event_id % 1800 + 100 AS w, event_id % 900 + 100 AS h, event_id % 4 < 3 AS likely FROM events),
+ p AS (SELECT *, CASE WHEN w * h >= 2000000 THEN 3 WHEN w * h >= 500000 THEN 2 ELSE 1 END AS r, CASE WHEN e % 2 = 0 THEN CASE WHEN e % 5 >= 3 THEN 3 WHEN e % 5 = 2 THEN 2 ELSE 1 END END AS d, CASE WHEN e % 2 = 0 THEN CASE e % 7 WHEN 0 THEN NULL WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END END AS g FROM b),
+ m AS (SELECT *, (r + coalesce(d, 0) + coalesce(g, 0)) * 1.0 / (1 + CASE WHEN d IS NULL THEN 0 ELSE 1 END + CASE WHEN g IS NULL THEN 0 ELSE 1 END) AS mean FROM p)
+SELECT e AS event_id, CASE WHEN e % 29 = 0 THEN 'given' WHEN mean >= 2.5 THEN 'high' WHEN mean >= 1.5 THEN 'medium' ELSE 'low' END AS confidence,
+ concat_ws('|', CASE WHEN likely THEN CASE WHEN c >= 80 THEN 'High confidence AI-generated content detected (' || c || '%)' WHEN c >= 60 THEN 'Likely AI-generated content detected (' || c || '%)' ELSE 'Possible AI-generated content detected (' || c || '%)' END END, CASE WHEN e % 3 > 0 THEN 'Possible duplicate detected' END, CASE WHEN w < 500 OR h < 500 THEN 'Low resolution image - may affect verification accuracy' END, CASE WHEN w < 200 OR h < 200 THEN 'Very low resolution - verification results may be unreliable' END,
+ CASE WHEN e % 100 BETWEEN 1 AND 49 THEN 'Low quality/heavy compression detected' END, CASE WHEN w * 1.0 / h > 5 OR w * 1.0 / h < 0.2 THEN 'Unusual aspect ratio detected' END) AS warnings,
+ CASE WHEN e % 6 = 0 THEN 'LIKELY_MANIPULATED' WHEN c >= 80 THEN 'LIKELY_MANIPULATED' WHEN c >= 50 THEN 'QUESTIONABLE' WHEN c >= 30 THEN 'LIKELY_AUTHENTIC' ELSE 'AUTHENTIC' END AS verdict, (e % 6 = 0 OR c >= 50) = (e % 2 = 0) AS correct FROM m"""
 
 
-@query("sc24_26_batch", "SELECT event_id, CASE WHEN m >= 7.5 THEN 'high' WHEN m >= 4.5 THEN 'medium' ELSE 'low' END AS confidence, concat_ws('|', CASE WHEN event_id % 101 >= 80 THEN 'ai_very_likely' WHEN event_id % 101 >= 60 THEN 'ai_possible' END, CASE WHEN event_id % 3 > 0 THEN 'duplicates' END, CASE WHEN least(w, h) < 200 THEN 'very_low_resolution' WHEN least(w, h) < 500 THEN 'low_resolution' END, CASE WHEN event_id % 100 < 50 THEN 'low_quality' END, CASE WHEN w * 1.0 / h > 5 OR w * 1.0 / h < 0.2 THEN 'odd_aspect' END) AS warnings, CASE WHEN c >= 80 THEN 'LIKELY_MANIPULATED' WHEN c >= 50 THEN 'QUESTIONABLE' WHEN c >= 30 THEN 'UNCERTAIN' ELSE 'AUTHENTIC' END AS verdict, (c >= 50) = (event_id % 2 = 0) AS correct FROM (SELECT event_id, event_id % 101 AS c, event_id % 1800 + 100 AS w, event_id % 900 + 100 AS h, CASE WHEN event_id % 3000000 >= 2000000 THEN 3 WHEN event_id * 300 % 3000000 >= 500000 THEN 2 ELSE 1 END + CASE WHEN event_id % 5 >= 3 THEN 3 WHEN event_id % 5 >= 2 THEN 2 ELSE 1 END + CASE WHEN event_id % 40 < 15 THEN 3 WHEN event_id % 40 < 30 THEN 2 ELSE 1 END AS m FROM events)")
+@query("sc24_26_batch", _BATCH)
 def sc24(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    pixels = F.when(e % 3000000 >= 2000000, 2_000_000).otherwise(F.least(e * 300 % 3000000, F.lit(1_999_999)))
-    verdict = S.verdict_of_confidence(e % 101)
+    w, h, c = e % 1800 + 100, e % 900 + 100, e % 101
+    agreement = F.when((e % 7).isin(1, 2), "high").when((e % 7).isin(3, 4), "medium").when(e % 7 != 0, "low")
+    confidence = S.batch_confidence(F.when(e % 29 == 0, "given"), w, h, e % 2 == 0, e % 5, agreement)
+    verdict = S.verdict_of_confidence(e % 6 == 0, c)
     expected = F.when(e % 2 == 0, "LIKELY_MANIPULATED").otherwise("AUTHENTIC")
-    return X.table(spark, d, "events").select("event_id", S.batch_confidence(pixels, e % 5, e % 40).alias("confidence"), F.array_join(S.batch_warnings(e % 101, e % 3, e % 1800 + 100, e % 900 + 100, e % 100), "|").alias("warnings"), verdict.alias("verdict"), S.case_evaluation(expected, verdict).alias("correct"))
+    return X.table(spark, d, "events").select("event_id", confidence.alias("confidence"), F.array_join(S.batch_warnings(e % 4 < 3, c, e % 3, w, h, e % 100), "|").alias("warnings"), verdict.alias("verdict"), S.case_evaluation(expected, verdict).alias("correct"))
 
 
 @query("sc19_video_deepfake", with_tables("frames", "faces") + """, b AS (SELECT video_id, count(DISTINCT frame_no) AS ff, count(*) FILTER (WHERE confidence < 0.7) AS lf, var_pop(confidence) AS v FROM faces GROUP BY video_id), j AS (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE abs(x - px) > 100 OR abs(y - py) > 100) AS k FROM (SELECT *, lag(x) OVER (PARTITION BY video_id ORDER BY frame_no, face_idx) AS px, lag(y) OVER (PARTITION BY video_id ORDER BY frame_no, face_idx) AS py FROM faces) GROUP BY video_id)
@@ -447,6 +481,10 @@ def str8(spark: SparkSession, d: str) -> DataFrame:
     return R.expired(batches(spark, d), F.timestamp_seconds(F.lit(1704067200 + 15 * 86400))).select("batch_id")
 
 
-@query("str9_alerts", with_tables("requests") + ", r AS (SELECT w * 1800 AS start, count(*) FILTER (WHERE status >= 500) * 1.0 / count(*) AS error_rate FROM (SELECT status, unnest([CAST(floor(ts / 1800) AS BIGINT), CAST(floor(ts / 1800) AS BIGINT) - 1]) AS w FROM requests) GROUP BY w) SELECT start, error_rate, CASE WHEN error_rate > 0.10 THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN error_rate > 0.10 THEN 'on-call' ELSE 'platform' END AS team FROM r WHERE error_rate > 0.05")
+@query("str9_alerts", with_tables("requests") + """, r AS (SELECT w * 1800 AS start, count(*) FILTER (WHERE status >= 500) * 1.0 / count(*) AS error_rate FROM (SELECT status, unnest([CAST(floor(ts / 1800) AS BIGINT), CAST(floor(ts / 1800) AS BIGINT) - 1]) AS w FROM requests) GROUP BY w),
+ a AS (SELECT t.start, 'HighErrorRate' AS alert, min(b.error_rate) AS held FROM r t JOIN r b ON b.start BETWEEN t.start - 1800 AND t.start GROUP BY t.start HAVING count(*) = 2 AND min(b.error_rate) > 0.02 UNION ALL
+ SELECT t.start, 'SevereErrorRate', min(b.error_rate) FROM r t JOIN r b ON b.start BETWEEN t.start - 3600 AND t.start GROUP BY t.start HAVING count(*) = 3 AND min(b.error_rate) > 0.05)
+SELECT start, alert, held, CASE alert WHEN 'SevereErrorRate' THEN 'critical' ELSE 'warning' END AS severity, CASE alert WHEN 'SevereErrorRate' THEN 'pagerduty-critical' ELSE 'platform-slack' END AS receiver FROM a""")
 def str9(spark: SparkSession, d: str) -> DataFrame:
-    return R.alert_stream(R.request_rate(timed(spark, d), "1 hour", "30 minutes")).withColumn("start", F.unix_timestamp("start"))
+    scaled = [("HighErrorRate", 0.02, 1800, "warning", "platform", "reliability"), ("SevereErrorRate", 0.05, 3600, "critical", "platform", "reliability")]
+    return R.alert_stream(R.request_rate(timed(spark, d), "1 hour", "30 minutes"), 1800, scaled).withColumn("start", F.unix_timestamp("start"))

@@ -10,8 +10,13 @@ REGISTRY_COLUMNS = ["id", "fingerprint", "fingerprint_algorithm", "original_file
 
 def ingest_media(spark: SparkSession, paths: str) -> DataFrame:
     """Files as (path, size, sha256), read where they lie (SRC-1)."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return hashed_media(spark.read.format("binaryFile").load(paths).select("path", "content"))
+
+
+def hashed_media(files: DataFrame) -> DataFrame:
+    """The size in bytes and the SHA-256 of each row's ``content``, beside its other columns (SRC-1)."""
+    kept = [c for c in files.columns if c != "content"]
+    return files.select(*kept, F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -69,25 +74,43 @@ def csv_cell(c: Column) -> Column:
     return F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+#: The header of a batch's CSV.
+CSV_HEADER = ["#", "Filename", "Status", "File ID", "Size (KB)", "Dimensions", "Format", "SHA-256", "Perceptual Hash", "Duplicates", "Duplicate Details", "Error", "Processing Time (ms)"]
+
+
 def export_batch_csv(results: DataFrame) -> DataFrame:
-    """One CSV line per result of a batch (SRC-7): row number, file, hash (16 digits), kilobytes, duplicates.
+    """The lines of each batch's CSV (SRC-7): the header at index -1, then one for each result.
 
-    Expects batch_id, index, filename, fingerprint, size, status, matches array<struct<filename,similarity>>. Missing
-    values print as an em dash.
+    Expects batch_id, index, filename, status, file_id, size, width, height, format, sha256, phash, matches
+    array<struct<filename,similarity>>, error and avg_ms (of the batch). What is missing prints as an em dash, a missing hash
+    as ``undefined...``, and missing details and errors as nothing.
     """
-    dash = F.lit("—")
-    shown = F.array_join(F.transform("matches", lambda m: F.format_string("%s (%d%%)", m["filename"], F.floor(m["similarity"] * 100 + 0.5))), "; ")
+    dash, none = F.lit("—"), F.lit("")
+    percent = lambda m: F.floor(m["similarity"] * 100 + 0.5)
+    many = F.coalesce(F.size("matches"), F.lit(0))
+    short = lambda c: F.concat(F.coalesce(F.substring(c, 1, 16), F.lit("undefined")), F.lit("..."))
     cells = [
         (F.col("index") + 1).cast("string"),
-        F.coalesce("filename", dash),
-        F.coalesce(F.concat(F.substring("fingerprint", 1, 16), F.lit("...")), dash),
-        F.coalesce(F.floor(F.col("size") / 1024 + 0.5).cast("string"), dash),
-        F.coalesce("status", dash),
-        F.when(F.coalesce(F.size("matches"), F.lit(0)) > 0, shown).otherwise(dash),
+        F.coalesce("filename", F.lit("undefined")),
+        F.coalesce("status", F.lit("undefined")),
+        F.coalesce("file_id", dash),
+        F.when(F.col("size") > 0, F.floor(F.col("size") / 1024 + 0.5).cast("string")).otherwise(dash),
+        F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat("width", F.lit("×"), "height")).otherwise(dash),
+        F.coalesce(F.upper("format"), dash),
+        short("sha256"),
+        short("phash"),
+        many.cast("string"),
+        F.when(many > 0, F.array_join(F.transform("matches", lambda m: F.format_string("%s (%d%%)", m["filename"], percent(m))), "; ")).otherwise(none),
+        F.coalesce("error", none),
+        F.coalesce(F.col("avg_ms").cast("string"), F.lit("undefined")),
     ]
-    return results.select("batch_id", "index", F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))
+    lines = results.select("batch_id", F.col("index").cast("long").alias("index"), F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))
+    heads = results.select("batch_id").distinct().select("batch_id", F.lit(-1).cast("long").alias("index"), F.lit(",".join(CSV_HEADER)).alias("line"))
+    return heads.unionByName(lines)
 
 
 def export_batch_json(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One JSON document per row of a batch (SRC-8)."""
-    return df.select("batch_id", F.to_json(F.struct(*columns)).alias("json"))
+    """One JSON document per batch with its results in the order of ``columns`` (SRC-8). A batch admits 100 files at most
+    (FLT-2), which bounds what is gathered."""
+    rows = df.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("results"))
+    return rows.select("batch_id", F.to_json(F.struct("batch_id", "results")).alias("json"))
