@@ -107,3 +107,16 @@ def test_mixing_edges(spark, edge_documents, no_documents):
     assert out.columns == edge_documents.columns and out.count() >= 1
     assert mixing.mixture(no_documents, words).collect() == []
     assert mixing.mixed(no_documents, words).collect() == []
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    from attestra.llm import mixing
+
+    rows = [(i, f"word {i} text", f"s{i % 3}", "keep") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k__ string")
+    for name in ("own_source", "drawn_id", "drawn_source", "drawn_times", "drawn_at"):
+        df = df.withColumn(name, F.lit("keep"))
+    out = mixing.mixed(df, mixing.word_count(F.col("text")))
+    assert out.columns == df.columns and out.filter("k__ <> 'keep' or drawn_id <> 'keep' or drawn_at <> 'keep'").isEmpty() and out.count() > 0

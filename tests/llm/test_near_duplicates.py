@@ -128,3 +128,36 @@ def test_connected_components(spark):
             parent[max(root(u), root(v))] = min(root(u), root(v))
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_sets_with_too_few_blocks_are_compared_with_all(spark, monkeypatch):
+    texts = planted(5)
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    monkeypatch.setattr(nd.Blocks, "count", lambda self, band: 2**20 if band < 5 else 8 + 2**band // 4)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in nd.similar_components(df).collect()}
+    assert got == plain_components(ids, texts)
+
+
+def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Twice the copies make about twice the rows in every table on the way, not four times."""
+    old, most = nd.checkpointed, []
+
+    def counted(df):
+        out = old(df)
+        most[-1] = max(most[-1], out.count() if "grp" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(nd, "checkpointed", counted)
+    for m in (400, 800):
+        rng = random.Random(5)
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts = []
+        for i in range(m):
+            w = base[:]
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(200)] = f"x{rng.randrange(5000)}y{i}"
+            texts.append((i, " ".join(w)))
+        most.append(0)
+        assert nd.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), chunk=200).select("component_id").distinct().count() == 1
+    assert most[1] < 3.2 * most[0]

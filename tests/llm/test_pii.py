@@ -156,3 +156,33 @@ def test_edges(spark, edge_documents, no_documents):
     assert pii.pseudonymised(no_documents, KEY).collect() == []
     long = spark.createDataFrame([(1, "token=" + "a1" * 100)], "doc_id long, text string")
     assert pii.pseudonymised(long, KEY).first().n_entities == 1
+
+
+def test_no_bounds_on_lengths():
+    """Secrets, names and local parts beyond the lengths that are common."""
+    from attestra.llm import pii
+
+    key = b"k"
+
+    def replaced(text):
+        out, last = "", 0
+        for start, end, kind, entity in pii.entities(text):
+            out += text[last:start] + pii.rendered(key, text[start:end], kind, entity)
+            last = end
+        return out + text[last:]
+
+    secret = "a1B2" * 75
+    assert secret[-100:] not in replaced(f"token={secret} end") and replaced(f"token={secret} end").endswith(" end")
+    assert not {"John", "Ronald", "Tolkien"} & set(replaced("Mr John Ronald Tolkien wrote").split())
+    assert replaced("Mr Smith said Hello").endswith(" said Hello")
+    local = "x" * 90 + "y7"
+    assert "xxxx" not in replaced(f"to {local}@example.com now")
+    assert [text[s:e] for text in ["a.b@c.de, _q@r.st x@y z@w.com"] for s, e in pii._emails(text)] == ["a.b@c.de", "q@r.st", "z@w.com"]
+
+
+def test_composed_names_are_names():
+    from attestra.llm import pii
+
+    for kind in ("family-latin", "given-f-cyrillic"):
+        made = {pii.surrogate(b"k", kind, f"Name{i}", 3) for i in range(2000)}
+        assert len(made) > 1900 and all(x.isalpha() and x[0].isupper() and 3 < len(x) < 20 for x in made)

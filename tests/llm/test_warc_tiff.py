@@ -129,3 +129,25 @@ def test_texts_are_stored_and_read_back(spark, edge_documents, no_documents):
     payload = bytes(range(256)) * 40
     media = tiff.stored(payload, page_rows=50)
     assert b"".join(p.samples.tobytes() for p in tiff.pages(media)) == payload and len(list(tiff.pages(media))) == 4
+
+
+def test_small_archives_have_a_dictionary():
+    records = [b"WARC/1.1 first record with some text in it", b"WARC/1.1 second record with some text in it"]
+    for n in (1, 2):
+        data = warc.archive_bytes(records[:n])
+        assert int.from_bytes(data[4:8], "little") > 0 and list(warc.archive_records(data)) == records[:n]
+
+
+def test_any_damage_gives_an_error_row(spark):
+    """Each byte of a small file is set to 0 and 255: a page is read or the error is reported, and no job fails."""
+    image = np.arange(64 * 20, dtype=np.uint32).astype(np.uint8).reshape(20, 64)
+    files = []
+    for layout in ({"strip_rows": 7}, {"tile": 16}):
+        good = tiff.encoded([image], tiff.DEFLATE, 2, **layout)
+        at = struct.unpack("<I", good[4:8])[0]
+        files += [good[:i] + bytes([v]) + good[i + 1 :] for i in range(at, len(good)) for v in (0, 255)]
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")
+    rows = tiff.page_rows(df, "doc_id", "media").select("doc_id", "page", "error").collect()
+    assert {r.doc_id for r in rows} == set(range(len(files)))
+    assert all((r.page is None) == (r.error is not None) for r in rows) and sum(r.error is not None for r in rows) > 50
+    assert tiff.page_rows(df.limit(0), "doc_id", "media").collect() == []
