@@ -208,3 +208,9 @@ def test_registry_stream_appends_once(spark, tmp_path):
         streams.upsert_registry(source, str(tmp_path / "reg"), str(tmp_path / "ck")).awaitTermination()
     reg = spark.read.parquet(str(tmp_path / "reg"))
     assert reg.count() == 30 and reg.select("fingerprint").distinct().count() == 5
+    assert reg.filter("found or seen_before > 0").isEmpty()  # one batch: nothing was there before
+    spark.createDataFrame([(30, "h0"), (30, "h0"), (31, "new")], "file_id long, fingerprint string").write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("file_id long, fingerprint string").parquet(str(tmp_path / "in"))
+    streams.upsert_registry(source, str(tmp_path / "reg"), str(tmp_path / "ck")).awaitTermination()
+    late = spark.read.parquet(str(tmp_path / "reg")).filter("file_id >= 30").collect()
+    assert sorted((r.file_id, r.found, r.seen_before) for r in late) == [(30, True, 6), (30, True, 6), (31, False, 0)]
