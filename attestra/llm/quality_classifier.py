@@ -1,14 +1,15 @@
 """Quality classifier by co-training (operator 7).
 
 Two views of a document, its text content and its page metadata (language, source, length), each get a logistic model.
-The models are fitted on a bounded sample of labelled rows; over some rounds each view's confident verdicts on a bounded
-pool of further documents become training rows of the other. Both are then calibrated, and their combination fitted, on
-held-out labelled rows. Every document is scored, in one pass without a shuffle of texts.
+The models are fitted on a bounded sample of labelled rows; over some rounds each view's confident verdicts on all other
+documents become training rows of the other, as sums that Spark adds up. Both are then calibrated, and their combination
+fitted, on held-out labelled rows. Every document is scored, in one pass without a shuffle of texts.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD_BUCKETS = 128
 META_BUCKETS = 64
 
@@ -81,17 +84,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 12, weight: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients, intercept last, by Newton steps on the ridge-penalised log-likelihood."""
+@dataclass
+class Pull:
+    """Further rows of a fit, known by their loss around the coefficients ``at``: gradient there and a bound of the curvature."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 12, pull: Pull | None = None) -> np.ndarray:
+    """Coefficients, intercept last, by Newton steps on the ridge-penalised log-likelihood, plus the quadratic of ``pull``."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    weight = np.ones(len(x)) if weight is None else weight
     w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * len(x))
     pen[-1] = 1e-6 * len(x)
+    if pull is not None:
+        w = pull.at.copy()
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        g = x.T @ (weight * (p - y)) + pen * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
+        g = x.T @ (p - y) + pen * w
+        h = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x
         h[np.diag_indices_from(h)] += pen
+        if pull is not None:
+            g += pull.gradient + pull.curvature @ (w - pull.at)
+            h += pull.curvature
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -120,37 +136,46 @@ class CoTrained:
         return _sigmoid(za), _sigmoid(zb), _sigmoid(_margin(np.stack([za, zb], axis=1), self.mix))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, held: np.ndarray, rounds: int = 3, confidence: float = 0.95, per_round: int = 400) -> CoTrained:
+def pseudo_sums(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, confidence: float) -> np.ndarray:
+    """What each view's confident verdicts on these rows add to the other's fit: for view a, then b, and for labels 0, then 1, the
+    number of rows and the sum of the gradients of their loss (intercept last), in one flat array."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    pa, pb = _sigmoid(_margin(a, wa)), _sigmoid(_margin(b, wb))
+    out = []
+    for x, own, other in ((a, pa, pb), (b, pb, pa)):
+        for label, sure in ((0.0, 1 - other > confidence), (1.0, other > confidence)):
+            off = own[sure] - label
+            out += [[np.count_nonzero(sure)], off @ x[sure], [off.sum()]]
+    return np.concatenate(out)
+
+
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, held: np.ndarray, sums: Callable[[np.ndarray, np.ndarray, float], np.ndarray], rounds: int = 3, confidence: float = 0.95) -> CoTrained:
     """Fits the two views. ``a``, ``b``: features of labelled rows, ``y`` their 0/1 labels, ``held``: those kept for calibration.
 
-    In each round every view gives the other its ``per_round`` most confident verdicts on the pool at most, those of
-    probability over ``confidence`` only, in the proportion of the labelled classes.
+    ``sums`` gives ``pseudo_sums`` over all unlabelled rows. In each round every verdict of probability over ``confidence`` is
+    given to the other view; the rows of a class together weigh at most as much as the labelled rows of that class. Their loss
+    enters by its gradient over all of them and the curvature bound of a logistic loss (a quarter of the moment matrix, which
+    the labelled rows estimate), so a round costs one pass over the rows, and only sums leave it.
     """
     train = ~held
-    own = {"a": (a[train], y[train]), "b": (b[train], y[train])}
-    given: dict[str, dict[int, float]] = {"a": {}, "b": {}}
-    share, exchanged = float(y[train].mean()), []
-
-    def fitted(view: str, pool: np.ndarray) -> np.ndarray:
-        x, t = own[view]
-        extra = given[view]
-        if extra:
-            at = np.fromiter(extra, dtype=np.int64)
-            x, t = np.vstack([x, pool[at]]), np.concatenate([t, np.array([extra[int(i)] for i in at])])
-        return fit_logistic(x, t)
-
-    wa, wb = fitted("a", pool_a), fitted("b", pool_b)
-    for _ in range(rounds if len(pool_a) else 0):
-        before = len(given["a"]), len(given["b"])
-        for pool, w, to in ((pool_a, wa, "b"), (pool_b, wb, "a")):
-            p = _sigmoid(_margin(pool, w))
-            for label, score, quota in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                at = [i for i in np.argsort(-score, kind="stable")[: per_round * 4] if score[i] > confidence and int(i) not in given[to]]
-                given[to].update((int(i), label) for i in at[: max(1, int(per_round * quota))])
-        exchanged.append((len(given["b"]) - before[1], len(given["a"]) - before[0]))
-        wa, wb = fitted("a", pool_a), fitted("b", pool_b)
+    n_class = np.array([np.count_nonzero(y[train] == 0), np.count_nonzero(y[train] == 1)])
+    exchanged: list[tuple[int, int]] = []
+
+    def moved(x: np.ndarray, w: np.ndarray, given: np.ndarray) -> np.ndarray:
+        given = given.reshape(2, -1)
+        weight = np.minimum(1.0, n_class / np.maximum(1, given[:, 0]))
+        ones = np.hstack([x[train], np.ones((train.sum(), 1))]).astype(np.float64)
+        curvature = ones.T @ ones / len(ones) / 4 * float(weight @ given[:, 0])
+        return fit_logistic(x[train], y[train], pull=Pull(w, weight @ given[:, 1:], curvature))
+
+    wa, wb = fit_logistic(a[train], y[train]), fit_logistic(b[train], y[train])
+    for _ in range(rounds):
+        got = sums(wa, wb, confidence)
+        for_a, for_b = got[: 2 * (len(wa) + 1)], got[2 * (len(wa) + 1) :]
+        exchanged.append(tuple(int(g.reshape(2, -1)[:, 0].sum()) for g in (for_b, for_a)))
         if exchanged[-1] == (0, 0):
             break
+        wa, wb = moved(a, wa, for_a), moved(b, wb, for_b)
     ma, mb = _margin(a[held], wa), _margin(b[held], wb)
     sa, sb = fit_logistic(ma[:, None], y[held]), fit_logistic(mb[:, None], y[held])
     mix = fit_logistic(np.stack([_margin(ma[:, None], sa), _margin(mb[:, None], sb)], axis=1), y[held])
@@ -178,6 +203,40 @@ def _sampled_features(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return a, b, got["y"].to_numpy(dtype=np.float64), held
 
 
+def pool_sums(texts: DataFrame) -> Callable[[np.ndarray, np.ndarray, float], np.ndarray]:
+    """``pseudo_sums`` over the rows of a table (t, lang, source, n_chars). Features are computed once and kept in the shared folder
+    in half precision; each call adds up the sums of tasks on Spark, and one flat array reaches the driver."""
+
+    def features(batches):
+        text_view, meta_view = TextView(), MetadataView()
+        for batch in batches:
+            a = [text_view(t).astype(np.float16).tobytes() for t in batch["t"].array]
+            b = [meta_view(*x).astype(np.float16).tobytes() for x in zip(batch["lang"].array, batch["source"].array, batch["n_chars"].array, strict=True)]
+            yield pd.DataFrame({"a": a, "b": b})
+
+    kept = written(texts.mapInPandas(features, "a binary, b binary"))
+
+    def sums(wa: np.ndarray, wb: np.ndarray, confidence: float) -> np.ndarray:
+        size = 2 * (len(wa) + len(wb) + 2)
+
+        def run(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                for at in range(0, len(batch), 2000):
+                    part = batch.iloc[at : at + 2000]
+                    a, b = (np.frombuffer(b"".join(part[c]), dtype=np.float16).reshape(len(part), -1) for c in "ab")
+                    total += pseudo_sums(a, b, wa, wb, confidence)
+            yield pd.DataFrame({"sums": [total]})
+
+        parts = kept.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+        got = parts.groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros(size)
+        out[got["i"]] = got["v"].round(6)  # the order in which tasks end must not show
+        return out
+
+    return sums
+
+
 def _columns(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Id, text and metadata under fixed names; metadata columns that the table lacks are null."""
     have = {c.lower() for c in df.columns}
@@ -185,27 +244,25 @@ def _columns(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *meta]
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, pool: int = 4000, **options) -> CoTrained | None:
-    """Co-trained models from about ``sample`` labelled and ``pool`` further documents (the documented bounds of the fit; the
-    further ones are the pool of unlabelled examples that the published method draws its pseudo-labels from).
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, **options) -> CoTrained | None:
+    """Co-trained models from about ``sample`` labelled documents (the documented bound of the fit) and every other document.
 
-    Rows are drawn by a hash of the id, at a rate that gives the bound for any number of rows. Null labels and ids are left
-    out; of contradicting labels of one id the smaller counts. Returns None where the sample lacks one of the classes.
+    Labelled rows are drawn by a hash of the id, at a rate that gives the bound for any number of rows; all other documents,
+    but none that was drawn, are the unlabelled pool. Null labels and ids are left out; of contradicting labels of one id the
+    smaller counts. Returns None where the sample lacks one of the classes.
     """
     own = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).filter("lid is not null and y is not null")
     own = own.groupBy("lid").agg(F.min("y").alias("y"))
-    many = own.count()
-    drawn = lambda c, n, of, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / max(1, of)))
-    texts = docs.select(*_columns(docs, id_col, text_col))
+    rate = min(1.0, sample / max(1, own.count()))
     # about `sample` rows of two numbers, whatever the tables' size: small enough to broadcast
-    labelled = texts.join(F.broadcast(own.filter(drawn("lid", sample, many, "labelled"))), F.col("id") == F.col("lid"))
+    drawn = F.broadcast(own.filter(F.pmod(F.xxhash64("lid", F.lit("labelled")), F.lit(1 << 30)) < int((1 << 30) * rate)))
+    texts = docs.select(*_columns(docs, id_col, text_col))
+    labelled = texts.join(drawn, F.col("id") == F.col("lid"))
     a, b, y, held = _sampled_features(labelled.select("id", "t", "lang", "source", "n_chars", "y"))
     if any(len(set(y[at])) < 2 for at in (held, ~held)):
         return None
-    further = texts.filter(F.col("id").isNotNull() & drawn("id", pool, docs.select(F.count(F.lit(1))).first()[0], "pool"))
-    further = further.join(own, F.col("id") == F.col("lid"), "left_anti")  # calibration rows must stay unseen
-    pool_a, pool_b, _, _ = _sampled_features(further.withColumn("y", F.lit(0.0)))
-    return co_train(a, b, y, pool_a, pool_b, held, **options)
+    further = texts.filter("id is not null").join(drawn, F.col("id") == F.col("lid"), "left_anti")  # calibration rows must stay unseen
+    return co_train(a, b, y, held, pool_sums(further.select("t", "lang", "source", "n_chars")), **options)
 
 
 def quality_column(df: DataFrame, model: CoTrained | None, text_col: str = "text") -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, tiff, token_counts, url_filters, warc
-from .common import shared_dir
+from .common import written
 
 def pii_key(spark: SparkSession) -> bytes:
     """The secret of the surrogates, from the session's ``attestra.pii.key`` (at most 64 bytes); unset, as in tests, a known one."""
@@ -26,13 +25,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/attestra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens; neither documents nor attention cost are limited further."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), max_tokens=4096, end_id=1)

@@ -12,7 +12,7 @@ def test_held_out_accuracy(spark):
     """Labels of odd ids train; those of even ids, never seen, judge."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(6000)
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    out = quality_classifier.quality_scores(docs, labels.filter("doc_id % 2 = 1"), sample=1500, pool=800)
+    out = quality_classifier.quality_scores(docs, labels.filter("doc_id % 2 = 1"), sample=1500)
     rows = out.join(labels.filter("doc_id % 2 = 0"), "doc_id").select("kept", labels["quality"].alias("truth")).collect()
     good, bad = [r for r in rows if r.truth == 1], [r for r in rows if r.truth == 0]
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in bad) >= 0.95 * len(bad)
@@ -24,11 +24,33 @@ def test_views_exchange_verdicts():
     a = np.c_[y + rng.normal(0, 0.2, 400), rng.normal(0, 1, 400)]
     b = np.c_[y + rng.normal(0, 0.3, 400)]
     held = np.arange(400) % 4 == 0
-    model = quality_classifier.co_train(a, b, y, a, b, held, rounds=2, per_round=50)
+    model = quality_classifier.co_train(a, b, y, held, lambda *w: quality_classifier.pseudo_sums(a, b, *w), rounds=2)
     assert all(n > 0 for pair in model.exchanged[:1] for n in pair)
     assert ((model.scores(a, b)[2] > 0.5) == (y == 1)).mean() > 0.98
 
 
+def test_pool_covers_all_documents(spark):
+    """Sums over the table equal a plain loop over every document, those of a language with three documents included."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "source", "n_chars", F.when(F.col("doc_id") < 3, "xx").otherwise(F.col("lang")).alias("lang"))
+    text_view, meta_view = quality_classifier.TextView(), quality_classifier.MetadataView()
+    rng = np.random.default_rng(1)
+    wa, wb = rng.normal(0, 2, text_view.size + 1), rng.normal(0, 2, meta_view.size + 1)
+    da, db = len(wa), len(wb)
+    plain = np.zeros(2 * (da + 1) + 2 * (db + 1))
+    for r in docs.collect():
+        a = np.append(text_view(r.text.encode() if r.text is not None else None).astype(np.float16), 1).astype(float)
+        b = np.append(meta_view(r.lang, r.source, r.n_chars).astype(np.float16), 1).astype(float)
+        pa, pb = 1 / (1 + math.exp(-(a @ wa))), 1 / (1 + math.exp(-(b @ wb)))
+        for x, own, other, at in ((a, pa, pb, 0), (b, pb, pa, 2 * (da + 1))):
+            label = 1 if other > 0.9 else 0 if 1 - other > 0.9 else None
+            if label is not None:
+                start = at + label * (len(x) + 1)
+                plain[start : start + len(x) + 1] += np.append(1, (own - label) * x)
+    sums = quality_classifier.pool_sums(docs.select(F.col("text").cast("binary").alias("t"), "lang", "source", "n_chars"))
+    got = sums(wa, wb, 0.9)
+    assert plain[0] + plain[da + 1] > 0 and np.allclose(got, plain, atol=1e-4)
+
+
 def test_classifier_edges(spark, edge_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 0)], "doc_id long, quality int")
     rows = quality_classifier.quality_scores(edge_documents, labels).collect()
