@@ -458,7 +458,10 @@ def str2(spark: SparkSession, d: str) -> DataFrame:
     return R.ip_window_limit(timed(spark, d), "15 minutes", 1).withColumn("start", F.unix_timestamp("start"))
 
 
-@query("str3_key_quota")
+@query("str3_key_quota", with_tables("requests", recursive=True) + """, s AS (SELECT api_key, min(ts) AS start FROM requests GROUP BY api_key UNION ALL SELECT s.api_key, min(r.ts) FROM s JOIN requests r ON r.api_key = s.api_key AND r.ts > s.start + 3600 GROUP BY s.api_key),
+ p AS (SELECT r.*, s.start FROM requests r JOIN s ON s.api_key = r.api_key AND r.ts BETWEEN s.start AND s.start + 3600),
+ u AS (SELECT *, row_number() OVER (PARTITION BY api_key, start ORDER BY ts, request_id) AS used FROM p)
+SELECT api_key, request_id, make_timestamp(CAST(ts AS BIGINT) * 1000000) AS ts, used, used > 3 AS rejected, CASE WHEN used > 3 THEN start + 3600 - ts END AS retry_after FROM u""")
 def str3(spark: SparkSession, d: str) -> DataFrame:
     return R.key_quota(timed(spark, d), 3, 3600)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,19 +49,79 @@ def _quota_rows(key: str, rows: pd.DataFrame, start: int | None, used: int, most
     return frame.astype({"retry_after": "Int64"}), start, used
 
 
+#: Quota windows whose seconds one group holds at most, however many requests fall on them.
+_SLICE = 168
+
+
+def _slice_steps(t: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How a slice that begins at ``begin`` is passed: where no window may start before x, with x at most ``upto``, the first after
+    the slice starts at ``leave`` or later. ``t``: its seconds with requests, sorted; ``width``: seconds between two starts."""
+    end = begin + _SLICE * width
+    after = np.searchsorted(t, t + width)  # index of the next start
+    last = np.where(after < len(t), after, np.arange(len(t)))  # the last start of a slice stays where it is
+    for _ in range(_SLICE.bit_length()):
+        last = last[last]
+    many = min(len(t), int(np.searchsorted(t, begin + width - 1)) + 1)
+    leave = np.maximum(t[last[:many]] + width, end)
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return t[:many][keep], leave[keep]
+
+
+def _quota_windows(seconds_: DataFrame, width: int) -> DataFrame:
+    """Adds ``start``, that of its quota window, to the seconds (api_key, second, n) with requests.
+
+    Two starts are ``width`` seconds apart or more, so time is cut in slices of a few windows. Each slice yields its passage as
+    a few steps, a key's passages are followed in order, and each slice is then cut into windows from where it was entered.
+    Groups are bounded by time, not by requests: the seconds of a slice, and the steps of a key.
+    """
+    span = _SLICE * width
+    sliced = seconds_.withColumn("slice", F.floor(F.col("second") / span))
+
+    def steps(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        upto, leave = _slice_steps(np.sort(rows["second"].to_numpy()), int(key[1]) * span, width)
+        return pd.DataFrame({"api_key": key[0], "slice": key[1], "upto": upto, "leave": leave})
+
+    def entered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out, bound = [], None
+        for at, part in rows.sort_values(["slice", "upto"]).groupby("slice"):
+            bound = int(at) * span if bound is None else max(bound, int(at) * span)
+            out.append((key[0], at, bound))
+            first = int(np.searchsorted(part["upto"].to_numpy(), bound))
+            if first < len(part):
+                bound = int(part["leave"].iloc[first])
+        return pd.DataFrame(out, columns=["api_key", "slice", "bound"])
+
+    def windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("second")
+        t, bound = rows["second"].to_numpy(), int(rows["bound"].iloc[0])
+        starts, at = [bound - width], int(np.searchsorted(t, bound))  # what lies before the bound is of the window before
+        while at < len(t):
+            starts.append(int(t[at]))
+            at = int(np.searchsorted(t, t[at] + width))
+        start = np.array(starts)[np.searchsorted(starts, t, side="right") - 1]
+        return pd.DataFrame({"api_key": key[0], "second": t, "n": rows["n"].to_numpy(), "start": start})
+
+    bounds = sliced.groupBy("api_key", "slice").applyInPandas(steps, "api_key string, slice long, upto long, leave long")
+    bounds = bounds.groupBy("api_key").applyInPandas(entered, "api_key string, slice long, bound long")
+    return sliced.join(bounds, ["api_key", "slice"]).groupBy("api_key", "slice").applyInPandas(windows, "api_key string, second long, n long, start long")
+
+
 def key_quota(log: DataFrame, most: int = 1000, seconds: int = 3600) -> DataFrame:
     """Each request with its place in its key's quota window, which starts at the key's first request and again at the first
-    later than ``seconds`` after that (STR-3).
+    later than ``seconds`` after that (STR-3). Requests without key or time have no window and are left out.
 
-    The rule is sequential per key, so a key's requests go through one task in order; batches hold ``applyInPandas``'s group
-    in memory, the streaming form only what has arrived.
+    Over a table, windows are found on the seconds that have requests, and requests are ranked within their second, so a key of
+    any size is spread. A stream keeps (start, used) of each key as state.
     """
+    log = log.select("api_key", "request_id", "ts")
     if not log.isStreaming:
-
-        def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return _quota_rows(key[0], rows.sort_values(["ts", "request_id"]), None, 0, most, seconds)[0]
-
-        return log.select("api_key", "request_id", "ts").groupBy("api_key").applyInPandas(whole, _QUOTA)
+        timed = log.filter("api_key is not null and ts is not null").withColumn("second", F.unix_timestamp("ts"))
+        known = _quota_windows(timed.groupBy("api_key", "second").agg(F.count(F.lit(1)).alias("n")), seconds + 1)
+        before = F.sum("n").over(Window.partitionBy("api_key", "start").orderBy("second")) - F.col("n")
+        within = F.row_number().over(Window.partitionBy("api_key", "second").orderBy("ts", "request_id"))
+        out = timed.join(known.withColumn("before", before).drop("n"), ["api_key", "second"]).withColumn("used", within + F.col("before"))
+        rejected = F.col("used") > most
+        return out.select("api_key", "request_id", "ts", "used", rejected.alias("rejected"), F.when(rejected, F.col("start") + seconds - F.col("second")).alias("retry_after"))
 
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,7 +132,7 @@ def key_quota(log: DataFrame, most: int = 1000, seconds: int = 3600) -> DataFram
         state.update((start, used))
         yield out
 
-    return log.select("api_key", "request_id", "ts").groupBy("api_key").applyInPandasWithState(step, _QUOTA, "start long, used long", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("api_key").applyInPandasWithState(step, _QUOTA, "start long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
 def abuse_detector(log: DataFrame, suspicious: int = 500, blocked: int = 1000) -> DataFrame:
@@ -90,12 +151,14 @@ def blocked_addresses(hours: DataFrame) -> DataFrame:
 
 
 def daily_cap(log: DataFrame, most: int = 10_000) -> DataFrame:
-    """Requests of each day beyond the cap, in time order (STR-5). Days are split by hour, so no task ranks a whole day."""
-    hours = log.withColumn("day", F.date_trunc("day", "ts")).withColumn("hour", F.date_trunc("hour", "ts"))
-    per = hours.groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n"))
-    per = per.select("day", "hour", (F.sum("n").over(Window.partitionBy("day").orderBy("hour")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("day", "hour").orderBy("ts", "request_id")) + F.col("before")
-    return hours.join(per, ["day", "hour"]).withColumn("place", rank).filter(F.col("place") > most).select("request_id", "day", "place")
+    """Requests of each day beyond the cap, in time order (STR-5). Requests are ranked within their second; a day adds up the
+    counts of its seconds."""
+    timed = log.withColumn("day", F.date_trunc("day", "ts")).withColumn("second", F.unix_timestamp("ts"))
+    per = timed.groupBy("day", "second").agg(F.count(F.lit(1)).alias("n"))
+    per = per.select("day", "second", (F.sum("n").over(Window.partitionBy("day").orderBy("second")) - F.col("n")).alias("before"), "n")
+    late = per.filter(F.col("before") + F.col("n") > most).drop("n")  # seconds that lie within the cap need no ranks
+    rank = F.row_number().over(Window.partitionBy("day", "second").orderBy("ts", "request_id")) + F.col("before")
+    return timed.join(late, ["day", "second"]).withColumn("place", rank).filter(F.col("place") > most).select("request_id", "day", "place")
 
 
 def segment_windows(frames: DataFrame, rate: int = 15) -> DataFrame:

@@ -1,5 +1,6 @@
 """Invariants, boundaries and edge inputs of the operators, and the streams against their batch forms."""
 
+import datetime
 import random
 
 import pytest
@@ -172,6 +173,18 @@ def test_quota_stream_and_batch_equal_a_plain_loop(spark, tmp_path):
     assert read(streams.key_quota(spark.createDataFrame(log_rows(), LOG), 10, 1800)) == expected
 
 
+@pytest.mark.parametrize(("most", "seconds", "gap"), [(3, 60, 40), (1, 60, 61), (5, 600, 7000), (2, 7, 30)])
+def test_quota_over_many_slices_equals_a_plain_loop(spark, most, seconds, gap):
+    rng, rows, at = random.Random(seconds + gap), [], {"a": 1_700_000_000, "b": 1_700_000_017, "c": 1_700_003_600}
+    for i in range(1500):
+        key = rng.choice("aaab") if i < 1490 else "c"
+        at[key] += rng.choice([0, 0, 1, rng.randrange(gap), seconds, seconds + 1, gap * 50 if i % 97 == 0 else 2])
+        rows.append((i, datetime.datetime.fromtimestamp(at[key], datetime.UTC), key, None, None))
+    log = spark.createDataFrame([r[:3] for r in rows] + [(-1, None, "a"), (-2, rows[0][1], None)], "request_id long, ts timestamp, api_key string")
+    got = {(r.request_id, r.used, r.rejected, r.retry_after) for r in streams.key_quota(log, most, seconds).collect()}
+    assert got == plain_quota(rows, most, seconds)
+
+
 def test_quota_stream_continues_over_batches(spark, tmp_path):
     live = streamed(spark, tmp_path, lambda log: streams.key_quota(log, 10, 1800), "quota")
     assert {(r.request_id, r.used, r.rejected, r.retry_after) for r in live.collect()} == plain_quota(log_rows(), 10, 1800)
