@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,28 +43,29 @@ def recent_pool(reg: DataFrame, n: int) -> DataFrame:
     return reg.orderBy(F.desc("upload_date"), F.desc("id")).limit(n)
 
 
-def hamming_candidates(a: DataFrame, b: DataFrame, a_hash: str, b_hash: str, threshold: int, bits: int = 64) -> DataFrame:
+def hamming_candidates(a: DataFrame, b: DataFrame, a_hash: str, b_hash: str, threshold: int, bits: int = 64, probe_right: bool = False) -> DataFrame:
     """All pairs of rows within ``threshold`` bits, with the distance.
 
-    Hashes are cut in threshold + 1 bands; two hashes within the threshold agree on one of them (pigeonhole), so candidates
-    are an equi join on band and value. Each pair is kept at its first common band only, which needs no distinct.
+    Hashes are cut in bands of 16 bits. Of two hashes within the threshold one band differs in at most threshold div bands bits
+    (pigeonhole), so one side, the smaller one at best, probes every value so near to its band's, and candidates are an equi
+    join on band and value. Each pair is kept at its first such band only, which needs no distinct.
     """
-    bands = threshold + 1
-    cuts = [bits * i // bands for i in range(bands + 1)]
-
-    def banded(df: DataFrame, col: str, name: str) -> DataFrame:
-        bit = F.lpad(F.conv(F.substring(bare_hex(F.col(col)), 1, 16), 16, 2), 64, "0")
-        for at in range(16, bits // 4, 16):
-            bit = F.concat(bit, F.lpad(F.conv(F.substring(bare_hex(F.col(col)), at + 1, 16), 16, 2), 64, "0"))
-        df = df.filter(F.length(bare_hex(F.col(col))) == bits // 4).withColumn("bits__", bit)
-        values = F.array(*[F.substring("bits__", lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)])
-        return df.withColumn(name, values).select("*", F.posexplode(name).alias("band__", "value__")).drop("bits__")
-
-    left, right = banded(a, a_hash, "abands__"), banded(b, b_hash, "bbands__")
+    bands = -(-bits // 16)
+    radius = threshold // bands
+    masks = [sum(1 << i for i in at) for r in range(radius + 1) for at in combinations(range(16), r)]
+
+    def banded(df: DataFrame, col: str, name: str, probing: bool) -> DataFrame:
+        hexed = bare_hex(F.col(col))
+        values = F.array(*[F.conv(F.substring(hexed, 4 * i + 1, 4), 16, 10).cast("int") for i in range(bands)])
+        df = df.filter(F.length(hexed) == bits // 4).withColumn(name, values).select("*", F.posexplode(name).alias("band__", "value__"))
+        near = F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("value__").bitwiseXOR(m)))
+        return df.withColumn("value__", near) if probing and radius else df
+
+    left, right = banded(a, a_hash, "abands__", not probe_right), banded(b, b_hash, "bbands__", probe_right)
     met = left.join(right, ["band__", "value__"])
+    near = F.zip_with("abands__", "bbands__", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius)
     out = met.withColumn("distance", hamming_hex(F.col(a_hash), F.col(b_hash), bits)).filter(F.col("distance") <= threshold)
-    equal = F.zip_with("abands__", "bbands__", lambda x, y: x == y)
-    out = out.filter(F.array_position(equal, True) == F.col("band__") + 1)
+    out = out.filter(F.array_position(near, True) == F.col("band__") + 1)
     return out.drop("band__", "value__", "abands__", "bbands__")
 
 
@@ -71,7 +74,7 @@ def similar_images(queries: DataFrame, reg: DataFrame, threshold: int = 10, pool
     phash, upload_date. ``pool`` limits to the newest rows, as the service does; None searches all."""
     known = reg.filter("phash is not null")
     known = recent_pool(known, pool) if pool else known
-    met = hamming_candidates(queries, known.select("id", "phash"), "query_hash", "phash", threshold, bits)
+    met = hamming_candidates(queries, known.select("id", "phash"), "query_hash", "phash", threshold, bits, probe_right=bool(pool))
     return met.select("query_id", "id", "distance", similarity_pct(F.col("distance"), bits).alias("similarity"), interpret_distance(F.col("distance")).alias("interpretation"))
 
 
@@ -182,11 +185,13 @@ def landmark_distance(landmarks: DataFrame, photos: DataFrame) -> DataFrame:
 def camera_catalogue(exif: DataFrame, catalogue: DataFrame) -> DataFrame:
     """First catalogue entry (ord, maker, model, release_year) that fits make and model; too early a year is invalid (JOIN-10).
 
-    The catalogue is a short list, grouped by maker; photos meet the entries of the makers that their make contains.
+    A make meets the makers that it contains by an equi join on its parts, once per make; photos join by make, entries by maker.
     """
-    makers = catalogue.select("maker").distinct()
-    named = exif.join(F.broadcast(makers), F.lower("make").contains(F.lower("maker")), "left")
-    met = named.join(F.broadcast(catalogue), "maker", "left").withColumn("fits", F.lower("exif_model").contains(F.lower("model")) | F.lower("model").contains(F.lower("exif_model")))
+    part = F.expr("explode(flatten(transform(sequence(1, length(make)), i -> transform(sequence(1, length(make) - i + 1), n -> lower(substring(make, i, n))))))")
+    makers = catalogue.select("maker", F.lower("maker").alias("part")).distinct()
+    makes = exif.select("make").distinct().filter("length(make) > 0").select("make", part.alias("part")).distinct()
+    named = exif.join(makes.join(makers, "part").select("make", "maker"), "make", "left")
+    met = named.join(catalogue, "maker", "left").withColumn("fits", F.lower("exif_model").contains(F.lower("model")) | F.lower("model").contains(F.lower("exif_model")))
     hit = F.when(F.col("fits"), F.struct("ord", "maker", "model", "release_year"))
     best = met.groupBy("photo_id", "year").agg(F.min(hit).alias("m"), F.max("maker").alias("known_maker"))
     return best.select("photo_id", F.col("known_maker").isNotNull().alias("maker_known"), F.col("m.model").alias("camera"), F.when(F.col("m").isNotNull(), F.col("year") >= F.col("m.release_year")).alias("year_valid"))
