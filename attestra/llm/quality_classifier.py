@@ -28,7 +28,7 @@ class TextView:
 
     size = 256 + 8 + WORD_BUCKETS
 
-    def __init__(self, max_words: int = 400_000):
+    def __init__(self, max_words: int = 100_000):
         self._bucket: dict[bytes, int] = {}
         self._max_words = max_words
 
@@ -210,9 +210,11 @@ def pool_sums(texts: DataFrame) -> Callable[[np.ndarray, np.ndarray, float], np.
     def features(batches):
         text_view, meta_view = TextView(), MetadataView()
         for batch in batches:
-            a = [text_view(t).astype(np.float16).tobytes() for t in batch["t"].array]
-            b = [meta_view(*x).astype(np.float16).tobytes() for x in zip(batch["lang"].array, batch["source"].array, batch["n_chars"].array, strict=True)]
-            yield pd.DataFrame({"a": a, "b": b})
+            for at in range(0, len(batch), 1000):  # small frames: workers keep the memory that they once took
+                part = batch.iloc[at : at + 1000]
+                a = [text_view(t).astype(np.float16).tobytes() for t in part["t"].array]
+                b = [meta_view(*x).astype(np.float16).tobytes() for x in zip(part["lang"].array, part["source"].array, part["n_chars"].array, strict=True)]
+                yield pd.DataFrame({"a": a, "b": b})
 
     kept = written(texts.mapInPandas(features, "a binary, b binary"))
 
