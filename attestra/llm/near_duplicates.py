@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name
+from .common import checkpointed, free_name, give_back, giving_back
 from .components import connected_components
 
 #: Bounds of the bits of a parity sketch; between them it has two to four bits for each shingle.
@@ -50,7 +50,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct 64-bit hashes of the word n-grams of texts (UTF-8 bytes), with a bounded cache of word hashes."""
 
-    def __init__(self, width: int = 5, max_words: int = 300_000):
+    def __init__(self, width: int = 5, max_words: int = 100_000):
         import xxhash
 
         self._hash = xxhash.xxh3_64_digest
@@ -181,7 +181,7 @@ def _rows(kind: int, **columns) -> pd.DataFrame:
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 24) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 23) -> Iterator[pd.DataFrame]:
     """The batches cut into slices of at most so many rows, and of so many bytes of text or one row's more."""
     for batch in batches:
         at = np.cumsum([0 if t is None else len(t) for t in batch["t"].array]) // size
@@ -190,7 +190,7 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 24) ->
         yield from (batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_rows: int = 8000) -> DataFrame:
+def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_rows: int = 4000) -> DataFrame:
     """From (id, t): documents and their block fingerprints by shard; of hot blocks, the pairs and members within a slice too.
 
     A fingerprint is cut to its shard and 32 further bits: as shards grow with the corpus, the blocks that meet by chance
@@ -251,7 +251,7 @@ def _entries(texts: DataFrame, blocks: Blocks, width: int, shards: int, slice_ro
                 shard, many, data, extra = map(list, zip(*rows, strict=True))
                 yield _rows(0, shard=shard, n_rows=many, data=data, extra=extra)
 
-    return texts.mapInPandas(run, _ROWS)
+    return texts.mapInPandas(giving_back(run), _ROWS)
 
 
 def _shard(group: pd.DataFrame) -> pd.DataFrame:
@@ -279,6 +279,12 @@ def _shard(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else group.iloc[:0]
 
 
+def _shard_then_trim(group: pd.DataFrame) -> pd.DataFrame:
+    out = _shard(group)
+    give_back()
+    return out
+
+
 def _texts_of(texts: DataFrame, wanted: DataFrame, buckets: int = 1 << 20) -> DataFrame:
     """``wanted`` rows with the text of their document ``rep``. Ids outside the buckets of those wanted (at most ``buckets``
     numbers, so small enough to broadcast) are left out before texts are shuffled; in a large corpus all may pass."""
@@ -315,7 +321,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     met = _texts_of(texts, wanted).select("a", "lot", "key", "place", "t").repartition("a", "lot").sortWithinPartitions("a", "lot", "place")
-    return met.mapInPandas(run, "u long, v long").distinct()
+    return met.mapInPandas(giving_back(run), "u long, v long").distinct()
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
@@ -332,7 +338,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
 
     for own in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}")), own)
-    return pairs.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).mapInPandas(run, "a long, b long")
+    return pairs.filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).mapInPandas(giving_back(run), "a long, b long")
 
 
 def _grouped(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -419,7 +425,7 @@ def _undecided(t: Fraction):
             if left:
                 yield group.iloc[sorted(left)][[*_LOT, "side", "key", "label"]]
 
-    return run
+    return giving_back(run)
 
 
 def _joining(width: int, t: Fraction):
@@ -444,7 +450,7 @@ def _joining(width: int, t: Fraction):
             pairs = _kruskal(group["label"].tolist(), *_listed(group, [parity_sketch(s) for s in sets], t), similar)
             yield pd.DataFrame([(key[a], key[b]) for a, b in pairs], columns=["u", "v"]).astype("int64")
 
-    return run
+    return giving_back(run)
 
 
 def _looked_at(hot: DataFrame, classes: DataFrame) -> DataFrame:
@@ -507,7 +513,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bytes_ = texts.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(64, bytes_ // 8 // entries_per_shard)
     as_bytes = texts.select(F.col("id").cast("string").cast("binary").alias("id"), "t")
-    found = _entries(as_bytes, blocks, width, shards).repartition(max(min(shards, 2000), shards // 64), "shard").groupBy("shard").applyInPandas(_shard, _ROWS)
+    found = _entries(as_bytes, blocks, width, shards).repartition(max(min(shards, 2000), shards // 64), "shard").groupBy("shard").applyInPandas(_shard_then_trim, _ROWS)
     found = checkpointed(found.select("kind", "a", "b", "n_rows", "data", F.when(F.col("kind") == 3, F.col("extra")).alias("sketch")))
     rows = found.filter("kind = 3").select(F.col("data").cast("string").cast(id_type).alias("id"), F.col("b").alias("n"), F.col("a").alias("key"), "sketch", F.col("n_rows").alias("spare"))
     classes = checkpointed(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "spare"))))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, giving_back
 
 #: Texts without these characters need no normalisation beyond lower case, and their words split at white space.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
@@ -101,7 +101,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096,
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
     plain = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return plain.mapInPandas(cut, f"k {key_type}, piece int, start long, length long, ids_crc32 long")
+    return plain.mapInPandas(giving_back(cut), f"k {key_type}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass

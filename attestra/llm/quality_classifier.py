@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, giving_back, written
 
 WORD_BUCKETS = 128
 META_BUCKETS = 64
@@ -216,7 +216,7 @@ def pool_sums(texts: DataFrame) -> Callable[[np.ndarray, np.ndarray, float], np.
                 b = [meta_view(*x).astype(np.float16).tobytes() for x in zip(part["lang"].array, part["source"].array, part["n_chars"].array, strict=True)]
                 yield pd.DataFrame({"a": a, "b": b})
 
-    kept = written(texts.mapInPandas(features, "a binary, b binary"))
+    kept = written(texts.mapInPandas(giving_back(features), "a binary, b binary"))
 
     def sums(wa: np.ndarray, wb: np.ndarray, confidence: float) -> np.ndarray:
         size = 2 * (len(wa) + len(wb) + 2)
@@ -230,7 +230,7 @@ def pool_sums(texts: DataFrame) -> Callable[[np.ndarray, np.ndarray, float], np.
                     total += pseudo_sums(a, b, wa, wb, confidence)
             yield pd.DataFrame({"sums": [total]})
 
-        parts = kept.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+        parts = kept.mapInPandas(giving_back(run), "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
         got = parts.groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         out = np.zeros(size)
         out[got["i"]] = got["v"].round(6)  # the order in which tasks end must not show
@@ -274,11 +274,13 @@ def quality_column(df: DataFrame, model: CoTrained | None, text_col: str = "text
     def scored(batches: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         text_view, meta_view = TextView(), MetadataView()
         parts = []
-        for at in range(0, len(batches), 2000):
-            part = slice(at, at + 2000)
+        for at in range(0, len(batches), 500):
+            part = slice(at, at + 500)
             a = np.stack([text_view(t) for t in batches.iloc[part]])
             b = np.stack([meta_view(*x) for x in zip(lang.iloc[part], source.iloc[part], n_chars.iloc[part], strict=True)])
             parts.append(np.stack(model.scores(a, b), axis=1))
+        del text_view, meta_view
+        give_back()
         return pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, 3)), columns=["p_text", "p_meta", "quality"])
 
     if model is None:
