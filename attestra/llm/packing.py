@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ from .common import checkpointed, giving_back
 #: Texts without these characters need no normalisation beyond lower case, and their words split at white space.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-#: A word that is one pre-token of letters, perhaps with a second one of marks.
-_LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
+#: Marks that may follow the letters of a word, as a second pre-token.
+_MARKS = ".,;:!?|"
 
 
 class WordTokenizer:
@@ -34,47 +36,76 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order. Texts
     with characters whose normalisation could depend on their neighbours, or with special tokens, go to the tokenizer whole.
+    The words of a batch of texts are numbered by Arrow, so each distinct one is looked at once.
     """
 
     def __init__(self, path: str, max_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._letters = Tokenizer.from_file(path)  # for lower-case words of letters alone, which nothing but white space splits
+        self._letters.normalizer = None
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._max_words = max_words
         self._words: dict[str, bytes] = {"": b""}
+        self._once: set[str] = set()  # words that one batch of texts had only
 
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], letters: bool = False) -> list[np.ndarray]:
+        tokenizer = self._letters if letters else self._tokenizer
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, cores: list[str], others: list[str]) -> None:
         """Adds words to the cache; ``cores``, of letters alone, are encoded many at a time and cut where a word ends."""
         if cores:
-            ids = np.concatenate(self._encoded([" ".join(cores[i : i + 64]) for i in range(0, len(cores), 64)]))
+            ids = np.concatenate(self._encoded([" ".join(cores[i : i + 64]) for i in range(0, len(cores), 64)], letters=True))
             whole, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(self._ends[ids]) + 4).tolist()]
             self._words.update(zip(cores, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         self._words.update(zip(others, [x.tobytes() for x in self._encoded(others)], strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not ((t.isascii() and t.isprintable()) or not _OTHER.search(t)) or ("<|" in t and bool(_SPECIAL.search(t))) for t in texts]
-        words = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        found = [list(map(self._words.get, ws)) for ws in words]
-        holes: list[tuple[list, int, str, str]] = []  # what is not found as it stands: its core and the marks that follow
-        for ws, ids in zip(words, found, strict=True):
-            if None in ids:
-                holes += [(ids, i, *(m.groups() if (m := _LETTERS.fullmatch(ws[i])) else ("", ws[i]))) for i, x in enumerate(ids) if x is None]
-        cores, others = ({h[k] for h in holes}.difference(self._words) for k in (2, 3))
-        if len(self._words) + len(cores) + len(others) > self._max_words:  # the words of these texts stay
-            self._words = {w: x for ws, ids in zip(words, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is not None} | {"": b""}
-            cores, others = ({h[k] for h in holes}.difference(self._words) for k in (2, 3))
+    def _ids_of(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct words: those of the letters, and of the marks behind them, are kept apart."""
+        known = self._words
+        found = list(map(known.get, distinct))
+        holes = [i for i, x in enumerate(found) if x is None]
+        parts = []  # letters and marks of each hole, or nothing and the word as it is
+        for i in holes:
+            word = distinct[i]
+            core = word.rstrip(_MARKS)
+            parts.append((core, word[len(core) :]) if core.isalpha() else ("", word))
+        cores, others = {c for c, _ in parts}, {o for _, o in parts}
+        self._once.difference_update(distinct)
+        self._once -= cores | others
+        cores, others = cores.difference(known), others.difference(known)
+        if len(known) + len(cores) + len(others) > self._max_words:  # words seen once go first, then all that these texts lack
+            for kept in (lambda w: w not in self._once, {*distinct, *(x for p in parts for x in p)}.__contains__):
+                if len(self._words) + len(cores) + len(others) > self._max_words:
+                    self._words, self._once = {w: x for w, x in self._words.items() if kept(w)} | {"": b""}, set()
         self._learn(list(cores), list(others))
+        self._once |= cores
+        self._once |= others
         known = self._words
-        for ids, i, core, rest in holes:
-            ids[i] = known[core] + known[rest]
-        return [self._encoded([t])[0].tobytes() if w else b"".join(ids) for t, ids, w in zip(texts, found, whole, strict=True)]
+        for i, (core, rest) in zip(holes, parts, strict=True):
+            found[i] = known[core] + known[rest]
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [not ((t.isascii() and t.isprintable()) or not _OTHER.search(t)) or ("<|" in t and bool(_SPECIAL.search(t))) for t in texts]
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string())))
+        words = lists.values.dictionary_encode()
+        number = words.indices.to_numpy()
+        each = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        ids = np.frombuffer(b"".join(each), dtype="<u4")
+        taken = size[number]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        first = np.cumsum(size) - size
+        flat = ids[np.repeat(first[number] - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [self._encoded([t])[0].tobytes() if w else flat[a:b] for t, w, a, b in zip(texts, whole, cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)

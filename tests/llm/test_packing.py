@@ -20,6 +20,18 @@ def test_ids_equal_the_tokenizers(spark):
     assert own == [np.array(e.ids, dtype="<u4").tobytes() for e in plain]
 
 
+def test_ids_of_every_letter_equal_the_tokenizers():
+    """All characters that are taken word by word, alone and between others, in small batches with a small cache."""
+    from tokenizers import Tokenizer
+
+    chars = [chr(c) for c in range(1, 0x250)]
+    texts = [f"{c} a{c}b {c}{c.upper()}Z, {c}. x{c}" for c in chars] + [f"ab\t{c}\r\n\n d{c}!?" for c in chars] + ["", " ", "\n", "a" * 5000, "é." * 300]
+    own = packing.WordTokenizer(PATH, max_words=300)
+    got = [x for i in range(0, len(texts), 7) for x in own(texts[i : i + 7])]
+    plain = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array(e.ids, dtype="<u4").tobytes() for e in plain]
+
+
 def test_every_constraint_holds_and_every_rank_has_a_place():
     counts = {4096: 3, 4000: 5, 2048: 7, 1500: 4, 900: 30, 96: 11, 5: 400, 1: 50}
     for rule in ("norm", "dot"):
