@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words in the query contracts: space and 0x09-0x0D.
@@ -49,6 +49,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row in the given order, from 0; rows that the order does not tell apart take turns in any way.
+
+    Rows are dealt to ranges and numbered within them, and each range starts after those before it, so no task numbers them all.
+    """
+    at, rng = free_name(rows, "at"), free_name(rows, "rng")
+    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(rng, F.shiftright(at, 33))
+    spans = placed.groupBy(F.col(rng).alias("of")).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("many"))
+    spans = spans.select("of", (F.sum("many").over(Window.orderBy("of")) - F.col("many") - F.col("first")).alias("shift"))  # a row for each range
+    return placed.join(spans, F.col(rng) == F.col("of")).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(at) + F.col("shift")).alias(name))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has it (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -114,13 +114,64 @@ def test_weights_are_realised_by_whole_epochs_and_a_prefix(spark):
         times[r.source][r.doc_id] += 1
     for s, t in tokens.items():
         budget = (t / total) ** x / z * total
-        assert budget - 1e-3 <= used[s] < budget + 9.001
+        assert budget - 1.001 <= used[s] < budget + 10.001  # whole numbers of tokens, and the last document is taken whole
         most = math.ceil(budget / t)
         assert set(times[s].values()) <= {most, most - 1} and (most == 1 or len(times[s]) == SOURCES[s])
     again = mixing.mixture(df.repartition(7), F.col("tokens"), entropy_share=0.9, max_repetition=6.0).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, draws))
 
 
+def entropy(weights):
+    whole = sum(weights)
+    return -sum(w / whole * math.log(w / whole) for w in weights if w)
+
+
+@pytest.mark.parametrize(("totals", "share"), [([100, 101, 99, 98, 103], 0.8), ([500, 400, 450, 10], 0.5), ([10**12, 10**12 - 10**10], 0.3)])
+def test_exponents_beyond_one_sharpen_to_the_target(spark, totals, share):
+    sources = spark.createDataFrame([(str(i), t, 5) for i, t in enumerate(totals)], "src string, total long, docs long")
+    x = mixing.bisected_exponent(sources, sum(totals), sum(totals), entropy_share=share)
+    assert x > 1 and entropy([(t / max(totals)) ** x for t in totals]) == pytest.approx(share * math.log(len(totals)), abs=1e-4)
+    weighted = mixing.whole_shares(mixing.temperature_weights(sources, sum(totals), x), 12345)
+    shares = {r.src: r.share for r in weighted.collect()}
+    z = sum((t / max(totals)) ** x for t in totals)
+    assert sum(shares.values()) == 12345 and all(abs(shares[str(i)] - (t / max(totals)) ** x / z * 12345) < 1 for i, t in enumerate(totals))
+
+
+def test_targets_out_of_reach_warn(spark):
+    source = lambda *totals: spark.createDataFrame([(str(i), t, 5) for i, t in enumerate(totals)], "src string, total long, docs long")
+    with pytest.warns(UserWarning, match="target"):
+        assert mixing.bisected_exponent(source(7, 7, 7), 21, 21, entropy_share=0.5) == 1.0
+    with pytest.warns(UserWarning, match="repeats every source"):
+        assert mixing.bisected_exponent(source(7, 8), 15, 60, max_repetition=2.0) == 1.0
+    with pytest.warns(UserWarning, match="repetition limit keeps"):
+        x = mixing.bisected_exponent(source(100, 90, 80), 270, 270, entropy_share=0.3, max_repetition=1.5)
+    p = [t**x for t in (100, 90, 80)]
+    assert p[0] / sum(p) * 270 / 100 == pytest.approx(1.5, abs=1e-3)
+
+
+def test_whole_budget_at_exponent_one_takes_every_document_once(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        draws = mixing.mixture(docs, mixing.word_count(F.col("text")), entropy_share=None, max_repetition=1.0)
+        assert draws.count() == draws.select("doc_id").distinct().count() == docs.filter(mixing.word_count(F.col("text")) > 0).count()
+        assert draws.filter("epoch > 0").isEmpty()
+
+
+def test_query_meets_its_target(spark, recwarn):
+    from attestra.llm import queries
+
+    for sf in ("sf0.001", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").withColumn("n", mixing.word_count(F.col("text")))
+        before = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+        drawn = {r.source: r.n for r in queries.op5_temperature_mixing(spark, f"/root/testdata/{sf}").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+        most = math.log(len(before))
+        assert entropy(before.values()) / most > 0.96 and entropy(drawn.values()) / most == pytest.approx(0.95, abs=0.01)
+        longest = docs.agg(F.max("n")).first()[0]
+        assert all(n <= 4 * before[s] + longest for s, n in drawn.items())
+        assert abs(sum(drawn.values()) - sum(before.values())) <= longest * len(before)
+    assert not [w for w in recwarn if "mixture" in str(w.message) or "budget" in str(w.message)]
+
+
 def test_mixing_edges(spark, edge_documents, no_documents):
     words = mixing.word_count(F.col("text"))
     draws = mixing.mixture(edge_documents, words)
