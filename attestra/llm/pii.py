@@ -417,7 +417,7 @@ def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", id_col: str
     """``df`` with the entities of ``text_col`` replaced, and two more columns: n_entities and spans (kind, start, end of the original).
 
     ``key`` is the secret of the surrogates (at most 64 bytes); equal keys and corpora give equal results. All other columns
-    pass through. Null texts stay null and empty ones empty, without entities; texts without entities stay as they are;
+    pass through; where the table has a column n_entities or spans of its own, that one stays and the new one is left out. Null texts stay null and empty ones empty, without entities; texts without entities stay as they are;
     repeated rows are treated alike; an empty table gives no rows. Entities whose first surrogate collides are few; up to
     ``most_listed`` of them are sent to the tasks as a list, beyond that they are joined to the documents by entity.
     """

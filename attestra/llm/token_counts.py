@@ -1,9 +1,10 @@
 """Token counts by dynamic programming over a trie of pre-tokens (operator 4).
 
 A pre-token's tokens are those of its best unigram segmentation: the pieces of a vocabulary that concatenate to it with the
-largest sum of scores. The distinct pre-tokens that a task meets are inserted in a trie in sorted order, and the forward
-scores (best score and number of tokens up to a position) are computed once per node, so pre-tokens share the work of their
-common prefixes; each keeps the count at its last node. A document's count is the sum over its pre-tokens.
+largest sum of scores. The distinct pre-tokens that a Python worker meets are inserted in a trie that it keeps over its tasks.
+A node holds the forward score of its prefix (best score and number of tokens up to there), which is computed when the node is made
+and serves every pre-token that begins so; the count at a pre-token's last node is stored by the pre-token. A document's count is
+the sum over its pre-tokens. The trie and the store are bounded: a trie that is full is begun anew, which costs time only.
 """
 
 from __future__ import annotations
@@ -33,39 +34,50 @@ class PieceTrie:
             node[""] = score
 
 
-def forward_counts(words: list[str], pieces: PieceTrie, byte_score: float) -> dict[str, tuple[int, int]]:
-    """(tokens, byte tokens) of the best segmentation of each word; of equal scores the fewest tokens win.
-
-    ``words`` must be sorted and distinct: the path to the current word is a stack of (score, tokens, byte tokens) by
-    position, cut back to the common prefix with the next word. A character that no piece covers costs its UTF-8 bytes.
-    """
-    out = {}
-    last, stack = "", [(0.0, 0, 0)]
-    root = pieces.root
-    for word in words:
-        shared = 0
-        for a, b in zip(word, last, strict=False):
-            if a != b:
-                break
-            shared += 1
-        del stack[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            score, tokens, fallback = stack[end - 1]
-            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            best = (score + n * byte_score, -(tokens + n), fallback + n)
-            node = root
-            at = end
-            while at and (node := node.get(word[at - 1])) is not None:
-                at -= 1
-                if (s := node.get("")) is not None:
-                    score, tokens, fallback = stack[at]
-                    new = (score + s, -(tokens + 1), fallback)
-                    if new[:2] > best[:2]:
-                        best = new
-            stack.append((best[0], -best[1], best[2]))
-        out[word] = stack[len(word)][1:]
-        last = word
-    return out
+class PrefixTrie:
+    """Pre-tokens by their prefixes. Nodes are numbered; node 0 is the empty prefix, and a child is found by its parent's number and
+    its character. A character that no piece covers costs its UTF-8 bytes; of equal scores the fewest tokens win."""
+
+    def __init__(self, pieces: PieceTrie, byte_score: float, max_nodes: int = 600_000):
+        self.pieces, self.byte_score, self.max_nodes = pieces, byte_score, max_nodes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[int, int] = {}
+        self.forward: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # score, minus tokens, byte tokens
+
+    def __len__(self) -> int:
+        return len(self.forward)
+
+    def insert(self, word: str) -> tuple[int, int]:
+        """(tokens, byte tokens) of the word's best segmentation, at its last node."""
+        if len(self.forward) + len(word) > self.max_nodes:
+            self._clear()
+        path, child, forward = [0], self.child, self.forward
+        for end in range(1, len(word) + 1):
+            key = path[-1] << 21 | ord(word[end - 1])
+            node = child.get(key)
+            if node is None:
+                node = child[key] = len(forward)
+                forward.append(self._forward(word, end, path))
+            path.append(node)
+        _, tokens, fallback = forward[path[-1]]
+        return -tokens, fallback
+
+    def _forward(self, word: str, end: int, path: list[int]) -> tuple[float, int, int]:
+        """The forward score of the prefix up to ``end``, from those of the prefixes on the path to it."""
+        score, tokens, fallback = self.forward[path[end - 1]]
+        n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        best = (score + n * self.byte_score, tokens - n, fallback + n)
+        node, at = self.pieces.root, end
+        while at and (node := node.get(word[at - 1])) is not None:
+            at -= 1
+            if (s := node.get("")) is not None:
+                score, tokens, fallback = self.forward[path[at]]
+                new = (score + s, tokens - 1, fallback)
+                if new[:2] > best[:2]:
+                    best = new
+        return best
 
 
 def vocabulary_scores(path: str) -> dict[str, float]:
@@ -78,12 +90,11 @@ def vocabulary_scores(path: str) -> dict[str, float]:
 
 
 class TokenCounter:
-    """Counts of texts, with a bounded store of the counts of the words met so far."""
+    """Counts of texts, with a bounded trie and a bounded store of the terminal counts of the words met so far."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 400_000, max_nodes: int = 600_000):
         scores = vocabulary_scores(path)
-        self.pieces = PieceTrie(scores)
-        self.byte_score = min(scores.values(), default=0.0) - 10.0
+        self.trie = PrefixTrie(PieceTrie(scores), min(scores.values(), default=0.0) - 10.0, max_nodes)
         self._max_words = max_words
         self._counts: dict[str, int] = {}
 
@@ -94,9 +105,10 @@ class TokenCounter:
         missing = {w for ws, xs in zip(words, found, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None}
         if len(self._counts) + len(missing) > self._max_words:  # the words of these texts stay
             self._counts = {w: x for ws, xs in zip(words, found, strict=True) for w, x in zip(ws, xs, strict=True) if x is not None}
-        new = forward_counts(sorted(MARK + w for w in missing), self.pieces, self.byte_score)
         known = self._counts
-        known.update((w[1:], (tokens << 32) | fallback) for w, (tokens, fallback) in new.items())
+        for w in missing:
+            tokens, fallback = self.trie.insert(MARK + w)
+            known[w] = tokens << 32 | fallback
         out = []
         for ws, xs in zip(words, found, strict=True):
             total = sum([known[w] if x is None else x for w, x in zip(ws, xs, strict=True)] if None in xs else xs)

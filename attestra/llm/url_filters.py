@@ -3,8 +3,8 @@
 Rules decide the urls that they fit. The verdict on all others is their host's: personalised PageRank carries trust from
 hosts whose pages rules allow along the host edges, and distrust from hosts whose pages rules block against them; a host
 whose distrust exceeds its trust by a factor is blocked. Edges are the links between hosts, relative ones by the page's
-base, and those between a host and its parent domain where that has pages too, which make subdomains of a blocked domain
-neighbours even where pages link within their site only.
+base, and those between a host and the domains above it up to the one that was registered, with pages or without, which make
+the hosts of a site neighbours even where pages link within their host only. Nothing leads on to a public suffix.
 """
 
 from __future__ import annotations
@@ -36,9 +36,22 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.coalesce(*fits)
 
 
-def parent_host(host: Column) -> Column:
-    """The host without its first label; null where fewer than two labels would be left."""
-    return F.when(F.size(F.split(host, "\\.")) > 2, F.regexp_replace(host, "^[^.]*\\.", ""))
+#: Labels under which registries of two-letter countries register, and suffixes under which hosting services do.
+REGISTRY_LABELS = ["ac", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"]
+SHARED_SUFFIXES = ["appspot.com", "blogspot.com", "cloudfront.net", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com", "workers.dev"]
+
+
+def site_chain(host: Column, shared: list[str] | None = None) -> Column:
+    """The host and the domains above it, up to the registered one: the one label that stands before the public suffix. That is the
+    last label, or the last two under a country's registry label or if they are of ``shared`` (default: SHARED_SUFFIXES).
+    Addresses of digits, and hosts that are a public suffix, stand alone."""
+    labels = F.split(host, "\\.")
+    n = F.size(labels)
+    last, second = F.element_at(labels, -1), F.when(n > 1, F.element_at(labels, -2)).otherwise("")
+    two = (F.length(F.regexp_replace(last, ":.*", "")) == 2) & second.isin(REGISTRY_LABELS) | F.concat_ws(".", second, last).isin(SHARED_SUFFIXES if shared is None else shared)
+    least = F.when(two, 3).otherwise(2)
+    chain = F.transform(F.sequence(F.lit(1), n - least + 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    return F.when((n <= least) | host.rlike("^[0-9.]+(:[0-9]*)?$"), F.array(host)).otherwise(chain)
 
 
 def _absolute_host(url: Column) -> Column:
@@ -49,8 +62,8 @@ def _absolute_host(url: Column) -> Column:
 def host_edges(pages: DataFrame, html_col: str = "html", parent_weight: int = 1) -> DataFrame:
     """Edges (src, dst, n) between different hosts of pages (host, html): links, and host and parent both ways.
 
-    Relative links lead to the host of the page's ``<base>``, else stay on its own. A parent counts, ``parent_weight`` links,
-    only where it is a page's host itself, so that no public suffix joins its sites.
+    Relative links lead to the host of the page's ``<base>``, else stay on its own. A step up to the domain above counts
+    ``parent_weight`` links, both ways, as far as the registered domain (``site_chain``).
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^\s"'<>]+)"""), F.lit(1))
@@ -59,9 +72,9 @@ def host_edges(pages: DataFrame, html_col: str = "html", parent_weight: int = 1)
     relative = ~F.col("to").rlike("(?i)^(?:[a-z][a-z0-9+.-]*:|//)")
     to = F.when(relative, F.when(F.col("base") != "", F.col("base")).otherwise(F.col("src"))).otherwise(_absolute_host(F.col("to")))
     linked = linked.select("src", to.alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), parent_host(F.col("host")).alias("dst"), F.lit(parent_weight).cast("long").alias("n"))
-    up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
+    chain = pages.select("host").distinct().select(site_chain(F.col("host")).alias("chain"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.struct(F.get(F.col("chain"), i - 1).alias("src"), F.get(F.col("chain"), i).alias("dst")))
+    up = chain.filter(F.size("chain") > 1).select(F.explode(steps).alias("e")).select("e.*").distinct().withColumn("n", F.lit(parent_weight).cast("long"))
     both = linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     return both.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
@@ -97,15 +110,15 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolera
             before = score
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", factor: float = 1.0, parent_weight: int = 1) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", factor: float = 1.0, parent_weight: int = 1, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, host, path, rule, verdict, trust and distrust (of the host) of every page.
 
     Seeds are weighted by the pages that a rule decides. Hosts that neither score reaches are allowed, and so are null urls
-    and those without a host. Repeated rows are judged alike; null html has no links; an empty table gives no rows; only
-    id_col, url and html are read.
+    and those without a host. Scores are compared, and given, to 9 decimals, so that the order of sums decides nothing; ties are allowed. Repeated rows are judged alike; null html has no links; an empty table gives no rows; only
+    id_col, url_col and html_col are read.
     """
-    host, path = host_and_path(F.col("url"))
-    seen = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), "html")
+    host, path = host_and_path(F.col(url_col))
+    seen = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     ruled = seen.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
     edges = checkpointed(host_edges(seen, parent_weight=parent_weight))
     graph = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -116,7 +129,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
     salts = 32  # one host may have a third of the pages
     by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = ruled.select("id", "host", "path", "r", F.pmod(F.xxhash64("id", "path"), F.lit(salts)).cast("int").alias("salt")).join(by_host, ["host", "salt"], "left")
-    trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
+    trust, distrust = (F.round(F.coalesce(F.col(c), F.lit(0.0)), 9) for c in ("trust", "distrust"))
     verdict = F.coalesce(F.col("r.verdict"), F.when(distrust > factor * trust, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 

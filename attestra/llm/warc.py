@@ -113,10 +113,10 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return f"{folder}/{name}"
 
 
-def with_revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int = 1000) -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str, payload: Column, least_bytes: int = 1000, url_col: str = "url") -> DataFrame:
     """``pages`` as (id, uri, payload, digest, response): response is the largest id with an equal payload if that has
     ``least_bytes`` or more, else the row's own. Rows that share an id are one page and stay together."""
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col("url"), F.lit("")).alias("uri"), F.coalesce(payload, F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("uri"), F.coalesce(payload, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload").cast("long"))
     many = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return rows.join(many, ["digest", "bytes"], "left").select("id", "uri", "payload", "digest", "bytes", F.coalesce("response", "id").alias("response"))
@@ -126,7 +126,7 @@ def _record_id(page: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}"
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload_col: str = "html", archive_size: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload_col: str = "html", archive_size: int = 16 << 20, date: str = "2024-01-01T00:00:00Z", url_col: str = "url") -> DataFrame:
     """Writes every page to an archive in ``folder`` (default: a new one in the shared folder) and returns the manifest
     (path, records, bytes, dictionary bytes), already computed.
 
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    rows = with_revisits(pages, id_col, F.col(payload_col)).select(F.col("id").cast("string").alias("id"), "uri", "payload", "digest", "bytes", F.col("response").cast("string").alias("response"))
+    rows = with_revisits(pages, id_col, F.col(payload_col), url_col=url_col).select(F.col("id").cast("string").alias("id"), "uri", "payload", "digest", "bytes", F.col("response").cast("string").alias("response"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[bytes] = []

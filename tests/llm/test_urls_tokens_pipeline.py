@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from attestra.llm import token_counts, url_filters
 from attestra.llm.queries import URL_RULES
 
@@ -61,6 +63,37 @@ def test_propagation_equals_power_iteration(spark):
     assert sum(got.values()) == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_chain(host):
+    """The host and what lies above it, down to one label before the public suffix (of the hosts in these tests)."""
+    out = [host]
+    while "." in out[-1].split(".", 1)[-1] and out[-1].split(".", 1)[1] not in ("co.uk", "org.uk", "github.io") and not re.fullmatch("[0-9.]+", host):
+        out.append(out[-1].split(".", 1)[1])
+    return out
+
+
+def test_site_chains_end_at_the_registered_domain(spark):
+    hosts = {"a.b.c.com": ["a.b.c.com", "b.c.com", "c.com"], "c.com": ["c.com"], "com": ["com"], "x.f.co.uk": ["x.f.co.uk", "f.co.uk"], "f.co.uk": ["f.co.uk"], "co.uk": ["co.uk"], "u.github.io": ["u.github.io"], "w.u.github.io": ["w.u.github.io", "u.github.io"], "10.0.0.1": ["10.0.0.1"], "10.0.0.1:80": ["10.0.0.1:80"], "a.h.com:80": ["a.h.com:80", "h.com:80"], "x.f.co.uk:8080": ["x.f.co.uk:8080", "f.co.uk:8080"], "": [""], "a.co.com": ["a.co.com", "co.com"]}
+    got = {r.h: list(r.c) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filters.site_chain(F.col("h")).alias("c")).collect()}
+    assert got == hosts
+    assert all(plain_chain(h) == c for h, c in hosts.items() if ":" not in h and h)
+
+
+def test_propagation_decides_hosts_of_the_given_pages(spark):
+    """The given pages link within their hosts only; trust and distrust spread over the domains above."""
+    from attestra.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    got = [(r.host, r.rule, r.verdict) for r in queries.op8_url_link_graph(spark, sf).collect()]
+    rows = [(i, r.url, r.html) for i, r in enumerate(spark.read.parquet(f"{sf}/pages.parquet").collect())]
+    expected = plain_verdicts(rows)
+    assert sorted((h, v) for h, _, v in got) == sorted((plain_url(u)[0], expected[i]) for i, u, _ in rows)
+    seeded = {h for h, rule, _ in got if rule}
+    moved = {h for h, _, v in got if h not in seeded and v == "block"}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(url_filters.host_and_path(F.col("url"))[0].alias("host"), "html")
+    assert url_filters.host_edges(pages).count() > 60
+    assert moved or {h for h, rule, v in got if not rule and v == "block"}
+
+
 def plain_verdicts(rows):
     """Dense: the whole way from urls and html to verdicts."""
     host = {i: plain_url(u)[0] for i, u, _ in rows}
@@ -71,11 +104,9 @@ def plain_verdicts(rows):
             absolute = re.match(r"(?:https?:)?//([^/?#]*)", to)
             dst = absolute[1].lower() if absolute else "" if re.match("[a-z]+:", to) else base[1].lower() if base else host[i]
             n[host[i], dst] += 1
-    for h in known:
-        up = h.split(".", 1)[1] if h.count(".") > 1 else ""
-        if up in known:
-            n[h, up] += 1
-            n[up, h] += 1
+    for below, up in {(x[i], x[i + 1]) for h in known for x in [plain_chain(h)] for i in range(len(x) - 1)}:
+        n[below, up] += 1
+        n[up, below] += 1
     edges = {e: w for e, w in n.items() if e[0] and e[1] and e[0] != e[1]}
     seeds = {"allow": defaultdict(float), "block": defaultdict(float)}
     ruled = {i: plain_rule(*plain_url(u))[1] for i, u, _ in rows}
@@ -145,9 +176,12 @@ PIECES = {p: float(-i) for i, p in enumerate(["a", "b", "ab", "abc", "▁", "▁
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcé€", max_size=9), min_size=1, max_size=12))
 def test_trie_counts_equal_plain_dynamic_programming(words):
-    words = sorted({"▁" + w for w in words})
-    got = token_counts.forward_counts(words, token_counts.PieceTrie(PIECES), -50.0)
-    assert {w: g[0] for w, g in got.items()} == {w: plain_counts(w, PIECES, -50.0)[0] for w in words}
+    words = ["▁" + w for w in words]
+    pieces, expected = token_counts.PieceTrie(PIECES), {w: plain_counts(w, PIECES, -50.0)[0] for w in words}
+    trie, tight = token_counts.PrefixTrie(pieces, -50.0), token_counts.PrefixTrie(pieces, -50.0, max_nodes=14)
+    for w in [*words, *words]:
+        assert trie.insert(w)[0] == tight.insert(w)[0] == expected[w] and len(tight) <= 14
+    assert len(trie) == len({w[:n] for w in words for n in range(len(w) + 1)})  # one forward score for each prefix
 
 
 def test_counts_of_texts(spark, edge_documents, no_documents):
@@ -192,3 +226,21 @@ def test_pipeline_stages_take_odd_rows(spark, edge_documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() >= 1
+
+
+def test_pipeline_of_an_empty_table(spark, no_documents, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    no_documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pages_with_names_that_clash(spark):
+    rows = [(i, f"http://h{i % 3}.example.com/en/{i}", f"<p>{'x' * 1200}</p>" if i % 2 else None) for i in range(12)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted(map(tuple, url_filters.url_verdicts(pages, URL_RULES).collect()), key=str)
+    for name in ("id", "host", "path", "r", "salt", "trust", "distrust", "src", "dst", "n", "kind", "chain"):
+        pages = pages.selectExpr("*", f"'clash' AS {name}")
+    assert sorted(map(tuple, url_filters.url_verdicts(pages, URL_RULES).collect()), key=str) == plain
+    renamed = pages.withColumnRenamed("url", "address").withColumnRenamed("html", "body").selectExpr("*", "'clash' AS url", "'clash' AS html")
+    assert sorted(map(tuple, url_filters.url_verdicts(renamed, URL_RULES, url_col="address", html_col="body").collect()), key=str) == plain
