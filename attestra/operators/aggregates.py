@@ -106,11 +106,19 @@ def face_confidence_variance(faces: DataFrame) -> DataFrame:
 
 
 def frame_confidence_stats(frames: DataFrame) -> DataFrame:
-    """Per video: spread of the frames' AI confidence and its points (AGG-12)."""
-    out = frames.groupBy("video_id").agg(_n().alias("n"), F.avg("ai_confidence").alias("m"), F.stddev_pop("ai_confidence").alias("s"), (F.max("ai_confidence") - F.min("ai_confidence")).alias("range"), F.bool_and(F.col("ai_confidence") > 70).alias("all_high"))
+    """Per video: spread of the AI confidence of its analysed frames, and the points for it (AGG-12).
+
+    Frames without a detection (null confidence) do not count; with less than two analysed ones there are no statistics (mean and
+    deviation 0) and no points.
+    """
+    c = F.col("ai_confidence")
+    out = frames.groupBy("video_id").agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), (F.max(c) - F.min(c)).alias("range"), F.bool_and(c > 70).alias("all_high"))
+    enough = F.col("n") >= 2
+    out = out.select("video_id", "n", *[F.when(enough, F.col(x)).alias(x) for x in ("m", "s", "range", "all_high")])
     points = F.when((F.col("s") < 2) & (F.col("m") > 70), 15).otherwise(0) + F.when((F.col("s") < 1) & (F.col("m") > 60), 12).otherwise(0)
     points = points + F.when(F.col("all_high"), 10).otherwise(0) + F.when((F.col("range") < 5) & (F.col("n") > 5), 8).otherwise(0)
-    return out.select("video_id", "n", "range", "all_high", js_round(F.col("m") * 1000).alias("mean_e3"), js_round(F.col("s") * 1000).alias("sd_e3"), points.alias("points"))
+    rounded = lambda x: js_round(F.coalesce(F.col(x), F.lit(0.0)) * 1000)
+    return out.select("video_id", "n", "range", "all_high", rounded("m").alias("mean_e3"), rounded("s").alias("sd_e3"), points.alias("points"))
 
 
 def hash_repetition(frames: DataFrame) -> DataFrame:
@@ -207,9 +215,15 @@ def verdict_counts(log: DataFrame) -> DataFrame:
 
 
 def external_summary(results: DataFrame) -> DataFrame:
-    """Per query: matches (full matches, else total), engines searched and engines with results (AGG-23)."""
-    matches = F.coalesce(F.col("full_matches"), F.col("total_matches"), F.lit(0))
-    return results.groupBy("query_id").agg(F.sum(matches).alias("total_matches"), F.count_distinct("engine").alias("engines_searched"), F.count_distinct(F.when(matches > 0, F.col("engine"))).alias("engines_with_results"))
+    """Per query: matches (full matches where they were listed, else the total), engines searched, which are all that are not disabled,
+    and engines with results, which are those that answered without error (AGG-23).
+
+    ``results``: query_id, enabled, error, full_matches (how many were listed), total_matches; a row for each engine.
+    """
+    on = F.coalesce("enabled", F.lit(True))
+    answered = on & F.col("error").isNull()
+    matches = F.when(answered, F.coalesce("full_matches", "total_matches")).otherwise(0)
+    return results.groupBy("query_id").agg(F.sum(F.coalesce(matches, F.lit(0))).alias("total_matches"), F.count_if(on).alias("engines_searched"), F.count_if(answered).alias("engines_with_results"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, keys: list[str]) -> DataFrame:
@@ -251,14 +265,22 @@ def service_stats(log: DataFrame) -> DataFrame:
     return out.select("route", "succeeded", "failed", (js_round(F.col("m") * 1000) / 1000).alias("avg_ok_ms"), (js_round(rate * 1000) / 1000).alias("error_pct"), (rate > 10).alias("high_error"))
 
 
-def qtable_stats(tables: DataFrame, standards: list[tuple[str, list[int]]], camera: list[tuple[str, list[int], float]]) -> DataFrame:
+#: First row of cameras' quantisation tables and their variance, in the order in which they are tried.
+CAMERA_TABLES = [
+    ("canon", [8, 6, 5, 8, 12, 20, 26, 31], 150.0),
+    ("nikon", [10, 7, 6, 10, 14, 24, 31, 37], 180.0),
+    ("sony", [6, 4, 4, 6, 10, 16, 20, 24], 120.0),
+]
+
+
+def qtable_stats(tables: DataFrame, standards: list[tuple[str, list[int]]], camera: list[tuple[str, list[int], float]] = CAMERA_TABLES) -> DataFrame:
     """Per quantisation table (image_id, q array of 64): mean, variance, likeness to standard tables, camera pattern (AGG-28)."""
     q = F.col("q")
     mean = F.aggregate(q, F.lit(0.0), lambda s, x: s + x) / 64
     out = tables.withColumn("mean", mean).withColumn("variance", F.aggregate(q, F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / 64)
     like = lambda t, n: 1 - F.aggregate(F.zip_with(F.slice(q, 1, n), F.array(*[F.lit(v) for v in t[:n]]), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / (n * 255)
     best = F.array_max(F.array(*[F.struct(like(t, 64).alias("similarity"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, t) in enumerate(standards)]))
-    pattern = F.coalesce(*[F.when((like(t, 8) > 0.7) & (F.abs(F.col("variance") - v) < 50), name) for name, t, v in camera]) if camera else F.lit(None).cast("string")
+    pattern = F.coalesce(*[F.when((like(t, 8) > 0.7) & (F.abs(F.col("variance") - v) < 50), name) for name, t, v in camera], F.lit(None).cast("string"))
     return out.withColumn("b", best).select("image_id", js_round(F.col("mean") * 1e4).alias("mean_e4"), js_round(F.col("variance") * 1e4).alias("variance_e4"), F.col("b.name").alias("standard"), js_round(F.col("b.similarity") * 1e6).alias("similarity_e6"), pattern.alias("camera"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +21,32 @@ def admit_batch_files(files: DataFrame) -> DataFrame:
     return files.filter(fine).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST_FILES)
 
 
+#: First bytes of executables, of scripts, and of the two image kinds that are checked; endings of server scripts.
+EXECUTABLES, SHEBANG, PNG_HEAD, JPEG_HEAD, SERVER_SCRIPTS = ["4D5A", "7F454C46", "CAFEBABE"], "2321", "89504E470D0A1A0A", "FFD8", [".php", ".asp", ".jsp"]
+
+
 def signature_problem(content: Column, name: Column) -> Column:
-    """Why a file is refused by its first bytes or its name, or null (FLT-3)."""
-    head = F.hex(F.substring(content, 1, 8))
-    png, jpeg = F.lower(name).endswith(".png"), F.lower(name).rlike(r"\.jpe?g$")
+    """Why a file is refused by its first bytes or its name, or null (FLT-3). The extension is what follows the last dot, or the
+    whole name where it has none; content is looked at before the name."""
+    head, small = F.hex(F.substring(content, 1, 8)), F.lower(name)
+    ext = F.element_at(F.split(small, r"\."), -1)
+    starts = lambda heads: reduce(lambda a, b: a | b, [head.startswith(h) for h in heads])
+    ends = reduce(lambda a, b: a | b, [small.endswith(x) for x in SERVER_SCRIPTS])
     return F.coalesce(
-        F.when(head.startswith("4D5A") | head.startswith("7F454C46") | head.startswith("CAFEBABE"), "executable"),
-        F.when(head.startswith("2321"), "script"),
-        F.when(png & ~head.startswith("89504E470D0A1A0A"), "not a png"),
-        F.when(jpeg & ~head.startswith("FFD8FF"), "not a jpeg"),
-        F.when(name.contains("..") | name.rlike(r'[<>:"|?*\x00-\x1f]'), "bad name"),
-        F.when(F.lower(name).rlike(r"\.(exe|bat|cmd|sh|js|php)$"), "script name"),
+        F.when(starts(EXECUTABLES), "executable"),
+        F.when(head.startswith(SHEBANG), "script"),
+        F.when((ext == "png") & ~head.startswith(PNG_HEAD), "not a png"),
+        F.when(ext.isin("jpg", "jpeg") & ~head.startswith(JPEG_HEAD), "not a jpeg"),
+        F.when(name.contains("..") | name.rlike(r'[<>:"|?*\x00]'), "bad name"),
+        F.when(ends, "script name"),
     )
 
 
 def video_policy_problem(container: Column, codec: Column, duration: Column) -> Column:
     """The first rule of the video policy that fails, or null (FLT-4)."""
-    known = F.arrays_overlap(F.split(container, ","), F.array(*[F.lit(c) for c in CONTAINERS]))
-    return F.coalesce(F.when(~F.coalesce(known, F.lit(False)), "container"), F.when(~F.coalesce(codec.isin(CODECS), F.lit(False)), "codec"), F.when(F.floor(duration) > MOST_SECONDS, "duration"))
+    tokens = F.transform(F.split(F.lower(container), ","), lambda t: F.trim(t))
+    known = F.arrays_overlap(tokens, F.array(*[F.lit(c) for c in CONTAINERS]))
+    return F.coalesce(F.when(~F.coalesce(known, F.lit(False)), "container"), F.when(~F.coalesce(F.lower(codec).isin(CODECS), F.lit(False)), "codec"), F.when(F.floor(duration) > MOST_SECONDS, "duration"))
 
 
 def credential_problem(algorithm: Column, canonicalization: Column, segments: Column) -> Column:
@@ -51,8 +61,8 @@ def credential_problem(algorithm: Column, canonicalization: Column, segments: Co
 
 def segment_list_problem(segments: Column) -> Column:
     """Bad form, or indices that are not 0..N-1 (duplicates are tolerated), or null (FLT-6)."""
-    idx = F.array_distinct(F.transform(segments, lambda s: F.regexp_extract(s, r"^seg_(\d+):", 1).cast("int")))
-    bad = F.exists(segments, lambda s: ~s.rlike("^seg_[0-9]{1,9}:[a-f0-9]{16,64}$"))
+    idx = F.array_distinct(F.transform(segments, lambda s: F.regexp_extract(s, r"^seg_([0-9]+):", 1).try_cast("bigint")))  # null: too large for any list
+    bad = F.exists(segments, lambda s: ~s.rlike(r"^seg_[0-9]+:[a-f0-9]{16,64}\z"))
     return F.when(bad, "format").when(F.array_max(idx) + 1 != F.size(idx), "contiguous")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.hashes import bare_hex, hamming_hex, interpret_audio, interpret_distance, positional_equal, similarity_pct
 
+from . import hamming
+
 
 def exact_lookup(queries: DataFrame, reg: DataFrame) -> DataFrame:
     """Per query fingerprint: found, how often and when it was seen first, and its status (JOIN-1).
@@ -43,38 +43,12 @@ def recent_pool(reg: DataFrame, n: int) -> DataFrame:
     return reg.orderBy(F.desc("upload_date"), F.desc("id")).limit(n)
 
 
-def hamming_candidates(a: DataFrame, b: DataFrame, a_hash: str, b_hash: str, threshold: int, bits: int = 64, probe_right: bool = False) -> DataFrame:
-    """All pairs of rows within ``threshold`` bits, with the distance.
-
-    Hashes are cut in bands of 16 bits. Of two hashes within the threshold one band differs in at most threshold div bands bits
-    (pigeonhole), so one side, the smaller one at best, probes every value so near to its band's, and candidates are an equi
-    join on band and value. Each pair is kept at its first such band only, which needs no distinct.
-    """
-    bands = -(-bits // 16)
-    radius = threshold // bands
-    masks = [sum(1 << i for i in at) for r in range(radius + 1) for at in combinations(range(16), r)]
-
-    def banded(df: DataFrame, col: str, name: str, probing: bool) -> DataFrame:
-        hexed = bare_hex(F.col(col))
-        values = F.array(*[F.conv(F.substring(hexed, 4 * i + 1, 4), 16, 10).cast("int") for i in range(bands)])
-        df = df.filter(F.length(hexed) == bits // 4).withColumn(name, values).select("*", F.posexplode(name).alias("band__", "value__"))
-        near = F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("value__").bitwiseXOR(m)))
-        return df.withColumn("value__", near) if probing and radius else df
-
-    left, right = banded(a, a_hash, "abands__", not probe_right), banded(b, b_hash, "bbands__", probe_right)
-    met = left.join(right, ["band__", "value__"])
-    near = F.zip_with("abands__", "bbands__", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius)
-    out = met.withColumn("distance", hamming_hex(F.col(a_hash), F.col(b_hash), bits)).filter(F.col("distance") <= threshold)
-    out = out.filter(F.array_position(near, True) == F.col("band__") + 1)
-    return out.drop("band__", "value__", "abands__", "bbands__")
-
-
 def similar_images(queries: DataFrame, reg: DataFrame, threshold: int = 10, pool: int | None = 1000, bits: int = 64) -> DataFrame:
     """Registry images within ``threshold`` bits of each query's hash (JOIN-2). ``queries``: query_id, query_hash; ``reg``: id,
     phash, upload_date. ``pool`` limits to the newest rows, as the service does; None searches all."""
     known = reg.filter("phash is not null")
     known = recent_pool(known, pool) if pool else known
-    met = hamming_candidates(queries, known.select("id", "phash"), "query_hash", "phash", threshold, bits, probe_right=bool(pool))
+    met = hamming.near_rows(queries, known.select("id", "phash"), "query_hash", "phash", threshold, bits)
     return met.select("query_id", "id", "distance", similarity_pct(F.col("distance"), bits).alias("similarity"), interpret_distance(F.col("distance")).alias("interpretation"))
 
 
@@ -84,31 +58,47 @@ def top_matches(matches: DataFrame, k: int = 5) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def image_links(queries: DataFrame, reg: DataFrame, threshold: int = 10, bits: int = 64) -> DataFrame:
+    """Per query: its hash as the class of its copies, and how many registry images and distinct hashes lie within ``threshold`` bits,
+    the nearest at which distance (JOIN-2 over all rows, without one row for each pair of copies)."""
+    links = hamming.similarity_links(queries, reg, threshold, bits)
+    sums = links.groupBy(F.col("query_hash").alias("class")).agg(F.sum("n_images").alias("n_links"), F.count(F.lit(1)).alias("n_hashes"), F.min("distance").alias("nearest"))
+    out = queries.select("query_id", bare_hex(F.col("query_hash")).alias("class")).join(sums, "class", "left")
+    return out.select("query_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"), "nearest")
+
+
+def nearest_images(queries: DataFrame, reg: DataFrame, k: int = 5, threshold: int = 10, bits: int = 64) -> DataFrame:
+    """The k most similar registry images of each query, ties by id, from all rows (TOP-2): of each class of copies its k least ids
+    compete, once for each distinct query hash, so copies on either side cost no pairs."""
+    pairs = hamming.near_classes(queries, reg, "query_hash", "phash", threshold, bits)
+    copies = reg.select(bare_hex(F.col("phash")).alias("b_key"), "id").withColumn("n", F.row_number().over(Window.partitionBy("b_key").orderBy("id")))
+    order = Window.partitionBy("a_key").orderBy("distance", "id")
+    best = pairs.join(copies.filter(F.col("n") <= k).drop("n"), "b_key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = queries.select("query_id", bare_hex(F.col("query_hash")).alias("a_key")).join(best, "a_key")
+    return out.select("query_id", "id", "distance", similarity_pct(F.col("distance"), bits).alias("similarity"), interpret_distance(F.col("distance")).alias("interpretation"), "rank")
+
+
 def _audio_candidates(queries: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose similarity can reach the threshold, each once.
+    """Pairs (a__, b__) of fingerprints, by their 64-bit hashes, whose similarity can reach the threshold, each once.
 
     A pair whose longer text has n characters may differ at m = n * (100.5 - threshold) / 100 places, so of m + 1 blocks of
-    n div (m + 1) characters one is equal (pigeonhole). Each side is cut for every n that its own length allows, and a pair is
-    kept at its own block width and first equal block only.
+    n div (m + 1) characters one is equal (pigeonhole). Each side is cut for every n that its own length allows. Only hashes are
+    shipped: the fingerprint's, and one of each block with its width and place; those that meet by chance are told apart by the
+    fingerprints themselves.
     """
 
     def width(n: str) -> str:
         return f"CAST({n} div (({n} * {201 - 2 * threshold}) div 200 + 1) AS INT)"
 
-    def pieces(col: str) -> Column:
-        return F.expr(f"transform(sequence(0, CAST(length({col}) div w__ AS INT) - 1), i -> substring({col}, i * w__ + 1, w__))")
-
-    def blocks(df: DataFrame, col: str) -> DataFrame:
+    def blocks(df: DataFrame, col: str, name: str) -> DataFrame:
         n = f"length({col})"
         widths = f"array_distinct(transform(sequence({n}, CAST(({n} * 200) div {2 * threshold - 1} AS INT)), n -> {width('n')}))"
-        cut = df.filter(F.length(col) > 0).withColumn("w__", F.explode(F.expr(widths))).filter(f"{n} >= w__")
-        return cut.select("*", F.posexplode(pieces(col)).alias("at__", "block__"))
+        cut = df.filter(F.length(col) > 0).select(col).distinct().withColumn("w__", F.explode(F.expr(widths))).filter(f"{n} >= w__")
+        keys = F.expr(f"transform(sequence(0, CAST(length({col}) div w__ AS INT) - 1), i -> xxhash64(w__, i, substring({col}, i * w__ + 1, w__)))")
+        return cut.select(F.xxhash64(col).alias(name), F.explode(keys).alias("key__"))
 
-    met = blocks(queries, "query_fp").join(blocks(known, "audio_fingerprint"), ["w__", "at__", "block__"])
-    met = met.filter(F.col("w__") == F.expr(width("greatest(length(query_fp), length(audio_fingerprint))")))
-    equal = F.zip_with(pieces("query_fp"), pieces("audio_fingerprint"), lambda x, y: x == y)
-    met = met.filter(F.array_position(equal, True) == F.col("at__") + 1)
-    return met.drop("w__", "at__", "block__")
+    met = blocks(queries, "query_fp", "a__").join(blocks(known, "audio_fingerprint", "b__"), "key__")
+    return met.select("a__", "b__").distinct()
 
 
 def similar_audio(queries: DataFrame, reg: DataFrame, threshold: int = 85, pool: int | None = 100) -> DataFrame:
@@ -116,14 +106,16 @@ def similar_audio(queries: DataFrame, reg: DataFrame, threshold: int = 85, pool:
 
     ``queries``: query_id, query_fp; ``reg``: id, audio_fingerprint, upload_date. A length gap counts as mismatches. The pool
     of newest rows bounds the other side, as the service does, so it is sent to the tasks of the queries; None searches all,
-    by an equi join of blocks (``threshold`` at least 1).
+    by an equi join of block hashes to which the fingerprints are joined back (``threshold`` at least 1).
     """
     known = reg.filter("audio_fingerprint is not null")
     if pool:
         known = recent_pool(known, pool).select("id", "audio_fingerprint")
         met = queries.join(F.broadcast(known), F.length("query_fp") > 0)  # at most ``pool`` rows
     else:
-        met = _audio_candidates(queries, known.select("id", "audio_fingerprint"), threshold)
+        known = known.select("id", "audio_fingerprint")
+        met = queries.withColumn("a__", F.xxhash64("query_fp")).join(_audio_candidates(queries, known, threshold), "a__")
+        met = met.join(known.withColumn("b__", F.xxhash64("audio_fingerprint")), "b__").filter(F.length("query_fp") > 0).drop("a__", "b__")
     longest = F.greatest(F.length("query_fp"), F.length("audio_fingerprint"))
     similarity = F.floor(positional_equal(F.col("query_fp"), F.col("audio_fingerprint")) * 100 / longest + 0.5)
     out = met.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
@@ -150,8 +142,8 @@ def segment_match_strict(candidate: DataFrame, reference: DataFrame) -> DataFram
     return out.select("video_id", "seg_idx", F.coalesce(F.col("seg_hash") == F.col("expected"), F.lit(False)).alias("matched"), "expected", F.coalesce("seg_hash", missing).alias("actual"))
 
 
-def credential_cascade(pairs: DataFrame, threshold: int = 10, weak: int = 15) -> DataFrame:
-    """Verdict of asset and credential hashes: exact by v2 or v1, else by perceptual distance (JOIN-6).
+def compare_credentials(pairs: DataFrame, threshold: int = 10, weak: int = 15) -> DataFrame:
+    """Verdict of given pairs of asset and credential: exact by v2 or v1, else by perceptual distance (JOIN-6, pair by pair).
 
     Expects canonicalization, v2, v1, phash and cred_v2, cred_v1, cred_phash.
     """
@@ -162,6 +154,41 @@ def credential_cascade(pairs: DataFrame, threshold: int = 10, weak: int = 15) ->
     return pairs.withColumn("distance", F.when(~(is_v2 | is_v1), d)).withColumn("verdict", verdict).withColumn("matched_by", F.when(is_v2, "v2").when(is_v1, "v1").when(d.isNotNull(), "phash"))
 
 
+def picked_hashes(credentials: DataFrame) -> DataFrame:
+    """The hashes of a credential that count: its canonical hash where that is of v2, its alternative hash of v1, its perceptual hash.
+
+    ``credentials``: credential_id, canonicalization, sha256_canonical, alt_hashes (map), perceptual_hash.
+    """
+    v2 = F.when(F.col("canonicalization").startswith("img:v2"), F.nullif(F.col("sha256_canonical"), F.lit("")))
+    return credentials.select("credential_id", v2.alias("v2"), F.nullif(F.try_element_at("alt_hashes", F.lit("img:v1")), F.lit("")).alias("v1"), F.nullif(F.col("perceptual_hash"), F.lit("")).alias("phash"))
+
+
+def credential_cascade(candidates: DataFrame, credentials: DataFrame, threshold: int = 10, bits: int = 64) -> DataFrame:
+    """The best credential of each candidate among all of them, and the verdict it gives (JOIN-6).
+
+    ``candidates``: candidate_id, v2, v1, phash; ``credentials`` as in ``picked_hashes``. Three joins, each over the candidates that
+    the ones before left open: equal v2 and equal v1 hashes (PROVEN_EXACT), then the nearest perceptual hash (PROVEN_DERIVED within
+    ``threshold`` bits, INCONCLUSIVE within half as many more); who is left is NOT_PROVEN. Of equally good credentials the least id
+    counts. Each hash is one row of the credentials' side, so a hash that many credentials share costs no pairs. Null hashes match
+    nothing; repeated candidates are judged alike.
+    """
+    known = picked_hashes(credentials)
+    left = candidates.select("candidate_id", "v2", "v1", "phash")
+    found = []
+    for name in ("v2", "v1"):
+        first = known.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min("credential_id").alias("credential_id"))
+        found.append(left.join(first, name).select("candidate_id", F.lit("PROVEN_EXACT").alias("verdict"), F.lit(name).alias("matched_by"), "credential_id", F.lit(None).cast("int").alias("distance")))
+        left = left.join(first.select(name), name, "left_anti")
+    first = known.select(bare_hex(F.col("phash")).alias("b_key"), "credential_id").filter("b_key is not null").groupBy("b_key").agg(F.min("credential_id").alias("credential_id"))
+    pairs = hamming.near_classes(left, first, "phash", "b_key", threshold * 3 // 2, bits)
+    best = pairs.join(first, "b_key").groupBy("a_key").agg(F.min(F.struct("distance", "credential_id")).alias("best"))
+    near = left.withColumn("a_key", bare_hex(F.col("phash"))).join(best, "a_key", "left")
+    d = F.col("best.distance")
+    verdict = F.when(d <= threshold, "PROVEN_DERIVED").when(d.isNotNull(), "INCONCLUSIVE").otherwise("NOT_PROVEN")
+    found.append(near.select("candidate_id", verdict.alias("verdict"), F.when(d.isNotNull(), "phash").alias("matched_by"), F.col("best.credential_id").alias("credential_id"), d.cast("int").alias("distance")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def legacy_v1_hash(alt: Column, v1: Column, canonical: Column, version: Column) -> Column:
     """Where a credential keeps its v1 hash: alternatives map, own field, or the only hash where no version is named (JOIN-7)."""
     return F.coalesce(F.try_element_at(alt, F.lit("img:v1")), v1, F.when(version.isNull(), canonical))

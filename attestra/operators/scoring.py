@@ -109,33 +109,47 @@ def recommendations(similarity: Column) -> Column:
     )
 
 
-def ensemble_score(jpeg: Column, local: Column, remote: Column) -> Column:
-    """SC-13: weighted confidence of the detectors that answered; JPEG counts only above 0. The weights."""
-    j, a, r = jpeg > 0, local.isNotNull(), remote.isNotNull()
-    j = F.coalesce(j, F.lit(False))
-    return (
-        F.when(j & a & r, jpeg * 0.40 + local * 0.30 + remote * 0.30)
-        .when(j & a, jpeg * 0.57 + local * 0.43)
-        .when(j & r, jpeg * 0.57 + remote * 0.43)
-        .when(a & r, local * 0.40 + remote * 0.60)
-        .when(j, jpeg)
-        .when(a, local)
-        .when(r, remote)
-        .otherwise(0.0)
+def ensemble_verdict(jpeg: Column, jpeg_ai: Column, local: Column, local_ai: Column, remote: Column) -> Column:
+    """SC-13 as struct (ai_confidence, likely_ai_generated, detectors, agreement, max_deviation, average_confidence).
+
+    ``jpeg`` is a share from 0 to 1, which counts only above 0; the others are per cent, null where a detector did not answer. Two or
+    three answers are weighted and likely from 50 on; a single one stands as it is, with its own verdict (``jpeg_ai``, ``local_ai``),
+    but the remote one alone does not count. Only three answers have an agreement. Fixed values: weights and limits.
+    """
+    has_j, has_a, has_r = F.coalesce(jpeg > 0, F.lit(False)), local.isNotNull(), remote.isNotNull()
+    j = js_round(jpeg * 100)
+    three = has_j & has_a & has_r
+    weighted = (
+        F.when(three, js_round(j * 0.40 + local * 0.30 + remote * 0.30))
+        .when(has_j & has_a, js_round(j * 0.57 + local * 0.43))
+        .when(has_j & has_r, js_round(j * 0.57 + remote * 0.43))
+        .when(has_a & has_r, js_round(local * 0.40 + remote * 0.60))
+    )
+    confidence = F.coalesce(weighted, F.when(has_j, j), F.when(has_a, local.cast("long")), F.lit(0).cast("long"))
+    likely = F.when(weighted.isNotNull(), weighted >= 50).when(has_j, jpeg_ai).when(has_a, local_ai)
+    mean = (j + local + remote) / 3
+    most = F.greatest(F.abs(j - mean), F.abs(local - mean), F.abs(remote - mean))
+    many = F.when(has_r & ~has_j & ~has_a, 0).otherwise(has_j.cast("int") + has_a.cast("int") + has_r.cast("int"))
+    level = F.when(most < 15, "high").when(most < 30, "medium").otherwise("low")
+    return F.struct(
+        confidence.alias("ai_confidence"),
+        F.coalesce(likely, F.lit(False)).alias("likely_ai_generated"),
+        many.alias("detectors"),
+        F.when(three, level).alias("agreement"),
+        F.when(three, js_round(most)).alias("max_deviation"),
+        F.when(three, js_round(mean)).alias("average_confidence"),
     )
 
 
-def ensemble_agreement(jpeg: Column, local: Column, remote: Column) -> Column:
-    """SC-13: how far the answers lie from their mean at most."""
-    each = F.array_compact(F.array(F.when(jpeg > 0, jpeg), local, remote))
-    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(each)
-    most = F.array_max(F.transform(each, lambda x: F.abs(x - mean)))
-    return F.when(F.size(each) < 2, "single").when(most < 15, "high").when(most < 30, "medium").otherwise("low")
+#: Sample rates and codecs that generators commonly use.
+AUDIO_RATES, AUDIO_CODECS = [22050, 24000, 44100, 48000], ["aac", "mp3", "opus"]
 
 
-def audio_score(dynamic_range: Column, silences: Column, seconds: Column, rate: Column, channels: Column, codec: Column, rates: list[int], codecs: list[str]) -> Column:
-    """SC-15, capped at 100."""
-    rules = [(dynamic_range < 15, 25), ((dynamic_range >= 15) & (dynamic_range < 25), 15), ((seconds > 10) & (silences / seconds < 0.1), 20), (rate.isin(rates), 5), (channels == 1, 10), (channels == 2, 5), (100 - dynamic_range > 85, 20), (codec.isin(codecs), 5)]
+def audio_score(mean_volume: Column, max_volume: Column, silences: Column, seconds: Column, rate: Column, channels: Column, codec: Column) -> Column:
+    """SC-15, capped at 100. The dynamic range is the distance of the two volumes, null where either was not measured; then its
+    points and those for even levels are not given."""
+    span = F.abs(max_volume - mean_volume)
+    rules = [(span < 15, 25), ((span >= 15) & (span < 25), 15), ((seconds > 10) & (silences / seconds < 0.1), 20), (rate.isin(AUDIO_RATES), 5), (channels == 1, 10), (channels == 2, 5), (100 - span > 85, 20), (codec.isin(AUDIO_CODECS), 5)]
     return F.least(F.lit(100), points(*rules))
 
 
@@ -246,26 +260,39 @@ def confidence_label(kind: Column, percentage: Column, modified: Column, image_a
 
 
 def local_image_score(common_size: Column, exif: Column, sd: Column, ai_software: Column, fmt: Column, jpeg_ratio: Column, noise: Column, edge: Column, edge_share: Column, extreme: Column, saturated: Column) -> Column:
-    """SC-11: suspicion of a single image, 0 to 100; software that names a generator settles it."""
+    """SC-11 as struct (ai_confidence, likely_ai_generated, n_indicators).
+
+    Software that names a generator sets the score to 100, whatever came before it; the later checks still add and subtract. Five
+    indicators or more lift 55 to 59 by 10. From 60 on the image is likely generated; the confidence is capped at 100.
+    """
     bare = ~F.coalesce(exif, F.lit(False))
     jpeg = fmt.isin("jpeg", "jpg")
-    rules = [
-        (common_size, 25), (bare, 8), (sd < 15, 20), ((sd >= 15) & ((sd < 25) | (sd > 80)), 12), ((fmt == "png") & bare, 12),
+    smooth = (edge_share < 0.02) & (edge < 20)
+    early = [(common_size, 25), (bare, 8), (sd < 15, 20), ((sd >= 15) & ((sd < 25) | (sd > 80)), 12)]
+    late = [
+        ((fmt == "png") & bare, 12),
         (jpeg & (jpeg_ratio > 0.95), 20), (jpeg & (jpeg_ratio < 0.3), 10), (jpeg & bare & (jpeg_ratio > 0.85), 15),
         (noise < 15, 25), ((noise >= 15) & (noise < 30), 15), ((noise >= 100) & (noise <= 600), -10),
-        (edge < 10, 20), ((edge >= 10) & (edge < 20), 10), (edge > 60, 12), ((edge_share < 0.02) & (edge < 20), 15), ((edge_share > 0.05) & ~((edge_share < 0.02) & (edge < 20)), -8),
+        (edge < 10, 20), ((edge >= 10) & (edge < 20), 10), (edge > 60, 12), (smooth, 15), ((edge_share > 0.05) & ~smooth, -8),
         (extreme > 0.35, 10), (saturated > 0.90, 8), ((extreme < 0.01) & (saturated < 0.05), 15),
     ]
-    return F.when(ai_software, 100).otherwise(clamp(points(*rules), 0, 100))
+    named = F.coalesce(ai_software, F.lit(False))
+    plain = F.when(named, 100).otherwise(points(*early)) + points(*late)
+    many = points(*[(test, 1) for test, _ in [*early, *late]], (named, 1))
+    lifted = (many >= 5) & plain.between(55, 59)
+    score = F.greatest(F.lit(0), plain + F.when(lifted, 10).otherwise(0))
+    return F.struct(F.least(score, F.lit(100)).alias("ai_confidence"), (score >= 60).alias("likely_ai_generated"), (many + F.when(lifted, 1).otherwise(0)).alias("n_indicators"))
 
 
-def portrait_score(make: Column, model: Column, lens: Column, lens_make: Column, software: Column, focal: Column, processing: Column, scene: Column, distance: Column, description: Column, bracket: Column, f_number: Column) -> Column:
-    """SC-14: how sure EXIF makes it that a photo was taken in portrait mode, capped at 100."""
+def portrait_score(make: Column, model: Column, lens: Column, lens_make: Column, software: Column, focal: Column, processing: Column, capture: Column, scene: Column, distance: Column, description: Column, bracket: Column, f_number: Column) -> Column:
+    """SC-14: how sure EXIF makes it that a photo was taken in portrait mode, capped at 100. ``capture`` is the scene capture type,
+    ``scene`` the scene type; capture type and subject distance may be names or the number 2, as text."""
     says = lambda c, *words: F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
     apple, google, samsung = says(make, "apple"), says(make, "google"), says(make, "samsung")
     rules = [
         (apple & says(lens, "portrait"), 40), (apple & says(software, "portrait"), 30), (apple & says(lens_make, "apple") & focal.isin(26, 52), 20),
-        (google & says(model, "pixel") & processing.contains("HDR"), 35), (samsung & says(scene, "portrait"), 40), (distance == "Close view", 15), (scene == "Portrait", 25),
+        (google & says(model, "pixel") & processing.contains("HDR"), 35), (samsung & (says(capture, "portrait") | says(scene, "portrait")), 40), (distance.isin("2", "Close view"), 15),
+        (F.coalesce(capture == "2", F.lit(False)) | F.coalesce(scene == "Portrait", F.lit(False)), 25),
         (says(description, "portrait", "bokeh", "depth"), 20), (bracket, 15), ((apple | google | samsung) & (f_number > 0) & (f_number < 2.8), 25),
     ]
     return F.least(F.lit(100), points(*rules))
@@ -302,7 +329,8 @@ def image_deepfake(faces: DataFrame) -> DataFrame:
 def shadow_check(sun: Column, lat: Column, day: Column, detected: Column, direction: Column, ratio: Column) -> Column:
     """SC-20 as struct (mismatches, impossible, confidence, valid) from the sun's place (FN-15) and a shadow.
 
-    Each mismatch of an existing shadow costs 20 points, each impossible condition 30.
+    Each mismatch of an existing shadow costs 20 points, each impossible condition 30. Without a place or a date (null) there is no
+    verdict and no confidence.
     """
     alt = sun["altitude"]
     up = alt > 0
@@ -316,30 +344,66 @@ def shadow_check(sun: Column, lat: Column, day: Column, detected: Column, direct
     impossible = one(alt > 90 - F.abs(lat) + 23.44 + 5) + one((F.abs(lat) > 66.5) & winter & up)
     first = F.when(mismatches > 0, F.greatest(F.lit(0), 100 - mismatches * 20)).otherwise(100)
     confidence = F.when(impossible > 0, F.greatest(F.lit(0), first - impossible * 30)).otherwise(first)
-    return F.struct(mismatches.alias("mismatches"), impossible.alias("impossible"), confidence.alias("confidence"), (mismatches + impossible == 0).alias("valid"))
-
-
-#: What SC-22 reads of a manifest.
-MANIFEST_SCHEMA = "active_manifest struct<claim_generator:string,assertions:array<struct<label:string,data:map<string,string>>>,ingredients:array<struct<title:string>>,signature_info:struct<validated:boolean,issuer:string>>"
+    known = alt.isNotNull() & lat.isNotNull()
+    return F.struct(mismatches.alias("mismatches"), impossible.alias("impossible"), F.when(known, confidence).otherwise(0).alias("confidence"), F.when(known, mismatches + impossible == 0).alias("valid"))
+
+
+_MANIFEST = {
+    "claim_generator": "string",
+    "claim_generator_info": "string",
+    "assertions": "array<struct<label:string,data:map<string,string>>>",
+    "ingredients": "array<struct<title:string,format:string,relationship:string,document_id:string,instance_id:string>>",
+    "signature_info": "struct<validated:boolean,issuer:string,time:string,cert_chain:array<string>>",
+    "validation_status": "array<struct<code:string>>",
+    "hard_bindings": "array<string>",
+}
+#: What SC-22 reads of a manifest: the active one, else what stands at the top.
+MANIFEST_SCHEMA = "active_manifest struct<" + ",".join(f"{n}:{t}" for n, t in _MANIFEST.items()) + ">, " + ", ".join(f"{n} {t}" for n, t in _MANIFEST.items())
+#: Labels of assertions by what they tell, and codes of validations that passed.
+CREATIVE_WORK, EXIF, ACTIONS = ["stds.schema-org.CreativeWork"], ["stds.exif"], ["c2pa.actions"]
+SOURCE_TYPE, SOFTWARE = ["c2pa.digital_source_type", "stds.iptc.DigitalSourceType"], ["c2pa.software_agent", "stds.schema-org.SoftwareApplication"]
+ANCHORS, PASSED = ["blockchain", "timestamping", "numbers.protocol", "starling", "truepic"], ["ok", "success"]
 
 
 def provenance_report(manifest: Column) -> Column:
-    """SC-22 as struct: generator, device make, digital source type, signature, number of ingredients, edits, anchored."""
-    m = manifest["active_manifest"]
+    """SC-22 as struct: who made the credentials, device and time of capture, creator, digital source type, software, the signature and
+    whether the credentials are valid, ingredients, actions, edits, and whether they are anchored elsewhere.
+
+    Of several assertions of one kind the last counts; an empty text is none. Credentials without a signature are valid if all their
+    validations passed.
+    """
+    m = F.coalesce(manifest["active_manifest"], F.struct(*[manifest[n].alias(n) for n in _MANIFEST]))
     assertions = F.coalesce(m["assertions"], F.array().cast("array<struct<label:string,data:map<string,string>>>"))
-    of = lambda word: F.filter(assertions, lambda a: a["label"].contains(word))
-    last = lambda word, key: F.try_element_at(F.try_element_at(of(word), F.lit(-1))["data"], F.lit(key))
+    has = lambda a, words: F.coalesce(reduce(lambda x, y: x | y, [a["label"].contains(w) for w in words]), F.lit(False))
+    of = lambda words: F.filter(assertions, lambda a: has(a, words))
+    last = lambda words: F.try_element_at(of(words), F.lit(-1))["data"]
+    first = lambda data, *keys: F.coalesce(*[F.nullif(F.try_element_at(data, F.lit(k)), F.lit("")) for k in keys])
+    whole = lambda data, key: F.coalesce(first(data, key), F.to_json(data))
+    exif = last(EXIF)
     ingredients = F.coalesce(F.size(m["ingredients"]), F.lit(0))
-    acted = F.exists(of("c2pa.actions"), lambda a: F.coalesce(F.length(F.try_element_at(a["data"], F.lit("actions"))) > 2, F.lit(False)))
+    listed = F.transform(of(ACTIONS), lambda a: F.try_element_at(a["data"], F.lit("actions")))
+    counts = F.transform(F.filter(listed, lambda t: F.startswith(t, F.lit("["))), lambda t: F.json_array_length(t))
+    actions = F.coalesce(F.try_element_at(counts, F.lit(-1)), F.lit(0))
+    signature = m["signature_info"]
+    passed = F.forall(m["validation_status"], lambda v: F.coalesce(v["code"].isin(PASSED), F.lit(False)))
     return F.struct(
-        m["claim_generator"].alias("generator"),
-        last("stds.exif", "Make").alias("make"),
-        last("digital_source_type", "value").alias("source_type"),
-        F.coalesce(m["signature_info"]["validated"], F.lit(False)).alias("signed"),
-        m["signature_info"]["issuer"].alias("issuer"),
+        F.nullif(m["claim_generator"], F.lit("")).alias("generator"),
+        F.nullif(m["claim_generator_info"], F.lit("")).alias("generator_info"),
+        first(exif, "Make", "exif:Make").alias("make"),
+        first(exif, "Model", "exif:Model").alias("model"),
+        first(exif, "SerialNumber", "exif:SerialNumber").alias("serial"),
+        first(exif, "DateTimeOriginal", "exif:DateTimeOriginal", "CreateDate").alias("captured_at"),
+        first(last(CREATIVE_WORK), "author", "creator").alias("creator"),
+        whole(last(SOURCE_TYPE), "value").alias("source_type"),
+        whole(last(SOFTWARE), "name").alias("software"),
+        F.coalesce(signature["validated"], F.lit(False)).alias("signed"),
+        F.when(signature.isNotNull(), F.coalesce(signature["validated"], F.lit(False))).otherwise(F.coalesce(passed, F.lit(False))).alias("valid"),
+        signature["issuer"].alias("issuer"),
+        signature["time"].alias("signed_at"),
         ingredients.alias("ingredients"),
-        ((ingredients > 0) | acted).alias("has_edits"),
-        F.coalesce(F.size(of("hash")), F.lit(0)).cast("boolean").alias("anchored"),
+        actions.alias("actions"),
+        ((ingredients > 0) | F.exists(counts, lambda n: n > 0)).alias("has_edits"),
+        (F.exists(assertions, lambda a: has(a, ANCHORS)) | F.coalesce(F.size(m["hard_bindings"]) > 0, F.lit(False))).alias("anchored"),
     )
 
 

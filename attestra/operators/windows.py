@@ -8,15 +8,34 @@ from pyspark.sql import functions as F
 from attestra.functions.hashes import positional_similarity
 
 
+#: Digits of a segment's hash that are kept.
+SEGMENT_DIGITS = 32
+
+
+def placed(df: DataFrame, keys: list[str], part: Column, order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 1) of a row among those of its keys, in the order of ``order``, of which ``part`` is a rounding.
+
+    Rows are numbered within their part, and parts start after the rows of those before, so a key of any size is spread over
+    as many tasks as it has parts. Null keys are a key of their own.
+    """
+    rows = df.withColumn("part__", part)
+    before = rows.groupBy(*keys, "part__").agg(F.count(F.lit(1)).alias("n__"))
+    sums = F.sum("n__").over(Window.partitionBy(*keys).orderBy("part__")) - F.col("n__")
+    before = before.select(*[F.col(k).alias(f"key{i}__") for i, k in enumerate([*keys, "part__"])], sums.alias("before__"))
+    within = F.row_number().over(Window.partitionBy(*keys, "part__").orderBy(*order))
+    met = [F.col(k).eqNullSafe(F.col(f"key{i}__")) for i, k in enumerate([*keys, "part__"])]
+    return rows.withColumn("within__", within).join(before, met).select(*[F.col(c) for c in df.columns], (F.col("within__") + F.col("before__")).alias(name))
+
+
 def verification_history(reg: DataFrame) -> DataFrame:
     """Per registry row: its ordinal among those of its fingerprint, whether it is the first, and when that was (WIN-1).
 
-    The first sighting comes from a grouped minimum, so a fingerprint of many rows is not gathered for it; only the ordinal
-    needs them in order.
+    Rows are numbered within the days of their fingerprint, and days added up, so a fingerprint of many rows is spread.
     """
-    order = Window.partitionBy("fingerprint").orderBy("upload_date", "id")
-    first = F.min("upload_date").over(Window.partitionBy("fingerprint"))
-    return reg.select("id", "fingerprint", F.row_number().over(order).alias("ordinal"), first.alias("first_seen")).withColumn("is_first", F.col("ordinal") == 1)
+    rows = placed(reg.select("id", "fingerprint", "upload_date"), ["fingerprint"], F.floor(F.col("upload_date") / 86400), ["upload_date", "id"], "ordinal")
+    first = reg.groupBy(F.col("fingerprint").alias("own")).agg(F.min("upload_date").alias("first_seen"))
+    out = rows.join(first, F.col("fingerprint").eqNullSafe(F.col("own")))
+    return out.select("id", "fingerprint", "ordinal", "first_seen", (F.col("ordinal") == 1).alias("is_first"))
 
 
 def _islands(match: DataFrame) -> DataFrame:
@@ -133,7 +152,7 @@ def segment_hashes(frames: DataFrame, n: int = 15) -> DataFrame:
     parts = frames.withColumn("rn", order).withColumn("seg_idx", F.floor(F.col("rn") / n).cast("int"))
     grouped = parts.groupBy("video_id", "seg_idx").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("rn", "phash"))).alias("hs"))  # n rows a group
     joined = F.array_join(F.transform("hs", lambda x: x["phash"]), "")
-    return grouped.filter(F.col("c") == n).select("video_id", "seg_idx", F.concat(F.lit("seg_"), F.col("seg_idx"), F.lit(":"), F.substring(F.sha2(joined, 256), 1, 32)).alias("segment"))
+    return grouped.filter(F.col("c") == n).select("video_id", "seg_idx", F.concat(F.lit("seg_"), F.col("seg_idx"), F.lit(":"), F.substring(F.sha2(joined, 256), 1, SEGMENT_DIGITS)).alias("segment"))
 
 
 def batch_ttl(batches: DataFrame, now: Column, ttl_seconds: int = 86400) -> DataFrame:

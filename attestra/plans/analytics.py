@@ -55,6 +55,13 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("batch_id"), F.col("user_id"), F.col("ts").alias("created_at"))
 
 
+def sparse_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of which some were not analysed, or one of a video only, and others alike."""
+    v, c = F.col("video_id"), F.col("ai_confidence")
+    own = F.when(v % 3 == 0, 75 + F.col("frame_no") % 2).otherwise(c)
+    return X.frames(spark, d).withColumn("ai_confidence", F.when(v % 5 == 3, F.when(F.col("frame_no") == 1, c)).otherwise(F.when(F.col("event_id") % 4 > 0, own)))
+
+
 _RESULTS = "WITH results AS (SELECT concat_ws('-', source, lang) AS batch_id, CASE WHEN doc_id % 7 = 0 OR lang = 'es' THEN 'failed' ELSE 'success' END AS status, doc_id % 3 AS n_matches, doc_id % 5 = 0 AS ai_generated, n_chars AS ms FROM documents)\n"
 _SIM = "CAST(len(list_filter(range(1, 65), lambda i: substr(phash, i, 1) = substr(prev, i, 1))) AS INT) / 64.0"
 _SIMS = f""", lagged AS (SELECT *, lag(phash) OVER (PARTITION BY video_id ORDER BY frame_no) AS prev FROM frames), s1 AS (SELECT video_id, frame_no, CASE WHEN prev IS NOT NULL THEN {_SIM} END AS sim FROM lagged),
@@ -74,8 +81,10 @@ _registered([
     ("set2_distinct_indicators", X.frames, A.distinct_indicators, _FRAMES + "SELECT DISTINCT video_id, t.indicator FROM frames JOIN (VALUES ('click', 'Smooth areas'), ('click', 'texture'), ('view', 'color distribution'), ('purchase', 'saturation'), ('error', 'face')) AS t(k, indicator) ON t.k = frames.event_type"),
     ("agg10_blink_rate", X.faces, A.blink_rate, _FACES + """SELECT video_id, face_frames, low_faces, rate AS blink_rate, CASE WHEN rate < 2 THEN 25 WHEN rate > 15 THEN 15 ELSE 0 END AS points FROM (SELECT *, CASE WHEN face_frames >= 10 THEN low_faces * 100.0 / face_frames END AS rate FROM (SELECT video_id, count(DISTINCT frame_no) AS face_frames, count(*) FILTER (WHERE confidence < 0.7) AS low_faces FROM faces GROUP BY video_id))"""),
     ("agg11_face_variance", X.faces, A.face_confidence_variance, _FACES + "SELECT video_id, CAST(floor(var_pop(confidence) * 1e6 + 0.5) AS BIGINT) AS variance_e6, CASE WHEN var_pop(confidence) > 0.05 THEN 15 ELSE 0 END AS points FROM faces GROUP BY video_id"),
-    ("agg12_frame_confidence", X.frames, A.frame_confidence_stats, _FRAMES + """SELECT video_id, n, range, all_high, CAST(floor(m * 1000 + 0.5) AS BIGINT) AS mean_e3, CAST(floor(s * 1000 + 0.5) AS BIGINT) AS sd_e3, CASE WHEN s < 2 AND m > 70 THEN 15 ELSE 0 END + CASE WHEN s < 1 AND m > 60 THEN 12 ELSE 0 END + CASE WHEN all_high THEN 10 ELSE 0 END + CASE WHEN range < 5 AND n > 5 THEN 8 ELSE 0 END AS points
- FROM (SELECT video_id, count(*) AS n, avg(ai_confidence) AS m, stddev_pop(ai_confidence) AS s, max(ai_confidence) - min(ai_confidence) AS range, bool_and(ai_confidence > 70) AS all_high FROM frames GROUP BY video_id)"""),
+    ("agg12_frame_confidence", sparse_frames, A.frame_confidence_stats, _FRAMES + """, c AS (SELECT video_id, CASE WHEN video_id % 5 = 3 THEN CASE WHEN frame_no = 1 THEN ai_confidence END WHEN event_id % 4 > 0 THEN CASE WHEN video_id % 3 = 0 THEN 75 + frame_no % 2 ELSE ai_confidence END END AS c FROM frames),
+ g AS (SELECT video_id, count(c) AS n, avg(c) AS m, stddev_pop(c) AS s, max(c) - min(c) AS range, bool_and(c > 70) AS all_high FROM c GROUP BY video_id)
+SELECT video_id, n, CASE WHEN n >= 2 THEN range END AS range, CASE WHEN n >= 2 THEN all_high END AS all_high, CASE WHEN n >= 2 THEN CAST(floor(m * 1000 + 0.5) AS BIGINT) ELSE 0 END AS mean_e3, CASE WHEN n >= 2 THEN CAST(floor(s * 1000 + 0.5) AS BIGINT) ELSE 0 END AS sd_e3,
+ CASE WHEN n < 2 THEN 0 ELSE CASE WHEN s < 2 AND m > 70 THEN 15 ELSE 0 END + CASE WHEN s < 1 AND m > 60 THEN 12 ELSE 0 END + CASE WHEN all_high THEN 10 ELSE 0 END + CASE WHEN range < 5 AND n > 5 THEN 8 ELSE 0 END END AS points FROM g"""),
     ("agg13_hash_repetition", X.frames, A.hash_repetition, _FRAMES + "SELECT *, CASE WHEN n >= 5 AND 1 - kinds * 1.0 / n > 0.3 THEN 12 ELSE 0 END AS points FROM (SELECT video_id, count(*) AS n, count(DISTINCT substr(phash, 1, 8)) AS kinds FROM frames GROUP BY video_id)"),
     ("agg14_smoothness", X.frames, A.smoothness_ratio, _FRAMES + "SELECT *, least(18, CAST(floor(smooth * 24.0 / n + 0.5) AS BIGINT)) AS score, smooth * 1.0 / n > 0.7 AS detected FROM (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS smooth FROM frames GROUP BY video_id)"),
     ("agg15_lighting", X.frames, A.lighting_ratio, _FRAMES + "SELECT *, CASE WHEN n < 3 THEN 0 ELSE CASE WHEN lit * 1.0 / n > 0.9 THEN 12 ELSE 0 END + CASE WHEN lit = n THEN 8 ELSE 0 END END AS points FROM (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS lit FROM frames GROUP BY video_id)"),
@@ -123,10 +132,11 @@ def agg8(spark: SparkSession, d: str) -> DataFrame:
     return A.temporal_summary(W.frame_differences(frames), frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames")))
 
 
-@query("agg23_external_summary", "SELECT user_id AS query_id, CAST(sum(coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 4 END, event_id % 5, 0)) AS BIGINT) AS total_matches, count(DISTINCT event_type) AS engines_searched, count(DISTINCT CASE WHEN coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 4 END, event_id % 5, 0) > 0 THEN event_type END) AS engines_with_results FROM events GROUP BY user_id")
+@query("agg23_external_summary", """WITH r AS (SELECT user_id AS q, event_id % 6 <> 5 AS enabled, event_id % 7 = 6 AS failed, CASE WHEN event_id % 2 = 0 THEN event_id % 4 END AS f, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS t FROM events)
+SELECT q AS query_id, CAST(sum(CASE WHEN NOT enabled OR failed THEN 0 WHEN f IS NOT NULL THEN f WHEN t IS NOT NULL THEN t ELSE 0 END) AS BIGINT) AS total_matches, count(*) FILTER (WHERE enabled) AS engines_searched, count(*) FILTER (WHERE enabled AND NOT failed) AS engines_with_results FROM r GROUP BY q""")
 def agg23(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    return A.external_summary(X.table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("engine"), F.when(e % 2 == 0, e % 4).alias("full_matches"), (e % 5).alias("total_matches")))
+    return A.external_summary(X.table(spark, d, "events").select(F.col("user_id").alias("query_id"), (e % 6 != 5).alias("enabled"), F.when(e % 7 == 6, "timeout").alias("error"), F.when(e % 2 == 0, e % 4).alias("full_matches"), F.when(e % 3 > 0, e % 5).alias("total_matches")))
 
 
 @query("win11_batch_ttl", f"SELECT event_id AS batch_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) + 86400 - {NOW - 5 * 86400} AS seconds_left FROM events WHERE event_type = 'purchase' AND floor(epoch(ts)) + 86400 - {NOW - 5 * 86400} > 0")

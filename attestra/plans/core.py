@@ -143,7 +143,18 @@ def join2_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("top2_top_matches_all", with_tables("hashes") + _ALL_PAIRS + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim) WHERE rank <= 5")
 def top2_all(spark: SparkSession, d: str) -> DataFrame:
-    return J.top_matches(join2_all(spark, d))
+    h = X.hashes(spark, d)
+    return J.nearest_images(h.select(F.col("vec_id").alias("query_id"), "query_hash"), h.select(F.col("vec_id").alias("id"), "phash"))
+
+
+_LINKS = f""", kinds AS (SELECT query_hash AS a, phash AS b, count(*) AS n, bit_count(xor(('0x' || query_hash)::UBIGINT, ('0x' || phash)::UBIGINT)) AS distance FROM (SELECT DISTINCT query_hash FROM hashes), (SELECT phash FROM hashes) GROUP BY ALL)
+SELECT q.vec_id AS query_id, q.query_hash AS class, coalesce(sum(k.n), 0)::BIGINT AS n_links, count(k.b) AS n_hashes, min(k.distance)::INT AS nearest FROM hashes q LEFT JOIN kinds k ON k.a = q.query_hash AND k.distance <= 10 GROUP BY q.vec_id, q.query_hash"""
+
+
+@query("join2_image_links", with_tables("hashes") + _LINKS)
+def join2_links(spark: SparkSession, d: str) -> DataFrame:
+    h = X.hashes(spark, d)
+    return J.image_links(h.select(F.col("vec_id").alias("query_id"), "query_hash"), h.select("phash"))
 
 
 _AUDIO = """, fps AS (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)) || sha256(CAST(doc_id + 1 AS VARCHAR)), 1, CASE WHEN doc_id % 10 = 0 THEN 95 ELSE 100 END) AS fp, doc_id % 21 AS k FROM documents),
@@ -185,7 +196,25 @@ SELECT vec_id, CASE WHEN NOT (is2 OR is1) THEN dist END AS distance, CASE WHEN i
 def join6(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("vec_id")
     p = X.hashes(spark, d).select("vec_id", F.when(v % 2 == 0, "img:v2").otherwise("img:v1").alias("canonicalization"), F.when(v % 3 == 0, "x").otherwise(F.col("phash")).alias("v2"), F.col("phash").alias("cred_v2"), F.when(v % 5 == 0, F.col("phash")).otherwise("y").alias("v1"), F.col("phash").alias("cred_v1"), F.col("query_hash").alias("phash"), F.col("phash").alias("cred_phash"))
-    return J.credential_cascade(p).select("vec_id", "distance", "verdict", "matched_by")
+    return J.compare_credentials(p).select("vec_id", "distance", "verdict", "matched_by")
+
+
+_CASCADE = """, cand AS (SELECT vec_id AS candidate_id, sha256('2' || (vec_id // 3)) AS v2, sha256('1' || (vec_id // 5)) AS v1, CASE WHEN vec_id % 17 > 0 THEN query_hash END AS phash FROM hashes),
+ cred AS (SELECT vec_id AS credential_id, CASE WHEN vec_id % 9 = 0 THEN sha256('2' || (vec_id // 3)) END AS v2, CASE WHEN vec_id % 10 = 3 THEN sha256('1' || (vec_id // 5)) END AS v1, CASE WHEN vec_id % 4 > 0 THEN phash END AS phash FROM hashes),
+ pairs AS (SELECT c.candidate_id, k.credential_id, CASE WHEN c.v2 = k.v2 THEN 0 WHEN c.v1 = k.v1 THEN 1 WHEN bit_count(xor(('0x' || c.phash)::UBIGINT, ('0x' || k.phash)::UBIGINT)) <= 15 THEN 2 ELSE 3 END AS stage, CAST(bit_count(xor(('0x' || c.phash)::UBIGINT, ('0x' || k.phash)::UBIGINT)) AS INT) AS d FROM cand c, cred k),
+ best AS (SELECT candidate_id, min(struct_pack(stage := stage, d := CASE WHEN stage = 2 THEN d ELSE 0 END, k := credential_id)) AS b FROM pairs GROUP BY candidate_id)
+SELECT candidate_id, CASE WHEN b.stage < 2 THEN 'PROVEN_EXACT' WHEN b.stage = 3 THEN 'NOT_PROVEN' WHEN b.d <= 10 THEN 'PROVEN_DERIVED' ELSE 'INCONCLUSIVE' END AS verdict, CASE b.stage WHEN 0 THEN 'v2' WHEN 1 THEN 'v1' WHEN 2 THEN 'phash' END AS matched_by, CASE WHEN b.stage < 3 THEN b.k END AS credential_id, CASE WHEN b.stage = 2 THEN b.d END AS distance FROM best"""
+
+
+@query("join6_credential_search", with_tables("hashes") + _CASCADE)
+def join6_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding's hash as a candidate among all credentials: some share a canonical hash, others are near or far copies."""
+    v, h = F.col("vec_id"), X.hashes(spark, d)
+    of = lambda kind, n: F.sha2(F.concat(F.lit(kind), F.floor(v / n)), 256)
+    candidates = h.select(v.alias("candidate_id"), of("2", 3).alias("v2"), of("1", 5).alias("v1"), F.when(v % 17 > 0, F.col("query_hash")).alias("phash"))
+    alt = F.when(v % 10 == 3, F.create_map(F.lit("img:v1"), of("1", 5))).otherwise(F.create_map(F.lit("img:v0"), F.lit("-")))
+    credentials = h.select(v.alias("credential_id"), F.when(v % 9 == 0, "img:v2|srgb").otherwise("img:v1").alias("canonicalization"), of("2", 3).alias("sha256_canonical"), alt.alias("alt_hashes"), F.when(v % 4 > 0, F.concat(F.lit("phash:"), "phash")).alias("perceptual_hash"))
+    return J.credential_cascade(candidates, credentials)
 
 
 @query("join7_legacy_bundle", with_tables("reg") + "SELECT id, CASE id % 4 WHEN 0 THEN 'alt' || id WHEN 1 THEN 'own' || id WHEN 2 THEN 'only' || id END AS v1_hash FROM reg")

@@ -45,22 +45,28 @@ def sc7(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", label.alias("label"))
 
 
-@query("sc11_local_image", """SELECT doc_id, CASE WHEN sw THEN 100 ELSE greatest(0, least(100, CASE WHEN doc_id % 4 = 0 THEN 25 ELSE 0 END + CASE WHEN bare THEN 8 ELSE 0 END + CASE WHEN sd < 15 THEN 20 WHEN sd < 25 OR sd > 80 THEN 12 ELSE 0 END + CASE WHEN png AND bare THEN 12 ELSE 0 END
- + CASE WHEN NOT png AND r > 0.95 THEN 20 WHEN NOT png AND r < 0.3 THEN 10 ELSE 0 END + CASE WHEN NOT png AND bare AND r > 0.85 THEN 15 ELSE 0 END + CASE WHEN no < 15 THEN 25 WHEN no < 30 THEN 15 WHEN no >= 100 AND no <= 600 THEN -10 ELSE 0 END
- + CASE WHEN ed < 10 THEN 20 WHEN ed < 20 THEN 10 WHEN ed > 60 THEN 12 ELSE 0 END + CASE WHEN es < 0.02 AND ed < 20 THEN 15 WHEN es > 0.05 THEN -8 ELSE 0 END + CASE WHEN ex > 0.35 THEN 10 ELSE 0 END + CASE WHEN sa > 0.9 THEN 8 ELSE 0 END + CASE WHEN ex < 0.01 AND sa < 0.05 THEN 15 ELSE 0 END)) END AS score
- FROM (SELECT doc_id, doc_id % 53 = 0 AS sw, doc_id % 3 = 0 AS bare, doc_id % 100 AS sd, doc_id % 2 = 0 AS png, (doc_id % 101) / 100.0 AS r, doc_id % 700 AS no, doc_id % 75 AS ed, (doc_id % 9) / 100.0 AS es, (doc_id % 47) / 100.0 AS ex, (doc_id % 97) / 100.0 AS sa FROM documents)""")
+_SC11 = """WITH f AS (SELECT doc_id, doc_id % 4 = 0 AS size, doc_id % 3 = 0 AS bare, doc_id % 100 AS sd, doc_id % 53 = 0 AS sw, doc_id % 2 = 0 AS png, (doc_id % 101) / 100.0 AS r, doc_id % 700 AS no, doc_id % 75 AS ed, (doc_id % 9) / 100.0 AS es, (doc_id % 47) / 100.0 AS ex, (doc_id % 97) / 100.0 AS sa FROM documents),
+ e AS (SELECT *, [CASE WHEN size THEN 25 END, CASE WHEN bare THEN 8 END, CASE WHEN sd < 15 THEN 20 WHEN sd < 25 OR sd > 80 THEN 12 END] AS early,
+  [CASE WHEN png AND bare THEN 12 END, CASE WHEN NOT png AND r > 0.95 THEN 20 WHEN NOT png AND r < 0.3 THEN 10 END, CASE WHEN NOT png AND bare AND r > 0.85 THEN 15 END, CASE WHEN no < 15 THEN 25 WHEN no < 30 THEN 15 WHEN no BETWEEN 100 AND 600 THEN -10 END,
+   CASE WHEN ed < 10 THEN 20 WHEN ed < 20 THEN 10 END, CASE WHEN ed > 60 THEN 12 END, CASE WHEN es < 0.02 AND ed < 20 THEN 15 WHEN es > 0.05 THEN -8 END, CASE WHEN ex > 0.35 THEN 10 END, CASE WHEN sa > 0.9 THEN 8 END, CASE WHEN ex < 0.01 AND sa < 0.05 THEN 15 END] AS late FROM f),
+ t AS (SELECT doc_id, CASE WHEN sw THEN 100 ELSE coalesce(list_sum(early), 0) END + coalesce(list_sum(late), 0) AS s, list_count(early) + list_count(late) + CASE WHEN sw THEN 1 ELSE 0 END AS n FROM e),
+ u AS (SELECT doc_id, n + CASE WHEN n >= 5 AND s >= 55 AND s < 60 THEN 1 ELSE 0 END AS n, greatest(0, s + CASE WHEN n >= 5 AND s >= 55 AND s < 60 THEN 10 ELSE 0 END) AS s FROM t)
+SELECT doc_id, CAST(least(s, 100) AS INT) AS ai_confidence, s >= 60 AS likely_ai_generated, CAST(n AS INT) AS n_indicators FROM u"""
+
+
+@query("sc11_local_image", _SC11)
 def sc11(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     score = S.local_image_score(i % 4 == 0, i % 3 != 0, i % 100, i % 53 == 0, F.when(i % 2 == 0, "png").otherwise("jpeg"), i % 101 / 100, i % 700, i % 75, i % 9 / 100, i % 47 / 100, i % 97 / 100)
-    return docs(spark, d).select("doc_id", score.alias("score"))
+    return docs(spark, d).select("doc_id", score.alias("s")).select("doc_id", "s.*")
 
 
-@query("sc14_portrait", """WITH p AS (SELECT doc_id, least(100, CASE WHEN m = 0 AND doc_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN m = 0 AND doc_id % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN m = 0 AND doc_id % 5 < 2 THEN 20 ELSE 0 END + CASE WHEN m = 1 AND doc_id % 3 = 0 THEN 35 ELSE 0 END + CASE WHEN m = 2 AND doc_id % 7 = 0 THEN 40 ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 15 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 25 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 20 ELSE 0 END + CASE WHEN doc_id % 17 = 0 THEN 15 ELSE 0 END + CASE WHEN m < 3 AND doc_id % 6 > 0 AND (doc_id % 6) < 2.8 THEN 25 ELSE 0 END) AS score FROM (SELECT doc_id, doc_id % 4 AS m FROM documents))
+@query("sc14_portrait", """WITH p AS (SELECT doc_id, least(100, CASE WHEN m = 0 AND doc_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN m = 0 AND doc_id % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN m = 0 AND doc_id % 5 < 2 THEN 20 ELSE 0 END + CASE WHEN m = 1 AND doc_id % 3 = 0 THEN 35 ELSE 0 END + CASE WHEN m = 2 AND doc_id % 7 = 0 THEN 40 ELSE 0 END + CASE WHEN doc_id % 11 = 0 OR doc_id % 22 = 5 THEN 15 ELSE 0 END + CASE WHEN doc_id % 7 = 0 OR doc_id % 14 = 3 THEN 25 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 20 ELSE 0 END + CASE WHEN doc_id % 17 = 0 THEN 15 ELSE 0 END + CASE WHEN m < 3 AND doc_id % 6 > 0 AND (doc_id % 6) < 2.8 THEN 25 ELSE 0 END) AS score FROM (SELECT doc_id, doc_id % 4 AS m FROM documents))
 SELECT doc_id, score, CASE WHEN score >= 40 THEN greatest(0, doc_id % 101 - CAST(floor(30 * score / 100.0 + 0.5) AS BIGINT)) ELSE doc_id % 101 END AS adjusted FROM p""")
 def sc14(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     make = F.when(i % 4 == 0, "Apple").when(i % 4 == 1, "Google").when(i % 4 == 2, "SAMSUNG")
-    score = S.portrait_score(make, F.when(i % 4 == 1, "Pixel 8"), F.when(i % 2 == 0, "Portrait lens"), F.lit("Apple"), F.when(i % 3 == 0, "portrait 1.0"), F.when(i % 5 == 0, 26).when(i % 5 == 1, 52), F.when(i % 3 == 0, "HDR+"), F.when(i % 7 == 0, "Portrait"), F.when(i % 11 == 0, "Close view"), F.when(i % 13 == 0, "nice bokeh"), i % 17 == 0, i % 6)
+    score = S.portrait_score(make, F.when(i % 4 == 1, "Pixel 8"), F.when(i % 2 == 0, "Portrait lens"), F.lit("Apple"), F.when(i % 3 == 0, "portrait 1.0"), F.when(i % 5 == 0, 26).when(i % 5 == 1, 52), F.when(i % 3 == 0, "HDR+"), F.when(i % 14 == 0, "portrait").when(i % 14 == 3, "2"), F.when(i % 7 == 0, "Portrait"), F.when(i % 11 == 0, "Close view").when(i % 22 == 5, "2"), F.when(i % 13 == 0, "nice bokeh"), i % 17 == 0, i % 6)
     return docs(spark, d).select("doc_id", score.alias("score"), S.portrait_adjust(i % 101, score).alias("adjusted"))
 
 
@@ -93,16 +99,37 @@ def sc20(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", S.shadow_check(F.col("sun"), lat, G.day_of_year(F.col("ts")), e % 2 == 0, (e % 360).cast("double"), e % 30 / 10).alias("s")).select("event_id", "s.*")
 
 
-@query("sc22_provenance", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 'gen' || event_id % 3 END AS generator, CASE WHEN event_id % 5 > 0 AND event_id % 2 = 0 THEN 'Cam' END AS make, CAST(NULL AS VARCHAR) AS source_type, event_id % 5 > 0 AND event_id % 3 = 0 AS signed, CASE WHEN event_id % 5 > 0 THEN 'CA' END AS issuer, CASE WHEN event_id % 5 > 0 AND event_id % 7 = 0 THEN 2 ELSE 0 END AS ingredients, event_id % 5 > 0 AND event_id % 7 = 0 AS has_edits, event_id % 5 > 0 AND event_id % 2 = 1 AS anchored FROM events")
+_REPORT = ["generator", "generator_info", "make", "model", "serial", "captured_at", "creator", "source_type", "software", "signed", "valid", "issuer", "signed_at", "ingredients", "actions", "has_edits", "anchored"]
+#: Manifests, one for each branch, and what they say (in the order of _REPORT; what is not named is null, false or 0).
+_MANIFESTS = [
+    ('{"active_manifest":{"claim_generator":"gen","claim_generator_info":"v1","assertions":[{"label":"stds.exif","data":{"Make":"Cam","Model":"M1","SerialNumber":"7","DateTimeOriginal":"2024"}}],"signature_info":{"validated":true,"issuer":"CA","time":"t"}}}', {"generator": "gen", "generator_info": "v1", "make": "Cam", "model": "M1", "serial": "7", "captured_at": "2024", "signed": True, "valid": True, "issuer": "CA", "signed_at": "t"}),
+    ('{"active_manifest":{"assertions":[{"label":"x.stds.exif.y","data":{"Make":"","exif:Make":"C2","exif:Model":"M2","CreateDate":"d"}},{"label":"blockchain.x"}],"signature_info":{"validated":false,"issuer":"CB"}}}', {"make": "C2", "model": "M2", "captured_at": "d", "issuer": "CB", "anchored": True}),
+    ('{"active_manifest":{"assertions":[{"label":"stds.exif","data":{"Make":"A"}},{"label":"stds.exif","data":{"Model":"B"}}],"validation_status":[{"code":"ok"},{"code":"success"}]}}', {"model": "B", "valid": True}),
+    ('{"claim_generator":"top","ingredients":[{"title":"a"},{"title":"b"}],"validation_status":[{"code":"ok"},{"code":"bad"}]}', {"generator": "top", "ingredients": 2, "has_edits": True}),
+    ('{"active_manifest":{"assertions":[{"label":"c2pa.actions","data":{"actions":[{"action":"crop"},{"action":"blur"}]}},{"label":"c2pa.actions.v2","data":{"actions":[]}}],"ingredients":[]}}', {"actions": 0, "has_edits": True}),
+    ('{"active_manifest":{"assertions":[{"label":"c2pa.actions","data":{"actions":[{"action":"crop"}]}},{"label":"c2pa.actions","data":{"actions":"none"}}]}}', {"actions": 1, "has_edits": True}),
+    ('{"active_manifest":{"assertions":[{"label":"stds.schema-org.CreativeWork","data":{"author":"","creator":"Z"}},{"label":"c2pa.digital_source_type","data":{"value":"photo"}},{"label":"stds.schema-org.SoftwareApplication","data":{"name":"Ed"}}],"validation_status":[]}}', {"creator": "Z", "source_type": "photo", "software": "Ed", "valid": True}),
+    ('{"active_manifest":{"assertions":[{"label":"stds.iptc.DigitalSourceType","data":{"kind":"k"}},{"label":"c2pa.software_agent","data":{}},{"label":"c2pa.hash.data","data":{}}],"hard_bindings":["h"]}}', {"source_type": '{"kind":"k"}', "software": "{}", "anchored": True}),
+    ('{"active_manifest":{"assertions":[{"label":"c2pa.hash.data","data":{}},{"label":"com.truepic.x","data":{}}],"hard_bindings":[]}}', {"anchored": True}),
+    ("{}", {}),
+    ("{not json", {}),
+]
+
+
+def _said(report: dict, field: str) -> str:
+    value = report.get(field, False if field in ("signed", "valid", "has_edits", "anchored") else 0 if field in ("ingredients", "actions") else None)
+    return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+
+_SC22 = "WITH r AS (" + " UNION ALL ".join(f"SELECT {k} AS k, " + ", ".join(f"{_said(report, f)} AS {f}" for f in _REPORT) for k, (_, report) in enumerate(_MANIFESTS)) + f") SELECT e.event_id, {', '.join(f'r.{f}' for f in _REPORT)} FROM events e JOIN r ON r.k = e.event_id % {len(_MANIFESTS)}"
+
+
+@query("sc22_provenance", _SC22)
 def sc22(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    label = F.when(e % 2 == 0, '{"label":"stds.exif","data":{"Make":"Cam"}}').otherwise('{"label":"c2pa.hash.data","data":{}}')
-    parts = F.when(e % 7 == 0, '[{"title":"a"},{"title":"b"}]').otherwise("[]")
-    text = F.concat(F.lit('{"active_manifest":{"claim_generator":"gen'), e % 3, F.lit('","assertions":['), label, F.lit('],"ingredients":'), parts, F.lit(',"signature_info":{"validated":'), (e % 3 == 0).cast("string"), F.lit(',"issuer":"CA"}}}'))
-    text = F.when(e % 5 > 0, text).when(e % 10 == 0, "{}").otherwise("{not json")
-    rows = X.table(spark, d, "events").select("event_id", text.alias("json"))
     from attestra.sources.registry import read_detector_json
 
+    text = F.element_at(F.array(*[F.lit(m) for m, _ in _MANIFESTS]), (F.col("event_id") % len(_MANIFESTS) + 1).cast("int"))
+    rows = X.table(spark, d, "events").select("event_id", text.alias("json"))
     return read_detector_json(rows, "json", S.MANIFEST_SCHEMA, "m").select("event_id", S.provenance_report(F.col("m")).alias("r")).select("event_id", "r.*")
 
 
@@ -125,13 +152,24 @@ def _table_sql(values: list[int]) -> str:
     return "[" + ", ".join(map(str, values)) + "]"
 
 
-@query("agg28_qtables", "WITH q AS (SELECT doc_id AS image_id, list_transform(range(1, 65), lambda i: ([" + ", ".join(_table_sql(t) for _, t in STANDARDS) + "])[CAST(1 + doc_id % 3 AS INT)][CAST(i AS INT)] + (doc_id * i) % 5) AS q FROM documents), m AS (SELECT *, list_sum(q) / 64.0 AS mean FROM q), s AS (SELECT *, list_sum(list_transform(q, lambda x: (x - mean) * (x - mean))) / 64 AS v, " + ", ".join(f"1 - list_sum(list_transform(range(1, 65), lambda i: abs(q[CAST(i AS INT)] - ({_table_sql(t)})[CAST(i AS INT)]))) / (64 * 255.0) AS s{n}" for n, t in STANDARDS) + " FROM m) SELECT image_id, CAST(floor(mean * 1e4 + 0.5) AS BIGINT) AS mean_e4, CAST(floor(v * 1e4 + 0.5) AS BIGINT) AS variance_e4, CASE WHEN sQ90 >= sQ92 AND sQ90 >= sQ95 THEN 'Q90' WHEN sQ92 >= sQ95 THEN 'Q92' ELSE 'Q95' END AS standard, CAST(floor(greatest(sQ90, sQ92, sQ95) * 1e6 + 0.5) AS BIGINT) AS similarity_e6, CAST(NULL AS VARCHAR) AS camera FROM s")
+#: Qualities whose tables the query varies: the standard ones, and some near to cameras' variances.
+_QUALITIES = [90, 92, 95, 80, 76, 85]
+_LIKE8 = "1 - list_sum(list_transform(range(1, 9), lambda i: abs(q[CAST(i AS INT)] - ({t})[CAST(i AS INT)]))) / (8 * 255.0) > 0.7 AND abs(v - {v}) < 50"
+_AGG28 = (
+    "WITH q AS (SELECT doc_id AS image_id, list_transform(range(1, 65), lambda i: ([" + ", ".join(_table_sql(at_quality(n)) for n in _QUALITIES) + "])[CAST(1 + doc_id % 6 AS INT)][CAST(i AS INT)] + (doc_id * i) % 5) AS q FROM documents), m AS (SELECT *, list_sum(q) / 64.0 AS mean FROM q),"
+    " s AS (SELECT *, list_sum(list_transform(q, lambda x: (x - mean) * (x - mean))) / 64 AS v, " + ", ".join(f"1 - list_sum(list_transform(range(1, 65), lambda i: abs(q[CAST(i AS INT)] - ({_table_sql(t)})[CAST(i AS INT)]))) / (64 * 255.0) AS s{n}" for n, t in STANDARDS) + " FROM m)"
+    " SELECT image_id, CAST(floor(mean * 1e4 + 0.5) AS BIGINT) AS mean_e4, CAST(floor(v * 1e4 + 0.5) AS BIGINT) AS variance_e4, CASE WHEN sQ90 >= sQ92 AND sQ90 >= sQ95 THEN 'Q90' WHEN sQ92 >= sQ95 THEN 'Q92' ELSE 'Q95' END AS standard, CAST(floor(greatest(sQ90, sQ92, sQ95) * 1e6 + 0.5) AS BIGINT) AS similarity_e6,"
+    " CASE " + " ".join("WHEN " + _LIKE8.format(t=t, v=v) + f" THEN '{n}'" for n, t, v in [("canon", [8, 6, 5, 8, 12, 20, 26, 31], 150), ("nikon", [10, 7, 6, 10, 14, 24, 31, 37], 180), ("sony", [6, 4, 4, 6, 10, 16, 20, 24], 120)]) + " END AS camera FROM s"
+)
+
+
+@query("agg28_qtables", _AGG28)
 def agg28(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    tables = F.array(*[F.array(*[F.lit(v) for v in t]) for _, t in STANDARDS])
-    base = F.element_at(tables, (i % 3 + 1).cast("int"))
+    tables = F.array(*[F.array(*[F.lit(v) for v in at_quality(n)]) for n in _QUALITIES])
+    base = F.element_at(tables, (i % 6 + 1).cast("int"))
     q = docs(spark, d).select(i.alias("image_id"), F.transform(base, lambda v, k: v + (i * (k + 1)) % 5).alias("q"))
-    return A.qtable_stats(q, STANDARDS, [])
+    return A.qtable_stats(q, STANDARDS)
 
 
 @query("fn10_dct_hash")

@@ -65,15 +65,16 @@ def flt2(spark: SparkSession, d: str) -> DataFrame:
     return L.admit_batch_files(f).select("batch_id", "index", "rank")
 
 
-HEADS = ["4D5A9000", "7F454C46", "23212F62", "89504E470D0A1A0A", "FFD8FFE0", "00000000"]
-FILES = ["x.png", "x.jpg", "x.gif", "../x.gif", "x.php", "a|b.gif"]
-_EXPECT = "CASE WHEN h IN ('4D5A9000', '7F454C46') THEN 'executable' WHEN h = '23212F62' THEN 'script' WHEN n = 'x.png' AND h <> '89504E470D0A1A0A' THEN 'not a png' WHEN n = 'x.jpg' AND h <> 'FFD8FFE0' THEN 'not a jpeg' WHEN n IN ('../x.gif', 'a|b.gif') THEN 'bad name' WHEN n = 'x.php' THEN 'script name' END"
+HEADS = ["4D5A9000", "7F454C46", "CAFEBABE00", "23212F62", "89504E470D0A1A0A", "FFD8FFE0", "FFD800", "00000000"]
+FILES = ["x.png", "x.JPG", "x.jpeg", "x.gif", "../x.gif", "x.PHP", "x.asp", "x.sh", "x.exe", "a|b.gif", "png", "a\tb.gif", "x.jsp"]
+_EXPECT = """CASE WHEN h IN ('4D5A9000', '7F454C46', 'CAFEBABE00') THEN 'executable' WHEN h = '23212F62' THEN 'script' WHEN n IN ('x.png', 'png') AND h <> '89504E470D0A1A0A' THEN 'not a png'
+ WHEN n IN ('x.JPG', 'x.jpeg') AND h NOT IN ('FFD8FFE0', 'FFD800') THEN 'not a jpeg' WHEN n IN ('../x.gif', 'a|b.gif') THEN 'bad name' WHEN n IN ('x.PHP', 'x.asp', 'x.jsp') THEN 'script name' END"""
 
 
-@query("flt3_signatures", f"WITH f AS (SELECT doc_id, {_sql_pick('doc_id', HEADS)} AS h, {_sql_pick('(doc_id // 6)', FILES)} AS n FROM documents) SELECT doc_id, {_EXPECT} AS problem FROM f")
+@query("flt3_signatures", f"WITH f AS (SELECT doc_id, {_sql_pick('doc_id', HEADS)} AS h, {_sql_pick('(doc_id // 8)', FILES)} AS n FROM documents) SELECT doc_id, {_EXPECT} AS problem FROM f")
 def flt3(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    return docs(spark, d).select("doc_id", L.signature_problem(F.unhex(_pick(i, HEADS)), _pick(F.floor(i / 6), FILES)).alias("problem"))
+    return docs(spark, d).select("doc_id", L.signature_problem(F.unhex(_pick(i, HEADS)), _pick(F.floor(i / 8), FILES)).alias("problem"))
 
 
 BOXES, CODECS = ["mov,mp4,m4a", "avi", "webm", None], ["h264", "mpeg2", "vp9"]
@@ -385,22 +386,29 @@ def sc9(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("warnings", F.array_join("warnings", "|")).withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
-_ENS = """WITH d AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id % 97 END AS j, CASE WHEN event_id % 3 <> 0 THEN event_id % 89 END AS a, CASE WHEN event_id % 5 <> 0 THEN event_id % 83 END AS r FROM events),
- e AS (SELECT event_id, CASE WHEN j > 0 THEN j END AS j, a, r, list_filter([CASE WHEN j > 0 THEN j END, a, r], lambda x: x IS NOT NULL) AS l FROM d), m AS (SELECT *, list_max(list_transform(l, lambda x: abs(x - list_sum(l) * 1.0 / len(l)))) AS most FROM e)
-SELECT event_id, round(CASE WHEN j IS NOT NULL AND a IS NOT NULL AND r IS NOT NULL THEN j * 0.4 + a * 0.3 + r * 0.3 WHEN j IS NOT NULL AND a IS NOT NULL THEN j * 0.57 + a * 0.43 WHEN j IS NOT NULL AND r IS NOT NULL THEN j * 0.57 + r * 0.43 WHEN a IS NOT NULL AND r IS NOT NULL THEN a * 0.4 + r * 0.6 ELSE coalesce(j, a, r, 0) END, 4) AS score, CASE WHEN len(l) < 2 THEN 'single' WHEN most < 15 THEN 'high' WHEN most < 30 THEN 'medium' ELSE 'low' END AS agreement FROM m"""
+_ENS = """WITH d AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id % 97)::DOUBLE / 97 END AS jf, event_id % 7 = 0 AS ji, CASE WHEN event_id % 3 <> 0 THEN event_id % 89 END AS a, event_id % 89 >= 60 AS ai, CASE WHEN event_id % 5 <> 0 THEN event_id % 83 END AS r FROM events),
+ e AS (SELECT *, CASE WHEN jf > 0 THEN floor(jf * 100 + 0.5) END AS j FROM d),
+ w AS (SELECT *, (j IS NOT NULL)::INT + (a IS NOT NULL)::INT + (r IS NOT NULL)::INT AS k, (j + a + r) / 3.0::DOUBLE AS mean,
+  CASE WHEN j IS NOT NULL AND a IS NOT NULL AND r IS NOT NULL THEN j * 0.4::DOUBLE + a * 0.3::DOUBLE + r * 0.3::DOUBLE WHEN j IS NOT NULL AND a IS NOT NULL THEN j * 0.57::DOUBLE + a * 0.43::DOUBLE WHEN j IS NOT NULL AND r IS NOT NULL THEN j * 0.57::DOUBLE + r * 0.43::DOUBLE WHEN a IS NOT NULL AND r IS NOT NULL THEN a * 0.4::DOUBLE + r * 0.6::DOUBLE END AS w FROM e),
+ x AS (SELECT *, greatest(abs(j - mean), abs(a - mean), abs(r - mean)) AS most FROM w)
+SELECT event_id, CAST(CASE WHEN k >= 2 THEN floor(w + 0.5) WHEN j IS NOT NULL THEN j WHEN a IS NOT NULL THEN a ELSE 0 END AS BIGINT) AS ai_confidence, CASE WHEN k >= 2 THEN floor(w + 0.5) >= 50 WHEN j IS NOT NULL THEN ji WHEN a IS NOT NULL THEN ai ELSE false END AS likely_ai_generated,
+ CASE WHEN k = 1 AND r IS NOT NULL THEN 0 ELSE k END AS detectors, CASE WHEN k = 3 THEN CASE WHEN most < 15 THEN 'high' WHEN most < 30 THEN 'medium' ELSE 'low' END END AS agreement, CASE WHEN k = 3 THEN CAST(floor(most + 0.5) AS BIGINT) END AS max_deviation, CASE WHEN k = 3 THEN CAST(floor(mean + 0.5) AS BIGINT) END AS average_confidence FROM x"""
 
 
 @query("sc13_ensemble", _ENS)
 def sc13(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    j, a, r = (F.when(e % k == 0 if k == 2 else e % k != 0, (e % m).cast("double")) for k, m in ((2, 97), (3, 89), (5, 83)))
-    return X.table(spark, d, "events").select("event_id", F.round(S.ensemble_score(j, a, r), 4).alias("score"), S.ensemble_agreement(j, a, r).alias("agreement"))
+    s = S.ensemble_verdict(F.when(e % 2 == 0, (e % 97).cast("double") / 97), e % 7 == 0, F.when(e % 3 != 0, e % 89), e % 89 >= 60, F.when(e % 5 != 0, e % 83))
+    return X.table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", "s.*")
 
 
-@query("sc15_audio", "SELECT event_id, least(100, CASE WHEN g < 15 THEN 25 WHEN g < 25 THEN 15 ELSE 0 END + CASE WHEN s > 10 AND event_id % 4 * 1.0 / s < 0.1 THEN 20 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 5 ELSE 0 END + CASE event_id % 3 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END + CASE WHEN 100 - g > 85 THEN 20 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN 5 ELSE 0 END) AS score FROM (SELECT event_id, event_id % 60 AS g, event_id % 45 + 1 AS s FROM events)")
+@query("sc15_audio", """WITH f AS (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN event_id % 60 - 70 END AS m, CASE WHEN event_id % 11 > 0 THEN -(event_id % 31) END AS x, event_id % 45 + 1 AS s, [22050, 24000, 44100, 48000, 16000][CAST(event_id % 5 + 1 AS INT)] AS rate, ['aac', 'mp3', 'opus', 'flac'][CAST(event_id % 4 + 1 AS INT)] AS codec FROM events)
+SELECT event_id, least(100, CASE WHEN abs(x - m) < 15 THEN 25 WHEN abs(x - m) < 25 THEN 15 ELSE 0 END + CASE WHEN s > 10 AND event_id % 4 * 1.0 / s < 0.1 THEN 20 ELSE 0 END + CASE WHEN rate <> 16000 THEN 5 ELSE 0 END + CASE event_id % 3 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END
+ + CASE WHEN m IS NOT NULL AND x IS NOT NULL AND 100 - abs(x - m) > 85 THEN 20 ELSE 0 END + CASE WHEN codec <> 'flac' THEN 5 ELSE 0 END) AS score FROM f""")
 def sc15(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    return X.table(spark, d, "events").select("event_id", S.audio_score(e % 60, e % 4, e % 45 + 1, F.when(e % 3 == 0, 22050).otherwise(48000), e % 3, F.when(e % 2 == 0, "mp3").otherwise("flac"), [22050, 24000], ["mp3"]).alias("score"))
+    mean, most = F.when(e % 7 > 0, e % 60 - 70), F.when(e % 11 > 0, -(e % 31))
+    return X.table(spark, d, "events").select("event_id", S.audio_score(mean, most, e % 4, e % 45 + 1, _pick(e, [22050, 24000, 44100, 48000, 16000]), e % 3, _pick(e, ["aac", "mp3", "opus", "flac"])).alias("score"))
 
 
 @query("sc21_frame_rate", """WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 30.0::DOUBLE WHEN 1 THEN 24.0::DOUBLE ELSE 25.0::DOUBLE END AS n, 23.5::DOUBLE + (event_id % 80)::DOUBLE / 10 AS a FROM events), v AS (SELECT *, abs(n - a) / n AS v FROM r), p AS (SELECT *, floor(v * 10000 + 0.5) / 100 AS pct FROM v)

@@ -205,23 +205,3 @@ def alert_stream(rates: DataFrame, step: int = 30, alerts: list[tuple] | None =
         fired = fired.select(F.col("at").alias("start"), F.lit(name).alias("alert"), "held", F.lit(severity).alias("severity"), F.lit(receiver_of(severity, team, category)).alias("receiver"))
         out = fired if out is None else out.unionByName(fired)
     return out
-
-
-def upsert_registry(files: DataFrame, registry_path: str, checkpoint: str):
-    """Looks each arriving file up in the registry, then appends it with the answer: found, and how often it was seen before its
-    batch (STR-6). ``files`` has a column fingerprint; duplicates stay as rows. Returns the query.
-
-    A batch that runs again after a failure looks only at earlier batches and writes the same folder, so no file is appended twice.
-    """
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(registry_path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-        earlier = spark.read.schema("fingerprint string, batch long").parquet(registry_path).filter(F.col("batch") < batch_id)
-        seen = earlier.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("seen_before"))
-        total = F.coalesce("seen_before", F.lit(0).cast("long"))
-        known = batch.join(seen, "fingerprint", "left").select(*batch.columns, (total > 0).alias("found"), total.alias("seen_before"))
-        known.write.mode("overwrite").parquet(f"{registry_path}/batch={batch_id}")
-
-    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

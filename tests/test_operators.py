@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attestra.functions import dct
 from attestra.functions import hashes as H
 from attestra.operators import aggregates as A
+from attestra.operators import hamming
 from attestra.operators import joins as J
 from attestra.operators import scoring as S
 from attestra.operators import windows as W
@@ -41,7 +42,7 @@ def test_banded_join_equals_brute_force(spark, bits):
     width = bits // 4
     a = spark.createDataFrame([(i, f"{x:0{width}x}") for i, x in enumerate(base)], "query_id long, query_hash string")
     b = spark.createDataFrame([(i, f"{x:0{width}x}") for i, x in enumerate(flipped)], "id long, phash string")
-    got = sorted((r.query_id, r.id, r.distance) for r in J.hamming_candidates(a, b, "query_hash", "phash", 10, bits).collect())
+    got = sorted((r.query_id, r.id, r.distance) for r in hamming.near_rows(a, b, "query_hash", "phash", 10, bits).collect())
     expected = sorted((i, j, d) for i, x in enumerate(base) for j, y in enumerate(flipped) if (d := bin(x ^ y).count("1")) <= 10)
     assert got == expected
 
@@ -101,17 +102,24 @@ def test_quantile_rule_is_by_index(spark):
 
 
 def test_ensemble_of_all_null_patterns(spark):
-    for j in (None, 0.0, 40.0):
-        for a in (None, 60.0):
-            for r in (None, 80.0):
-                got = spark.createDataFrame([(j, a, r)], "j double, a double, r double").select(S.ensemble_score(F.col("j"), F.col("a"), F.col("r")).alias("s")).first().s
-                parts = [(x, w) for x, w in ((j if j else None, 0.4), (a, 0.3), (r, 0.3)) if x is not None]
-                if len(parts) == 3:
-                    assert got == pytest.approx(40 * 0.4 + 60 * 0.3 + 80 * 0.3)
-                elif len(parts) == 1:
-                    assert got == parts[0][0]
-                elif not parts:
-                    assert got == 0
+    weights = {"jar": (40 * 0.4 + 60 * 0.3 + 80 * 0.3, True), "ja": (40 * 0.57 + 60 * 0.43, False), "jr": (40 * 0.57 + 80 * 0.43, True), "ar": (60 * 0.4 + 80 * 0.6, True), "j": (40, True), "a": (60, False), "r": (0, False), "": (0, False)}
+    rows = [(j, a, r) for j in (None, 0.0, 0.4) for a in (None, 60) for r in (None, 80)]
+    df = spark.createDataFrame(rows, "j double, a int, r int")
+    for row in df.select("j", "a", "r", S.ensemble_verdict(F.col("j"), F.lit(True), F.col("a"), F.lit(False), F.col("r")).alias("s")).collect():
+        who = ("j" if row.j else "") + ("a" if row.a else "") + ("r" if row.r else "")
+        score, likely = weights[who]
+        assert (row.s.ai_confidence, row.s.likely_ai_generated) == (int(score + 0.5), likely), who
+        assert (row.s.agreement, row.s.max_deviation, row.s.average_confidence) == (("medium", 20, 60) if who == "jar" else (None,) * 3)
+        assert row.s.detectors == (0 if who == "r" else len(who))
+
+
+def test_later_checks_still_move_a_score_that_software_set(spark):
+    kinds = {"size": "boolean", "exif": "boolean", "sd": "double", "software": "boolean", "fmt": "string", "ratio": "double", "noise": "double", "edge": "double", "share": "double", "extreme": "double", "saturated": "double"}
+    score = lambda **k: spark.range(1).select(S.local_image_score(*[F.lit(k.get(x)).cast(t) for x, t in kinds.items()]).alias("s")).first().s
+    assert tuple(score(software=True, exif=True, noise=300, edge=30, share=0.06)) == (82, True, 3)  # 100 - 10 - 8
+    assert tuple(score(size=True, exif=False, sd=20, noise=300, edge=15, share=0.03, extreme=0.4, saturated=0.5)) == (65, True, 7)  # 25 + 8 + 12 - 10 + 10 + 10 = 55, lifted
+    assert tuple(score(size=True, exif=False, sd=20, edge=15, share=0.03)) == (55, False, 4)
+    assert tuple(score(exif=True, sd=50, noise=300, edge=30, share=0.06)) == (0, False, 2)
 
 
 def test_empty_and_null_inputs(spark):
@@ -213,17 +221,162 @@ def test_window_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, streams.request_rate(batch).collect()))
 
 
-def test_registry_stream_appends_once(spark, tmp_path):
-    files = spark.createDataFrame([(i, f"h{i % 5}") for i in range(30)], "file_id long, fingerprint string")
-    files.repartition(3).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run finds nothing new
-        source = spark.readStream.schema("file_id long, fingerprint string").parquet(str(tmp_path / "in"))
-        streams.upsert_registry(source, str(tmp_path / "reg"), str(tmp_path / "ck")).awaitTermination()
-    reg = spark.read.parquet(str(tmp_path / "reg"))
-    assert reg.count() == 30 and reg.select("fingerprint").distinct().count() == 5
-    assert reg.filter("found or seen_before > 0").isEmpty()  # one batch: nothing was there before
-    spark.createDataFrame([(30, "h0"), (30, "h0"), (31, "new")], "file_id long, fingerprint string").write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("file_id long, fingerprint string").parquet(str(tmp_path / "in"))
-    streams.upsert_registry(source, str(tmp_path / "reg"), str(tmp_path / "ck")).awaitTermination()
-    late = spark.read.parquet(str(tmp_path / "reg")).filter("file_id >= 30").collect()
-    assert sorted((r.file_id, r.found, r.seen_before) for r in late) == [(30, True, 6), (30, True, 6), (31, False, 0)]
+@pytest.mark.parametrize(("bits", "threshold"), [(64, 0), (64, 3), (64, 15), (64, 22), (256, 10), (256, 2), (16, 2)])
+def test_every_layout_of_bands_finds_all_pairs(spark, bits, threshold):
+    """Radii come out differently by size and skew; whichever are taken, the pairs are those of brute force, each once."""
+    rng = random.Random(bits + threshold)
+    base = [rng.getrandbits(bits) for _ in range(20)] + [0, (1 << bits) - 1, 1 << (bits - 1)]
+    near = []
+    for x in base:
+        for k in {0, 1, threshold // 2, threshold, threshold + 1}:
+            y = x
+            for b in rng.sample(range(bits), k):
+                y ^= 1 << b
+            near.append(y)
+    text = lambda x: f"{x:0{bits // 4}x}"
+    a = spark.createDataFrame([(text(x),) for x in [*base, *base]] + [(None,), ("zz",)], "h string")
+    b = spark.createDataFrame([("phash:" + text(x).upper(),) for x in near] + [("ab",)], "g string")
+    expected = sorted({(text(x), text(y), bin(x ^ y).count("1")) for x in base for y in near if bin(x ^ y).count("1") <= threshold})
+    for m in range(1, 9):
+        bands = hamming.even_bands(bits, m)
+        if len(bands) > threshold + 1:
+            continue
+        for meeting in ([1.0] * len(bands), [1e9] + [1.0] * (len(bands) - 1)):
+            found, cost = hamming.radii(bands, threshold, 1.0, meeting)
+            if cost < 1e30 and sum(hamming.probes(x.width, r) for x, r in zip(bands, found) if r >= 0) < 3000:
+                used = [(x, r) for x, r in zip(bands, found) if r >= 0]
+                got = sorted(map(tuple, hamming.near_classes(a, b, "h", "g", threshold, bits, used).collect()))
+                assert got == expected, (m, found)
+    assert sorted(map(tuple, hamming.near_classes(b, a, "g", "h", threshold, bits).select("b_key", "a_key", "distance").collect())) == expected
+
+
+def test_wider_bands_pay_as_rows_grow_and_common_values_lose_their_radius(spark):
+    cost = []
+    for n in (1e3, 1e5, 1e7, 1e9):  # as ROW_COST weighs rows against pairs
+        options = [(hamming.radii(o, 10, hamming.ROW_COST * n, [n * n * 2.0**-b.width for b in o])[1] + hamming.ROW_COST * n * len(o), o[0].width) for o in hamming.layouts(64, 10)]
+        cost.append(min(options))
+    widths = [w for _, w in cost]
+    assert widths == sorted(widths) and widths[-1] > widths[0]
+    bands = hamming.even_bands(64, 4)
+    plain, hot = (hamming.radii(bands, 10, 50.0, m)[0] for m in ([1.0] * 4, [1e6, 1.0, 1.0, 1.0]))
+    assert sum(plain) == sum(hot) == 7 and hot[0] == -1 < min(plain)
+
+
+def test_candidates_grow_slower_than_pairs(spark):
+    """Rows probed and pairs met grow by a power below 2 of the rows: measured on the given tables, and as planned for larger ones."""
+    from math import log
+
+    from attestra.plans import fixtures
+
+    found = []
+    for sf in ("sf0.001", "sf0.1"):
+        h = fixtures.hashes(spark, f"/root/testdata/{sf}")
+        probed, met = hamming.meeting_rows(h, h, "query_hash", "phash", 10)
+        found.append((h.count(), probed + met))
+    (n, a), (m, b) = found
+    assert m > 2 * n and log(b / a) / log(m / n) < 1.85
+
+    def planned(n):
+        plans = []
+        for bands in hamming.layouts(64, 10):
+            r, cost = hamming.radii(bands, 10, hamming.ROW_COST * n, [n * n * 2.0**-x.width for x in bands])
+            plans.append((cost + hamming.ROW_COST * n * sum(x >= 0 for x in r), n * sum(hamming.probes(x.width, k) * (1 + n * 2.0**-x.width) for x, k in zip(bands, r) if k >= 0)))
+        return min(plans)[1]
+
+    assert log(planned(1e7) / planned(500)) / log(1e7 / 500) < 1.6
+
+
+def test_credential_cascade_over_all_pairs(spark):
+    rng = random.Random(12)
+    hashes = [f"{rng.getrandbits(64):016x}" for _ in range(25)]
+    flip = lambda x, k: f"{int(x, 16) ^ sum(1 << b for b in rng.sample(range(64), k)):016x}"
+    creds = [(i, rng.choice(["img:v2", "img:v2|x", "img:v1", None, ""]), rng.choice(["a", "b", "c", "", None]), rng.choice([{}, {"img:v1": "p"}, {"img:v1": "q", "z": "r"}, {"img:v1": ""}, None]), rng.choice([h, None, "", "bad"])) for i, h in enumerate(hashes)]
+    cands = [(i, rng.choice(["a", "d", "", None]), rng.choice(["p", "s", None]), rng.choice([flip(h, rng.choice([0, 4, 10, 11, 15, 16])), None])) for i, h in enumerate(hashes * 3)]
+
+    def plain(c):
+        out = []
+        for k in creds:
+            if k[2] and (k[1] or "").startswith("img:v2") and c[1] == k[2]:
+                out.append((0, 0, k[0], "PROVEN_EXACT", "v2"))
+            elif k[3] and k[3].get("img:v1") and c[2] == k[3]["img:v1"]:
+                out.append((1, 0, k[0], "PROVEN_EXACT", "v1"))
+            elif k[4] and k[4] != "bad" and c[3] and (d := bin(int(c[3], 16) ^ int(k[4], 16)).count("1")) <= 15:
+                out.append((2, d, k[0], "PROVEN_DERIVED" if d <= 10 else "INCONCLUSIVE", "phash"))
+        stage, d, key, verdict, by = min(out, default=(3, 0, None, "NOT_PROVEN", None))
+        return c[0], verdict, by, key, d if stage == 2 else None
+
+    a = spark.createDataFrame([*cands, *cands[:3]], "candidate_id long, v2 string, v1 string, phash string")
+    b = spark.createDataFrame(creds, "credential_id long, canonicalization string, sha256_canonical string, alt_hashes map<string,string>, perceptual_hash string")
+    got = J.credential_cascade(a, b).collect()
+    key = lambda r: [str(x) for x in r]
+    assert sorted(map(tuple, got), key=key) == sorted(map(plain, [*cands, *cands[:3]]), key=key)
+    assert {r.verdict for r in got} == {"PROVEN_EXACT", "PROVEN_DERIVED", "INCONCLUSIVE", "NOT_PROVEN"}
+    assert {r.verdict for r in J.credential_cascade(a, b.limit(0)).collect()} == {"NOT_PROVEN"} and J.credential_cascade(a.limit(0), b).collect() == []
+
+
+def plain_facts(data, width):
+    """Facts of one plane of bytes, pixel by pixel."""
+    n, var = len(data), lambda xs: sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / len(xs)
+    size = min(10000, n - 100)
+    noise = None if size == 0 else 0.0 if size < 0 else sum(var(data[i : i + 100]) for i in range(0, size, 100)) / (size / 100)
+    step = sum(abs(b - a) for a, b in zip(data, data[1:])) / n
+    height = n // width
+    at = lambda y, x: data[max(0, min(height - 1, y)) * width + max(0, min(width - 1, x))]
+    edges = [max(0, min(255, 9 * at(y, x) - sum(at(y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)))) for y in range(height) for x in range(width)]
+    blocks = [[data[(y + j) * 256 + x + i] for j in range(16) for i in range(16) if (y + j) * 256 + x + i < n] for y in range(0, 256, 16) for x in range(0, 256, 16)]
+    sample = min(5000, n / 3)
+    colours = [(data[i + 1] - 128, data[i + 2] - 128) for i in range(0, n - 2, 3) if i / 3 < sample]
+    out = [noise, step, sum(edges) / len(edges) if edges else None, sum(e > 100 for e in edges) / len(edges) if edges else None, var([var(b) for b in blocks if b])]
+    return [*out, sum(abs(a) > 100 or abs(b) > 100 for a, b in colours) / sample, sum((a * a + b * b) ** 0.5 > 100 for a, b in colours) / sample]
+
+
+def test_image_facts_equal_a_loop_over_pixels(spark):
+    from attestra.operators import pixels
+
+    rng = random.Random(6)
+    images = [(i, w, bytes(rng.choice([rng.randrange(256), 120]) for _ in range(n))) for i, (w, n) in enumerate([(7, 50), (10, 100), (10, 101), (16, 256), (33, 700), (9, 12345), (40, 20001), (300, 70000), (5, 3)])]
+    df = spark.createDataFrame([*images, (90, 4, b""), (91, None, None), (92, None, b"\x01\x02\x03")], "image_id long, width int, b binary")
+    got = {r.image_id: r for r in pixels.image_facts(df.select("image_id", "width", *[F.col("b").alias(x) for x in ("gray", "texture", "rgb", "lab")])).collect()}
+    fields = ["window_noise", "neighbour_noise", "edge_mean", "edge_share", "texture_spread", "extreme_share", "saturated_share"]
+    for i, w, data in images:
+        assert [got[i][f] for f in fields] == [x if x is None else pytest.approx(x, rel=1e-9, abs=1e-9) for x in plain_facts(list(data), w)], i
+        first = data[0 : len(data) // 3 * 3 : 3]
+        assert (got[i].channels[0].low, got[i].channels[0].high, got[i].channels[0].mean) == (min(first), max(first), pytest.approx(sum(first) / len(first)))
+    assert all(got[k][f] is None for k in (90, 91) for f in [*fields, "channels"]) and got[92].edge_mean is None
+
+
+def test_signatures_meet_either_way_up_and_within_the_tolerance(spark):
+    from attestra.operators import pixels
+
+    rng = random.Random(8)
+    images = [(i, rng.choice([100, 150, 200, 300, 0, None]), rng.choice([100, 149, 151, 200, 300])) for i in range(60)]
+    sizes = [(100, 200, "a", 3), (200, 100, "a", 4), (300, 300, "b", 5), (150, 149, "c", 6)]
+    ratios = [(1.0, "a", 1), (0.5, "b", 2), (1.0201, "d", 7), (2.0, "b", 8)]
+    expected = {}
+    for i, w, h in images:
+        for sw, sh, g, p in sizes:
+            if w and ((w, h) == (sw, sh) or (h, w) == (sw, sh)):
+                expected[i, g] = expected.get((i, g), 0) + p
+        for r, g, p in ratios:
+            if w and abs(w / h - r) < 0.02:
+                expected[i, g] = expected.get((i, g), 0) + p
+    got = pixels.signature_points(spark.createDataFrame(images, "image_id long, width long, height long"), spark.createDataFrame(sizes, "width long, height long, generator string, points long"), spark.createDataFrame(ratios, "ratio double, generator string, points long"))
+    assert {(r.image_id, r.generator): r.points for r in got.collect()} == expected and len(expected) > 20
+
+
+def test_all_row_links_of_copies_are_counted_not_paired(spark):
+    rows = [(i, "00000000000000ff" if i < 50 else f"{i:016x}") for i in range(80)]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, phash string")
+    queries = df.select(F.col("id").alias("query_id"), F.col("phash").alias("query_hash"))
+    links = {r.query_id: r for r in J.image_links(queries, df, 4).collect()}
+    dist = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    for i, h in rows:
+        near = [dist(h, g) for _, g in rows if dist(h, g) <= 4]
+        assert (links[i].n_links, links[i].n_hashes, links[i].nearest) == (len(near), len({g for _, g in rows if dist(h, g) <= 4}), min(near))
+    assert (links[99].n_links, links[99].nearest) == (0, None)
+    best = {}
+    for r in J.nearest_images(queries, df, 5, 4).collect():
+        best.setdefault(r.query_id, []).append((r["rank"], r.distance, r.id))
+    for i, h in rows:
+        expected = sorted((dist(h, g), j) for j, g in rows if dist(h, g) <= 4)[:5]
+        assert [(d, j) for _, d, j in sorted(best[i])] == expected
