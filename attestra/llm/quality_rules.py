@@ -171,8 +171,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns id_col, the five counts, base_failed, grp, distance2 and kept. Documents that pass the base rules are grouped by
     language and source; a group's estimate leans on its language's by the weight of ``prior`` documents, some fifteen for each of the 14
     numbers of an estimate, so that a few junk documents do not make a small group's rule. Rejected are those
-    farther out than all but the share ``tail`` of normal vectors: of 10^8 clean documents four would go, and statistics of
-    real texts have longer tails than normal ones. Null texts have no words and fail the base rules; null languages and
+    farther out than all but the share ``tail`` of normal vectors would be. Three of the four statistics are nil for most documents,
+    so a unit of spread is added to every variance, and distances lie far below a normal vector's: ``tail`` sets the distance, it is
+    no share of real documents. Null texts have no words and fail the base rules; null languages and
     sources are groups of their own; repeated rows are judged alike; an empty table gives no rows; other columns are not read.
     """
     stats = word_statistics(df, [id_col, lang_col, source_col], text_col).toDF("id", "lang", "src", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
