@@ -132,7 +132,9 @@ def near_classes(a: DataFrame, b: DataFrame, a_hash: str, b_hash: str, threshold
         raise ValueError("threshold must not be negative")
     words = -(-bits // 64)
     left, right = hash_classes(a, a_hash, bits), hash_classes(b, b_hash, bits)
-    n_left, n_right = left.count(), right.count()
+    sides = left.select(F.lit("left").alias("side")).unionByName(right.select(F.lit("right").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["side"]: r["n"] for r in sides.collect()}
+    n_left, n_right = sizes.get("left", 0), sizes.get("right", 0)
     turned = n_right < n_left
     probing, other = (right, left) if turned else (left, right)
     if threshold >= bits:

@@ -136,11 +136,12 @@ def key_quota(log: DataFrame, most: int = 1000, seconds: int = 3600) -> DataFram
 
 
 def abuse_detector(log: DataFrame, suspicious: int = 500, blocked: int = 1000) -> DataFrame:
-    """Hourly requests of each address; over the second limit it is blocked from then on (STR-4)."""
+    """Hourly requests of each address; over the second limit it is blocked from then on (STR-4). ``stateful.guarded_requests`` refuses
+    the single requests of a blocked address, in a stream too."""
     out = _timed(log).groupBy(F.window("ts", "1 hour"), "ip").agg(F.count(F.lit(1)).alias("requests"))
     out = out.select(F.col("window.start").alias("start"), "ip", "requests", (F.col("requests") > suspicious).alias("suspicious"), (F.col("requests") > blocked).alias("over"))
     if log.isStreaming:
-        return out  # the sink keeps the addresses that were ever over; see ``blocked_addresses``
+        return out  # of the hours alone; ``blocked_addresses`` gathers those that were ever over
     by = Window.partitionBy("ip").orderBy("start")
     return out.withColumn("blocked", F.max("over").over(by))
 
@@ -162,13 +163,13 @@ def daily_cap(log: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def segment_windows(frames: DataFrame, rate: int = 15) -> DataFrame:
-    """Frames by second of their video, complete seconds only (STR-7)."""
+    """Frames by second of their video, complete seconds only (STR-7); ``stateful.segment_hash_stream`` hashes them as they arrive."""
     out = _timed(frames).groupBy(F.window("ts", "1 second"), "video_id").agg(F.count(F.lit(1)).alias("n"))
     return out.filter(F.col("n") == rate).select("video_id", F.col("window.start").alias("start"), "n")
 
 
 def expired(batches: DataFrame, now: Column, ttl_seconds: int = 86400) -> DataFrame:
-    """Batches past their time to live (STR-8)."""
+    """Batches past their time to live, none of which was extended (STR-8); ``stateful.batch_expiries`` follows extensions."""
     return batches.filter(F.unix_timestamp("created_at") + ttl_seconds <= F.unix_timestamp(now))
 
 
