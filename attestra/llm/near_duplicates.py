@@ -453,16 +453,36 @@ def _joining(width: int, t: Fraction):
     return giving_back(run)
 
 
+def _members(packed: DataFrame) -> DataFrame:
+    """The members (block, key) of hot blocks with the block's number of entries and the least key of all its members.
+
+    ``packed``: block, data with some of its keys; a block that is hot in several slices, or in its shard too, has several such
+    rows. Numbers and least keys are taken of them as they are, so that what is joined is a row for each, and none for each member.
+    """
+
+    def least_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"block": batch["block"], "least": [np.frombuffer(d, dtype=np.int64).min() for d in batch["data"]], "m": [len(d) // 8 for d in batch["data"]]})
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in (batch.iloc[at : at + 256] for at in range(0, len(batch), 256)):
+                many = [len(d) // 8 for d in part["data"]]
+                each = {c: np.repeat(part[c].to_numpy(), many) for c in ("block", "least", "m")}
+                yield pd.DataFrame({**each, "key": np.frombuffer(b"".join(part["data"]), dtype=np.int64)})
+
+    counted = packed.mapInPandas(least_of, "block long, least long, m long").groupBy("block").agg(F.min("least").alias("least"), F.sum("m").alias("m"))
+    return packed.join(counted, "block").select("block", "least", "m", "data").mapInPandas(unpack, "block long, least long, m long, key long").distinct()
+
+
 def _looked_at(hot: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the members (block, key) of hot blocks those that must meet, as members (grp, key) of the group of their least key."""
-    counted = hot.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    """Of the ``_members`` of hot blocks those that must meet, as members (grp, key) of the group of their block's least key."""
     odd = F.col("block").bitwiseAND(F.lit(1))
-    ranked = hot.join(counted, "block").join(classes.select("key", "spare"), "key")
+    ranked = hot.join(classes.select("key", "spare"), "key")
     rank = F.row_number().over(Window.partitionBy("key", odd).orderBy(F.desc("m"), F.desc("block")))
     spare = F.when(odd == 1, F.shiftright("spare", 15)).otherwise(F.col("spare").bitwiseAND(F.lit(_MOST_SPARE)))
-    kept = ranked.select("block", "key", rank.alias("rank"), spare.alias("spare")).filter("rank > spare")
-    least = kept.groupBy("block").agg(F.min("key").alias("grp"))
-    return kept.join(least, "block").select("grp", "key").distinct()
+    kept = ranked.select("least", "key", rank.alias("rank"), spare.alias("spare")).filter("rank > spare")
+    return kept.select(F.col("least").alias("grp"), "key").distinct()
 
 
 def _lots(members: DataFrame, classes: DataFrame, of_key: DataFrame, chunk: int, chunk_shingles: int) -> DataFrame:
@@ -526,15 +546,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = pairs.unionByName(others.select(F.least("key", "short").alias("a"), F.greatest("key", "short").alias("b"), F.lit(1).alias("hot")).distinct())
     pairs = checkpointed(pairs)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                keys = np.frombuffer(b"".join(batch["data"]), dtype=np.int64)
-                yield pd.DataFrame({"block": np.repeat(batch["a"].to_numpy(), [len(d) // 8 for d in batch["data"]]), "key": keys})
-
     links = checkpointed(_verified(checkpointed(_possible(pairs.select("a", "b"), classes, blocks.t)), texts, reps, width, blocks.t))
     of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
-    hot = found.filter("kind = 2").select("a", "data").distinct().mapInPandas(unpack, "block long, key long").distinct()
+    hot = _members(found.filter("kind = 2").select(F.col("a").alias("block"), "data").distinct())
     own = pairs.filter("hot = 0").select(F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("key"))
     members = checkpointed(own.unionByName(_looked_at(hot, classes)).distinct())
 

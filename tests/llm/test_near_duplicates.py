@@ -161,3 +161,17 @@ def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
         most.append(0)
         assert nd.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), chunk=200).select("component_id").distinct().count() == 1
     assert most[1] < 3.2 * most[0]
+
+
+def test_members_of_hot_blocks_are_joined_packed(spark):
+    import numpy as np
+
+    from attestra.llm.near_duplicates import _members
+
+    pack = lambda *keys: np.array(keys, dtype=np.int64).tobytes()
+    packed = spark.createDataFrame([(7, pack(5, 9)), (7, pack(9, -3, 4)), (8, pack(*range(1000)))], "block long, data binary")
+    out = _members(packed)
+    assert out.filter("block = 7").sort("key").collect() == [(7, -3, 5, k) for k in (-3, 4, 5, 9)]
+    assert out.filter("block = 8").selectExpr("min(least)", "max(m)", "count(*)").first() == (0, 1000, 1000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInPandas unpack") < plan.index("Join Inner")  # above the join: members come out after it
