@@ -380,3 +380,10 @@ def test_all_row_links_of_copies_are_counted_not_paired(spark):
     for i, h in rows:
         expected = sorted((dist(h, g), j) for j, g in rows if dist(h, g) <= 4)[:5]
         assert [(d, j) for _, d, j in sorted(best[i])] == expected
+
+
+def test_generator_scores_stand_in_the_plan_once(spark):
+    from attestra.plans import registry
+
+    plan = registry.QUERIES["sc16_generator_attribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 200_000
