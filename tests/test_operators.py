@@ -387,3 +387,26 @@ def test_generator_scores_stand_in_the_plan_once(spark):
 
     plan = registry.QUERIES["sc16_generator_attribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert len(plan) < 200_000
+
+
+def test_probed_values_are_whole_and_not_in_the_plan(spark):
+    from itertools import combinations
+
+    from attestra.operators import hamming
+
+    got = spark.range(1).select(hamming._masks(F.col("id"), 9, 3).alias("m")).first()["m"]
+    assert sorted(got) == sorted(sum(1 << i for i in at) for r in range(4) for at in combinations(range(9), r))
+    top = spark.range(1).select(hamming._masks(F.col("id"), 64, 1).alias("m")).first()["m"]
+    assert sorted(top) == sorted([0, -(1 << 63), *(1 << i for i in range(63))])
+    hashes = spark.createDataFrame([("00000000000000ff",), ("00000000000000fe",), ("ffffffff00000000",)], "h string")
+    pairs = hamming.near_classes(hashes, hashes, "h", "h", 10, bands=[(hamming.Band(0, 0, 32), 4), (hamming.Band(0, 32, 32), 5)])
+    assert len(pairs._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert {(r["a_key"][-2:], r["b_key"][-2:]) for r in pairs.collect()} == {("ff", "ff"), ("fe", "fe"), ("00", "00"), ("ff", "fe"), ("fe", "ff")}
+
+
+def test_probing_is_dealt_by_the_values_probed(spark):
+    from attestra.operators import hamming
+
+    classes = hamming.hash_classes(spark.createDataFrame([("00000000000000ff",)], "h string"), "h")
+    bands = [(hamming.Band(0, 0, 32), 3)]
+    assert hamming._probing(classes, bands, 10_000).rdd.getNumPartitions() == -(-10_000 * hamming.probes(32, 3) // hamming.VALUES_PER_TASK)
