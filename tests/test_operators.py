@@ -410,3 +410,30 @@ def test_probing_is_dealt_by_the_values_probed(spark):
     classes = hamming.hash_classes(spark.createDataFrame([("00000000000000ff",)], "h string"), "h")
     bands = [(hamming.Band(0, 0, 32), 3)]
     assert hamming._probing(classes, bands, 10_000).rdd.getNumPartitions() == -(-10_000 * hamming.probes(32, 3) // hamming.VALUES_PER_TASK)
+
+
+def test_sums_that_fall_on_halves_are_rounded_up(spark):
+    v = spark.sql("select 57072.499999999985D v union all select 57072.4999D union all select 57072.5D").select(A.js_round_sum(F.col("v")).alias("v"))
+    assert sorted(r["v"] for r in v.collect()) == [57072, 57073, 57073]
+
+
+def test_block_values_are_multiplied_as_floats(spark, tmp_path):
+    import struct
+
+    from attestra.plans import registry
+
+    f32 = lambda v: struct.unpack("f", struct.pack("f", v))[0]
+    x = next(v for v in (f32(k / 1000) for k in range(1, 1000)) if int(f32(v * 1000)) != int(v * 1000))
+    spark.createDataFrame([(0, [0.0] * 32 + [x] * 32, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["agg29_block_stats"](spark, str(tmp_path)).first()
+    assert got["high_e6"] == int(int(f32(x * 1000)) / 4 / 255 * 1e6 + 0.5)
+
+
+def test_alert_spans_do_not_hang_on_the_order_of_one_instant(spark):
+    from attestra.operators import windows as W
+
+    rows = [("a", s, s != 20 or k > 0) for s in (0, 10, 20, 30, 40) for k in range(3)]
+    for order in (rows, rows[::-1]):
+        series = spark.createDataFrame(order, "k string, s long, ok boolean").select("k", F.timestamp_seconds("s").alias("ts"), "ok")
+        got = W.alert_for(series.withColumnRenamed("ok", "fine"), F.col("fine"), 0, ["k"]).select(F.unix_timestamp("since").alias("a"), F.unix_timestamp("until").alias("b"), "samples").sort("a").collect()
+        assert got == [(0, 10, 6), (20, 40, 8)]
