@@ -10,8 +10,9 @@ pairs are verified on the sets themselves.
 Equal sets are one class throughout. In a block that several classes share, the least key is paired with all others; pairs
 that sizes and dense parity sketches do not rule out are verified. The classes whose blocks have the same least key are a
 group: every pair of similar sets is in one. A block of over ``HOT`` classes is hot. Of a set's blocks only more than D(b)
-need to be looked at, if all sets leave out their last ones in one order; the order is that of frequency, so hot blocks,
-such as those of passages that many texts share, are left out where a set has blocks to spare. Groups whose classes have not
+need to be looked at, if all sets leave out their last ones in one order; the order is that of the groups by frequency, so hot
+blocks, such as those of passages that many texts share, are left out where a set has blocks to spare. What is listed is how many
+hot blocks of a group a class has, not each of them. Groups whose classes have not
 all fallen in one component are then compared by sketches, between components only, in lots; the nearest pairs are verified
 and joined, round by round, as long as that pays. What sketches still leave undecided is compared set by set, joining
 components on the way, so that a group of m classes gives m - 1 links at most. No link between components is lost, and no
@@ -181,10 +182,10 @@ def _rows(kind: int, **columns) -> pd.DataFrame:
     return pd.DataFrame({**base, **columns}, index=range(len(next(iter(columns.values())))))
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 23) -> Iterator[pd.DataFrame]:
-    """The batches cut into slices of at most so many rows, and of so many bytes of text or one row's more."""
+def _slices(batches: Iterator[pd.DataFrame], rows: int, size: int = 1 << 23, col: str = "t") -> Iterator[pd.DataFrame]:
+    """The batches cut into slices of at most so many rows, and of so many bytes in ``col`` or one row's more."""
     for batch in batches:
-        at = np.cumsum([0 if t is None else len(t) for t in batch["t"].array]) // size
+        at = np.cumsum([0 if t is None else len(t) for t in batch[col].array]) // size
         cuts = {0, len(batch), *range(rows, len(batch), rows), *(np.flatnonzero(np.diff(at)) + 1).tolist()}
         cuts = sorted(cuts)
         yield from (batch.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
@@ -453,17 +454,23 @@ def _joining(width: int, t: Fraction):
     return giving_back(run)
 
 
-def _members(packed: DataFrame) -> DataFrame:
-    """The members (block, key) of hot blocks with the block's number of entries and the least key of all its members.
+def _counted(packed: DataFrame) -> DataFrame:
+    """Per hot block its number of entries m and the least key of all its members.
 
     ``packed``: block, data with some of its keys; a block that is hot in several slices, or in its shard too, has several such
-    rows. Numbers and least keys are taken of them as they are, so that what is joined is a row for each, and none for each member.
+    rows. Numbers and least keys are taken of them as they are.
     """
 
     def least_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"block": batch["block"], "least": [np.frombuffer(d, dtype=np.int64).min() for d in batch["data"]], "m": [len(d) // 8 for d in batch["data"]]})
 
+    return packed.mapInPandas(least_of, "block long, least long, m long").groupBy("block").agg(F.min("least").alias("least"), F.sum("m").alias("m"))
+
+
+def _members(packed: DataFrame) -> DataFrame:
+    """The members (block, key) of ``packed`` hot blocks, listed one by one: what ``_held`` sums up."""
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in (batch.iloc[at : at + 256] for at in range(0, len(batch), 256)):
@@ -471,18 +478,51 @@ def _members(packed: DataFrame) -> DataFrame:
                 each = {c: np.repeat(part[c].to_numpy(), many) for c in ("block", "least", "m")}
                 yield pd.DataFrame({**each, "key": np.frombuffer(b"".join(part["data"]), dtype=np.int64)})
 
-    counted = packed.mapInPandas(least_of, "block long, least long, m long").groupBy("block").agg(F.min("least").alias("least"), F.sum("m").alias("m"))
-    return packed.join(counted, "block").select("block", "least", "m", "data").mapInPandas(unpack, "block long, least long, m long, key long").distinct()
+    return packed.join(_counted(packed), "block").select("block", "least", "m", "data").mapInPandas(unpack, "block long, least long, m long, key long").distinct()
 
 
-def _looked_at(hot: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the ``_members`` of hot blocks those that must meet, as members (grp, key) of the group of their block's least key."""
-    odd = F.col("block").bitwiseAND(F.lit(1))
-    ranked = hot.join(classes.select("key", "spare"), "key")
-    rank = F.row_number().over(Window.partitionBy("key", odd).orderBy(F.desc("m"), F.desc("block")))
-    spare = F.when(odd == 1, F.shiftright("spare", 15)).otherwise(F.col("spare").bitwiseAND(F.lit(_MOST_SPARE)))
-    kept = ranked.select("least", "key", rank.alias("rank"), spare.alias("spare")).filter("rank > spare")
-    return kept.select(F.col("least").alias("grp"), "key").distinct()
+def _held(packed: DataFrame, buckets: int) -> DataFrame:
+    """Per group, bit of the band and class (grp, odd, key) the number n of the group's hot blocks that hold the class, and m, the
+    entries of the largest of these blocks, the same for all classes.
+
+    A class of a group mostly shares many of its blocks. Members are dealt to ``buckets`` by their keys in packed rows, so that
+    a group of any size is spread, and are counted there without repeats.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(batches, 4000, col="data"):
+            every = np.repeat(part["block"].to_numpy(), [len(d) // 8 for d in part["data"]])
+            block, key, first, many = _meeting(every, np.frombuffer(b"".join(part["data"]), dtype=np.int64))
+            of = part.drop_duplicates("block").set_index("block").loc[block[first]]
+            order = np.argsort(key % buckets, kind="stable")
+            rows = np.stack([block, np.repeat(of["grp"].to_numpy(), many), np.repeat(of["m"].to_numpy(), many), key])[:, order]
+            cut = np.flatnonzero(np.diff(rows[3] % buckets, prepend=-1, append=-1)).tolist()
+            yield pd.DataFrame({"bucket": rows[3][cut[:-1]] % buckets, "data": [rows[:, a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]})
+
+    def count(bucket: pd.DataFrame) -> pd.DataFrame:
+        block, grp, m, key = np.concatenate([np.frombuffer(d, dtype=np.int64).reshape(4, -1) for d in bucket["data"]], axis=1)
+        rows = pd.DataFrame({"grp": grp, "odd": block & 1, "key": key, "m": m, "block": block}).drop_duplicates(["block", "key"])
+        out = rows.groupby(["grp", "odd", "key", "m"], sort=False).size().rename("n").reset_index()
+        give_back()
+        return out[["grp", "odd", "key", "n", "m"]]
+
+    # a group's blocks all hold its least key, so there are no more of them than one document has
+    group = Window.partitionBy("least", F.col("block").bitwiseAND(F.lit(1)))
+    blocks = _counted(packed).select("block", F.col("least").alias("grp"), F.max("m").over(group).alias("m"))
+    dealt = packed.join(blocks, "block").select("block", "grp", "m", "data").mapInPandas(giving_back(deal), "bucket long, data binary")
+    return dealt.groupBy("bucket").applyInPandas(count, "grp long, odd long, key long, n long, m long")
+
+
+def _looked_at(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the classes ``_held`` by groups those that must meet there, as members (grp, key).
+
+    The common order of hot blocks is that of their groups, the largest first. A class leaves out a group if the blocks it has
+    there and in those before are no more than it has to spare.
+    """
+    spare = F.when(F.col("odd") == 1, F.shiftright("spare", 15)).otherwise(F.col("spare").bitwiseAND(F.lit(_MOST_SPARE)))
+    upto = F.sum("n").over(Window.partitionBy("key", "odd").orderBy(F.desc("m"), F.desc("grp")))
+    kept = held.join(classes.select("key", "spare"), "key").select("grp", "key", upto.alias("upto"), spare.alias("spare")).filter("upto > spare")
+    return kept.select("grp", "key").distinct()
 
 
 def _lots(members: DataFrame, classes: DataFrame, of_key: DataFrame, chunk: int, chunk_shingles: int) -> DataFrame:
@@ -548,9 +588,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     links = checkpointed(_verified(checkpointed(_possible(pairs.select("a", "b"), classes, blocks.t)), texts, reps, width, blocks.t))
     of_key = checkpointed(connected_components(links)).withColumnRenamed("node", "key")
-    hot = _members(found.filter("kind = 2").select(F.col("a").alias("block"), "data").distinct())
+    held = _held(found.filter("kind = 2").select(F.col("a").alias("block"), "data").distinct(), shards)
     own = pairs.filter("hot = 0").select(F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("key"))
-    members = checkpointed(own.unionByName(_looked_at(hot, classes)).distinct())
+    members = checkpointed(own.unionByName(_looked_at(held, classes)).distinct())
 
     lots = _lots(members, classes, of_key, chunk, chunk_shingles)
     left = checkpointed(lots.mapInPandas(_undecided(blocks.t), "grp long, x int, y int, side int, key long, label long").join(reps, "key"))

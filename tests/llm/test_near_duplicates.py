@@ -175,3 +175,69 @@ def test_members_of_hot_blocks_are_joined_packed(spark):
     assert out.filter("block = 8").selectExpr("min(least)", "max(m)", "count(*)").first() == (0, 1000, 1000)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInPandas unpack") < plan.index("Join Inner")  # above the join: members come out after it
+
+
+def test_hot_blocks_are_listed_by_group_and_class(spark):
+    """A group's hot blocks are counted for each class, without repeats; the classes left out are those with blocks to spare."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    blocks = {b: [b % 5 * 1000 - 3000, *rng.sample(range(-900, 900), 200)] for b in range(60)}
+    rows = [(b, part) for b, keys in blocks.items() for part in (keys[:150], keys[100:])]  # some keys come twice
+    packed = spark.createDataFrame([(b, np.array(keys, dtype=np.int64).tobytes()) for b, keys in rows], "block long, data binary")
+    entries = {b: 251 for b in blocks}
+    held = nd._held(packed, 7)
+    plain = nd._members(packed).groupBy(F.col("least").alias("grp"), F.col("block").bitwiseAND(F.lit(1)).alias("odd"), "key").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+    want = Counter((min(keys), b & 1, k) for b, keys in blocks.items() for k in keys)
+    assert {(r.grp, r.odd, r.key): r.n for r in held.collect()} == want
+    assert sorted(held.collect()) == sorted(plain.select(held.columns).collect())
+    assert {r.m for r in held.collect()} == set(entries.values())
+    spare = {k: rng.randrange(12) << 15 | rng.randrange(12) for *_, k in want}
+    looked = nd._looked_at(held, spark.createDataFrame(list(spare.items()), "key long, spare int"))
+    order = sorted({(g, odd) for g, odd, _ in want}, reverse=True)  # all blocks have the same number of entries
+    left = set()
+    for k in spare:
+        for odd in (0, 1):
+            upto = 0
+            for g in (g for g, o in order if o == odd and (g, o, k) in want):
+                upto += want[g, odd, k]
+                if upto > (spare[k] >> 15 if odd else spare[k] & (2**15 - 1)):
+                    left.add((g, k))
+    assert {tuple(r) for r in looked.collect()} == left
+
+
+def test_no_step_lists_every_hot_block_of_every_document(spark, monkeypatch):
+    """Texts that share a long passage have dozens of hot blocks each; what Python steps return stays at a few rows for each text."""
+    made = {}
+    frame = type(spark.range(1))
+    grouped = type(spark.range(1).groupBy("id"))
+    old_map, old_apply = frame.mapInPandas, grouped.applyInPandas
+
+    def map_in_pandas(self, run, schema, *more, **named):
+        rows = made[f"{len(made)} {run.__name__}"] = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in run(batches):
+                rows.add(len(batch))
+                yield batch
+
+        return old_map(self, counted, schema, *more, **named)
+
+    def apply_in_pandas(self, run, schema):
+        rows = made[f"{len(made)} {run.__name__}"] = spark.sparkContext.accumulator(0)
+
+        def counted(group):
+            out = run(group)
+            rows.add(len(out))
+            return out
+
+        return old_apply(self, counted, schema)
+
+    monkeypatch.setattr(frame, "mapInPandas", map_in_pandas)
+    monkeypatch.setattr(grouped, "applyInPandas", apply_in_pandas)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(50))) for i in range(600)]
+    assert nd.similar_components(spark.createDataFrame(texts, "doc_id long, text string")).filter("doc_id = component_id").count() == 600
+    assert max(x.value for x in made.values()) < 10 * len(texts), {k: x.value for k, x in made.items()}
